@@ -195,22 +195,38 @@ def references(docs: DataFrame) -> dict:
     return {"known": known, "common": common, "chars": _spread(ref[:, :N_CLASSES]), "words": _spread(ref[:, N_CLASSES:])}
 
 
+def _verdicts(batch: pa.RecordBatch, ref: dict, char_limit: float, joint_limit: float) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    lang = _langs(batch, ref["known"])
+    for i, j, s in _slices(batch):
+        b, g = {k: np.asarray(v, np.int64) for k, v in s.base().items()}, lang[i:j]
+        c, w = _histograms(s, g, ref["common"])
+        dc, dw = js_distance(c, ref["chars"][g]), js_distance(w, ref["words"][g])
+        failed = (b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
+        far = ((dc > char_limit) & (b["word_chars"] >= MIN_CHARS)) | ((dc + dw > joint_limit) & (b["n_words"] >= MIN_WORDS))
+        yield i, j, b | {"base_failed": failed, "char_distance": dc, "word_distance": dw, "kept": ~failed & ~far}
+
+
+def kept_rows(docs: DataFrame, char_limit: float = CHAR_LIMIT, joint_limit: float = JOINT_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    ref = docs.sparkSession.sparkContext.broadcast(references(docs))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [b["kept"] for _, _, b in _verdicts(batch, ref.value, char_limit, joint_limit)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, joint_limit: float = JOINT_LIMIT) -> DataFrame:
     """doc_id, the base counts, base_failed, both distances and kept, per row of ``docs`` (doc_id, text, lang)."""
     ref = docs.sparkSession.sparkContext.broadcast(references(docs))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = ref.value
         for batch in batches:
-            lang = _langs(batch, r["known"])
-            for i, j, s in _slices(batch):
-                b, g = s.base(), lang[i:j]
-                c, w = _histograms(s, g, r["common"])
-                dc, dw = js_distance(c, r["chars"][g]), js_distance(w, r["words"][g])
-                failed = (b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
-                far = ((dc > char_limit) & (b["word_chars"] >= MIN_CHARS)) | ((dc + dw > joint_limit) & (b["n_words"] >= MIN_WORDS))
-                cols = [batch.column(0).slice(i, j - i), *(pa.array(np.asarray(b[k], np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(dc), pa.array(dw), pa.array(~failed & ~far)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
+            for i, j, b in _verdicts(batch, ref.value, char_limit, joint_limit):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x) for x in b.values())], ["doc_id", *b])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     return rows.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean")

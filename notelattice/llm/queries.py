@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoded_digests
+from .chat import formatted_digests
 from .ngram_join import jaccard_classes
+from .packing import pack
 from .quality import quality_rules
+from .scratch import scratch_path
+from .sharding import sharded_digests
+from .token_files import token_file_round_trip
 from .toxicity import toxicity
 from .vectors import near_duplicate_vectors
+from .warc import page_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +29,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), min_bytes=0)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -35,23 +45,37 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).selectExpr("CAST(-7 AS BIGINT) AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    return formatted_digests(rows.union(extra))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_digests(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
-        "op3_toxicity": op3_toxicity,
-        "op4_bpe": op4_bpe,
-        "op7_quality_rules": op7_quality_rules,
-        "op10_embedding_near_dedup": op10_embedding_near_dedup,
-    }
+    every = (op1_warc, op2_ngram_jaccard_join, op3_toxicity, op4_bpe, op5_chat_formatting, op6_packing, op7_quality_rules, op8_sharding, op9_token_files, op10_embedding_near_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_sharding": "SELECT doc_id, lang, source, octet_length(encode(text)) AS text_bytes, sha256(text) AS text_sha256 FROM documents"}

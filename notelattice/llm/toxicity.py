@@ -155,19 +155,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"table": shared, "w": w, "theta": theta}
 
 
+def _exceedance(batch: pa.RecordBatch, w, theta, table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """P(grade > k) of runs of rows."""
+    for i, j, data, offsets in byte_slices(batch):
+        if table is None:
+            yield i, j, np.zeros((j - i, GRADES - 1))
+            continue
+        r, f = feature_hits(data, offsets, table.value)
+        r, f = _distinct(r, f)
+        yield i, j, 1 / (1 + np.exp(-np.clip(np.bincount(r, w[f], j - i)[:, None] - theta, -35, 35)))
+
+
+def clean_rows(docs: DataFrame, model: dict, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` below the cutoff, with all their columns."""
+    w, theta, table = model["w"], model["theta"], model["table"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [up.sum(1) < cutoff for _, _, up in _exceedance(batch, w, theta, table)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score(docs: DataFrame, model: dict, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, rejected) per row of ``docs``."""
     w, theta, table = model["w"], model["theta"], model["table"]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in byte_slices(batch):
-                if table is None:
-                    up = np.zeros((j - i, GRADES - 1))
-                else:
-                    r, f = feature_hits(data, offsets, table.value)
-                    r, f = _distinct(r, f)
-                    up = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[f], j - i)[:, None] - theta, -35, 35)))
+            for i, j, up in _exceedance(batch, w, theta, table):
                 severity = up.sum(1)
                 full = np.concatenate([np.ones((j - i, 1)), up, np.zeros((j - i, 1))], 1)
                 grade = (full[:, :-1] - full[:, 1:]).argmax(1)
