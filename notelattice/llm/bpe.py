@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a distinct-word table.
 
 1. Texts are split at white space. Documents are gathered in blocks of about BLOCK_BYTES; a block lists its distinct
-   words and, for each document, the positions of its words in that list.
+   words and, for each document, the positions of its words in that list. Rows must come in the same order each time
+   they are read, as they do from files.
 2. The words of all blocks are dealt by hash to tasks that encode each distinct word once.
 3. The ids go back to the blocks by (block, word position), and each document's ids are joined up by position.
 4. Decoding looks up each id's piece in the id-to-piece table, which is as large as the vocabulary and no larger, and
@@ -21,10 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import materialize
 from .tokens import chunk_table, word_chunks
 
 BLOCK_BYTES = 12 << 20
@@ -42,40 +41,47 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([8 * n, *ends[:-1]], ends)]
 
 
-def split_words(docs: DataFrame, parts: int) -> DataFrame:
-    """Blocks: a row with part -1 holds ids of documents, words per document and word positions; the others words."""
+def split_words(docs: DataFrame, parts: int, words: bool) -> DataFrame:
+    """Blocks, either their distinct ``words`` by part, or their documents: ids, words per document, word positions.
 
-    def block(key: int, ids: list, words: list[list[bytes]]) -> pa.RecordBatch:
+    A block's key is a digest of its content, so both halves can be computed apart; positions are ranks by frequency.
+    """
+
+    def block(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
         index: dict[bytes, int] = {}
-        at = [index.setdefault(w, len(index)) for doc in words for w in doc]
-        names = list(index)
+        at = np.array([index.setdefault(w, len(index)) for doc in texts for w in doc], np.int64)
+        order = np.argsort(-np.bincount(at, minlength=len(index)), kind="stable")
+        found = list(index)
+        names = [found[k] for k in order]
+        doc_ids = pa.array(ids, pa.int64()).fill_null(0).to_numpy().astype("<i8").tobytes()
+        key = int.from_bytes(hashlib.blake2b(b"\n".join([doc_ids, *names]), digest_size=8).digest(), "little", signed=True)
         part = np.array([zlib.crc32(w) % parts for w in names], np.int64)
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(-1, _pack(pa.array(ids, pa.int64()).fill_null(0).to_numpy().astype("<i8").tobytes(), bytes(x is None for x in ids), np.array([len(d) for d in words], "<u4").tobytes(), place[np.array(at, np.int64)].astype("<u4").tobytes()))]
-        for p in range(parts):
-            if cut[p + 1] > cut[p]:
-                rows.append((p, zstandard.compress(b"\n".join(names[k] for k in order[cut[p] : cut[p + 1]]), 3)))
+        if words:
+            by = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[by], np.arange(parts + 1))
+            rows = [(p, zstandard.compress(b"\n".join([names[k] for k in by[cut[p] : cut[p + 1]]]), 3)) for p in range(parts) if cut[p + 1] > cut[p]]
+        else:
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            planes = rank[at].view("u1").reshape(-1, 4).T  # bytes of like weight together compress best
+            rows = [(-1, _pack(doc_ids, bytes(x is None for x in ids), np.array([len(d) for d in texts], "<u4").tobytes(), part.astype("<u2").tobytes(), *(x.tobytes() for x in planes)))]
         return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "blob"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 24
         ids: list = []
-        words: list[list[bytes]] = []
+        texts: list[list[bytes]] = []
         size = 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 ids.append(i)
-                words.append(word_chunks(raw))
+                texts.append(word_chunks(raw))
                 size += len(raw)
                 if size >= BLOCK_BYTES:
-                    yield block(key, ids, words)
-                    key, ids, words, size = key + 1, [], [], 0
+                    yield block(ids, texts)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield block(key, ids, words)
+            yield block(ids, texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, _CODED)
 
@@ -109,41 +115,37 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _joined(docs: DataFrame, path: str, result, schema: str, types: tuple) -> DataFrame:
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(split_words(docs, parts), "word-blocks")
-    ids = encode_words(blocks.where("part >= 0"), path)
+    parts = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65535)
+    ids = encode_words(split_words(docs, parts, words=True), path)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = table.column("part").to_numpy()
-        order = np.argsort(part)  # the documents come first, then words in the order of their positions
-        blobs = table.column("blob")
-        doc_ids, nulls, sizes, at = _unpack(blobs[int(order[0])].as_py(), 4)
-        counts, flat = [np.zeros(0, "<u4")], []
-        for k in order[1:]:
-            c, x = _unpack(blobs[int(k)].as_py(), 2)
-            counts.append(np.frombuffer(c, "<u4"))
-            flat.append(x)
-        raw, count = b"".join(flat), np.concatenate(counts).astype(np.int64)
-        ends = 4 * np.cumsum(count)
-        words = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        tokens = chunk_table(path, "word").tokenizer
-        used = np.unique(np.frombuffer(raw, "<u4"))
-        piece = {int(k): tokens.id_to_token(int(k)).encode() for k in used}
-        text = [b" ".join([piece[k] for k in np.frombuffer(w, "<u4").tolist()]) for w in words]
-        at_ = np.frombuffer(at, "<u4").tolist()
-        ids_ = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.frombuffer(nulls, bool))
-        rows, k, first = [], 0, 0
-        for n, size in enumerate(np.frombuffer(sizes, "<u4").tolist()):
-            mine = at_[k : k + size]
-            k += size
-            rows.append(result(b"".join([words[w] for w in mine]), b" ".join([t for t in [text[w] for w in mine] if t])))
-            if len(rows) == 1000 or n + 1 == len(ids_):
-                yield pa.RecordBatch.from_arrays([ids_.slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", *names])
-                rows, first = [], n + 1
+        part, blobs = table.column("part").to_numpy(), table.column("blob")
+        coded = {int(p): blobs[k].as_buffer() for k, p in enumerate(part) if p >= 0}
+        for k in np.flatnonzero(part < 0):  # more than one only if blocks are equal
+            doc_ids, nulls, sizes, parts_, *planes = _unpack(blobs[int(k)].as_py(), 8)
+            by = np.argsort(np.frombuffer(parts_, "<u2"), kind="stable")
+            lists = [_unpack(coded[p], 2) for p in np.unique(np.frombuffer(parts_, "<u2")).tolist()]
+            raw = b"".join(x for _, x in lists)
+            ends = 4 * np.cumsum(np.frombuffer(b"".join(c for c, _ in lists), "<u4").astype(np.int64))
+            words: list[bytes] = [b""] * len(by)
+            for rank, a, b in zip(by.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                words[rank] = raw[a:b]
+            tokens = chunk_table(path, "word").tokenizer
+            piece = {int(x): tokens.id_to_token(int(x)).encode() for x in np.unique(np.frombuffer(raw, "<u4"))}
+            text = [b" ".join([piece[x] for x in np.frombuffer(w, "<u4").tolist()]) for w in words]
+            at = np.stack([np.frombuffer(x, "u1") for x in planes], 1).copy().view("<u4").ravel().tolist()
+            ids_ = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.frombuffer(nulls, bool))
+            rows, done, first = [], 0, 0
+            for n, size in enumerate(np.frombuffer(sizes, "<u4").tolist()):
+                mine = at[done : done + size]
+                done += size
+                rows.append(result(b"".join([words[w] for w in mine]), b" ".join([t for t in [text[w] for w in mine] if t])))
+                if len(rows) == 1000 or n + 1 == len(ids_):
+                    yield pa.RecordBatch.from_arrays([ids_.slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", *names])
+                    rows, first = [], n + 1
 
     def whole(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(join(table)))
 
-    return blocks.where("part < 0").union(ids).groupBy("block").applyInArrow(whole, f"doc_id long, {schema}")
+    return split_words(docs, parts, words=False).union(ids).groupBy("block").applyInArrow(whole, f"doc_id long, {schema}")
