@@ -1,0 +1,6 @@
+"""Registered queries over the given and derived tables."""
+
+from . import graph, notes  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
