@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.rules import EDGE_RULES
 
 KEY = ("from_id", "to_id", "relationship", "note_id")
@@ -108,12 +109,13 @@ def causal_chain(edges: DataFrame, starts: DataFrame, forward: bool = True, max_
     seen = starts.select(F.col("node").alias("start"), "node").distinct()
     frontier, out = seen, None
     for depth in range(max_depth + 1):
-        step = frontier.join(causal, F.col("node") == F.col(here)).select("start", F.lit(depth).alias("depth"), "from_id", "relationship", "to_id")
+        step = cut(frontier.join(causal, F.col("node") == F.col(here)).select("start", F.lit(depth).alias("depth"), "from_id", "relationship", "to_id"))
         out = step if out is None else out.union(step)
         new = step.select("start", F.col(there).alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         have = seen.groupBy("start").agg(F.count("*").alias("have"))
         rank = F.row_number().over(Window.partitionBy("start").orderBy("node"))
         frontier = new.withColumn("k", rank).join(have, "start").where(F.col("k") + F.col("have") <= max_visited).select("start", "node")
+        frontier = cut(frontier)
         seen = seen.union(frontier)
     return out.distinct()
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import cut
+
 # fixed values: required properties of entity types, and ends of relation types
 ENTITY_TYPES = (
     ("Person", ["name"]), ("Organization", ["name"]), ("Project", ["name", "status"]), ("Task", ["title", "status"]),
@@ -63,7 +65,7 @@ def acyclic_check(existing: DataFrame, new: DataFrame, most: int = 20) -> DataFr
     for _ in range(most):
         step = frontier.join(links, F.col("node") == F.col("a")).select("from_id", "to_id", F.col("b").alias("node")).distinct()
         bad = bad.union(step.where("node = from_id").select("from_id", "to_id"))
-        frontier = step.where("node <> from_id").join(seen, ["from_id", "to_id", "node"], "left_anti").checkpoint()
+        frontier = cut(step.where("node <> from_id").join(seen, ["from_id", "to_id", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

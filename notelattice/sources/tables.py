@@ -73,7 +73,7 @@ def read_sigma_rules(spark: SparkSession, path: str, limit: int = 1 << 20) -> Da
 
 def read_yara_rules(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, tags, meta, raw): a row per rule of .yar and .yara files below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.lower("path").rlike(r"\.yara?$"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.lower("path").rlike(r"\.yara?$"))
     rules = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^\s*(?:private\s+|global\s+)*rule\s+\w+.*?^\}"), F.lit(0))).alias("raw"))
     head = F.regexp_extract("raw", r"rule\s+(\w+)\s*(?::\s*([^{]*))?\{", 1)
     tags = F.filter(F.split(F.trim(F.regexp_extract("raw", r"rule\s+(\w+)\s*(?::\s*([^{]*))?\{", 2)), r"\s+"), lambda x: x != "")
@@ -85,7 +85,7 @@ def read_yara_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_hunt_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(hunt_id, learn, observe, check, keep) of hunt reports; files without an id are dropped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     part = lambda name: F.trim(F.regexp_extract("value", rf"(?s)##\s*{name}\s*\n(.*?)(?=\n##\s|\Z)", 1)).alias(name.lower())
     return files.select(F.regexp_extract("value", r"(?m)^hunt_id:\s*(\S+)", 1).alias("hunt_id"), *[part(n) for n in ("LEARN", "OBSERVE", "CHECK", "KEEP")]).where("hunt_id <> ''")
 

@@ -11,6 +11,11 @@ from ..operators.evolve import ShiftState
 from ..operators.notes import construct_notes
 
 
+def _timed(rows: DataFrame, at: str, delay: str) -> DataFrame:
+    """``rows`` with a watermark on ``at``, read in the session's time zone if it has none."""
+    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+
+
 def stream_ingest(notes: DataFrame, out: str, checkpoint: str):
     """Start a query that writes notes, postings and edges of each micro-batch below ``out``.
 
@@ -30,7 +35,7 @@ def stream_ingest(notes: DataFrame, out: str, checkpoint: str):
 
 def stream_dedupe(rows: DataFrame, keys: list[str], at: str = "ts", delay: str = "1 hour") -> DataFrame:
     """The first row of each key within the watermark."""
-    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    return _timed(rows, at, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_rule_matches(matches: DataFrame, rules: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def stream_rule_matches(matches: DataFrame, rules: DataFrame) -> DataFrame:
 
 def stream_telemetry(events: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Events and mean latency per window and type."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("duration_ms").alias("mean_ms")).select(F.col("window.start").alias("start"), "event_type", "n", "mean_ms")
+    return _timed(events, "ts", delay).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("duration_ms").alias("mean_ms")).select(F.col("window.start").alias("start"), "event_type", "n", "mean_ms")
 
 
 def stream_log_tail(logs: DataFrame, level: str) -> DataFrame:
@@ -54,7 +59,7 @@ def stream_access_counts(hits: DataFrame) -> DataFrame:
 
 def stream_session_activity(events: DataFrame, gap: str = "1 hour", key: str = "actor") -> DataFrame:
     """Sessions of each actor that end after ``gap`` without an event."""
-    return events.withWatermark("ts", gap).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return _timed(events, "ts", gap).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def stream_shift(notes: DataFrame, key: str = "stream") -> DataFrame:
