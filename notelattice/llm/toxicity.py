@@ -35,7 +35,7 @@ WINDOWS = (4, 5)
 SIGNIFICANT = 16.0
 #: How many times more often, at least, toxic rows hold a selected feature.
 LIFT = 4.0
-CUTOFF = 0.25
+CUTOFF = 0.35
 
 
 def feature_hits(data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
