@@ -78,7 +78,7 @@ def read_yara_rules(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract("raw", r"rule\s+(\w+)\s*(?::\s*([^{]*))?\{", 1)
     tags = F.filter(F.split(F.trim(F.regexp_extract("raw", r"rule\s+(\w+)\s*(?::\s*([^{]*))?\{", 2)), r"\s+"), lambda x: x != "")
     block = F.regexp_extract("raw", r"(?s)meta:(.*?)(?:strings:|condition:)", 1)
-    pairs = F.transform(F.regexp_extract_all(block, F.lit(r'(?m)^\s*\w+\s*=\s*(?:"(?:[^"\\]|\\.)*"|\S+)'), F.lit(0)), lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(p, r"^[^=]*=\s*", ""), '^"|"$', "")).alias("v")))
+    pairs = F.transform(F.regexp_extract_all(block, F.lit(r'(?m)^\s*\w+\s*=\s*(?:"(?:[^"\\]|\\.)*"|\S+)'), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, r"(\w+)\s*=", 1).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(p, r"^[^=]*=\s*", ""), '^"|"$', "")).alias("v")))
     meta = F.map_from_entries(F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda a, p: F.array_append(F.filter(a, lambda x: x["k"] != p["k"]), p)))
     return rules.select("path", head.alias("name"), tags.alias("tags"), meta.alias("meta"), F.trim("raw").alias("raw"))
 
