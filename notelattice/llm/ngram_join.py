@@ -29,7 +29,10 @@ from .components import connected_components
 from .scratch import fresh, materialize
 from .textcols import byte_slices, mix, shingle_hashes, span_hashes, word_spans
 
-BITS = 512
+#: A bitmap has the power of two of bits that is at least SPREAD times the set's size, within these bounds.
+SPREAD, MIN_BITS, MAX_BITS = 1.25, 256, 8192
+#: Most ids that a semi-join broadcasts; beyond it the texts are dealt by id.
+BROADCAST = 1_000_000
 FANOUT = 16
 #: Rows of a bucket that one task holds; larger buckets are cut into blocks of about this size.
 BLOCK = 4000
@@ -90,9 +93,10 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     first = x[np.argsort(rank, kind="stable")[:keep]]
                 else:
                     first = x[:keep]
-                bits = np.zeros(BITS, np.uint8)
-                bits[(x % np.uint64(BITS)).astype(np.int64)] = 1
-                for c, v in zip(out, (ids[row].as_py(), size, int(x.sum().astype(np.uint64).view(np.int64)) if size else 0, int(mix(x ^ np.uint64(0x5BD1E995)).sum().view(np.int64)) if size else 0, first.view(np.int64), np.packbits(bits).tobytes())):
+                width = min(MAX_BITS, max(MIN_BITS, 1 << int(SPREAD * size).bit_length()))
+                bits = np.zeros(width, np.uint8)
+                bits[(x % np.uint64(width)).astype(np.int64)] = 1
+                for c, v in zip(out, (ids[row].as_py(), size, int(x.sum().astype(np.uint64).view(np.int64)) if size else 0, int(mix(x ^ np.uint64(0x5BD1E995)).sum().view(np.int64)) if size else 0, first.view(np.int64), np.packbits(bits, bitorder="little").tobytes())):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["doc_id", "n_shingles", "k1", "k2", "prefix", "bits"])
 
@@ -101,12 +105,14 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 class Tree:
-    """Levels of nodes over sets ordered by size: OR bitmaps, size ranges and surplus of shingles over bits."""
+    """Levels of nodes over sets ordered by size: OR bitmaps, size ranges and surplus of shingles over bits.
 
-    def __init__(self, size: np.ndarray, bits: np.ndarray, order: np.ndarray):
-        self.order = order
-        ones = np.bitwise_count(bits).sum(1).astype(np.int64)
-        level = (bits[order], size[order], size[order], (size - ones)[order])
+    ``rows`` names the sets, ``size`` and ``bits`` are theirs.
+    """
+
+    def __init__(self, rows: np.ndarray, size: np.ndarray, bits: np.ndarray):
+        self.order = rows
+        level = (bits, size, size, size - np.bitwise_count(bits).sum(1).astype(np.int64))
         self.levels = [level]
         while len(level[0]) > FANOUT:
             at = np.arange(0, len(level[0]), FANOUT)
@@ -156,10 +162,17 @@ def dual_traversal(a: Tree, b: Tree, same: bool, percent: int, apart) -> Iterato
         stack.append((level - 1, ii[inside], jj[inside]))
 
 
-def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    out = {c: t.column(c).to_numpy() for c in t.column_names if c != "bits"}
-    out["bits"] = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8).copy().view(np.uint64)
-    return out
+def _columns(t: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    return {c: t.column(c).to_numpy() for c in t.column_names if c != "bits"}, t.column("bits").to_pylist()
+
+
+def _matrix(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of ``rows``, folded to ``width`` bytes: a bit stands for a shingle's hash modulo the number of bits."""
+    out = np.zeros((len(rows), width), np.uint8)
+    for k, r in enumerate(rows.tolist()):
+        b = np.frombuffer(bits[r], np.uint8)
+        out[k] = b if len(b) == width else np.bitwise_or.reduce(b.reshape(-1, width), 0)
+    return out.view(np.uint64)
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
@@ -184,6 +197,8 @@ def verify(spark, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Da
                     ids, sets = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
+    wanted = materialize(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted  # at most 8 MB of ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(shingles, "doc_id long, set binary"), "sets")
 
@@ -225,12 +240,15 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            x = _columns(t.select(["doc_id", "size", "bits"]))
-            y = _columns(t.select(["pivot", "psize", "pbits"]).rename_columns(["pivot", "size", "bits"]))
-            a, b = (Tree(v["size"], v["bits"], np.arange(len(v["size"]))).levels[0] for v in (x, y))
-            at = np.arange(len(a[1]))
-            ok = _may_overlap(a, b, at, at, percent)
-            yield from pa.table({"a": y["pivot"][ok], "b": x["doc_id"][ok]}).to_batches()
+            x, xb = _columns(t.select(["doc_id", "size", "bits"]))
+            y, yb = _columns(t.select(["pivot", "psize", "pbits"]).rename_columns(["pivot", "size", "bits"]))
+            width = np.minimum([len(b) for b in xb], [len(b) for b in yb])
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                a, b = (Tree(at, v["size"][at], _matrix(bits, at, int(w))).levels[0] for v, bits in ((x, xb), (y, yb)))
+                each = np.arange(len(at))
+                at = at[_may_overlap(a, b, each, each, percent)]
+                yield from pa.table({"a": y["pivot"][at], "b": x["doc_id"][at]}).to_batches()
 
     first = verify(spark, docs.where(F.col("doc_id").isNotNull()), with_both.mapInArrow(likely, "a long, b long"), n, percent)
     joined = connected_components(first)
@@ -248,27 +266,35 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     rows = rows.join(light, "doc_id").withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)).cast("int"))
 
     def trees(t: pa.Table) -> pa.Table:
-        c = _columns(t.select(["doc_id", "token", "component", "own", "i", "j", "size", "bits"]))
+        c, bits = _columns(t.select(["doc_id", "token", "component", "own", "i", "j", "size", "bits"]))
+        width = np.array([len(b) for b in bits])
         order = np.lexsort((c["doc_id"], c["size"], c["j"], c["i"], c["token"]))
-        c = {k: v[order] for k, v in c.items()}
-        change = np.flatnonzero(np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1]), True])
+        keys = np.stack([c[k][order] for k in ("token", "i", "j")])
+        change = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True])
+        comp = c["component"]
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
+
+        def traverse(left: np.ndarray, right: np.ndarray, same: bool, w: int) -> None:
+            if len(left) and len(right):
+                x = Tree(left, c["size"][left], _matrix(bits, left, w))
+                y = x if same else Tree(right, c["size"][right], _matrix(bits, right, w))
+                for p, q in dual_traversal(x, y, same, percent, lambda p, q: comp[p] != comp[q]):
+                    a.append(c["doc_id"][p])
+                    b.append(c["doc_id"][q])
+
         for lo, hi in zip(change[:-1], change[1:]):
-            if hi - lo < 2:
-                continue
-            part = {k: v[lo:hi] for k, v in c.items()}
-            same = part["i"][0] == part["j"][0]
-            left = np.arange(hi - lo) if same else np.flatnonzero(part["own"] == part["i"])
-            right = left if same else np.flatnonzero(part["own"] == part["j"])
-            if not len(left) or not len(right):
+            rows = order[lo:hi]
+            if hi - lo < 2 or (comp[rows] == comp[rows[0]]).all():
                 continue
-            x = Tree(part["size"], part["bits"], left)
-            y = x if same else Tree(part["size"], part["bits"], right)
-            comp = part["component"]
-            for p, q in dual_traversal(x, y, bool(same), percent, lambda p, q, comp=comp: comp[p] != comp[q]):
-                a.append(part["doc_id"][p])
-                b.append(part["doc_id"][q])
+            whole = c["i"][rows[0]] == c["j"][rows[0]]
+            left, right = (rows, rows) if whole else (rows[c["own"][rows] == c["i"][rows]], rows[c["own"][rows] == c["j"][rows]])
+            # sets of one bitmap width, or of neighbouring widths: sizes further apart are never similar enough
+            for w in np.unique(width[rows]).tolist():
+                traverse(left[width[left] == w], right[width[right] == w], bool(whole), w)
+                traverse(left[width[left] == w], right[width[right] == 2 * w], False, w)
+                if not whole:
+                    traverse(left[width[left] == 2 * w], right[width[right] == w], False, w)
         return _pairs(a, b)
 
     second = verify(spark, docs.where(F.col("doc_id").isNotNull()), rows.groupBy("task").applyInArrow(trees, "a long, b long"), n, percent)
