@@ -69,7 +69,7 @@ def daily_volume(events: DataFrame) -> DataFrame:
 
 
 def daily_volume_wide(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_date").pivot("event_type", ["recall", "synthesis", "feedback", "human_eval"]).agg(F.count("*")).na.fill(0)
+    return events.groupBy("event_date").pivot("event_type", ["recall", "synthesis", "feedback", "human_eval"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def latency_percentiles(events: DataFrame) -> DataFrame:
@@ -109,14 +109,14 @@ def operation_metrics(events: DataFrame, slow: float = 50.0) -> DataFrame:
 
 def rate_violations(events: DataFrame, key: str, most: int, seconds: int = 60) -> DataFrame:
     """Events beyond ``most`` of one key within the trailing ``seconds``."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("n", F.count("*").over(w)).where(F.col("n") > most).select("event_id", key, "n")
 
 
 def ocsf_normalize(logs: DataFrame) -> DataFrame:
     """Log rows (kind, activity_id, activity, severity_id, ok, ts) as events of the open schema, base fields first."""
     table = logs.sparkSession.createDataFrame(OCSF_CLASSES, "kind string, class_uid int, class_name string, category_uid int, category_name string")
-    named = F.coalesce(F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.when(F.col("severity_id").between(0, 5), F.col("severity_id") + 1)), F.lit("Unknown"))
+    named = F.coalesce(*[F.when(F.col("severity_id") == k, name) for k, name in enumerate(SEVERITIES)], F.lit("Unknown"))
     rows = logs.join(F.broadcast(table), "kind")  # one row per class
     return rows.select("event_id", "class_uid", "class_name", "category_uid", "category_name", "severity_id", named.alias("severity"), "activity_id", F.col("activity").alias("activity_name"), F.when(F.col("ok"), 1).otherwise(2).alias("status_id"), F.when(F.col("ok"), "Success").otherwise("Failure").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.lit(0).alias("timezone_offset"), (F.col("class_uid") * 100 + F.col("activity_id")).alias("type_uid"))
 
