@@ -41,16 +41,20 @@ def pack_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     padded = np.zeros(blocks * BLOCK + 60, np.uint64)
     padded[:n] = codes
-    width = np.zeros(len(padded), np.int8)
-    for b in range(int(padded.max(initial=0)).bit_length()):
-        width += padded >= np.uint64(1 << b)
-    best = np.full(blocks * BLOCK, len(SELECTORS) - 1, np.int8)
-    ends = np.minimum((np.arange(blocks * BLOCK) // BLOCK + 1) * BLOCK, n)
-    place = np.arange(blocks * BLOCK)
+    # widths in rows of a block; zeros after its end, so that a last word may be part empty
+    width = np.zeros((blocks, BLOCK + 64), np.int8)
+    width[:, :BLOCK] = np.frexp(padded[: blocks * BLOCK].astype(np.float64))[1].reshape(blocks, BLOCK)
+    widest = {1: width}  # by power of two: the widest of so many codes from each place
+    for p in (2, 4, 8, 16, 32):
+        m = widest[p // 2]
+        widest[p] = np.maximum(m[:, : m.shape[1] - p // 2], m[:, p // 2 :])
+    best = np.full((blocks, BLOCK), len(SELECTORS) - 1, np.int8)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        wide = np.concatenate([[0], np.cumsum(width > bits)])
-        best[wide[np.minimum(place + count, ends)] == wide[place]] = s
+        p = 1 << (count.bit_length() - 1)
+        np.copyto(best, np.int8(s), where=np.maximum(widest[p][:, :BLOCK], widest[p][:, count - p : count - p + BLOCK]) <= bits)
+    best = best.ravel()
+    ends = np.minimum((np.arange(blocks * BLOCK) // BLOCK + 1) * BLOCK, n)
     counts = np.array([c for c, _ in SELECTORS])
     at = np.arange(blocks) * BLOCK
     stop = np.minimum(at + BLOCK, n)

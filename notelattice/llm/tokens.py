@@ -12,6 +12,7 @@ import re
 import numpy as np
 
 CACHE = 800_000
+SMALL_CACHE = 150_000
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: White space and what follows up to the next white space: cuts before white space only.
 _BYTE_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -35,7 +36,7 @@ class ChunkTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kind, self.known = kind, {}
+        self.kind, self.known, self.limit = kind, {}, CACHE
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -51,9 +52,9 @@ class ChunkTable:
     def _encode_joined(self, chunks: list[str]) -> list[bytes]:
         """Chunks that begin with a blank, as one text: cheaper for each chunk; cut by the bytes of each token."""
         out: list[bytes] = []
-        for k in range(0, len(chunks), 2000):
-            part = chunks[k : k + 2000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [chunks[k : k + 1000] for k in range(0, len(chunks), 1000)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             ends = np.cumsum([len(c.encode()) for c in part])
             cut = np.concatenate([[0], np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1])
             raw = ids.tobytes()
@@ -63,16 +64,21 @@ class ChunkTable:
     def learn(self, chunks) -> dict:
         """A table that knows all of ``chunks``."""
         known = self.known
-        if len(known) > CACHE:
+        if len(known) > self.limit:
             known.clear()
         new = set(chunks).difference(known)
         if not new:
             return known
         if self.kind == "byte":
-            joined = [c for c in new if c[0] == " " and len(c) > 1 and c[1] not in _LEADING and "<|" not in c]
+            # a mark after an ASCII letter is a word of its own
+            marked = [c for c in new if len(c) > 2 and c[-1] in ".," and "a" <= c[-2] <= "z" and "<|" not in c]
+            new = (new.difference(marked) | {c[:-1] for c in marked} | {".", ","}).difference(known)
+            joined = [c for c in new if c[0] in " \n\t" and len(c) > 1 and c[1] not in _LEADING and "<|" not in c]
             known.update(zip(joined, self._encode_joined(joined)))
             rest = list(new.difference(joined))
             known.update(zip(rest, self._encode(rest)))
+            ends = {m: known[m] for m in ".,"}
+            known.update((c, known[c[:-1]] + ends[c[-1]]) for c in marked)
             return known
         # a mark after an ASCII letter is a word of its own
         marked = [c for c in new if len(c) > 1 and c[-1] in b".," and 97 <= c[-2] <= 122 and b"<|" not in c]
