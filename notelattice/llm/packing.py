@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordering import running_starts
 from .scratch import materialize
-from .tokens import chunk_table, word_chunks
+from .tokens import CACHE, SMALL_CACHE, chunk_table, word_chunks
 
 HASHED = 1024
 DIMS = 3
@@ -83,11 +83,16 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_key(np.clip((1 / (1 + np.exp(-1.7 * z)) * (1 << LEVELS)).astype(np.int64), 0, top), LEVELS)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """row (unique), doc_id, n_tokens, curve (Hilbert key), ids (compressed little-endian unsigned 16- or 32-bit)."""
+def tokenized(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> DataFrame:
+    """row (unique), doc_id, n_tokens, curve (Hilbert key), ids (compressed little-endian unsigned 16- or 32-bit).
+
+    ``keep``: workers keep the chunks they have met for later tasks, which saves time; without, they keep fewer and only
+    within a task, which leaves memory for what else runs in the application.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_table(path, "word")
+        tokens.limit = CACHE if keep else SMALL_CACHE
         width = "<u2" if tokens.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
         row = TaskContext.get().partitionId() << 33
         squeeze = zstandard.ZstdCompressor(3)
@@ -100,14 +105,16 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 ids = [np.frombuffer(b"".join([known[c] for c in one]) + end, "<u4") for one in chunks]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(curve_keys(ids)), pa.array([squeeze.compress(x.astype(width).tobytes()) for x in ids], pa.binary()), pa.array([width] * len(ids))], ["row", "doc_id", "n_tokens", "curve", "ids", "width"])
                 row += len(ids)
+        if not keep:
+            tokens.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "row long, doc_id long, n_tokens long, curve long, ids binary, width string")
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, digest: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, digest: bool = True, keep: bool = True) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32 (or ids), doc_tokens, sequence_id, offset; see the module's text."""
     spark = docs.sparkSession
-    tokens = materialize(tokenized(docs, path, end_id), "packed-tokens")
+    tokens = materialize(tokenized(docs, path, end_id, keep), "packed-tokens")
     placed, starts = running_starts(tokens.select("curve", "doc_id", "row", "n_tokens"), ["curve", "doc_id", "row"], "n_tokens", ["row"])
     base = spark.sparkContext.broadcast(starts)
 
