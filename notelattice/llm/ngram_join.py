@@ -254,19 +254,28 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     joined = connected_components(first)
 
     # buckets that still hold two components: signature trees
-    lab = posts.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "token", "n", F.coalesce("component", "doc_id").alias("component"))
+    lab = posts.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "token", "pivot", "n", F.coalesce("component", "doc_id").alias("component"))
     lab = materialize(lab, "labelled")
     open_ = lab.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = lab.join(open_.withColumn("token", fresh("token")), "token", "left_semi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("doc_id", "token", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("doc_id", "token", "pivot", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    rows = rows.join(light, "doc_id").withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)).cast("int"))
+    # buckets of one pivot meet in one task, where a set's bitmap comes once and pairs that several buckets give are one
+    task = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)).cast("int")
+    cells = rows.groupBy(task.alias("task"), "doc_id").agg(F.first("component").alias("component"), F.collect_list(F.struct("token", "own", "i", "j")).alias("cells"))
+    rows = cells.join(light, "doc_id")
 
     def trees(t: pa.Table) -> pa.Table:
-        c, bits = _columns(t.select(["doc_id", "token", "component", "own", "i", "j", "size", "bits"]))
+        sets, bits = _columns(t.select(["doc_id", "component", "size", "bits"]))
+        lists = t.column("cells").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        each = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        c = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("token", "own", "i", "j")} | {k: v[each] for k, v in sets.items()}
+        bits = [bits[k] for k in each.tolist()]
         width = np.array([len(b) for b in bits])
         order = np.lexsort((c["doc_id"], c["size"], c["j"], c["i"], c["token"]))
         keys = np.stack([c[k][order] for k in ("token", "i", "j")])
