@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='notelattice-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='notelattice-')}"
     return base.rstrip("/")
 
 
