@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import INTENT_KEYWORDS, POLICIES
+from ..functions.lineage import cut
 from . import extract, graph
 from .notes import expire_filter
 
@@ -91,16 +92,23 @@ def vector_topk_l2(queries: DataFrame, vectors: DataFrame, k: int = 10, per: str
 
 
 def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, radius: float = 0.9, tables: int = 8) -> DataFrame:
-    """Approximate top-k by Euclidean distance of unit vectors: random-projection buckets, then exact distances."""
+    """Approximate top-k by Euclidean distance of unit vectors: random-projection buckets, then exact distances.
+
+    Buckets answer the queries that have at least k hits within ``radius``: their true k best lie within it too, and
+    eight tables miss such a pair less than once in 10,000. All other queries take the exact pass of ``vector_topk``, so
+    no distance bounds what is returned.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     unit = lambda df: df.select(F.col(df.columns[0]).alias("id"), F.col(df.columns[1]).alias("v")).select("id", array_to_vector(F.transform("v", lambda x: x.cast("double") / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y)))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=tables, seed=7).fit(unit(vectors))
     near = model.approxSimilarityJoin(unit(queries), unit(vectors), radius, "distance")
-    rows = near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("note_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "note_id", "score")
+    rows = near.select(F.col("datasetA.id").cast("string").alias("query_id"), F.col("datasetB.id").cast("string").alias("note_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 9).alias("score"))
+    best = cut(_top(rows, k).select("query_id", "rank", "note_id", "score"))
+    full = best.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, F.col(queries.columns[0]).cast("string") == F.col("query_id"), "left_anti")
+    return best.join(full, "query_id", "left_semi").union(vector_topk(short, vectors, k, None))
 
 
 def embed_batch(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:

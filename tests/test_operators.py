@@ -61,6 +61,16 @@ def test_vector_topk_equals_brute_force(spark):
         assert [got[q, r] for r in range(1, 6)] == [k for _, k in best]
 
 
+def test_lsh_finds_the_neighbours_of_the_exact_search(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    twins = v.where("vec_id = 0").select(F.explode(F.sequence(F.lit(1001), F.lit(1012))).alias("vec_id"), "embedding")
+    v, q = v.union(twins), v.where("vec_id % 50 = 0")  # query 0 has its hits near, the others have none
+    want = {(r.query_id, r.note_id) for r in retrieve.vector_topk(q, v, 10, None).collect()}
+    got = retrieve.vector_topk_lsh(q, v, 10).collect()
+    assert len(got) == len(want) == 10 * q.count()
+    assert len(want & {(r.query_id, r.note_id) for r in got}) >= 0.9 * len(want)
+
+
 def test_recall_answers_a_question_and_drops_expired_notes(spark):
     n = spark.createDataFrame([("n1", "APT28 uses Mimikatz", "2024-01-01", "knowledge"), ("n2", "APT28 uses Metasploit", "2020-01-01", "memory"), ("n3", "unrelated weather", "2024-01-01", "knowledge")], "note_id string, content_raw string, created_at string, persistence string").withColumn("created_at", F.to_timestamp("created_at"))
     q = spark.createDataFrame([(1, "What tools does APT28 use?")], "query_id int, text string")
