@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
+
 # fixed values: entity types that count for supersession, and words that negate
 SUPERSEDING = ("cve", "actor", "tool", "campaign", "asset", "person", "location", "organization", "event", "activity", "temporal")
 NEGATIONS = ("not", "never", "no longer", "ceased", "discontinued", "denied")
@@ -57,14 +59,37 @@ def mark_superseded(pairs: DataFrame, index: DataFrame) -> tuple[DataFrame, Data
     return edges, index.join(pairs.select(F.col("old_id").alias("note_id")).distinct(), "note_id", "left_anti")
 
 
+def entity_components(notes: DataFrame, index: DataFrame, key: str = "stream") -> DataFrame:
+    """``notes`` with ``key``: the least note_id of those reachable over shared superseding entities; its own without any.
+
+    Each round takes the least label among the notes of an entity, then that label's own label, so long chains halve.
+    """
+    links = index.where(F.col("entity_type").isin(*SUPERSEDING)).join(notes.select("note_id"), "note_id", "left_semi")
+    links = cut(links.select("note_id", F.concat_ws(":", "entity_type", "entity_value").alias("entity")).distinct())
+    labels = cut(links.select("note_id").distinct().withColumn("label", F.col("note_id")))
+    while True:
+        least = links.join(labels, "note_id").groupBy("entity").agg(F.min("label").alias("label"))
+        near = links.join(least, "entity").groupBy("note_id").agg(F.min("label").alias("via"))
+        step = labels.withColumnRenamed("label", "old").join(near, "note_id")
+        jump = labels.select(F.col("note_id").alias("via"), F.col("label").alias("far"))
+        moved = cut(step.join(jump, "via", "left").select("note_id", "old", F.least("via", F.coalesce("far", "via")).alias("label")))
+        labels = moved.select("note_id", "label")
+        if moved.where("old <> label").isEmpty():
+            break
+    return notes.join(labels, "note_id", "left").withColumn(key, F.coalesce("label", "note_id")).drop("label")
+
+
 def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream") -> DataFrame:
     """(key, note_id, superseded_by): notes applied in order of time within each ``key``, each replacing at most one live note.
 
     A note replaces the live note that shares most entities with it (ties: newer, then smaller id). State is held per
-    key, so keys should be entity-disjoint streams of bounded size, for example components or days of one source.
+    key and notes of different keys never meet, so keys must be entity-disjoint: ``entity_components`` makes such keys.
+    Order matters within one, so a component is one group of one task. Notes without superseding entities stay live and
+    are not dealt.
     """
     schema = f"{key} string, note_id string, superseded_by string"
     rows = notes.select(F.col(key).cast("string").alias(key), "note_id", "created_at").join(index.where(F.col("entity_type").isin(*SUPERSEDING)).groupBy("note_id").agg(F.collect_set(F.concat_ws(":", "entity_type", "entity_value")).alias("entities")), "note_id", "left")
+    alone = rows.where("entities IS NULL").select(key, "note_id", F.lit(None).cast("string").alias("superseded_by"))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         live: dict[str, tuple] = {}
@@ -72,7 +97,7 @@ def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream")
         by: dict[str, str | None] = {}
         for r in pdf.sort_values(["created_at", "note_id"]).itertuples():
             found: dict[str, int] = {}
-            own = list(r.entities) if r.entities is not None else []
+            own = list(r.entities)
             for e in own:
                 for other in postings.get(e, ()):
                     found[other] = found.get(other, 0) + 1
@@ -87,7 +112,7 @@ def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream")
                 postings.setdefault(e, set()).add(r.note_id)
         return pd.DataFrame({key: pdf[key].iloc[0], "note_id": list(by), "superseded_by": list(by.values())})
 
-    return rows.groupBy(key).applyInPandas(replay, schema)
+    return rows.where("entities IS NOT NULL").groupBy(key).applyInPandas(replay, schema).union(alone)
 
 
 class ShiftState:

@@ -167,7 +167,7 @@ def _streams(t: Tables) -> DataFrame:
     return t.notes.withColumn("stream", F.date_format("created_at", "yyyy-MM"))
 
 
-add("supersession_replay", lambda t: evolve.supersession_replay(_streams(t), entity_index(t)))
+add("supersession_replay", lambda t: evolve.supersession_replay(evolve.entity_components(t.notes, entity_index(t)), entity_index(t)))
 add("shift_detect", lambda t: evolve.shift_detect(_streams(t).withColumn("entities", F.array_union(extract.entity_values(F.col("content_raw"), "cve"), extract.entity_values(F.col("content_raw"), "tool")))))
 _RECENT = f"{INDEX}, recent AS (SELECT note_id, domain FROM notes WHERE created_at >= TIMESTAMP '1996-01-01'), cand AS (SELECT DISTINCT note_id FROM (SELECT r.note_id, count(*) OVER (PARTITION BY domain, entity_type, entity_value) AS n FROM recent r JOIN entity_index i ON i.note_id = r.note_id) x WHERE n >= 2)"
 _NEG = "regexp_matches(lower(content_raw), 'not|never|no longer|ceased|discontinued|denied')"

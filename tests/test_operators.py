@@ -88,6 +88,24 @@ def test_supersession_replay_and_shift_follow_order(spark):
     assert got["n4"] == "entity_novelty" and got["n3"] == "" and got["n2"] == ""
 
 
+def test_supersession_replay_crosses_months(spark):
+    made = [("a", "2024-01-30", ["x"]), ("b", "2024-02-02", ["x", "y"]), ("c", "2024-05-01", ["z"]), ("d", "2024-09-01", ["y"]), ("e", "2024-02-03", [])] + [(f"k{k:02}", f"2025-{k:02}-01", [f"p{k}", f"p{k + 1}"]) for k in range(1, 12)]
+    n = spark.createDataFrame([m[:2] for m in made], "note_id string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    i = spark.createDataFrame([("cve", e, m[0]) for m in made for e in m[2]], "entity_type string, entity_value string, note_id string")
+    got = rows(evolve.supersession_replay(evolve.entity_components(n, i), i))
+    assert got == sorted([("a", "a", "b"), ("a", "b", "d"), ("a", "d", None), ("c", "c", None), ("e", "e", None)] + [("k01", f"k{k:02}", f"k{k + 1:02}" if k < 11 else None) for k in range(1, 12)])
+
+
+def test_supersession_replay_equals_one_pass_over_all_notes(spark, sf_dir):
+    from notelattice.plans import QUERIES
+    from notelattice.plans.derived import Tables
+    from notelattice.plans.notes import entity_index
+
+    t = Tables(spark, sf_dir)
+    whole = {(r.note_id, r.superseded_by) for r in evolve.supersession_replay(t.notes.withColumn("stream", F.lit("all")), entity_index(t)).collect()}
+    assert {(r.note_id, r.superseded_by) for r in QUERIES["supersession_replay"](spark, sf_dir).collect()} == whole
+
+
 def test_contradictions_equal_pairs(spark):
     data = [(f"n{k}", "never" if k % 3 == 0 else "uses", k % 5, k // 2) for k in range(40)]
     n = spark.createDataFrame(data, "note_id string, content_raw string, e int, t int").withColumn("created_at", F.timestamp_seconds("t"))
