@@ -6,9 +6,9 @@ references are the mean histograms of all documents of the language in the table
 whatever its length. Base rules on length and repetition come first.
 
 A document fails where the character distance exceeds CHAR_LIMIT, or both distances together JOINT_LIMIT. Guards:
-the first test needs MIN_CHARS characters in words, the second MIN_WORDS words, and a language with fewer than MIN_DOCS documents is compared with
-the mean of all. Null and empty texts have no words, fail the base rules and are not kept. A null language is
-compared with the mean of all. Repeated rows are judged each; extra columns are ignored.
+the first test needs MIN_CHARS characters in words, the second MIN_WORDS words. A null language, one with fewer than MIN_DOCS documents
+and one beyond the MAX_LANGS largest are compared with the mean of all documents, binned by the common words of all.
+Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,10 +125,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(-1) > 0, np.sqrt(np.maximum(d, 0) / 2), 0.0)
 
 
-def _histograms(s: Slice, lang: np.ndarray, common: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Character and word histograms per document; the last word bin is all other words."""
+def _histograms(s: Slice, keys: np.ndarray, lang: np.ndarray, common: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Character and word histograms per document, by ``keys`` of its words; the last word bin is all other words."""
     words = np.zeros((s.n, COMMON + 1))
-    keys = s.keys()
     at = np.full(len(keys), COMMON, np.int64)
     for k in np.unique(lang):
         mine, list_ = lang[s.rows] == k, common[k]
@@ -140,7 +139,8 @@ def _histograms(s: Slice, lang: np.ndarray, common: list[np.ndarray]) -> tuple[n
 
 
 def references(docs: DataFrame) -> dict:
-    """Per language: common words (by documents' use, then hash) and mean histograms; the last entry is all documents.
+    """Per language: common words (by documents' use, then hash) and mean histograms; the last entry is all documents,
+    those of known languages too.
 
     Two passes of whole-table aggregates. At most MAX_LANGS languages have references of their own, so what the
     driver holds is bounded by MAX_LANGS * (COMMON + bins) numbers.
@@ -163,8 +163,8 @@ def references(docs: DataFrame) -> dict:
             if not keys:
                 continue
             k, g = np.concatenate(keys), np.concatenate(langs)
-            for one in np.unique(g):
-                h, c = np.unique(k[g == one], return_counts=True)
+            for one in {*g.tolist(), len(known)}:
+                h, c = np.unique(k if one == len(known) else k[g == one], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), one, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "word", "n"])
 
     counts = docs.select("lang", "text").mapInArrow(words, "lang int, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -178,20 +178,20 @@ def references(docs: DataFrame) -> dict:
         for batch in batches:
             lang = _langs(batch, known)
             for i, j, s in _slices(batch):
-                c, w = _histograms(s, lang[i:j], common)
-                some = s.words > 0
-                # fixed point, so that the sum doesn't depend on the order of tasks
-                np.add.at(total, lang[i:j][some], np.round(np.concatenate([c, w], 1)[some] * 2**24))
-                n += np.bincount(lang[i:j][some], minlength=len(n))
+                keys, some = s.keys(), s.words > 0
+                every = np.full(s.n, len(known))
+                for g, rows in ((lang[i:j], some & (lang[i:j] < len(known))), (every, some)):
+                    c, w = _histograms(s, keys, g, common)
+                    # fixed point, so that the sum doesn't depend on the order of tasks
+                    np.add.at(total, g[rows], np.round(np.concatenate([c, w], 1)[rows] * 2**24))
+                    n += np.bincount(g[rows], minlength=len(n))
         keys = np.arange(len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, width).astype(np.int32)), pa.array(np.tile(np.arange(width), len(n)).astype(np.int32)), pa.array(total.ravel().astype(np.int64)), pa.array(np.repeat(n, width))], ["lang", "bin", "s", "n"])
 
     sums = docs.select("lang", "text").mapInArrow(means, "lang int, bin int, s long, n long").groupBy("lang", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-    ref, n = np.zeros((len(known) + 1, width)), np.zeros(len(known) + 1)
+    ref = np.zeros((len(known) + 1, width))
     for r in sums:
-        ref[r["lang"], r["bin"]], n[r["lang"]] = r["s"], r["n"]
-    every = ref.sum(0)
-    ref[-1] = every if n[-1] < MIN_DOCS else ref[-1]
+        ref[r["lang"], r["bin"]] = r["s"]
     return {"known": known, "common": common, "chars": _spread(ref[:, :N_CLASSES]), "words": _spread(ref[:, N_CLASSES:])}
 
 
@@ -199,7 +199,7 @@ def _verdicts(batch: pa.RecordBatch, ref: dict, char_limit: float, joint_limit:
     lang = _langs(batch, ref["known"])
     for i, j, s in _slices(batch):
         b, g = {k: np.asarray(v, np.int64) for k, v in s.base().items()}, lang[i:j]
-        c, w = _histograms(s, g, ref["common"])
+        c, w = _histograms(s, s.keys(), g, ref["common"])
         dc, dw = js_distance(c, ref["chars"][g]), js_distance(w, ref["words"][g])
         failed = (b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
         far = ((dc > char_limit) & (b["word_chars"] >= MIN_CHARS)) | ((dc + dw > joint_limit) & (b["n_words"] >= MIN_WORDS))

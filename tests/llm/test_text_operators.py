@@ -131,6 +131,21 @@ def test_quality_keeps_prose_and_drops_junk(spark, sf_dir):
     assert good.kept.mean() > 0.99 and bad.kept.mean() < 0.5
 
 
+def test_quality_of_null_and_rare_languages(spark, sf_dir):
+    d, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{n}.parquet").toPandas() for n in ("documents", "labels"))
+    clean = d[d.doc_id.isin(labels[labels.quality == 1].doc_id) & (d.lang == "en") & (d.text.str.split().str.len() >= 60)].doc_id.tolist()
+    kept = {}
+    for n in (10, 29, 31, 60):
+        for name in (None, "xx"):
+            d["lang2"] = d.lang.where(~d.doc_id.isin(clean[:n]), name)
+            rows = [(int(i), t, x if isinstance(x, str) else None) for i, t, x in zip(d.doc_id, d.text, d.lang2)]
+            got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("NOT base_failed").collect()
+            if name is None or n < 30:
+                kept[n, name] = {r.doc_id for r in got if r.kept} & set(clean[:n]), {r.doc_id for r in got} & set(clean[:n])
+    assert all(len(a) >= 0.95 * len(b) for a, b in kept.values()), {k: (len(a), len(b)) for k, (a, b) in kept.items()}
+    assert kept[29, None][0] == kept[31, None][0] & set(clean[:29])
+
+
 def test_js_distance_bounds():
     p, q = np.array([[1.0, 0], [0.5, 0.5], [0, 0]]), np.array([[0, 1.0], [0.5, 0.5], [1.0, 0]])
     assert np.allclose(js_distance(p, q), [1, 0, 0])
