@@ -44,6 +44,31 @@ def _blocks(rows: DataFrame, key: str, vector: str, group: str | None = None) ->
     return rows.select(F.col(key).cast("string"), vector, label).mapInArrow(pack, "ids array<string>, matrix binary, grp string")
 
 
+def cosine_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, note_id, score): the cosine of every query with every vector; both sides (id, vector).
+
+    Blocks of queries meet blocks of vectors; 0 where a norm is 0, and no row where the lengths differ or a value is null.
+    """
+    (qid, qvec), (vid, vvec) = queries.columns[:2], vectors.columns[:2]
+    q = _blocks(queries, qid, qvec).select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+    pairs = q.crossJoin(_blocks(vectors, vid, vvec).select("ids", "matrix"))  # rows are blocks
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qids, qm, ids, m in zip(*batch.columns):
+                a = np.frombuffer(qm.as_buffer(), "<f8").reshape(len(qids), -1)
+                b = np.frombuffer(m.as_buffer(), "<f8").reshape(len(ids), -1)
+                if a.shape[1] != b.shape[1]:
+                    continue
+                a, b = (x / np.where(n := np.linalg.norm(x, axis=1)[:, None], n, 1) for x in (a, b))
+                for k, who in enumerate(qids.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([who] * len(ids), pa.string()), ids.values, pa.array(b @ a[k])], ["query_id", "note_id", "score"])
+
+    found = pairs.mapInArrow(score, "query_id string, note_id string, score double")
+    kinds = dict(queries.dtypes)[qid], dict(vectors.dtypes)[vid]
+    return found.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("note_id").cast(kinds[1]).alias("note_id"), "score")
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold: float | None = 0.15, metric: str = "cosine", per: str | None = None, fetch: int | None = None) -> DataFrame:
     """(query_id, rank, note_id, score) of the k best vectors for each query; both sides (id, vector).
 

@@ -31,6 +31,7 @@ def _cosines(t: Tables) -> DataFrame:
 
 
 add("cosine_similarity", _cosines, "SELECT q.vec_id AS query_id, v.vec_id AS note_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 500 = v.vec_id % 500 WHERE q.vec_id % 50 = 0")
+add("cosine_similarity_all", lambda t: retrieve.cosine_pairs(*_vectors(t)).withColumn("score", F.round("score", 6)))
 add("vector_topk", lambda t: retrieve.vector_topk(*_vectors(t), 10, 0.15), _topk_sql(COS, 10, f"{COS} >= 0.15"))
 add("naive_vector_topk", lambda t: retrieve.vector_topk(*_vectors(t), 5, None), _topk_sql(COS, 5))
 _L2 = "round(1 - sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) ** 2))), 9)"

@@ -61,6 +61,18 @@ def test_vector_topk_equals_brute_force(spark):
         assert [got[q, r] for r in range(1, 6)] == [k for _, k in best]
 
 
+def test_cosines_of_every_query_with_every_vector(spark, sf_dir):
+    from notelattice.plans import QUERIES
+
+    v = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    norm = {k: math.sqrt(sum(x * x for x in a)) for k, a in v.items()}
+    got = {(r.query_id, r.note_id): r.score for r in QUERIES["cosine_similarity_all"](spark, sf_dir).collect()}
+    assert set(got) == {(q, n) for q in v if q % 50 == 0 for n in v}
+    assert all(abs(s - sum(x * y for x, y in zip(v[q], v[n])) / norm[q] / norm[n]) < 2e-6 for (q, n), s in got.items())
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [1.0])], "id long, v array<double>")
+    assert [(a, b, round(s, 9)) for a, b, s in rows(retrieve.cosine_pairs(odd, odd))] == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0), (4, 4, 1.0)]
+
+
 def test_lsh_finds_the_neighbours_of_the_exact_search(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     twins = v.where("vec_id = 0").select(F.explode(F.sequence(F.lit(1001), F.lit(1012))).alias("vec_id"), "embedding")
