@@ -96,6 +96,35 @@ def _contexts(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 add("context_precision", lambda t: evaluate.context_precision(*_contexts(t), "category"), f"{PRED}, g AS (SELECT category, list_distinct({_WORDS.format('min(gold)')}) AS g FROM predictions GROUP BY 1) SELECT category, round(avg(CASE WHEN len(list_filter(g, lambda w: contains(substr(predicted, 31), w))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS precision FROM predictions JOIN g USING (category) GROUP BY 1")
 add("keyword_presence", lambda t: _answers(t).select("doc_id", F.round(evaluate.keyword_presence(F.col("gold"), F.col("answer")), 6).alias("presence")), f"{_SPLIT} SELECT doc_id, round(CASE WHEN len(want) = 0 THEN 0 ELSE len(list_filter(want, lambda w: contains(lower(answer), w))) / len(want) END, 6) AS presence FROM p")
+
+
+def _turns(t: Tables) -> DataFrame:
+    """Whole texts: each turn of a conversation is predicted, the turn before it is gold."""
+    c = t.conversations
+    gold = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower("text").alias("gold"))
+    return c.join(gold, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.col("role").alias("category"), F.lower("text").alias("predicted"), "gold")
+
+
+def _turn_words(t: Tables, col: str) -> DataFrame:
+    return _turns(t).select("doc_id", F.explode(F.split(col, " ")).alias("value"))
+
+
+def _turns_judged(t: Tables) -> DataFrame:
+    return _turns(t).select("doc_id", "category", evaluate.keyword_judge(F.col("predicted"), F.col("gold")).alias("score"))
+
+
+add("whole_keyword_judge", _turns_judged)
+add("whole_normalize_answer", lambda t: _turns(t).select("doc_id", evaluate.normalize_answer(F.col("predicted")).alias("answer")))
+add("whole_token_f1", lambda t: evaluate.token_f1(_turns(t), "doc_id", "predicted", "gold"))
+add("whole_exact_match", lambda t: _turns(t).select("doc_id", evaluate.exact_match(F.col("predicted"), F.col("gold")).alias("score")))
+add("whole_substring_match", lambda t: _turns(t).select("doc_id", evaluate.substring_match(F.col("predicted"), F.col("gold")).alias("score")))
+add("whole_best_of_gold", lambda t: evaluate.best_of_gold(evaluate.token_f1(_turns(t), "doc_id", "predicted", "gold").join(_turns(t).select("doc_id", "category"), "doc_id").withColumnRenamed("doc_id", "gold_id"), "category"))
+add("whole_set_prf", lambda t: evaluate.set_prf(_turn_words(t, "predicted"), _turn_words(t, "gold"), "doc_id"))
+add("whole_attribution_score", lambda t: _turns(t).select("doc_id", evaluate.attribution_score(F.col("predicted"), F.col("gold")).alias("score")))
+add("whole_set_recall_in_text", lambda t: evaluate.set_recall_in_text(_turn_words(t, "gold"), _turns(t).select("doc_id", F.col("predicted").alias("text")), "doc_id"))
+add("whole_context_precision", lambda t: evaluate.context_precision(_turns(t).select("category", F.col("predicted").alias("text")), _turns(t).groupBy("category").agg(F.min("gold").alias("gold")), "category"))
+add("whole_keyword_presence", lambda t: _turns(t).select("doc_id", F.round(evaluate.keyword_presence(F.col("gold"), F.col("predicted")), 6).alias("presence")))
+add("whole_accuracy_by_category", lambda t: evaluate.accuracy_by_category(_turns_judged(t)))
 add("negative_score", lambda t: evaluate.negative_score(t.documents, t.labels.where("toxic = 1"), "doc_id"), "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0.0 ELSE 1.0 END AS score FROM documents")
 
 

@@ -118,6 +118,20 @@ def test_supersession_replay_equals_one_pass_over_all_notes(spark, sf_dir):
     assert {(r.note_id, r.superseded_by) for r in QUERIES["supersession_replay"](spark, sf_dir).collect()} == whole
 
 
+def test_scores_read_whole_texts(spark, tmp_path):
+    from notelattice.plans import QUERIES
+
+    gold = " ".join(f"g{k}" for k in range(400))
+    said = " ".join(f"p{k}" for k in range(400)) + " " + gold  # what is wanted lies beyond any prefix
+    spark.createDataFrame([(1, 0, "user", gold), (1, 1, "assistant", said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    first = lambda name: QUERIES[f"whole_{name}"](spark, str(tmp_path)).first()
+    assert (first("keyword_judge").score, first("substring_match").score, first("attribution_score").score, first("exact_match").score) == (1, 1, 1, 0)
+    assert first("keyword_presence").presence == first("context_precision").precision == 1 and first("normalize_answer").answer == said
+    f1, prf, recall = first("token_f1"), first("set_prf"), first("set_recall_in_text")
+    assert (f1.precision, f1.recall, prf.precision, prf.recall, recall.found, recall.wanted) == (0.5, 1, 0.5, 1, 400, 400)
+    assert first("best_of_gold").gold_id == "1:1" and {r.mean_score for r in QUERIES["whole_accuracy_by_category"](spark, str(tmp_path)).collect()} == {1}
+
+
 def test_contradictions_equal_pairs(spark):
     data = [(f"n{k}", "never" if k % 3 == 0 else "uses", k % 5, k // 2) for k in range(40)]
     n = spark.createDataFrame(data, "note_id string, content_raw string, e int, t int").withColumn("created_at", F.timestamp_seconds("t"))
