@@ -120,7 +120,7 @@ def generate_qa(index: DataFrame, least: int = 2) -> DataFrame:
     tools = index.where("entity_type = 'tool'").select("note_id", F.col("entity_value").alias("tool"))
     both = actors.join(tools, "note_id").groupBy("actor", "tool").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     used = both.select(F.lit("uses").alias("kind"), F.concat(F.lit("Does "), "actor", F.lit(" use "), "tool", F.lit("?")).alias("question"), F.lit("yes").alias("answer"), "n")
-    pairs = both.select("actor").distinct().join(index.where("entity_type = 'tool'").select(F.col("entity_value").alias("tool")).distinct().limit(50).withColumn("one", F.lit(1)), F.lit(True)).select("actor", "tool")
+    pairs = both.select("actor").distinct().join(index.where("entity_type = 'tool'").select(F.col("entity_value").alias("tool")).distinct().withColumn("one", F.lit(1)), F.lit(True)).select("actor", "tool")
     never = pairs.join(actors.join(tools, "note_id").select("actor", "tool").distinct(), ["actor", "tool"], "left_anti")
     none = never.select(F.lit("negative").alias("kind"), F.concat(F.lit("Does "), "actor", F.lit(" use "), "tool", F.lit("?")).alias("question"), F.lit("no").alias("answer"), F.lit(0).cast("long").alias("n"))
     return counted.union(used).union(none)

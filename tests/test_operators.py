@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from notelattice.operators import evolve, extract, graph, notes, ontology, retrieve, rules
+from notelattice.operators import evaluate, evolve, extract, graph, notes, ontology, retrieve, rules
 from notelattice.sources import tables
 from notelattice.streaming import jobs
 
@@ -132,6 +132,12 @@ def test_scores_read_whole_texts(spark, tmp_path):
     assert first("best_of_gold").gold_id == "1:1" and {r.mean_score for r in QUERIES["whole_accuracy_by_category"](spark, str(tmp_path)).collect()} == {1}
 
 
+def test_negative_questions_of_many_tools(spark):
+    index = [("intrusion_set", "apt-1", n) for n in ("a", "b")] + [("tool", "t0", n) for n in ("a", "b")] + [("tool", f"t{k}", "c") for k in range(1, 80)]
+    got = evaluate.generate_qa(spark.createDataFrame(index, "entity_type string, entity_value string, note_id string"))
+    assert rows(got.where("kind = 'negative'").select("question")) == sorted((f"Does apt-1 use t{k}?",) for k in range(1, 80))
+
+
 def test_contradictions_equal_pairs(spark):
     data = [(f"n{k}", "never" if k % 3 == 0 else "uses", k % 5, k // 2) for k in range(40)]
     n = spark.createDataFrame(data, "note_id string, content_raw string, e int, t int").withColumn("created_at", F.timestamp_seconds("t"))
