@@ -12,16 +12,27 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; a folder of our own only in local mode, where all share a machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='notelattice-')}"
     return base.rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the scratch folder, removed when the application ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, jpath = _filesystem(spark, path)
+    fs.deleteOnExit(jpath)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` once nothing that is still to run reads them."""
+    for df in tables:
+        fs, jpath = _filesystem(df.sparkSession, df._scratch_path)
+        fs.delete(jpath, True)
 
 
 def fresh(name: str) -> Column:
