@@ -92,13 +92,11 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     def encode(table: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(b.as_buffer()).split(b"\n") for b in table.column("blob")]
         tokens = chunk_table(path, "word")
-        tokens.known.clear()  # each task has words of its own
-        known = tokens.learn(w for one in lists for w in one)
-        blobs = []
-        for one in lists:
-            found = [known[w] for w in one]
-            blobs.append(_pack(np.array([len(x) // 4 for x in found], "<u4").tobytes(), b"".join(found)))
-        tokens.known.clear()
+        tokens.clear()  # each task has words of its own
+        flat, counts, begin = tokens.ids(lists)
+        first = np.cumsum([0, *map(len, lists)])
+        blobs = [_pack(counts[i:j].astype("<u4").tobytes(), flat[a:b].tobytes()) for i, j, a, b in zip(first[:-1], first[1:], begin[:-1], begin[1:])]
+        tokens.clear()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "blob": pa.array(blobs, pa.binary())})
 
     return words.groupBy("part").applyInArrow(encode, _CODED)

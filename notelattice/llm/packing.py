@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordering import running_starts
 from .scratch import materialize
-from .tokens import CACHE, SMALL_CACHE, chunk_table, word_chunks
+from .tokens import CACHE, SMALL_CACHE, chunk_table, small_slices, with_ends, word_chunks
 
 HASHED = 1024
 DIMS = 3
@@ -64,21 +64,19 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert keys of documents given by their token ids."""
-    if not ids:
-        return np.zeros(0, np.int64)
+def curve_keys(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents: ``ids`` of all in a row, ``begin`` where each starts, the end included."""
+    n = len(begin) - 1
     rng = np.random.default_rng(SEED)
     project = rng.standard_normal((HASHED, DIMS))
-    mult = 2654435761
-    z = np.zeros((len(ids), DIMS))
-    for k, one in enumerate(ids):
-        h = (one.astype(np.uint64) * np.uint64(mult)) & np.uint64(0xFFFFFFFF)
-        sign = 1.0 - 2.0 * ((h >> np.uint64(5)) & np.uint64(1)).astype(float)
-        v = np.bincount((h >> np.uint64(22)).astype(np.int64), sign, HASHED)
-        v = np.sign(v) * np.log1p(np.abs(v))
-        norm = np.sqrt(v @ v)
-        z[k] = v @ project / norm if norm else 0
+    h = (ids.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+    sign = 1.0 - 2.0 * ((h >> np.uint64(5)) & np.uint64(1)).astype(float)
+    at = np.repeat(np.arange(n) * HASHED, np.diff(begin)) + (h >> np.uint64(22)).astype(np.int64)
+    v = np.bincount(at, sign, n * HASHED).reshape(n, HASHED)
+    v = np.copysign(np.log1p(np.abs(v)), v)
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+    # a sum by row and bin in a fixed order, so that a key doesn't depend on the rows beside it
+    z = np.stack([(v * project[:, d]).sum(1) for d in range(DIMS)], 1) / np.where(norm > 0, norm, 1)[:, None]
     top = (1 << LEVELS) - 1
     return hilbert_key(np.clip((1 / (1 + np.exp(-1.7 * z)) * (1 << LEVELS)).astype(np.int64), 0, top), LEVELS)
 
@@ -96,17 +94,17 @@ def tokenized(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> Dat
         width = "<u2" if tokens.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
         row = TaskContext.get().partitionId() << 33
         squeeze = zstandard.ZstdCompressor(3)
-        end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for batch in small_slices(whole, 1):
                 chunks = [word_chunks(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in batch.column(1)]
-                known = tokens.learn(c for one in chunks for c in one)
-                ids = [np.frombuffer(b"".join([known[c] for c in one]) + end, "<u4") for one in chunks]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(curve_keys(ids)), pa.array([squeeze.compress(x.astype(width).tobytes()) for x in ids], pa.binary()), pa.array([width] * len(ids))], ["row", "doc_id", "n_tokens", "curve", "ids", "width"])
-                row += len(ids)
+                found, _, begin = tokens.ids(chunks)
+                ids, begin = with_ends(found, begin, end_id)
+                raw, step = ids.astype(width).tobytes(), int(width[-1])
+                blobs = [squeeze.compress(raw[i:j]) for i, j in zip((step * begin[:-1]).tolist(), (step * begin[1:]).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(blobs))), batch.column(0), pa.array(np.diff(begin)), pa.array(curve_keys(ids, begin)), pa.array(blobs, pa.binary()), pa.array([width] * len(blobs))], ["row", "doc_id", "n_tokens", "curve", "ids", "width"])
+                row += len(blobs)
         if not keep:
-            tokens.known.clear()
+            tokens.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "row long, doc_id long, n_tokens long, curve long, ids binary, width string")
 

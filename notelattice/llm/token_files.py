@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import materialize, scratch_path
-from .tokens import byte_chunks, chunk_table
+from .tokens import byte_chunks, chunk_table, small_slices, with_ends
 
 CHUNK = 1 << 19
 BLOCK = 1024
@@ -150,27 +150,25 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_table(path, "byte")
         part, number = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         doc_ids: list = []
+        lengths: list[int] = []
         size = 0
 
         def chunk() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([encode_chunk(part, number, doc_ids, [len(x) // 4 for x in ids], flat)], pa.binary())], ["chunk"])
+            return pa.RecordBatch.from_arrays([pa.array([encode_chunk(part, number, doc_ids, lengths, np.concatenate(ids))], pa.binary())], ["chunk"])
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                texts = [byte_chunks(t.as_buffer().to_pybytes().decode("utf-8", "replace")) if t.is_valid else [] for t in batch.column(1)]
-                known = tokens.learn(c for one in texts for c in one)
-                for doc, one in zip(batch.column(0).to_pylist(), texts):
-                    ids.append(b"".join([known[c] for c in one]) + end)
-                    doc_ids.append(doc)
-                    size += len(ids[-1]) // 4
-                    if size >= CHUNK:
-                        yield chunk()
-                        number, ids, doc_ids, size = number + 1, [], [], 0
+            for batch in small_slices(whole, 1):
+                found, _, begin = tokens.ids([byte_chunks(t.as_buffer().to_pybytes().decode("utf-8", "replace")) if t.is_valid else [] for t in batch.column(1)])
+                flat, begin = with_ends(found, begin, end_id)
+                ids.append(flat)
+                doc_ids += batch.column(0).to_pylist()
+                lengths += np.diff(begin).tolist()
+                size += len(flat)
+                if size >= CHUNK:
+                    yield chunk()
+                    number, ids, doc_ids, lengths, size = number + 1, [], [], [], 0
         if ids:
             yield chunk()
 
