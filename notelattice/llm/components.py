@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,9 +18,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
+        step = labels.select("node", "component").join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         nxt = materialize(step.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("far", "via")).alias("component")), "cc-labels")
-        labels = nxt.select("node", "component")
+        discard(labels)
+        labels = nxt
         if nxt.where("old <> component").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "component")

@@ -71,6 +71,37 @@ def test_jaccard_classes(docs, texts, empty, n, percent):
     assert jaccard_classes(empty, n, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 80, 88, 90, 95, 100])
+def test_similar_sets_share_a_bucket(percent):
+    from notelattice.llm.ngram_join import _class_edges, bucket_keys
+
+    rng, found = np.random.default_rng(percent), 0
+    edges = _class_edges(percent, 1000)
+    for _ in range(2000):
+        x = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64))
+        d = int(rng.integers(0, max(1, int(len(x) * (100 - percent) / 80)) + 1))
+        gone = rng.permutation(len(x))[: int(rng.integers(0, d + 1))]
+        y = np.unique(np.concatenate([np.delete(x, gone), rng.integers(0, 2**64, d - min(d, len(gone)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= percent * (len(x) + len(y) - both) and not len(x) == len(y) == both:
+            found += 1
+            keys = [bucket_keys(z, z[: len(z) - -(-percent * len(z) // 100) + 1], percent, edges) for z in (x, y)]
+            assert len(np.intersect1d(*keys))
+    assert found > 100 or percent == 100
+
+
+def test_jaccard_of_null_ids_and_shared_passages(spark, monkeypatch):
+    import notelattice.llm.ngram_join as join
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{passage} " + " ".join(f"q{k}x{j}" for j in range(60))) for k in range(40)]  # share a passage, aren't similar
+    rows += [(None, rows[3][1]), (None, "only here a b c"), (None, None), (90, rows[3][1].replace("q3x59", "q3y59"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in join.jaccard_classes(df, n, percent).select("doc_id", "component_id").collect() if r.component_id is not None)
+        assert got == sorted([*((False, k, k) for k in range(40)), (False, 90, 3), (True, 0, 3)])
+
+
 def test_jaccard_join_of_a_large_group_and_of_chains(spark, monkeypatch):
     import notelattice.llm.ngram_join as join
 
@@ -157,7 +188,7 @@ def test_hilbert_key_visits_neighbours():
         key = hilbert_key(x, bits)
         assert sorted(key) == list(range(len(x)))
         assert (np.abs(np.diff(x[np.argsort(key)], axis=0)).sum(1) == 1).all()
-    assert len(curve_keys([])) == 0
+    assert len(curve_keys(np.zeros(0, np.uint32), np.zeros(1, np.int64))) == 0
 
 
 def test_packing_places_each_id_once(docs, texts, empty):
