@@ -17,33 +17,24 @@ from notelattice.llm.scratch import materialize
 from notelattice.llm.toxicity import clean_rows, fit
 
 
-def _lean(spark: SparkSession) -> None:
-    """Fewer rows in a batch for Python workers: the stages share one application, so executors hold more at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity stays below the cutoff."""
-    _lean(spark)
     return clean_rows(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near their language's references."""
-    _lean(spark)
     return kept_rows(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five words, similarity 0.8 or more)."""
-    _lean(spark)
     gone = materialize(jaccard_classes(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents as pieces of sequences of 4096 tokens, neighbours on a space-filling curve together."""
-    _lean(spark)
     return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, keep=False)
 
 
