@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder the session names; a folder of our own only where it names none."""
+    """``df`` checkpointed in the folder the session names; a folder of our own only in local mode."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='notelattice-')}")
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='notelattice-')}")
     return df.checkpoint()
