@@ -8,8 +8,8 @@ archives back.
 
 Of records with equal payloads the one with the smallest sequence number (the page id) is a response, if the payload
 has at least ``min_bytes``; smaller payloads are all responses. A null html is an empty payload; a null url becomes a
-``urn:``, a null page id is kept as null and never chosen over another. Repeated rows have equal identifiers and are
-written each. An ARC record cut off by the end of its file keeps what is there and is marked as truncated; a header line
+``urn:``, a null page id is kept as null and never chosen over another. An identifier also names the record's place, so
+repeated rows are records of their own; those with the smallest page id are all responses. An ARC record cut off by the end of its file keeps what is there and is marked as truncated; a header line
 that can't be read ends its archive. Extra columns are ignored.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import materialize
@@ -32,8 +33,8 @@ from .scratch import materialize
 ARC_BYTES = 4 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 SEPARATOR = "\r\n\r\n"
-#: Records of a WARC file, so that a file fits a task that reads it.
-FILE_RECORDS = 4000
+#: Bytes of records written together, about, and most of such runs in a WARC file, so that a file fits a task that reads it.
+RUN_BYTES, FILE_RUNS = 16 << 20, 8
 _RECORD = "seq long, record_id string, uri string, date string, ip string, head binary, payload_bytes long, payload_digest string, block_digest string, truncated boolean"
 
 
@@ -113,15 +114,19 @@ def convert_arc(archives: DataFrame, payload: bool = True) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for content in batch.column(0):
+                number += 1
                 rows: list[tuple] = []
                 size = 0
+                archive, place = hashlib.sha1(content.as_buffer()).digest(), 0
                 for fields, block, cut in parse_arc(content.as_buffer().to_pybytes()):
                     at = block.find(b"\r\n\r\n")
                     head, body = (block[: at + 4], block[at + 4 :]) if at >= 0 and block.startswith(b"HTTP/") else (b"", block)
                     line = "\0".join([fields["URL"], fields["IP-address"], fields["Archive-date"]]).encode()
-                    key = hashlib.sha1(line + b"\0" + hashlib.sha1(block).digest()).digest()
+                    key = hashlib.sha1(line + b"\0" + hashlib.sha1(block).digest() + archive + b"%d %d %d" % (part, number, place)).digest()
+                    place += 1
                     rows.append((_sequence(head), f"<urn:uuid:{uuid.UUID(bytes=key[:16], version=5)}>", fields["URL"], iso_date(fields["Archive-date"]), fields["IP-address"], head, len(body), digest(body), digest(block), cut, *([body] * payload)))
                     size += len(block)
                     if size >= ARC_BYTES:
@@ -140,11 +145,13 @@ def write_warc(archives: DataFrame, out: str, min_bytes: int = 0) -> None:
     first = first.groupBy("payload_digest", "payload_bytes").agg(F.min(F.struct(F.col("seq").isNull().alias("none"), "seq", "record_id", "uri", "date")).alias("first"))
     records = convert_arc(archives).join(first.select("payload_digest", "first").hint("shuffle_hash"), "payload_digest", "left")
 
+    def run(records: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([SEPARATOR.encode().join(records)], pa.binary())], ["records"])
+
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.drop_columns(["payload", "head"]).to_pylist():
-                k = len(rows)
+            rows, size = [], 0
+            for k, r in enumerate(batch.drop_columns(["payload", "head"]).to_pylist()):
                 head, body = batch.column("head")[k].as_buffer().to_pybytes(), batch.column("payload")[k].as_buffer().to_pybytes()
                 origin = r["first"]
                 again = origin is not None and origin["record_id"] != r["record_id"] and origin["seq"] != r["seq"]
@@ -156,11 +163,16 @@ def write_warc(archives: DataFrame, out: str, min_bytes: int = 0) -> None:
                     lines.append("WARC-Truncated: length")
                 lines += [f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"WARC-Block-Digest: sha1:{digest(block) if again else r['block_digest']}", "Content-Type: application/http; msgtype=response" if head else "Content-Type: application/octet-stream", f"Content-Length: {len(block)}"]
                 rows.append("\r\n".join(lines).encode() + b"\r\n\r\n" + block)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
+                size += len(rows[-1])
+                if size >= RUN_BYTES:
+                    yield run(rows)
+                    rows, size = [], 0
+            if rows:
+                yield run(rows)
 
     # the text sink writes the bytes of a string as they are; the separator after each record is WARC's own
-    text = records.mapInArrow(render, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(out)
+    text = records.mapInArrow(render, "records binary").select(F.col("records").cast("string").alias("value"))
+    text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", FILE_RUNS).text(out)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
