@@ -6,12 +6,12 @@ version and of two writers of one version the second fails.
 
 ``append`` writes an arrival as small shards. ``compact`` sorts live shards into tiers by size, the next tier FANIN times
 larger, fills bins of about the target size from shards of one tier, and rewrites every bin of at least FANIN shards
-as one file; a single job rewrites all bins. ``compact`` repeats until no tier has such a bin, commits each round and
-then removes files that no live version names. A lost executor or a failed job leaves stray files, never a manifest that
+as one file; a single job rewrites all bins. ``compact`` repeats until no tier has such a bin and commits each round.
+Older versions stay readable until ``expire`` removes them and the files that only they name. A lost executor or a failed job leaves stray files, never a manifest that
 names them.
 
 Rows are never changed, dropped or merged: nulls, empty and long texts, ties and repeated rows stay as they are, and so
-does every column; internal names start with ``__shard_`` and must not occur. An empty arrival adds no version.
+does every column; names that start with ``__shard_`` are refused, as the table uses them itself. An empty arrival adds no version.
 """
 
 from __future__ import annotations
@@ -80,6 +80,9 @@ class ShardedTable:
     def append(self, rows: DataFrame, arrival: str | None = None) -> int:
         """Write ``rows`` as small shards and commit; ``arrival`` names a column that parts them into several arrivals,
         each with files and a version of its own. Returns the newest version."""
+        taken = [c for c in rows.columns if c.lower().startswith("__shard_") and c != arrival]
+        if taken:
+            raise ValueError(f"columns {taken} have names that a sharded table uses itself")
         if arrival is None:
             out, name = self._write(rows), None
         else:
@@ -117,8 +120,27 @@ class ShardedTable:
         placed = live.withColumn("bin", F.concat_ws("-", "tier", F.floor(F.coalesce(F.sum("bytes").over(along), F.lit(0)) / F.lit(self.target)).cast("long")))
         return placed.withColumn("n", F.count("*").over(Window.partitionBy("bin"))).where(F.col("n") >= FANIN).select("path", "bin")
 
-    def compact(self) -> int:
-        """Merge until no tier holds a full bin; returns the number of rounds."""
+    def expire(self, keep: int = 1) -> None:
+        """Remove all but the newest ``keep`` versions, and the files that only removed ones name."""
+        newest = self.version()
+        fs, folder = _fs(self.spark, f"{self.root}/manifests")
+        old = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v"))
+        old = [v for v in old if v <= newest - keep]
+        if not old:
+            return
+        live = self.manifest(newest).select("path")
+        for v in range(newest - keep + 1, newest):
+            live = live.union(self.manifest(v).select("path"))
+        named = self.spark.read.schema(_MANIFEST).parquet(*[f"{self.root}/manifests/v{v:08d}" for v in old]).select("path").distinct()
+        gone = materialize(named.join(live, "path", "left_anti"), "expired")
+        for v in old:
+            fs.delete(_fs(self.spark, f"{self.root}/manifests/v{v:08d}")[1], True)
+        for r in gone.toLocalIterator():  # one partition of paths at a time
+            fs, path = _fs(self.spark, r["path"])
+            fs.delete(path, False)
+
+    def compact(self, expire: bool = False) -> int:
+        """Merge until no tier holds a full bin; returns the number of rounds. ``expire``: keep only the newest version."""
         rounds = 0
         while True:
             version = self.version()
@@ -133,25 +155,24 @@ class ShardedTable:
             merged = self._write(rows.repartition(bins, "__shard_bin"), "__shard_bin")
             kept = self.manifest(version).join(plan.select("path"), "path", "left_anti").select("path", "bytes", "rows", "tier", "added")
             self._commit(kept.union(self._listed(merged, version + 1)), version + 1)
-            for path in paths:  # the newest version no longer names them
-                fs, old = _fs(self.spark, path)
-                fs.delete(old, False)
             rounds += 1
+            if expire:
+                self.expire()
 
 
-def compacted(docs: DataFrame, root: str, arrivals: int = 24, target: int = TARGET) -> ShardedTable:
+def compacted(docs: DataFrame, root: str, arrivals: int = 24, target: int = TARGET, expire: bool = False) -> ShardedTable:
     """``docs`` appended in ``arrivals`` batches by a hash of doc_id and compacted."""
     table = ShardedTable(docs.sparkSession, root, target)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")
     table.append(docs.withColumn("__shard_batch", batch), "__shard_batch")
-    table.compact()
+    table.compact(expire)
     return table
 
 
 def sharded_digests(docs: DataFrame, arrivals: int = 24, target: int = TARGET) -> DataFrame:
     """Shard ``docs`` and read the table back through its manifest: (doc_id, lang, source, text_bytes, text_sha256)."""
     spark = docs.sparkSession
-    table = compacted(docs, scratch_path(spark, "shards"), arrivals, target)
+    table = compacted(docs.select("doc_id", "lang", "source", "text"), scratch_path(spark, "shards"), arrivals, target, expire=True)
     if not table.version():
         rows = docs.limit(0)
     else:

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -119,9 +120,17 @@ def test_sharding(spark, sf_dir, tmp_path):
     d = d.union(d.limit(3)).union(spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema]))
     table = compacted(d, f"file://{tmp_path}/t", arrivals=6, target=150 << 10)
     assert table.read().select(*d.columns).exceptAll(d).isEmpty() and d.exceptAll(table.read().select(*d.columns)).isEmpty()
-    m = table.manifest().collect()
+    m, sixth = table.manifest().collect(), table.manifest(6).count()
     first = table.manifest(1).count()
-    assert table.version() >= 7 and first < len(table.manifest(6).collect()) and len(m) < table.manifest(6).count()
+    assert table.read(6).count() == d.count() and 0 < table.read(1).count() < d.count()  # older versions stay
+    table.expire(keep=2)
+    assert table.read(table.version() - 1).count() == table.read().count() == d.count()
+    table.expire()
+    with pytest.raises(AnalysisException):
+        table.read(1).count()
+    with pytest.raises(ValueError):
+        table.append(d.withColumn("__shard_path", F.lit(1)))
+    assert table.version() >= 7 and first < sixth and len(m) < sixth
     assert sum(r.rows for r in m) == d.count()
     with pytest.raises(RuntimeError):
         table._commit(table.manifest(), table.version())
