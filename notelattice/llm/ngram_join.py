@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .scratch import discard, fresh, materialize
-from .textcols import byte_slices, mix, shingle_hashes, span_hashes, word_spans
+from .textcols import byte_slices, mix, row_slices, shingle_hashes, span_hashes, word_spans
 
 #: A bitmap has the power of two of bits that is at least SPREAD times the set's size, within these bounds.
 SPREAD, MIN_BITS, MAX_BITS = 1.25, 256, 8192
@@ -71,7 +71,7 @@ def shared_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             sets = [x for _, x in _doc_sets(batch, n)]
             if not sets:
                 continue
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, counts = common.value
         edges = _class_edges(percent, 1 << 10)
-        for batch in batches:
+        for batch in row_slices(batches):
             ids = batch.column(0)
             out: list[list] = [[], [], [], [], [], []]
             for row, x in _doc_sets(batch, n):

@@ -8,7 +8,7 @@ whatever its length. Base rules on length and repetition come first.
 A document fails where the character distance exceeds CHAR_LIMIT, or both distances together JOINT_LIMIT. Guards:
 the first test needs MIN_CHARS characters in words, the second MIN_WORDS words. A null language, one with fewer than MIN_DOCS documents
 and one beyond the MAX_LANGS largest are compared with the mean of all documents, binned by the common words of all.
-Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged each; extra columns are ignored.
+Null ids stay null. Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .textcols import byte_slices, shingle_hashes, span_hashes, word_spans
 
 COMMON = 64
 MAX_LANGS = 255
+SALTS = 128
 MIN_DOCS = 30
 MIN_CHARS = 100
 MIN_WORDS = 60
@@ -168,7 +169,10 @@ def references(docs: DataFrame) -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), one, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "word", "n"])
 
     counts = docs.select("lang", "text").mapInArrow(words, "lang int, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON)
+    # the top of each of SALTS parts of a language first, so that no task holds all words of one
+    part = F.pmod(F.xxhash64("word"), F.lit(SALTS))
+    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON)
+    top = top.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON)
     found = top.select("lang", "word").collect()
     common = [np.sort(np.array([r["word"] for r in found if r["lang"] == k], np.int64).view(np.uint64)) for k in range(len(known) + 1)]
     width = N_CLASSES + COMMON + 1

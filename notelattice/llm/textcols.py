@@ -61,6 +61,13 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         i = j
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``rows`` rows, so that what is derived from them stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row of each word ``[^\\x20\\x09-\\x0D]+``; words never cross rows."""
     if not len(data):
