@@ -7,6 +7,9 @@ or go together, and rows without an id, which no class can name, stay.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from notelattice.llm.ngram_join import jaccard_classes
@@ -17,25 +20,41 @@ from notelattice.llm.scratch import materialize
 from notelattice.llm.toxicity import clean_rows, fit
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Fewer rows in a batch for Python workers, as the stages share one application; the setting is put back at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity stays below the cutoff."""
-    return clean_rows(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    with small_batches(spark):
+        return materialize(clean_rows(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "clean")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near their language's references."""
-    return kept_rows(docs)
+    with small_batches(spark):
+        return materialize(kept_rows(docs), "kept")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five words, similarity 0.8 or more)."""
-    gone = materialize(jaccard_classes(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    with small_batches(spark):
+        gone = materialize(jaccard_classes(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents as pieces of sequences of 4096 tokens, neighbours on a space-filling curve together."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, keep=False)
+    with small_batches(spark):
+        return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, keep=False)
 
 
 STAGES = [("toxicity", toxicity), ("quality_rules", quality_rules), ("ngram_jaccard_join", ngram_jaccard_join), ("packing", packing)]
