@@ -39,18 +39,50 @@ def apply_operations(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.where("operation <> 'NOOP'").select("fact_id", "fact", "status"), replaced
 
 
-def supersession_candidates(new: DataFrame, notes: DataFrame, index: DataFrame, threshold: float = 1.0) -> DataFrame:
+#: Entities in more sets than this are looked at only where rarer ones can't decide.
+HOT = 1000
+
+
+def supersession_candidates(new: DataFrame, notes: DataFrame, index: DataFrame, threshold: float = 1.0, hot: int = HOT) -> DataFrame:
     """(new_id, old_id, score): for each of ``new`` (note_id, created_at) the live older or newer note that shares most
-    entities, plus up to one for age; ``notes`` are the live ones."""
-    known = index.where(F.col("entity_type").isin(*SUPERSEDING))
-    mine = known.join(new.select("note_id"), "note_id", "left_semi").select(F.col("note_id").alias("new_id"), "entity_type", "entity_value")
-    shared = mine.join(known, ["entity_type", "entity_value"]).where("note_id <> new_id").groupBy("new_id", "note_id").agg(F.count("*").alias("n"))
-    rows = shared.join(new.select(F.col("note_id").alias("new_id"), F.col("created_at").alias("new_at")), "new_id").join(notes.select("note_id", "created_at"), "note_id")
+    entities, plus up to one for age; ``notes`` are the live ones.
+
+    Notes with the same entities are one set, and sets are scored against sets. The age adds at most one and ties go to
+    the younger note, so only sets that share most with a new note can hold its best. Entities of more than ``hot`` sets
+    come in only for sets that share no more by rarer ones than they have hot ones.
+    """
+    known = index.where(F.col("entity_type").isin(*SUPERSEDING)).select("note_id", F.concat_ws(":", "entity_type", "entity_value").alias("entity"))
+    known = known.groupBy("note_id").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
+    known = cut(known.withColumn("set_id", F.sha2(F.concat_ws("\n", "entities"), 256)))
+    live = cut(known.join(notes.select("note_id", "created_at"), "note_id").select("note_id", "set_id", "entities", "created_at"))
+    sets = live.groupBy("set_id").agg(F.first("entities").alias("entities"), F.count("*").alias("members"))
+    posts = sets.select("set_id", "members", "entities", F.explode("entities").alias("entity"))
+    posts = cut(posts.join(posts.groupBy("entity").agg((F.count("*") > hot).alias("hot")), "entity"))
+    mine = new.select(F.col("note_id").alias("new_id"), F.col("created_at").alias("new_at")).join(known.withColumnRenamed("note_id", "new_id"), "new_id")
+    mine = cut(mine.join(notes.select(F.col("note_id").alias("new_id"), F.lit(1).alias("in_live")).distinct(), "new_id", "left").fillna(0, "in_live"))
+    wants = mine.select(F.col("set_id").alias("want"), "in_live", F.col("entities").alias("wanted")).distinct()
+    asked = wants.select("want", "in_live", "wanted", F.explode("wanted").alias("entity"))
+
+    def scored(asking: DataFrame, held: DataFrame) -> DataFrame:
+        pairs = asking.join(held, "entity").where((F.col("set_id") != F.col("want")) | (F.col("members") > F.col("in_live")))
+        return pairs.select("want", "in_live", "set_id", F.size(F.array_intersect("wanted", "entities")).alias("n")).distinct()
+
+    rare = cut(scored(asked, posts.where("NOT hot")))
+    most = rare.groupBy("want", "in_live").agg(F.max("n").alias("most"))
+    hots = asked.join(posts.where("hot").select("entity").distinct(), "entity").groupBy("want", "in_live").agg(F.count("*").alias("hots"))
+    unsure = hots.join(most, ["want", "in_live"], "left").where("coalesce(most, 0) <= hots").select("want", "in_live")
+    pairs = rare.union(scored(asked.join(unsure, ["want", "in_live"], "left_semi"), posts.where("hot"))).distinct()
+    pairs = pairs.groupBy("want", "in_live", "n").agg(F.collect_set("set_id").alias("sets")).groupBy("want", "in_live").agg(F.max(F.struct("n", "sets")).alias("b"))
+    best = pairs.select("want", "in_live", "b.n", F.explode("b.sets").alias("set_id"))
+    # of notes with equal sets and times only the first can win, or the second for the first itself
+    first = Window.partitionBy("set_id", "created_at").orderBy("note_id")
+    heads = live.withColumn("k", F.row_number().over(first)).where("k <= 2").select("set_id", "note_id", "created_at")
+    rows = mine.select("new_id", "new_at", F.col("set_id").alias("want"), "in_live").join(best, ["want", "in_live"]).join(heads, "set_id").where("note_id <> new_id")
     days = (F.unix_timestamp("new_at") - F.unix_timestamp("created_at")) / 86400
     rows = rows.withColumn("score", F.round(F.col("n") + F.greatest(F.lit(0.0), F.least(days, F.lit(1.0))), 9))
     w = Window.partitionBy("new_id").orderBy(F.desc("score"), F.desc("created_at"), "note_id")
-    best = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") == 1).where(F.col("score") >= threshold)
-    return best.select("new_id", F.col("note_id").alias("old_id"), "score")
+    top = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") == 1).where(F.col("score") >= threshold)
+    return top.select("new_id", F.col("note_id").alias("old_id"), "score")
 
 
 def mark_superseded(pairs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

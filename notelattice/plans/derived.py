@@ -83,6 +83,17 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """``df`` over at least as many partitions as there are cores: a small file is one split, and patterns are slow."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+    def with_table(self, name: str, df: DataFrame) -> Tables:
+        """These tables with another one under ``name``."""
+        other = Tables(self.spark, self.sf_dir)
+        setattr(other, name, df)
+        return other
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -90,7 +101,7 @@ class Tables:
             sql, needs = DERIVED[name]
             for need in needs:
                 sql = sql.replace(f"FROM {need}", f"FROM {{{need}}}").replace(f"JOIN {need}", f"JOIN {{{need}}}")
-            df = self.spark.sql(sql, **{need: getattr(self, need) for need in needs})
+            df = self.spark.sql(sql, **{need: self._spread(getattr(self, need)) if name == "notes" else getattr(self, need) for need in needs})
         else:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         setattr(self, name, df)

@@ -50,7 +50,8 @@ FULL = f"{INDEX}, full_index AS (SELECT * FROM entity_index UNION ALL {_MADE})"
 
 def _rules_sql(relations: tuple[str, ...]) -> str:
     rules = ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in EDGE_RULES if r in relations)
-    return f"{FULL}, rules AS (SELECT * FROM (VALUES {rules}) v(from_type, to_type, relationship)) SELECT r.from_type, a.entity_value AS from_value, r.relationship, r.to_type, b.entity_value AS to_value, a.note_id FROM full_index a JOIN rules r ON r.from_type = a.entity_type JOIN full_index b ON b.note_id = a.note_id AND b.entity_type = r.to_type"
+    types = ", ".join(sorted({f"'{x}'" for a, b, r in EDGE_RULES if r in relations for x in (a, b)}))
+    return f"{FULL}, typed AS MATERIALIZED (SELECT * FROM full_index WHERE entity_type IN ({types})), rules AS (SELECT * FROM (VALUES {rules}) v(from_type, to_type, relationship)) SELECT r.from_type, a.entity_value AS from_value, r.relationship, r.to_type, b.entity_value AS to_value, a.note_id FROM typed a JOIN rules r ON r.from_type = a.entity_type JOIN typed b ON b.note_id = a.note_id AND b.entity_type = r.to_type"
 
 
 for _name, _relations in {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import INTENT_KEYWORDS, POLICIES
@@ -65,6 +67,18 @@ def _scored(t: Tables, mod: int, even: bool = False) -> DataFrame:
     return (rows.where("number % 2 = 0") if even else rows).drop("number")
 
 
+def _per_text(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """``plan``, whose rows carry a query_id, with questions of equal text answered once."""
+
+    def run(t: Tables) -> DataFrame:
+        texts = t.questions.groupBy("text").agg(F.min("query_id").alias("asked_id"))
+        answers = plan(t.with_table("questions", texts.select(F.col("asked_id").alias("query_id"), "text")))
+        askers = t.questions.join(texts, "text").select("query_id", "asked_id")
+        return answers.withColumnRenamed("query_id", "asked_id").join(askers, "asked_id").select(*answers.columns)
+
+    return run
+
+
 def _weights(t: Tables) -> DataFrame:
     return retrieve.traversal_policy(t.questions.select("query_id", retrieve.classify_intent(F.col("text"))["intent"].alias("intent")))
 
@@ -81,16 +95,16 @@ POLICY = f"policies AS (SELECT * FROM (VALUES {_POLICY}) p(intent, vector, entit
 add("classify_intent", lambda t: t.questions.select("query_id", retrieve.classify_intent(F.col("text")).alias("c")).select("query_id", "c.intent", "c.confidence", "c.method"), f"{with_tables('questions')}, {INTENTS} SELECT query_id, intent, confidence, method FROM intents")
 add("traversal_policy", lambda t: _weights(t), f"{with_tables('questions')}, {INTENTS}, {POLICY} SELECT query_id, intent, vector, entity_index, graph, temporal, top_k FROM intents JOIN policies USING (intent)")
 _NORM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
-add("minmax_normalize", lambda t: retrieve.minmax_normalize(_scored(t, 97)).select("query_id", "note_id", F.round("score", 9).alias("score")), f"{SCORED} SELECT query_id, note_id, round({_NORM}, 9) AS score FROM vec WINDOW w AS (PARTITION BY query_id)")
+add("minmax_normalize", _per_text(lambda t: retrieve.minmax_normalize(_scored(t, 97)).select("query_id", "note_id", F.round("score", 9).alias("score"))), f"{SCORED} SELECT query_id, note_id, round({_NORM}, 9) AS score FROM vec WINDOW w AS (PARTITION BY query_id)")
 _FUSED = f"v AS (SELECT query_id, note_id, {_NORM} AS vs FROM vec WINDOW w AS (PARTITION BY query_id)), g AS (SELECT query_id, note_id, {_NORM} AS gs FROM gr WINDOW w AS (PARTITION BY query_id)), fused AS (SELECT query_id, note_id, round(coalesce(vs * vector, 0) + coalesce(gs * graph, 0), 9) AS score FROM v FULL JOIN g USING (query_id, note_id) JOIN intents USING (query_id) JOIN policies USING (intent))"
-add("blend_weighted", lambda t: retrieve.blend_weighted(_scored(t, 97), _scored(t, 13, True), _weights(t), 10), f"{SCORED}, {INTENTS}, {POLICY}, {_FUSED} SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
-add("blend_rrf", lambda t: retrieve.blend_rrf(_scored(t, 97), _scored(t, 13, True), 10), f"{SCORED}, ranks AS (SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) AS s FROM vec UNION ALL SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) FROM gr), fused AS (SELECT query_id, note_id, round(sum(s), 9) AS score FROM ranks GROUP BY ALL) SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
-add("entity_boost", lambda t: retrieve.entity_boost(_scored(t, 97), asked(t), entity_index(t), t.notes, 2.5, 1.5),
+add("blend_weighted", _per_text(lambda t: retrieve.blend_weighted(_scored(t, 97), _scored(t, 13, True), _weights(t), 10)), f"{SCORED}, {INTENTS}, {POLICY}, {_FUSED} SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
+add("blend_rrf", _per_text(lambda t: retrieve.blend_rrf(_scored(t, 97), _scored(t, 13, True), 10)), f"{SCORED}, ranks AS (SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) AS s FROM vec UNION ALL SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) FROM gr), fused AS (SELECT query_id, note_id, round(sum(s), 9) AS score FROM ranks GROUP BY ALL) SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
+add("entity_boost", _per_text(lambda t: retrieve.entity_boost(_scored(t, 97), asked(t), entity_index(t), t.notes, 2.5, 1.5)),
     f"{SCORED}, sh AS (SELECT v.query_id, v.note_id, count(*) AS n FROM vec v JOIN (SELECT DISTINCT query_id, entity_value FROM asked) a USING (query_id) JOIN (SELECT DISTINCT note_id, entity_value FROM entity_index) i ON i.note_id = v.note_id AND i.entity_value = a.entity_value GROUP BY 1, 2), ex AS (SELECT v.query_id, v.note_id, count(*) AS h FROM vec v JOIN (SELECT DISTINCT query_id, entity_value FROM asked) a USING (query_id) JOIN notes n ON n.note_id = v.note_id WHERE contains(lower(content_raw), lower(entity_value)) GROUP BY 1, 2) SELECT query_id, note_id, score * pow(2.5, coalesce(n, 0)) * pow(1.5, coalesce(h, 0)) AS score FROM vec LEFT JOIN sh USING (query_id, note_id) LEFT JOIN ex USING (query_id, note_id)")
 _LINKS = "links AS (SELECT note_id, 'note_' || (CAST(substr(note_id, 6) AS BIGINT) + 1) AS related FROM notes)"
-add("expand_links", lambda t: retrieve.expand_links(_scored(t, 97), t.notes.select("note_id", F.concat(F.lit("note_"), F.substring("note_id", 6, 20).cast("long") + 1).alias("related")), 20),
+add("expand_links", _per_text(lambda t: retrieve.expand_links(_scored(t, 97), t.notes.select("note_id", F.concat(F.lit("note_"), F.substring("note_id", 6, 20).cast("long") + 1).alias("related")), 20)),
     f"{SCORED}, {_LINKS}, new AS (SELECT query_id, related AS note_id, max(score / 2) AS score FROM vec JOIN links USING (note_id) GROUP BY ALL), every AS (SELECT *, 0 AS hop FROM vec UNION ALL SELECT *, 1 FROM new WHERE (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM vec)) SELECT query_id, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, score DESC, note_id) AS k FROM every) r WHERE k <= 20")
-add("temporal_boost", lambda t: retrieve.temporal_boost(_scored(t, 97), t.questions, t.notes),
+add("temporal_boost", _per_text(lambda t: retrieve.temporal_boost(_scored(t, 97), t.questions, t.notes)),
     f"{SCORED}, {INTENTS}, y AS (SELECT query_id, CASE WHEN intent = 'temporal' THEN nullif(regexp_extract(text, '\\b(?:19|20)\\d{{2}}\\b'), '') END AS year FROM intents), d AS (SELECT v.*, coalesce(contains(content_raw, year) OR CAST(year(created_at) AS VARCHAR) = year, false) AS dated FROM vec v LEFT JOIN y USING (query_id) JOIN notes n ON n.note_id = v.note_id) SELECT query_id, note_id, dated, row_number() OVER (PARTITION BY query_id ORDER BY dated DESC, score DESC, note_id) AS rank FROM d")
 RANKED = f"{SCORED}, ranked AS (SELECT query_id, rank, note_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM vec) r WHERE rank <= 10)"
 
@@ -99,7 +113,7 @@ def _ranked(t: Tables) -> DataFrame:
     return retrieve._top(_scored(t, 97), 10).select("query_id", "rank", "note_id")
 
 
-add("entity_augment", lambda t: retrieve.entity_augment(_ranked(t), index.recall_entity(entity_index(t), asked(t), t.notes, 10)),
+add("entity_augment", _per_text(lambda t: retrieve.entity_augment(_ranked(t), index.recall_entity(entity_index(t), asked(t), t.notes, 10))),
     f"{RANKED}, eh AS (SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, note_id) AS er FROM hits JOIN notes USING (note_id)), new AS (SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY er, note_id) AS k FROM eh WHERE er <= 10 AND (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM ranked)) SELECT * FROM ranked UNION ALL SELECT query_id, coalesce(last, 0) + k AS rank, note_id FROM new LEFT JOIN (SELECT query_id, max(rank) AS last FROM ranked GROUP BY 1) l USING (query_id) WHERE k <= 3")
 
 
@@ -110,10 +124,10 @@ def _causal(t: Tables) -> DataFrame:
 
 
 add("causal_augment", _causal)
-add("rerank", lambda t: retrieve.rerank(_ranked(t), t.questions, t.notes), f"""{RANKED}, w AS (SELECT r.*, list_distinct(list_filter(string_split_regex(lower(q.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(substr(n.content_raw, 1, 512)), '\\s+'), lambda x: x <> '')) AS b FROM ranked r JOIN questions q USING (query_id) JOIN notes n ON n.note_id = r.note_id),
+add("rerank", _per_text(lambda t: retrieve.rerank(_ranked(t), t.questions, t.notes)), f"""{RANKED}, w AS (SELECT r.*, list_distinct(list_filter(string_split_regex(lower(q.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(substr(n.content_raw, 1, 512)), '\\s+'), lambda x: x <> '')) AS b FROM ranked r JOIN questions q USING (query_id) JOIN notes n ON n.note_id = r.note_id),
 s AS (SELECT query_id, rank AS before, note_id, round(len(list_intersect(a, b)) / len(a), 9) AS score FROM w) SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, note_id) AS rank FROM s""")
 add("recall", lambda t: retrieve.recall(t.questions.where("query_id % 50 = 0"), t.notes, entity_index(t), 10))
-add("format_context", lambda t: retrieve.format_context(_ranked(t), t.notes, 100), f"{RANKED} SELECT query_id, substr(string_agg('[' || rank || '] ' || substr(content_raw, 1, 300), chr(10) ORDER BY rank), 1, 400) AS context FROM ranked JOIN notes USING (note_id) GROUP BY 1")
+add("format_context", _per_text(lambda t: retrieve.format_context(_ranked(t), t.notes, 100)), f"{RANKED} SELECT query_id, substr(string_agg('[' || rank || '] ' || substr(content_raw, 1, 300), chr(10) ORDER BY rank), 1, 400) AS context FROM ranked JOIN notes USING (note_id) GROUP BY 1")
 _STOP = ", ".join(map(quoted, retrieve.QUESTION_STOPWORDS))
 add("keyword_inject", lambda t: retrieve.keyword_inject(t.questions.where("query_id % 50 = 0"), t.notes, _ranked(t).select("query_id", "note_id"), 3),
     f"{RANKED}, qw AS (SELECT DISTINCT query_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM questions WHERE query_id % 50 = 0), nw AS (SELECT DISTINCT note_id, unnest(string_split_regex(lower(content_raw), '\\s+')) AS w FROM notes), h AS (SELECT query_id, note_id, count(*) AS overlap FROM qw JOIN nw USING (w) WHERE w <> '' AND w NOT IN ({_STOP}) GROUP BY 1, 2) SELECT query_id, rank, note_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, note_id) AS rank FROM h WHERE (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM ranked)) r WHERE rank <= 3")

@@ -232,3 +232,25 @@ def test_stream_shift_equals_batch(spark, tmp_path):
     q.stop()
     batch = evolve.shift_detect(d.withColumn("created_at", F.timestamp_seconds("at"))).select("stream", "note_id", "signals")
     assert rows(spark.table("shift")) == rows(batch)
+
+
+def test_supersession_with_hot_entities_equals_brute_force(spark):
+    import random
+
+    from notelattice.operators.evolve import supersession_candidates
+
+    rng = random.Random(3)
+    notes = [(f"n{k}", rng.randrange(10) * 43_200) for k in range(60)]
+    ents = {i: {("tool", "t")} | {("cve", f"c{rng.randrange(8)}") for _ in range(rng.randrange(3))} if rng.random() < 0.9 else set() for i, _ in notes}
+    index = spark.createDataFrame([(t, v, i) for i, e in ents.items() for t, v in e] + [("domain", "d", i) for i in ents], "entity_type string, entity_value string, note_id string")
+    table = spark.createDataFrame(notes, "note_id string, at long").selectExpr("note_id", "timestamp_seconds(at) AS created_at")
+    for live in (table, table.where("note_id <> 'n7' AND note_id <> 'n20'")):
+        alive = {r.note_id for r in live.collect()}
+        want = set()
+        for i, at in notes:
+            found = [(len(ents[i] & ents[j]) + max(0.0, min(1.0, (at - b) / 86400)), b, j) for j, b in notes if j != i and j in alive and ents[i] & ents[j]]
+            if found:
+                score, _, j = min(found, key=lambda x: (-x[0], -x[1], x[2]))
+                want.add((i, j, round(score, 9)))
+        for hot in (1, 5, 1000):
+            assert {tuple(r) for r in supersession_candidates(table, live, index, hot=hot).collect()} == want
