@@ -114,7 +114,8 @@ def entity_components(notes: DataFrame, index: DataFrame, key: str = "stream") -
 def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream") -> DataFrame:
     """(key, note_id, superseded_by): notes applied in order of time within each ``key``, each replacing at most one live note.
 
-    A note replaces the live note that shares most entities with it (ties: newer, then smaller id). State is held per
+    A note replaces the live note that shares most entities with it, plus up to one for a day of age (ties: newer, then
+    smaller id). State is held per
     key and notes of different keys never meet, so keys must be entity-disjoint: ``entity_components`` makes such keys.
     Order matters within one, so a component is one group of one task. Notes without superseding entities stay live and
     are not dealt.
@@ -134,7 +135,8 @@ def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream")
                 for other in postings.get(e, ()):
                     found[other] = found.get(other, 0) + 1
             if found:
-                old = min(found, key=lambda x: (-found[x], -live[x][0].value, x))
+                age = {x: min((r.created_at - live[x][0]).total_seconds() / 86400, 1.0) for x in found}
+                old = min(found, key=lambda x: (-found[x] - age[x], -live[x][0].value, x))
                 by[old] = r.note_id
                 for e in live.pop(old)[1]:
                     postings[e].discard(old)

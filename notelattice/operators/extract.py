@@ -90,10 +90,19 @@ def technique_parent(notes: DataFrame, text: str = "content_raw") -> DataFrame:
     return notes.select("note_id", F.explode(F.array_distinct(F.transform(ids, lambda x: F.split_part(x, F.lit("."), F.lit(1))))).alias("technique"))
 
 
+# fixed values: actor names in the order they are tried, case-blind
+ACTOR_PATTERNS = (
+    r"\bAPT\s*\d+\b", r"\bLazarus(?:\s+Group)?\b", r"\bSandworm\b", r"\bFancy\s+Bear\b", r"\bCozy\s+Bear\b", r"\bVolt\s+Typhoon\b", r"\bTurla\b",
+    r"\bKimsuky\b", r"\bCharming\s+Kitten\b", r"\bMuddyWater\b", r"\bOceanLotus\b", r"\bDarkHotel\b", r"\bEquation\s+Group\b", r"\bUNC\d+\b",
+)
+ACTOR_PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
+
+
 def primary_actor(notes: DataFrame, text: str = "content_raw") -> DataFrame:
-    """(note_id, primary_actor): the first match over an ordered list of patterns, else the first capitalised phrase."""
-    patterns = (r"(?i)\bAPT[ -]?\d+\b", r"(?i)\bUNC[ -]?\d+\b", r"(?i)\bFIN[ -]?\d+\b", r"(?i)\bTA[ -]?\d+\b", r"(?i)\b(?:lazarus|sandworm|volt typhoon)\b", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b")
-    return notes.select("note_id", F.coalesce(*[F.nullif(F.regexp_extract(F.col(text), p, 0), F.lit("")) for p in patterns]).alias("primary_actor"))
+    """(note_id, primary_actor): the first match of the first pattern that has one, else the first phrase of two or more
+    capitalised words, else an empty text."""
+    patterns = [*(f"(?i){p}" for p in ACTOR_PATTERNS), ACTOR_PHRASE]
+    return notes.select("note_id", F.coalesce(*[F.nullif(F.regexp_extract(F.col(text), p, 0), F.lit("")) for p in patterns], F.lit("")).alias("primary_actor"))
 
 
 def hunt_iocs(notes: DataFrame, benign: DataFrame, text: str = "content_raw") -> DataFrame:

@@ -26,9 +26,11 @@ def upsert_nodes(rows: DataFrame, merge: bool = False) -> DataFrame:
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
-    """One edge per (from, to, relationship, note): first and last time, the last type that isn't heuristic if any."""
+    """One edge per (from, to, relationship, note): first and last time, the first type that isn't heuristic if any, and,
+    where rows have ``properties``, the last that aren't empty."""
     specific = F.col("edge_type") != "heuristic"
-    return rows.groupBy(*KEY).agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.count("*").alias("observations"), F.coalesce(F.min_by("edge_type", F.when(specific, F.col("created_at"))), F.lit("heuristic")).alias("edge_type"))
+    last = [F.max_by("properties", F.when(F.size("properties") > 0, F.col("created_at"))).alias("properties")] if "properties" in rows.columns else []
+    return rows.groupBy(*KEY).agg(*last, F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.count("*").alias("observations"), F.coalesce(F.min_by("edge_type", F.when(specific, F.col("created_at"))), F.lit("heuristic")).alias("edge_type"))
 
 
 def promote_edge_type(rows: DataFrame) -> DataFrame:

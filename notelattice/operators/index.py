@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .extract import extract_all_long
+
 
 def build_entity_index(entities: DataFrame) -> DataFrame:
     return entities.select("entity_type", "entity_value", "note_id").distinct()
 
 
+def rebuild_indexes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index of all ``notes`` anew, and its statistics: (entity_type, entities, postings, notes_indexed)."""
+    index = build_entity_index(extract_all_long(notes))
+    stats = index.groupBy("entity_type").agg(F.count_distinct("entity_value").alias("entities"), F.count("*").alias("postings"))
+    return index, stats.crossJoin(notes.agg(F.count("*").alias("notes_indexed")))  # one row
+
+
 def index_remove_notes(index: DataFrame, notes: DataFrame) -> DataFrame:
     return index.join(notes.select("note_id").distinct(), "note_id", "left_anti").select("entity_type", "entity_value", "note_id")
 
 
 def recall_entity(index: DataFrame, wanted: DataFrame, notes: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, note_id): the newest k notes for each (query_id, entity_type, entity_value) of ``wanted``."""
+    """(query_id, rank, note_id): the newest k notes over all entities (query_id, entity_type, entity_value) of a query; name
+    one entity per query for the newest k of each."""
     hits = wanted.withColumn("entity_value", F.lower("entity_value")).join(index, ["entity_type", "entity_value"]).select("query_id", "note_id").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "note_id")
     return hits.join(notes.select("note_id", "created_at"), "note_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "note_id")

@@ -6,21 +6,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import cut
 
-# fixed values: required properties of entity types, and ends of relation types
+# fixed values: required properties of entity types, ends of relation types, and relations that must not form cycles
 ENTITY_TYPES = (
-    ("Person", ["name"]), ("Organization", ["name"]), ("Project", ["name", "status"]), ("Task", ["title", "status"]),
-    ("Goal", ["description"]), ("Event", ["title", "start"]), ("Location", ["name"]), ("Document", ["title"]), ("Note", ["content"]),
+    ("Person", ["name"]), ("Organization", ["name"]), ("Project", ["name", "status"]), ("Task", ["title", "status"]), ("Goal", ["description"]),
+    ("Event", ["title", "start"]), ("Location", ["name"]), ("Document", ["title"]), ("Note", ["content"]), ("Account", ["service", "username"]),
+    ("Device", ["name"]), ("IntrusionSet", ["name"]), ("ThreatActor", ["name"]), ("Vulnerability", ["cve_id"]), ("Malware", ["name"]),
+    ("Campaign", ["name"]), ("Incident", ["title", "status"]), ("AttackPattern", ["technique_id"]),
+    ("DetectionRule", ["rule_id", "title", "source_format", "content_sha256"]), ("SigmaRule", ["rule_id", "title", "source_format", "content_sha256"]),
+    ("YaraRule", ["rule_id", "title", "source_format", "content_sha256"]), ("SigmaTag", ["namespace", "name"]), ("YaraTag", ["namespace", "name"]),
+    ("LogSource", []), ("IPv4Address", ["value"]), ("DomainName", ["value"]), ("URL", ["value"]), ("FileHash", ["value", "hash_type"]),
+    ("EmailAddress", ["value"]), ("Action", ["type", "timestamp"]), ("Policy", ["scope", "rule"]),
 )
+_ANY = [name for name, _ in ENTITY_TYPES]
+_RULES = ["DetectionRule", "SigmaRule", "YaraRule"]
 RELATION_TYPES = (
     ("has_owner", ["Project", "Task", "Event", "Document"], ["Person", "Organization"]), ("has_assignee", ["Task", "Incident"], ["Person"]),
-    ("has_task", ["Project"], ["Task"]), ("blocks", ["Task"], ["Task"]), ("part_of", ["Task", "Document", "Event"], ["Project"]),
-    ("uses", ["IntrusionSet"], ["Malware"]), ("uses_technique", ["ThreatActor", "Campaign", "IntrusionSet"], ["AttackPattern"]),
-    ("uses_tool", ["ThreatActor", "Campaign"], ["Malware", "Tool"]),
+    ("has_task", ["Project"], ["Task"]), ("blocks", ["Task"], ["Task"]), ("related_to", _ANY, _ANY), ("part_of", ["Task", "Document", "Event"], ["Project"]),
+    ("attributed_to", ["Incident", "Campaign", "Malware", "IntrusionSet", *_RULES], ["ThreatActor", "IntrusionSet"]), ("uses", ["IntrusionSet"], ["Malware"]),
+    ("uses_technique", ["ThreatActor", "Campaign", "IntrusionSet"], ["AttackPattern"]), ("uses_tool", ["ThreatActor", "Campaign"], ["Malware", "Tool"]),
+    ("exploits", ["ThreatActor", "Campaign", "Malware"], ["Vulnerability"]), ("implements", ["Malware"], ["AttackPattern"]),
+    ("targets", ["ThreatActor", "Campaign", "Malware"], ["Organization", "Location", "Device"]),
+    ("superseded_by", ["Note", "Document", "Policy", *_RULES], ["Note", "Document", "Policy", *_RULES]), ("detects", _RULES, ["AttackPattern"]),
+    ("references_cve", _RULES, ["Vulnerability"]), ("tagged_with", _RULES, ["SigmaTag", "YaraTag"]), ("applies_to", ["SigmaRule", "DetectionRule"], ["LogSource"]),
 )
+ACYCLIC = ("blocks", "superseded_by")
+TYPE_SCHEMA = "type string, required array<string>, forbidden array<string>, enums map<string,array<string>>, ordered boolean"
 
 
 def entity_types(spark) -> DataFrame:
-    return spark.createDataFrame(ENTITY_TYPES, "type string, required array<string>")
+    """The built-in types (TYPE_SCHEMA); only a user's types forbid properties, list values or order start and end."""
+    return spark.createDataFrame([(name, required, [], {}, False) for name, required in ENTITY_TYPES], TYPE_SCHEMA)
 
 
 def relation_types(spark) -> DataFrame:
@@ -33,12 +48,18 @@ def schema_overlay(builtin: DataFrame, user: DataFrame, key: str) -> DataFrame:
 
 
 def validate_entities(entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """(id, missing, ends_early, valid): required properties absent or empty, an end before the start; unknown types pass."""
+    """(id, missing, forbidden, invalid, ends_early, valid) of entities (id, type, properties map) by their types: required
+    properties absent or empty, forbidden ones present, values beyond a list, an end before the start; unknown types pass."""
     types = entity_types(entities.sparkSession) if types is None else types
     rows = entities.join(types, "type", "left")
-    missing = F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda f: F.coalesce(F.col("properties")[f], F.lit("")) == "")
-    early = F.coalesce(F.col("properties")["end"] < F.col("properties")["start"], F.lit(False))
-    return rows.select("id", F.array_join(missing, ",").alias("missing"), early.alias("ends_early"), ((F.size(missing) == 0) & ~early).alias("valid"))
+    none = F.array().cast("array<string>")
+    has = lambda f: F.map_contains_key("properties", f)
+    missing = F.filter(F.coalesce("required", none), lambda f: F.coalesce(F.col("properties")[f], F.lit("")) == "")
+    forbidden = F.filter(F.coalesce("forbidden", none), has)
+    invalid = F.filter(F.coalesce(F.map_keys("enums"), none), lambda f: has(f) & ~F.coalesce(F.array_contains(F.col("enums")[f], F.col("properties")[f]), F.lit(False)))
+    early = F.coalesce(F.col("ordered") & (F.col("properties")["end"] < F.col("properties")["start"]), F.lit(False))
+    named = [F.array_join(x, ",").alias(n) for n, x in (("missing", missing), ("forbidden", forbidden), ("invalid", invalid))]
+    return rows.select("id", *named, early.alias("ends_early"), ((F.size(missing) + F.size(forbidden) + F.size(invalid) == 0) & ~early).alias("valid"))
 
 
 def validate_relations(relations: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -56,18 +77,16 @@ def referential_check(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return j.where("f IS NULL OR t IS NULL").select("from_id", "rel", "to_id", F.col("f").isNull().alias("no_from"), F.col("t").isNull().alias("no_to"))
 
 
-def acyclic_check(existing: DataFrame, new: DataFrame, most: int = 20) -> DataFrame:
-    """(from_id, to_id) of ``new`` relations that would close a cycle over ``existing`` ones within ``most`` steps."""
+def acyclic_check(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """(from_id, to_id) of ``new`` relations that would close a cycle over ``existing`` ones of the same relation, however long."""
     links = existing.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
     bad = new.where("from_id = to_id").select("from_id", "to_id")
     frontier = new.where("from_id <> to_id").select("from_id", "to_id", F.col("to_id").alias("node")).distinct()
     seen = frontier
-    for _ in range(most):
+    while not frontier.isEmpty():  # ends, as each round reaches nodes not seen before
         step = frontier.join(links, F.col("node") == F.col("a")).select("from_id", "to_id", F.col("b").alias("node")).distinct()
         bad = bad.union(step.where("node = from_id").select("from_id", "to_id"))
         frontier = cut(step.where("node <> from_id").join(seen, ["from_id", "to_id", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = seen.union(frontier)
     return bad.distinct()
 

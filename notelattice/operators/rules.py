@@ -28,10 +28,18 @@ def rule_id(given: Column, document: Column, prefix: str) -> Column:
 
 
 def sigma_project(rules: DataFrame) -> DataFrame:
-    """(rule_id, title, level, rule_type) of rules (id, title, level, document as JSON)."""
-    has = lambda k: F.get_json_object("document", f"$.{k}").isNotNull()
-    kind = F.when(has("correlation"), "correlation").when(has("filter"), "filter").otherwise("detection")
-    return rules.select(rule_id(F.col("id"), F.col("document"), "sigma").alias("rule_id"), "title", F.lower("level").alias("level"), kind.alias("rule_type"))
+    """A row per rule of rules (id, title, level, document as JSON), with the columns of a Sigma rule: those of every
+    detection rule, log source, body, type, fields and false positives. Lists the document lacks are empty."""
+    get = lambda k: F.get_json_object("document", f"$.{k}")
+    strings = lambda k: F.coalesce(F.from_json(get(k), "array<string>"), F.array().cast("array<string>")).alias(k)
+    kind = F.when(get("correlation").isNotNull(), "correlation").when(get("filter").isNotNull(), "filter").otherwise("detection")
+    level, status = F.col("level"), get("status")
+    return rules.select(
+        rule_id(F.col("id"), F.col("document"), "sigma").alias("rule_id"), F.coalesce("title", F.lit("")).alias("title"), F.lit("sigma").alias("source_format"), F.sha2("document", 256).alias("content_sha256"),
+        *[get(k).alias(k) for k in ("description", "author", "date", "modified", "license")], strings("references"), strings("tags"), level.alias("level"), status.alias("status"),
+        *[get(f"logsource.{k}").alias(f"logsource_{k}") for k in ("product", "service", "category")], level.alias("rule_level"), status.alias("rule_status"),
+        F.coalesce(get("detection"), get("correlation")).alias("detection_body"), kind.alias("rule_type"), strings("fields"), strings("falsepositives"),
+    )
 
 
 def sigma_validate(rules: DataFrame) -> DataFrame:
@@ -86,8 +94,18 @@ def sigma_note(rules: DataFrame) -> DataFrame:
 
 
 def yara_project(rules: DataFrame) -> DataFrame:
-    """(rule_id, name, author, description) of rules (name, raw, meta map)."""
-    return rules.select(rule_id(F.col("meta")["id"], F.col("raw"), "yara").alias("rule_id"), "name", F.col("meta")["author"].alias("author"), F.col("meta")["description"].alias("description"))
+    """A row per rule of rules (name, raw, meta map, tags), with the columns of a YARA rule; modifiers, imports and the
+    condition are read from the rule's text."""
+    m = lambda k: F.nullif(F.col("meta")[k], F.lit(""))
+    one = lambda k: F.when(m(k).isNotNull(), F.array(m(k))).otherwise(F.array().cast("array<string>"))
+    before = F.regexp_extract("raw", r"(?s)^(.*?)\brule\s+\w+", 1)
+    condition = F.btrim(F.regexp_extract("raw", r"(?s)condition:(.*)\}", 1), F.lit(" \t\r\n"))
+    return rules.select(
+        rule_id(F.col("meta")["id"], F.col("raw"), "yara").alias("rule_id"), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("unknown_rule")).alias("title"), F.lit("yara").alias("source_format"),
+        F.sha2("raw", 256).alias("content_sha256"), *[m(k).alias(k) for k in ("description", "author", "date", "modified")], one("report").alias("references"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        F.lower(m("status")).alias("status"), m("sharing").alias("tlp"), "name", m("id").alias("cccs_id"), m("fingerprint").alias("fingerprint"), m("category").alias("category"), m("technique").alias("technique_tag"),
+        m("version").alias("cccs_version"), one("hash").alias("hash_of_sample"), before.rlike(r"\bprivate\b").alias("is_private"), before.rlike(r"\bglobal\b").alias("is_global"), F.nullif(condition, F.lit("")).alias("condition"),
+    )
 
 
 def yara_tag(tag: Column) -> tuple[Column, Column, Column]:
@@ -132,8 +150,10 @@ def cccs_validate(rules: DataFrame, tier: str = "warn") -> DataFrame:
 
 
 def cccs_tier_gate(checked: DataFrame, tier: str) -> DataFrame:
-    """Adds ``compliance``; under "strict", rows that aren't accepted go."""
-    label = F.lit("non_cccs") if tier == "non_cccs" else F.when((F.size("errors") == 0) & (F.size("warnings") == 0), "compliant").otherwise("partial")
+    """Adds ``compliance``: "strict" for rows that pass strict checks, "non_cccs" where none were asked for, else "warn".
+    Under "strict", rows that aren't accepted go."""
+    strict = F.lit(tier == "strict") & F.col("accepted") & (F.size("errors") == 0)
+    label = F.lit("non_cccs") if tier == "non_cccs" else F.when(strict, "strict").otherwise("warn")
     rows = checked.withColumn("compliance", label)
     return rows.where("accepted") if tier == "strict" else rows
 

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# fixed values: event classes of operation logs: class id, class, category id, category
+# fixed values: event classes of operation logs (class id, class, category id, category), numbers of named activities,
+# and the activity of classes that have one, or one for success and one for failure
 OCSF_CLASSES = (
-    ("authentication", 3002, "Authentication", 3, "Identity & Access Management"),
-    ("api", 6003, "API Activity", 6, "Application Activity"),
-    ("file", 1001, "File System Activity", 1, "System Activity"),
+    ("api", 6002, "API Activity", 6, "Application Activity"),
+    ("authentication", 3001, "Authentication", 3, "Identity & Access Management"),
+    ("authorization", 3003, "Authorization", 3, "Identity & Access Management"),
+    ("config", 5002, "Configuration Change", 5, "Discovery"),
+    ("file", 1001, "File Activity", 1, "System Activity"),
+    ("process", 1007, "Process Activity", 1, "System Activity"),
+    ("account", 3005, "Account Change", 3, "Identity & Access Management"),
 )
+OCSF_ACTIVITIES = {
+    "file": ("Create", "Read", "Update", "Delete"), "process": ("Start", "Stop", "Crash", "Restart"), "account": ("Create", "Update", "Disable", "Delete"),
+    "authentication": "Logon", "authorization": ("Access Grant", "Access Deny"), "config": "Update",
+}
 SEVERITIES = ("Unknown", "Informational", "Low", "Medium", "High", "Critical")
 
 
@@ -114,10 +123,23 @@ def rate_violations(events: DataFrame, key: str, most: int, seconds: int = 60) -
 
 
 def ocsf_normalize(logs: DataFrame) -> DataFrame:
-    """Log rows (kind, activity_id, activity, severity_id, ok, ts) as events of the open schema, base fields first."""
+    """Log rows (event_id, kind, activity, severity_id, ok, ts) as events of the open schema, base fields first.
+
+    An unknown activity has number 0; rows of an unknown kind keep null class fields.
+    """
+    named_kinds = ("file", "process", "account")
+    number = F.coalesce(
+        *[F.when((F.col("kind") == k) & (F.col("activity") == a), i) for k in named_kinds for i, a in enumerate(OCSF_ACTIVITIES[k], 1)],
+        F.when(F.col("kind").isin("api", "authorization"), F.when(F.col("ok"), 1).otherwise(2)), F.when(F.col("kind").isin("authentication", "config"), 1), F.lit(0),
+    )
+    grant, deny = OCSF_ACTIVITIES["authorization"]
+    title = F.when(F.col("kind") == "authorization", F.when(F.col("ok"), grant).otherwise(deny))
+    for k in ("authentication", "config"):
+        title = title.when(F.col("kind") == k, OCSF_ACTIVITIES[k])
+    logs = logs.withColumn("activity_id", number).withColumn("activity", title.otherwise(F.col("activity")))
     table = logs.sparkSession.createDataFrame(OCSF_CLASSES, "kind string, class_uid int, class_name string, category_uid int, category_name string")
     named = F.coalesce(*[F.when(F.col("severity_id") == k, name) for k, name in enumerate(SEVERITIES)], F.lit("Unknown"))
-    rows = logs.join(F.broadcast(table), "kind")  # one row per class
+    rows = logs.join(F.broadcast(table), "kind", "left")  # one row per class
     return rows.select("event_id", "class_uid", "class_name", "category_uid", "category_name", "severity_id", named.alias("severity"), "activity_id", F.col("activity").alias("activity_name"), F.when(F.col("ok"), 1).otherwise(2).alias("status_id"), F.when(F.col("ok"), "Success").otherwise("Failure").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.lit(0).alias("timezone_offset"), (F.col("class_uid") * 100 + F.col("activity_id")).alias("type_uid"))
 
 

@@ -1,6 +1,6 @@
 """Registered queries over the given and derived tables."""
 
-from . import graph, notes, retrieve, rules, telemetry  # noqa: F401
+from . import graph, notes, retrieve, rules, sources, telemetry  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -30,7 +30,15 @@ def _edge_rows(t: Tables) -> DataFrame:
 
 EDGE_ROWS = f"{KG}, e AS (SELECT *, 'note_' || year(created_at) AS note_id FROM kg_edges)"
 SPECIFIC = "coalesce(arg_min(edge_type, created_at) FILTER (WHERE edge_type <> 'heuristic'), 'heuristic') AS edge_type"
-add("upsert_edges", lambda t: graph.upsert_edges(_edge_rows(t)), f"{EDGE_ROWS} SELECT from_id, to_id, relationship, note_id, min(created_at) AS created_at, max(created_at) AS updated_at, count(*) AS observations, {SPECIFIC} FROM e GROUP BY 1, 2, 3, 4")
+
+
+def _edge_properties(t: Tables) -> DataFrame:
+    """Observed edges whose properties tell the time, none on edges of causal type."""
+    told = F.create_map(F.lit("at"), F.col("created_at").cast("string"))
+    return _edge_rows(t).withColumn("properties", F.when(F.col("edge_type") == "causal", F.create_map().cast("map<string,string>")).otherwise(told))
+
+
+add("upsert_edges", lambda t: graph.upsert_edges(_edge_properties(t)).withColumn("properties", F.date_format(F.col("properties")["at"].cast("timestamp"), "yyyy-MM-dd")), f"{EDGE_ROWS} SELECT from_id, to_id, relationship, note_id, strftime(max(created_at) FILTER (WHERE edge_type <> 'causal'), '%Y-%m-%d') AS properties, min(created_at) AS created_at, max(created_at) AS updated_at, count(*) AS observations, {SPECIFIC} FROM e GROUP BY 1, 2, 3, 4")
 add("promote_edge_type", lambda t: graph.promote_edge_type(t.kg_edges), f"{KG} SELECT from_id, to_id, relationship, {SPECIFIC} FROM kg_edges GROUP BY 1, 2, 3")
 add("edges_mentioned_in", lambda t: graph.edges_mentioned_in(entity_index(t)), f"{INDEX} SELECT *, 'MENTIONED_IN' AS relationship FROM entity_index")
 

@@ -94,7 +94,8 @@ add("infer_entity_type", lambda t: t.questions.select("query_id", extract.infer_
 SELECT query_id, CASE WHEN hint IS NOT NULL THEN hint WHEN contains(x, 'cve-') THEN 'cve' WHEN regexp_matches(x, '\\b(apt|unc|ta|fin)\\d+\\b|lazarus|sandworm|fancy bear|cozy bear|volt typhoon') THEN 'intrusion_set'
 WHEN regexp_matches(x, 'north korea|(russian|iranian|chinese) threat actor') THEN 'threat_actor' WHEN regexp_matches(x, 'cobalt strike|metasploit|mimikatz|bloodhound|dropbear|empire') THEN 'tool' WHEN regexp_matches(x, 'operation|campaign') THEN 'campaign' ELSE 'entity' END AS entity_type FROM v""")
 add("technique_parent", lambda t: extract.technique_parent(t.notes), f"{NOTES} SELECT DISTINCT note_id, split_part(v, '.', 1) AS technique FROM (SELECT note_id, unnest(regexp_extract_all(content_raw, 'T\\d{{4}}(?:\\.\\d{{3}})?')) AS v FROM notes) x")
-add("primary_actor", lambda t: extract.primary_actor(t.notes), f"""{NOTES} SELECT note_id, coalesce(nullif(regexp_extract(content_raw, '(?i)\\bAPT[ -]?\\d+\\b'), ''), nullif(regexp_extract(content_raw, '(?i)\\bUNC[ -]?\\d+\\b'), ''), nullif(regexp_extract(content_raw, '(?i)\\bFIN[ -]?\\d+\\b'), ''), nullif(regexp_extract(content_raw, '(?i)\\bTA[ -]?\\d+\\b'), ''), nullif(regexp_extract(content_raw, '(?i)\\b(?:lazarus|sandworm|volt typhoon)\\b'), ''), nullif(regexp_extract(content_raw, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b'), '')) AS primary_actor FROM notes""")
+_ACTORS = ", ".join(f"nullif(regexp_extract(content_raw, {quoted(p)}), '')" for p in (*(f"(?i){p}" for p in extract.ACTOR_PATTERNS), extract.ACTOR_PHRASE))
+add("primary_actor", lambda t: extract.primary_actor(t.notes), f"{NOTES} SELECT note_id, coalesce({_ACTORS}, '') AS primary_actor FROM notes")
 IOCS = " UNION ALL ".join(f"SELECT note_id, '{k}' AS entity_type, entity_value FROM ({values_sql(k)}) e" for k in ("ipv4", "domain", "url", "md5", "sha1", "sha256", "email"))
 add("hunt_iocs", lambda t: extract.hunt_iocs(t.notes, t.region.select(F.concat(F.lit("evil"), F.col("r_regionkey"), F.lit(".example.com")).alias("domain"))),
     f"{NOTES} SELECT * FROM ({IOCS}) i WHERE entity_value NOT IN (SELECT 'evil' || r_regionkey || '.example.com' FROM region)")

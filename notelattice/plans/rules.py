@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import ontology, rules, synthesis
 from ..sources import tables
 from .derived import Tables, with_tables
-from .notes import NOTES
+from .notes import NOTES, quoted
 from .registry import add
 from .retrieve import RANKED, _ranked
 
@@ -43,7 +43,23 @@ def _sigma(t: Tables) -> DataFrame:
 
 _DOC = f"{_pick_sql(DOCS)} || lpad(CAST(p_partkey AS VARCHAR), 8, ' ')"
 _ID = f"CASE WHEN p_size > 10 THEN 'id-' || p_partkey ELSE 'sigma_' || substr(sha256({_DOC}), 1, 16) END"
-add("sigma_project", lambda t: rules.sigma_project(_sigma(t)), f"SELECT {_ID} AS rule_id, CASE WHEN p_size <> 20 THEN p_name END AS title, list_extract(['low', 'high', 'odd'], CAST(p_partkey % 3 + 1 AS INT)) AS level, list_extract(['detection', 'correlation', 'filter', 'detection'], CAST(p_partkey % 4 + 1 AS INT)) AS rule_type FROM part")
+_FULL = '{"title": "t", "description": "about", "author": "me", "date": "2024-01-01", "references": ["a", "b"], "tags": ["attack.t1059"], "status": "test", "logsource": {"product": "windows", "category": "process"}, "detection": {"x": "y"}, "fields": ["f"], "falsepositives": ["none", "few"]}'
+
+
+def _sigma_columns(t: Tables) -> DataFrame:
+    """Every other rule with a whole document; lists as text."""
+    given = _sigma(t).withColumn("document", F.when(F.length("document") % 2 == 0, F.lit(_FULL)).otherwise(F.col("document")))
+    out = rules.sigma_project(given)
+    return out.withColumns({k: F.array_join(k, ",") for k in ("references", "tags", "fields", "falsepositives")})
+
+
+_FULLSQL = lambda v, other="NULL": f"CASE WHEN even THEN '{v}' ELSE {other} END"
+add("sigma_project", _sigma_columns, f"""WITH d AS (SELECT *, {_DOC} AS given FROM part), x AS (SELECT *, length(given) % 2 = 0 AS even, CASE WHEN length(given) % 2 = 0 THEN {quoted(_FULL)} ELSE given END AS doc FROM d)
+SELECT CASE WHEN p_size > 10 THEN 'id-' || p_partkey ELSE 'sigma_' || substr(sha256(doc), 1, 16) END AS rule_id, CASE WHEN p_size <> 20 THEN p_name ELSE '' END AS title, 'sigma' AS source_format, sha256(doc) AS content_sha256,
+{_FULLSQL('about')} AS description, {_FULLSQL('me')} AS author, {_FULLSQL('2024-01-01')} AS date, NULL AS modified, NULL AS license, {_FULLSQL('a,b', "''")} AS "references", {_FULLSQL('attack.t1059', "''")} AS tags,
+list_extract(['low', 'HIGH', 'odd'], CAST(p_partkey % 3 + 1 AS INT)) AS level, {_FULLSQL('test')} AS status, {_FULLSQL('windows', "CASE p_partkey % 4 WHEN 0 THEN 'x' END")} AS logsource_product, NULL AS logsource_service, {_FULLSQL('process')} AS logsource_category,
+list_extract(['low', 'HIGH', 'odd'], CAST(p_partkey % 3 + 1 AS INT)) AS rule_level, {_FULLSQL('test')} AS rule_status, {_FULLSQL('{"x":"y"}', "CASE p_partkey % 4 WHEN 0 THEN '{\"condition\":\"s\"}' WHEN 1 THEN '{\"type\":\"count\"}' END")} AS detection_body,
+CASE WHEN even THEN 'detection' ELSE list_extract(['detection', 'correlation', 'filter', 'detection'], CAST(p_partkey % 4 + 1 AS INT)) END AS rule_type, {_FULLSQL('f', "''")} AS fields, {_FULLSQL('none,few', "''")} AS falsepositives FROM x""")
 add("sigma_validate", lambda t: rules.sigma_validate(_sigma(t)).select("rule_id", F.array_join("errors", ";").alias("errors")))
 add("sigma_note", lambda t: rules.sigma_note(_sigma(t).withColumn("rule_id", F.coalesce("id", F.lit("none")))))
 YTAGS = ("T1059", "attack.t1059.001", "CVE_2021_44228", "cve-2024-12345", "apt", "Webshell", "my_tag")
@@ -58,11 +74,22 @@ def _yara(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("name"), F.col("p_name").alias("raw"), meta.alias("meta"), F.array(_pick(YTAGS)).alias("tags"), "p_size")
 
 
-add("yara_project", lambda t: rules.yara_project(_yara(t)), "SELECT CASE WHEN p_size > 5 THEN lpad(CAST(p_partkey AS VARCHAR), 16, '0') ELSE 'yara_' || substr(sha256(p_name), 1, 16) END AS rule_id, p_name AS name, 'a' AS author, p_name AS description FROM part")
+def _yara_columns(t: Tables) -> DataFrame:
+    raw = F.concat(F.when(F.col("p_size") % 2 == 0, "private ").otherwise("global private "), F.lit("rule r"), F.lit(" {\n strings:\n $a = \"x\"\n condition:\n  any of them\n}"))
+    more = F.map_concat("meta", F.create_map(F.lit("status"), F.lit("RELEASED"), F.lit("sharing"), F.lit("TLP:CLEAR"), F.lit("hash"), F.when(F.col("p_size") > 20, "h1").otherwise("")))
+    out = rules.yara_project(_yara(t).withColumn("raw", raw).withColumn("meta", more).withColumn("rule_number", F.col("rule_id")))
+    return out.withColumns({k: F.array_join(k, ",") for k in ("references", "tags", "hash_of_sample")})
+
+
+_RAW = "CASE WHEN p_size % 2 = 0 THEN 'private ' ELSE 'global private ' END || 'rule r {' || chr(10) || ' strings:' || chr(10) || ' $a = \"x\"' || chr(10) || ' condition:' || chr(10) || '  any of them' || chr(10) || '}'"
+add("yara_project", _yara_columns, f"""WITH y AS (SELECT *, {_RAW} AS raw FROM part) SELECT CASE WHEN p_size > 5 THEN lpad(CAST(p_partkey AS VARCHAR), 16, '0') ELSE 'yara_' || substr(sha256(raw), 1, 16) END AS rule_id, p_name AS title, 'yara' AS source_format, sha256(raw) AS content_sha256,
+p_name AS description, 'a' AS author, NULL AS date, NULL AS modified, '' AS "references", {_pick_sql(YTAGS)} AS tags, 'released' AS status, 'TLP:CLEAR' AS tlp, p_name AS name, CASE WHEN p_size > 5 THEN lpad(CAST(p_partkey AS VARCHAR), 16, '0') END AS cccs_id,
+NULL AS fingerprint, NULL AS category, CASE WHEN p_size > 30 THEN 'loader' END AS technique_tag, CASE WHEN p_size % 2 = 0 THEN '1.0' ELSE 'one' END AS cccs_version, CASE WHEN p_size > 20 THEN 'h1' ELSE '' END AS hash_of_sample,
+true AS is_private, p_size % 2 <> 0 AS is_global, 'any of them' AS condition FROM y""")
 add("yara_edges", lambda t: rules.yara_edges(_yara(t)), f"SELECT p_partkey AS rule_id, 'detects' AS rel, 'AttackPattern' AS to_type, unnest(['T1059', 'T1027']) AS to_value FROM part UNION ALL SELECT p_partkey, 'tagged_with', 'YaraTag', 'loader' FROM part WHERE p_size > 30 UNION ALL SELECT p_partkey, 'attributed_to', 'ThreatActor', 'APT28' FROM part WHERE p_size > 40 UNION ALL SELECT p_partkey, CASE {_LIST(_YK)} WHEN 'AttackPattern' THEN 'detects' WHEN 'Vulnerability' THEN 'references_cve' ELSE 'tagged_with' END, {_LIST(_YK)}, {_LIST(_YV)} FROM part")
 _HARD = "array_to_string(list_filter([CASE WHEN p_size <= 5 THEN 'missing required CCCS field: id' END, 'missing required CCCS field: fingerprint', 'missing required CCCS field: modified', 'missing required CCCS field: status', 'missing required CCCS field: sharing', 'missing required CCCS field: source', 'missing required CCCS field: category', CASE WHEN p_size <= 5 THEN 'id: empty value' END, CASE WHEN p_size % 2 <> 0 THEN 'version: wrong form' END], lambda x: x IS NOT NULL), ';')"
 add("cccs_validate", lambda t: rules.cccs_validate(_yara(t), "strict").select("rule_id", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"), "accepted"), f"SELECT p_partkey AS rule_id, {_HARD} AS errors, 'mitre_att: wrong form' AS warnings, false AS accepted FROM part")
-add("cccs_tier_gate", lambda t: rules.cccs_tier_gate(rules.cccs_validate(_yara(t), "warn"), "warn").select("rule_id", "compliance", "accepted"), "SELECT p_partkey AS rule_id, 'partial' AS compliance, true AS accepted FROM part")
+add("cccs_tier_gate", lambda t: rules.cccs_tier_gate(rules.cccs_validate(_yara(t), "warn"), "warn").select("rule_id", "compliance", "accepted"), "SELECT p_partkey AS rule_id, 'warn' AS compliance, true AS accepted FROM part")
 ANSWERS = ('{"summary": "s", "mechanism": "m", "related_techniques": ["T1", "T2"], "confidence": 3}', '{"confidence": "0.5"}', "no json")
 add("rule_explanation_coerce", lambda t: rules.rule_explanation_coerce(t.part.select(F.col("p_partkey").alias("rule_id"), _pick(ANSWERS).alias("json"))).withColumn("related_techniques", F.array_join("related_techniques", ",")), f"SELECT p_partkey AS rule_id, {_LIST(('s', 'explanation unavailable: missing summary', 'explanation unavailable: missing summary'))} AS summary, {_LIST(('m', '', ''))} AS mechanism, {_LIST(('T1,T2', '', ''))} AS related_techniques, list_extract([1.0, 0.5, 0.0], CAST(p_partkey % 3 + 1 AS INT)) AS confidence FROM part")
 add("rule_prompt_prepare", lambda t: rules.rule_prompt_prepare(t.documents.select(F.col("doc_id").alias("rule_id"), F.concat(F.lit("</rule>"), "text").alias("document")), 500), "SELECT doc_id AS rule_id, replace(substr('</rule>' || text, 1, 500), '</rule>', '<\\/rule>') AS body FROM documents")
@@ -77,7 +104,14 @@ def _entities(t: Tables) -> DataFrame:
 
 
 ENTITIES = f"WITH e AS (SELECT 'e' || p_partkey AS id, {_pick_sql(_TYPES)} AS type, p_name, p_size FROM part)"
-add("validate_entities", lambda t: ontology.validate_entities(_entities(t)), f"{ENTITIES}, m AS (SELECT id, CASE WHEN type = 'Person' AND p_size <= 10 THEN 'name' WHEN type = 'Task' THEN 'status' ELSE '' END AS missing, p_size > 45 AS ends_early FROM e) SELECT id, missing, ends_early, missing = '' AND NOT ends_early AS valid FROM m")
+def _types(t: Tables) -> DataFrame:
+    """Built-in types under a user's for events, which order their times, forbid a name for short names and list titles."""
+    user = t.spark.createDataFrame([("Event", ["title", "start"], ["secret"], {"name": ["red", "blue"]}, True), ("Task", ["title"], ["name"], {}, False)], ontology.TYPE_SCHEMA)
+    return ontology.schema_overlay(ontology.entity_types(t.spark), user, "type")
+
+
+add("validate_entities", lambda t: ontology.validate_entities(_entities(t)), f"{ENTITIES}, m AS (SELECT id, CASE WHEN type = 'Person' AND p_size <= 10 THEN 'name' WHEN type = 'Task' THEN 'status' ELSE '' END AS missing FROM e) SELECT id, missing, '' AS forbidden, '' AS invalid, false AS ends_early, missing = '' AS valid FROM m")
+add("validate_entities_user_types", lambda t: ontology.validate_entities(_entities(t), _types(t)), f"{ENTITIES}, m AS (SELECT id, CASE WHEN type = 'Person' AND p_size <= 10 THEN 'name' ELSE '' END AS missing, CASE type WHEN 'Task' THEN 'name' ELSE '' END AS forbidden, CASE type WHEN 'Event' THEN 'name' ELSE '' END AS invalid, type = 'Event' AND p_size > 45 AS ends_early FROM e) SELECT *, missing || forbidden || invalid = '' AND NOT ends_early AS valid FROM m")
 _RELS = ("has_assignee", "blocks", "custom")
 
 

@@ -37,14 +37,28 @@ add("operation_metrics", lambda t: telemetry.operation_metrics(t.telemetry), f"{
 add("rate_violations", lambda t: telemetry.rate_violations(t.events, "event_type", 3, 3600), "SELECT event_id, event_type, n FROM (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) x WHERE n > 3")
 
 
-def _logs(t: Tables) -> DataFrame:
-    kind = F.element_at(F.array(*[F.lit(c[0]) for c in telemetry.OCSF_CLASSES]), (F.col("event_id") % 3 + 1).cast("int"))
-    return t.events.select("event_id", "ts", kind.alias("kind"), (F.col("event_id") % 4).cast("int").alias("activity_id"), F.col("event_type").alias("activity"), (F.col("event_id") % 7).cast("int").alias("severity_id"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"))
+_KINDS = ("api", "authentication", "authorization", "config", "file", "process", "account", "other")
+_DONE = ("Create", "Read", "Update", "Delete", "Start", "Crash", "Disable", "recall", "Stop", "Restart", "none")
+
 
+def _at(values: tuple[str, ...]):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
 
-add("ocsf_normalize", lambda t: telemetry.ocsf_normalize(_logs(t)), """WITH c AS (SELECT * FROM (VALUES (0, 3002, 'Authentication', 3, 'Identity & Access Management'), (1, 6003, 'API Activity', 6, 'Application Activity'), (2, 1001, 'File System Activity', 1, 'System Activity')) v(k, class_uid, class_name, category_uid, category_name))
-SELECT event_id, class_uid, class_name, category_uid, category_name, CAST(event_id % 7 AS INT) AS severity_id, coalesce(list_extract(['Unknown', 'Informational', 'Low', 'Medium', 'High', 'Critical'], CAST(event_id % 7 AS INT) + 1), 'Unknown') AS severity, CAST(event_id % 4 AS INT) AS activity_id, event_type AS activity_name, CASE WHEN event_type <> 'error' THEN 1 ELSE 2 END AS status_id, CASE WHEN event_type <> 'error' THEN 'Success' ELSE 'Failure' END AS status,
-strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, 0 AS timezone_offset, class_uid * 100 + CAST(event_id % 4 AS INT) AS type_uid FROM events JOIN c ON k = event_id % 3""")
+
+def _logs(t: Tables) -> DataFrame:
+    return t.events.select("event_id", "ts", _at(_KINDS).alias("kind"), _at(_DONE).alias("activity"), (F.col("event_id") % 7).cast("int").alias("severity_id"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"))
+
+
+_SQL_AT = lambda values: f"list_extract([{', '.join(map(repr, values))}], CAST(event_id % {len(values)} + 1 AS INT))"
+add("ocsf_normalize", lambda t: telemetry.ocsf_normalize(_logs(t)), f"""WITH c AS (SELECT * FROM (VALUES ('api', 6002, 'API Activity', 6, 'Application Activity'), ('authentication', 3001, 'Authentication', 3, 'Identity & Access Management'), ('authorization', 3003, 'Authorization', 3, 'Identity & Access Management'), ('config', 5002, 'Configuration Change', 5, 'Discovery'), ('file', 1001, 'File Activity', 1, 'System Activity'), ('process', 1007, 'Process Activity', 1, 'System Activity'), ('account', 3005, 'Account Change', 3, 'Identity & Access Management')) v(kind, class_uid, class_name, category_uid, category_name)),
+l AS (SELECT *, {_SQL_AT(_KINDS)} AS kind, {_SQL_AT(_DONE)} AS done, event_type <> 'error' AS ok FROM events),
+a AS (SELECT *, CASE kind WHEN 'api' THEN CASE WHEN ok THEN 1 ELSE 2 END WHEN 'authorization' THEN CASE WHEN ok THEN 1 ELSE 2 END WHEN 'authentication' THEN 1 WHEN 'config' THEN 1
+WHEN 'file' THEN CASE done WHEN 'Create' THEN 1 WHEN 'Read' THEN 2 WHEN 'Update' THEN 3 WHEN 'Delete' THEN 4 ELSE 0 END
+WHEN 'process' THEN CASE done WHEN 'Start' THEN 1 WHEN 'Stop' THEN 2 WHEN 'Crash' THEN 3 WHEN 'Restart' THEN 4 ELSE 0 END
+WHEN 'account' THEN CASE done WHEN 'Create' THEN 1 WHEN 'Update' THEN 2 WHEN 'Disable' THEN 3 WHEN 'Delete' THEN 4 ELSE 0 END ELSE 0 END AS activity_id,
+CASE kind WHEN 'authentication' THEN 'Logon' WHEN 'config' THEN 'Update' WHEN 'authorization' THEN CASE WHEN ok THEN 'Access Grant' ELSE 'Access Deny' END ELSE done END AS activity_name FROM l)
+SELECT event_id, class_uid, class_name, category_uid, category_name, CAST(event_id % 7 AS INT) AS severity_id, coalesce(list_extract(['Unknown', 'Informational', 'Low', 'Medium', 'High', 'Critical'], CAST(event_id % 7 AS INT) + 1), 'Unknown') AS severity, activity_id, activity_name, CASE WHEN ok THEN 1 ELSE 2 END AS status_id, CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS status,
+strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, 0 AS timezone_offset, class_uid * 100 + activity_id AS type_uid FROM a LEFT JOIN c USING (kind)""")
 add("log_tail", lambda t: telemetry.log_tail(_logs(t), 100, "ERROR").select("event_id", "level"), "SELECT event_id, 'ERROR' AS level FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) x WHERE event_type = 'error'")
 
 # scoring

@@ -45,6 +45,61 @@ def read_stix_bundle(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("technique_id").agg(F.min("name").alias("name"))
 
 
+STIX_OBJECTS = (
+    "objects array<struct<type:string,id:string,name:string,description:string,created:string,aliases:array<string>,relationship_type:string,"
+    "source_ref:string,target_ref:string,object_refs:array<string>,external_references:array<struct<source_name:string,external_id:string>>>>"
+)
+
+
+def read_stix_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Every object of the bundle files below ``path``, one row each."""
+    return spark.read.schema(STIX_OBJECTS).option("multiLine", True).json(path).select(F.explode("objects").alias("o")).select("o.*")
+
+
+def stix_extract_reports(objects: DataFrame) -> DataFrame:
+    """(id, name, description, created, kind, entity): named entities that a report's relations point to; a report without
+    any has one row with nulls. Descriptions are cut at 3000 characters."""
+    kinds = ("intrusion-set", "malware", "attack-pattern", "vulnerability", "tool", "campaign")
+    ends = objects.where(F.col("type").isin(*kinds) & (F.coalesce("name", F.lit("")) != "")).select(F.col("id").alias("to_id"), F.col("type").alias("kind"), F.col("name").alias("entity"))
+    rels = objects.where("type = 'relationship' AND relationship_type IN ('related-to', 'uses', 'targets', 'indicates')").select(F.col("source_ref").alias("id"), F.col("target_ref").alias("to_id"))
+    named = rels.join(ends, "to_id").select("id", "kind", "entity").distinct()
+    reports = objects.where("type = 'report'").select("id", "name", F.substring("description", 1, 3000).alias("description"), "created")
+    return reports.join(named, "id", "left").select("id", "name", "description", "created", "kind", "entity")
+
+
+def stix_extract_actor_tools(objects: DataFrame) -> DataFrame:
+    """(id, name, aliases, kind, used): malware and tools that an intrusion set uses; a set without any has one row with nulls."""
+    actors = objects.where("type = 'intrusion-set' AND coalesce(name, '') <> ''").select("id", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    used = objects.where("type IN ('malware', 'tool')").select(F.col("id").alias("to_id"), F.col("type").alias("kind"), F.col("name").alias("used"))
+    rels = objects.where("type = 'relationship' AND relationship_type = 'uses'").select(F.col("source_ref").alias("id"), F.col("target_ref").alias("to_id"))
+    return actors.join(rels.join(used, "to_id"), "id", "left").select("id", "name", "aliases", "kind", "used")
+
+
+def stix_technique_ids(objects: DataFrame) -> DataFrame:
+    """(id, name, description, mitre_id) of attack patterns: the first reference of one of the matrices, else an empty text."""
+    refs = F.filter("external_references", lambda r: r["source_name"].isin("mitre-attack", "mitre-mobile-attack", "mitre-ics-attack"))
+    first = F.coalesce(F.get(refs, F.lit(0))["external_id"], F.lit(""))
+    return objects.where("type = 'attack-pattern'").select("id", "name", F.substring("description", 1, 500).alias("description"), first.alias("mitre_id"))
+
+
+def read_kg_log(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of JSON-lines logs, each in its last version, and (skipped) the number of edge lines left out.
+
+    Legacy keys of edges are renamed; lines that aren't JSON, or lack an id, an end or a relation, are left out. Of
+    versions with one id the last by ``updated_at`` counts.
+    """
+    bad = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    node_rows = spark.read.schema("node_id string, entity_type string, entity_value string, updated_at string, _corrupt string").options(**bad).json(nodes)
+    last_nodes = latest(node_rows.where("_corrupt IS NULL AND node_id IS NOT NULL").drop("_corrupt"), "node_id", "updated_at")
+    names = ("edge_id", "from_id", "to_id", "relationship", "source_id", "target_id", "relation_type", "updated_at")
+    lines = spark.read.text(edges).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", ", ".join(f"{n} string" for n in names)).alias("e")).select("e.*")
+    pick = lambda new, old: F.coalesce(new, old).alias(new)
+    rows = parsed.select("edge_id", pick("from_id", "source_id"), pick("to_id", "target_id"), pick("relationship", "relation_type"), "updated_at")
+    whole = F.col("edge_id").isNotNull() & F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & F.col("relationship").isNotNull()
+    return last_nodes, latest(rows.where(whole), "edge_id", "updated_at"), rows.agg(F.count_if(~whole).alias("skipped"))
+
+
 def read_sigma_rules(spark: SparkSession, path: str, limit: int = 1 << 20) -> DataFrame:
     """(path, document as JSON, error) of .yml and .yaml files below ``path``; a bad or too large file is a row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.ya?ml$")).select("path", "length", F.when(F.col("length") <= limit, F.col("content")).alias("content"))
@@ -86,13 +141,13 @@ def read_yara_rules(spark: SparkSession, path: str) -> DataFrame:
 def read_hunt_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(hunt_id, learn, observe, check, keep) of hunt reports; files without an id are dropped."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    part = lambda name: F.trim(F.regexp_extract("value", rf"(?s)##\s*{name}\s*\n(.*?)(?=\n##\s|\Z)", 1)).alias(name.lower())
+    part = lambda name: F.btrim(F.regexp_extract("value", rf"(?ms)^##[ \t]*{name}[ \t]*$(.*?)(?=^##\s|\Z)", 1), F.lit(" \t\r\n")).alias(name.lower())
     return files.select(F.regexp_extract("value", r"(?m)^hunt_id:\s*(\S+)", 1).alias("hunt_id"), *[part(n) for n in ("LEARN", "OBSERVE", "CHECK", "KEEP")]).where("hunt_id <> ''")
 
 
-def flatten_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, session, speaker, text) of multi-session dialogue documents."""
-    docs = spark.read.schema("sample_id string, sessions map<string,array<struct<speaker:string,text:string>>>").option("multiLine", True).json(path)
+def flatten_conversations(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """(sample_id, session, turn, speaker, text) of multi-session dialogue documents: one per file, or with ``many`` one per line."""
+    docs = spark.read.schema("sample_id string, sessions map<string,array<struct<speaker:string,text:string>>>").option("multiLine", not many).json(path)
     return docs.select("sample_id", F.explode("sessions").alias("session", "turns")).select("sample_id", "session", F.posexplode("turns").alias("turn", "t")).select("sample_id", "session", "turn", "t.speaker", "t.text")
 
 
