@@ -69,12 +69,12 @@ FROM events
 """
 
 PREDICTIONS = """
-SELECT l.doc_id, d.lang AS category, lower(substr(d.text, 1, 200)) AS predicted, lower(substr(d.text, 1, 60)) AS gold,
-       l.quality AS expected_label, l.toxic AS predicted_label
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+SELECT CAST(c.conv_id AS STRING) || ':' || CAST(c.turn AS STRING) AS doc_id, c.role AS category,
+       lower(c.text) AS predicted, lower(g.text) AS gold
+FROM conversations c JOIN conversations g ON g.conv_id = c.conv_id AND g.turn + 1 = c.turn
 """
 
-DERIVED = {"notes": (NOTES, ("orders",)), "questions": (QUESTIONS, ("customer",)), "kg_edges": (EDGES, ("orders", "lineitem")), "telemetry": (TELEMETRY, ("events",)), "predictions": (PREDICTIONS, ("labels", "documents"))}
+DERIVED = {"notes": (NOTES, ("orders",)), "questions": (QUESTIONS, ("customer",)), "kg_edges": (EDGES, ("orders", "lineitem")), "telemetry": (TELEMETRY, ("events",)), "predictions": (PREDICTIONS, ("conversations",))}
 
 
 class Tables:

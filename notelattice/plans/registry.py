@@ -24,3 +24,10 @@ def add(name: str, plan: Callable[[Tables], DataFrame], sql: str | None = None)
     QUERIES[name] = run
     if sql is not None:
         ORACLES[name] = sql
+
+
+def add_alias(name: str, of: str) -> None:
+    """Register ``name`` as another name of the query ``of``."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLES:
+        ORACLES[name] = ORACLES[of]

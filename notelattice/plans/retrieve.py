@@ -11,7 +11,7 @@ from ..operators import evolve, extract, graph, index, retrieve
 from .derived import Tables, with_tables
 
 from .notes import ASKED, INDEX, NOTES, asked, entity_index, quoted
-from .registry import add
+from .registry import add, add_alias
 
 COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9)"
 
@@ -26,14 +26,9 @@ def _topk_sql(score: str, k: int, where: str = "true") -> str:
     return f"SELECT query_id, rank, note_id, score FROM (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS note_id, {score} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, CAST(v.vec_id AS VARCHAR)) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND {where}) r WHERE rank <= {k}"
 
 
-def _cosines(t: Tables) -> DataFrame:
-    q, v = _vectors(t)
-    pairs = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")).join(v.select(F.col("vec_id").alias("note_id"), F.col("embedding").alias("b")), F.pmod(F.col("query_id"), F.lit(500)) == F.pmod(F.col("note_id"), F.lit(500)))
-    return pairs.select("query_id", "note_id", F.round(retrieve.cosine_similarity(F.col("a"), F.col("b")), 6).alias("score"))
-
-
-add("cosine_similarity", _cosines, "SELECT q.vec_id AS query_id, v.vec_id AS note_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 500 = v.vec_id % 500 WHERE q.vec_id % 50 = 0")
-add("cosine_similarity_all", lambda t: retrieve.cosine_pairs(*_vectors(t)).withColumn("score", F.round("score", 6)))
+_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS note_id, {COS.replace('9)', '6)')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
+add("cosine_similarity", lambda t: retrieve.cosine_pairs(*_vectors(t)).withColumn("score", F.round("score", 6)), _PAIRS)
+add_alias("cosine_similarity_all", "cosine_similarity")
 add("vector_topk", lambda t: retrieve.vector_topk(*_vectors(t), 10, 0.15), _topk_sql(COS, 10, f"{COS} >= 0.15"))
 add("naive_vector_topk", lambda t: retrieve.vector_topk(*_vectors(t), 5, None), _topk_sql(COS, 5))
 _L2 = "round(1 - sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) ** 2))), 9)"
@@ -167,15 +162,19 @@ DECIDED = f"{NOTES}, decided AS (SELECT note_id AS fact_id, domain AS fact, CASE
 add("decide_operation", lambda t: _decided(t).drop("json"), f"{DECIDED} SELECT * FROM decided")
 add("apply_operations", lambda t: evolve.apply_operations(_decided(t))[0], f"{DECIDED} SELECT fact_id, fact, CASE operation WHEN 'ADD' THEN 'added' WHEN 'UPDATE' THEN 'updated' ELSE 'corrected' END AS status FROM decided WHERE operation <> 'NOOP'")
 _LIVE = "entity_index WHERE entity_type IN ('cve', 'actor', 'tool', 'campaign', 'asset', 'person', 'location', 'organization', 'event', 'activity', 'temporal')"
-SUPER = f"{INDEX}, known AS (SELECT * FROM {_LIVE}), new AS (SELECT note_id AS new_id, created_at AS new_at FROM notes WHERE CAST(substr(note_id, 6) AS BIGINT) % 50 = 0), sh AS (SELECT new_id, b.note_id, count(*) AS n FROM new JOIN known a ON a.note_id = new_id JOIN known b ON b.entity_type = a.entity_type AND b.entity_value = a.entity_value AND b.note_id <> new_id GROUP BY 1, 2), sc AS (SELECT new_id, note_id, o.created_at, round(n + greatest(0, least((epoch(new_at) - epoch(o.created_at)) / 86400, 1)), 9) AS score FROM sh JOIN new USING (new_id) JOIN notes o USING (note_id)), pairs AS (SELECT new_id, note_id AS old_id, score FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, created_at DESC, note_id) AS k FROM sc) r WHERE k = 1 AND score >= 1)"
+_SEARCHED = "CAST(substr(note_id, 6) AS BIGINT) % 50 = 0"
+
+
+def _super(which: str) -> str:
+    return f"{INDEX}, known AS (SELECT * FROM {_LIVE}), new AS (SELECT note_id AS new_id, created_at AS new_at FROM notes WHERE {which}), sh AS (SELECT new_id, b.note_id, count(*) AS n FROM new JOIN known a ON a.note_id = new_id JOIN known b ON b.entity_type = a.entity_type AND b.entity_value = a.entity_value AND b.note_id <> new_id GROUP BY 1, 2), sc AS (SELECT new_id, note_id, o.created_at, round(n + greatest(0, least((epoch(new_at) - epoch(o.created_at)) / 86400, 1)), 9) AS score FROM sh JOIN new USING (new_id) JOIN notes o USING (note_id)), pairs AS (SELECT new_id, note_id AS old_id, score FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, created_at DESC, note_id) AS k FROM sc) r WHERE k = 1 AND score >= 1)"
 
 
-def _pairs(t: Tables) -> DataFrame:
-    return evolve.supersession_candidates(t.notes.where("CAST(substr(note_id, 6) AS BIGINT) % 50 = 0").select("note_id", "created_at"), t.notes, entity_index(t))
+def _pairs(t: Tables, which: str = "true") -> DataFrame:
+    return evolve.supersession_candidates(t.notes.where(which).select("note_id", "created_at"), t.notes, entity_index(t))
 
 
-add("supersession_candidates", _pairs, f"{SUPER} SELECT * FROM pairs")
-add("mark_superseded", lambda t: evolve.mark_superseded(_pairs(t), entity_index(t))[0], f"{SUPER} SELECT 'note:' || new_id AS from_id, 'note:' || old_id AS to_id, 'SUPERSEDES' AS relationship FROM pairs")
+add("supersession_candidates", lambda t: _pairs(t, _SEARCHED), f"{_super(_SEARCHED)} SELECT * FROM pairs")
+add("mark_superseded", lambda t: evolve.mark_superseded(_pairs(t), entity_index(t))[0], f"{_super('true')} SELECT 'note:' || new_id AS from_id, 'note:' || old_id AS to_id, 'SUPERSEDES' AS relationship FROM pairs")
 
 
 def _streams(t: Tables) -> DataFrame:

@@ -92,7 +92,7 @@ add("cccs_validate", lambda t: rules.cccs_validate(_yara(t), "strict").select("r
 add("cccs_tier_gate", lambda t: rules.cccs_tier_gate(rules.cccs_validate(_yara(t), "warn"), "warn").select("rule_id", "compliance", "accepted"), "SELECT p_partkey AS rule_id, 'warn' AS compliance, true AS accepted FROM part")
 ANSWERS = ('{"summary": "s", "mechanism": "m", "related_techniques": ["T1", "T2"], "confidence": 3}', '{"confidence": "0.5"}', "no json")
 add("rule_explanation_coerce", lambda t: rules.rule_explanation_coerce(t.part.select(F.col("p_partkey").alias("rule_id"), _pick(ANSWERS).alias("json"))).withColumn("related_techniques", F.array_join("related_techniques", ",")), f"SELECT p_partkey AS rule_id, {_LIST(('s', 'explanation unavailable: missing summary', 'explanation unavailable: missing summary'))} AS summary, {_LIST(('m', '', ''))} AS mechanism, {_LIST(('T1,T2', '', ''))} AS related_techniques, list_extract([1.0, 0.5, 0.0], CAST(p_partkey % 3 + 1 AS INT)) AS confidence FROM part")
-add("rule_prompt_prepare", lambda t: rules.rule_prompt_prepare(t.documents.select(F.col("doc_id").alias("rule_id"), F.concat(F.lit("</rule>"), "text").alias("document")), 500), "SELECT doc_id AS rule_id, replace(substr('</rule>' || text, 1, 500), '</rule>', '<\\/rule>') AS body FROM documents")
+add("rule_prompt_prepare", lambda t: rules.rule_prompt_prepare(t.documents.select(F.col("doc_id").alias("rule_id"), F.concat(F.lit("</rule>"), "text").alias("document"))), "SELECT doc_id AS rule_id, replace(substr('</rule>' || text, 1, 8192), '</rule>', '<\\/rule>') AS body FROM documents")
 
 # ontology
 _TYPES = ("Person", "Task", "Event", "Unknown")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import evaluate, telemetry
 from .derived import Tables, with_tables
 from .notes import INDEX, NOTES, entity_index
-from .registry import add
+from .registry import add, add_alias
 
 TEL = with_tables("telemetry")
 
@@ -71,11 +71,12 @@ def _norm(c: str) -> str:
     return f"array_to_string(list_filter(string_split_regex(regexp_replace(lower({c}), '{_PUNCT}', '', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('a', 'an', 'the')), ' ')"
 
 
-_SPLIT = PRED + f", p AS (SELECT *, substr(predicted, 31) AS answer, list_distinct({_WORDS.format('gold')}) AS want, list_distinct({_WORDS.format('substr(predicted, 31)')}) AS have FROM predictions)"
+_SPLIT = PRED + f", p AS (SELECT *, predicted AS answer, list_distinct({_WORDS.format('gold')}) AS want, list_distinct({_WORDS.format('predicted')}) AS have FROM predictions)"
 
 
 def _answers(t: Tables) -> DataFrame:
-    return t.predictions.withColumn("answer", F.expr("substr(predicted, 31)"))
+    """Each turn of a conversation is an answer, the turn before it its gold text, both whole."""
+    return t.predictions.withColumn("answer", F.col("predicted"))
 
 
 JUDGED = f"{_SPLIT}, judged AS (SELECT doc_id, category, CASE WHEN contains(lower(answer), lower(gold)) THEN 1.0 WHEN len(want) = 0 THEN 0.0 WHEN len(list_intersect(want, have)) / len(want) >= 0.7 THEN 1.0 WHEN len(list_intersect(want, have)) / len(want) >= 0.3 THEN 0.5 ELSE 0.0 END AS score FROM p)"
@@ -94,51 +95,24 @@ add("substring_match", lambda t: t.predictions.select("doc_id", evaluate.substri
 add("best_of_gold", lambda t: evaluate.best_of_gold(evaluate.token_f1(_answers(t), "doc_id", "answer", "gold").join(t.predictions.select("doc_id", "category"), "doc_id").withColumnRenamed("doc_id", "gold_id"), "category"), f"{_F1} SELECT category, arg_min(doc_id, (-f1, doc_id)) AS gold_id, max(f1) AS f1 FROM f1 JOIN predictions USING (doc_id) GROUP BY 1")
 
 
-def _sets(t: Tables, col: str, n: int) -> DataFrame:
-    return t.predictions.select("doc_id", F.explode(F.split(F.expr(f"substr({col}, 1, {n})"), " ")).alias("value"))
+def _sets(t: Tables, col: str) -> DataFrame:
+    return t.predictions.select("doc_id", F.explode(F.split(col, " ")).alias("value"))
 
 
-_SETS = f"{PRED}, a AS (SELECT DISTINCT doc_id, unnest(string_split(substr(predicted, 1, 100), ' ')) AS v FROM predictions), b AS (SELECT DISTINCT doc_id, unnest(string_split(substr(gold, 1, 60), ' ')) AS v FROM predictions)"
-add("set_prf", lambda t: evaluate.set_prf(_sets(t, "predicted", 100), _sets(t, "gold", 60), "doc_id"), f"{_SETS}, z AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, count(*) FILTER (WHERE a.v IS NOT NULL AND b.v IS NOT NULL) AS tp, count(a.v) AS np, count(b.v) AS ne FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.v = b.v GROUP BY 1) SELECT doc_id, round(tp / np, 6) AS precision, round(tp / ne, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / np) * (tp / ne) / (tp / np + tp / ne) ELSE 0 END, 6) AS f1 FROM z")
+_SETS = f"{PRED}, a AS (SELECT DISTINCT doc_id, unnest(string_split(predicted, ' ')) AS v FROM predictions), b AS (SELECT DISTINCT doc_id, unnest(string_split(gold, ' ')) AS v FROM predictions)"
+add("set_prf", lambda t: evaluate.set_prf(_sets(t, "predicted"), _sets(t, "gold"), "doc_id"), f"{_SETS}, z AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, count(*) FILTER (WHERE a.v IS NOT NULL AND b.v IS NOT NULL) AS tp, count(a.v) AS np, count(b.v) AS ne FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.v = b.v GROUP BY 1) SELECT doc_id, round(tp / np, 6) AS precision, round(tp / ne, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / np) * (tp / ne) / (tp / np + tp / ne) ELSE 0 END, 6) AS f1 FROM z")
 add("attribution_score", lambda t: _answers(t).select("doc_id", evaluate.attribution_score(F.col("answer"), F.col("gold")).alias("score")), f"{_SPLIT} SELECT doc_id, CASE WHEN trim(gold) <> '' AND trim(answer) <> '' AND (contains(trim(answer), trim(gold)) OR contains(trim(gold), trim(answer))) THEN 1.0 WHEN trim(gold) <> '' AND len(list_intersect(want, have)) / len(want) >= 0.5 THEN 0.5 ELSE 0.0 END AS score FROM p")
-add("set_recall_in_text", lambda t: evaluate.set_recall_in_text(_sets(t, "gold", 60), _answers(t).select("doc_id", F.col("answer").alias("text")), "doc_id"), f"{_SETS}, x AS (SELECT b.doc_id, contains(substr(predicted, 31), v) AS hit FROM b JOIN predictions p ON p.doc_id = b.doc_id) SELECT doc_id, count(*) FILTER (WHERE hit) AS found, count(*) AS wanted, round(count(*) FILTER (WHERE hit) / count(*), 6) AS recall FROM x GROUP BY 1")
+add("set_recall_in_text", lambda t: evaluate.set_recall_in_text(_sets(t, "gold"), _answers(t).select("doc_id", F.col("answer").alias("text")), "doc_id"), f"{_SETS}, x AS (SELECT b.doc_id, contains(predicted, v) AS hit FROM b JOIN predictions p ON p.doc_id = b.doc_id) SELECT doc_id, count(*) FILTER (WHERE hit) AS found, count(*) AS wanted, round(count(*) FILTER (WHERE hit) / count(*), 6) AS recall FROM x GROUP BY 1")
 
 
 def _contexts(t: Tables) -> tuple[DataFrame, DataFrame]:
     return _answers(t).select("category", F.col("answer").alias("text")), t.predictions.groupBy("category").agg(F.min("gold").alias("gold"))
 
 
-add("context_precision", lambda t: evaluate.context_precision(*_contexts(t), "category"), f"{PRED}, g AS (SELECT category, list_distinct({_WORDS.format('min(gold)')}) AS g FROM predictions GROUP BY 1) SELECT category, round(avg(CASE WHEN len(list_filter(g, lambda w: contains(substr(predicted, 31), w))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS precision FROM predictions JOIN g USING (category) GROUP BY 1")
+add("context_precision", lambda t: evaluate.context_precision(*_contexts(t), "category"), f"{PRED}, g AS (SELECT category, list_distinct({_WORDS.format('min(gold)')}) AS g FROM predictions GROUP BY 1) SELECT category, round(avg(CASE WHEN len(list_filter(g, lambda w: contains(predicted, w))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS precision FROM predictions JOIN g USING (category) GROUP BY 1")
 add("keyword_presence", lambda t: _answers(t).select("doc_id", F.round(evaluate.keyword_presence(F.col("gold"), F.col("answer")), 6).alias("presence")), f"{_SPLIT} SELECT doc_id, round(CASE WHEN len(want) = 0 THEN 0 ELSE len(list_filter(want, lambda w: contains(lower(answer), w))) / len(want) END, 6) AS presence FROM p")
 
 
-def _turns(t: Tables) -> DataFrame:
-    """Whole texts: each turn of a conversation is predicted, the turn before it is gold."""
-    c = t.conversations
-    gold = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower("text").alias("gold"))
-    return c.join(gold, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.col("role").alias("category"), F.lower("text").alias("predicted"), "gold")
-
-
-def _turn_words(t: Tables, col: str) -> DataFrame:
-    return _turns(t).select("doc_id", F.explode(F.split(col, " ")).alias("value"))
-
-
-def _turns_judged(t: Tables) -> DataFrame:
-    return _turns(t).select("doc_id", "category", evaluate.keyword_judge(F.col("predicted"), F.col("gold")).alias("score"))
-
-
-add("whole_keyword_judge", _turns_judged)
-add("whole_normalize_answer", lambda t: _turns(t).select("doc_id", evaluate.normalize_answer(F.col("predicted")).alias("answer")))
-add("whole_token_f1", lambda t: evaluate.token_f1(_turns(t), "doc_id", "predicted", "gold"))
-add("whole_exact_match", lambda t: _turns(t).select("doc_id", evaluate.exact_match(F.col("predicted"), F.col("gold")).alias("score")))
-add("whole_substring_match", lambda t: _turns(t).select("doc_id", evaluate.substring_match(F.col("predicted"), F.col("gold")).alias("score")))
-add("whole_best_of_gold", lambda t: evaluate.best_of_gold(evaluate.token_f1(_turns(t), "doc_id", "predicted", "gold").join(_turns(t).select("doc_id", "category"), "doc_id").withColumnRenamed("doc_id", "gold_id"), "category"))
-add("whole_set_prf", lambda t: evaluate.set_prf(_turn_words(t, "predicted"), _turn_words(t, "gold"), "doc_id"))
-add("whole_attribution_score", lambda t: _turns(t).select("doc_id", evaluate.attribution_score(F.col("predicted"), F.col("gold")).alias("score")))
-add("whole_set_recall_in_text", lambda t: evaluate.set_recall_in_text(_turn_words(t, "gold"), _turns(t).select("doc_id", F.col("predicted").alias("text")), "doc_id"))
-add("whole_context_precision", lambda t: evaluate.context_precision(_turns(t).select("category", F.col("predicted").alias("text")), _turns(t).groupBy("category").agg(F.min("gold").alias("gold")), "category"))
-add("whole_keyword_presence", lambda t: _turns(t).select("doc_id", F.round(evaluate.keyword_presence(F.col("gold"), F.col("predicted")), 6).alias("presence")))
-add("whole_accuracy_by_category", lambda t: evaluate.accuracy_by_category(_turns_judged(t)))
 add("negative_score", lambda t: evaluate.negative_score(t.documents, t.labels.where("toxic = 1"), "doc_id"), "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0.0 ELSE 1.0 END AS score FROM documents")
 
 
@@ -146,6 +120,9 @@ def _status():
     return F.element_at(F.array(*[F.lit(x) for x in ("Created", "updated ", "noop", "corrected")]), (F.col("importance") % 4 + 1).cast("int"))
 add("evolve_score", lambda t: t.notes.select("note_id", evaluate.evolve_score(F.when(F.col("importance") != 7, _status()), F.when(F.col("tier") == "A", "added").otherwise("updated"), F.array(F.lit("noop"))).alias("score")), f"{NOTES}, s AS (SELECT note_id, tier, CASE WHEN importance = 7 THEN 'unknown' ELSE list_extract(['added', 'updated', 'noop', 'corrected'], CAST(importance % 4 + 1 AS INT)) END AS st FROM notes) SELECT note_id, CASE WHEN st = CASE WHEN tier = 'A' THEN 'added' ELSE 'updated' END THEN 1.0 WHEN st = 'noop' THEN 0.5 ELSE 0.0 END AS score FROM s")
 add("accuracy_by_category", lambda t: evaluate.accuracy_by_category(_judged(t)), f"{JUDGED} SELECT category, count(*) AS n, round(100 * avg(CAST(score = 1 AS DOUBLE)), 6) AS exact_percent, round(avg(score), 6) AS mean_score FROM judged GROUP BY ROLLUP (category)")
+#: Other names of the same queries.
+for _name in ("keyword_judge", "normalize_answer", "token_f1", "exact_match", "substring_match", "best_of_gold", "set_prf", "attribution_score", "set_recall_in_text", "context_precision", "keyword_presence", "accuracy_by_category"):
+    add_alias(f"whole_{_name}", _name)
 add("qa_sample_per_category", lambda t: evaluate.qa_sample_per_category(t.predictions, "category", "doc_id", 5).select("doc_id", "category"), f"{PRED} SELECT doc_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS k FROM predictions) x WHERE k <= 5")
 
 
