@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import INTENT_KEYWORDS, POLICIES
 from ..functions.lineage import cut
-from . import extract, graph
+from . import extract, graph, index as postings
 from .notes import expire_filter
 
 BLOCK = 2048
@@ -193,8 +193,13 @@ def _top(rows: DataFrame, k: int, *order) -> DataFrame:
 
 def blend_weighted(vector: DataFrame, graph_: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, note_id, score): normalised scores times the query's weights (query_id, vector, graph), summed."""
-    v = minmax_normalize(vector).select("query_id", "note_id", F.col("score").alias("vs"))
-    g = minmax_normalize(graph_).select("query_id", "note_id", F.col("score").alias("gs"))
+    return _fuse(minmax_normalize(vector), minmax_normalize(graph_), weights, k)
+
+
+def _fuse(vector: DataFrame, graph_: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``blend_weighted`` of scores that are normalised already."""
+    v = vector.select("query_id", "note_id", F.col("score").alias("vs"))
+    g = graph_.select("query_id", "note_id", F.col("score").alias("gs"))
     w = weights.select("query_id", F.col("vector").alias("wv"), F.col("graph").alias("wg"))
     both = v.join(g, ["query_id", "note_id"], "full").join(w, "query_id")
     score = F.coalesce(F.col("vs") * F.col("wv"), F.lit(0.0)) + F.coalesce(F.col("gs") * F.col("wg"), F.lit(0.0))
@@ -240,10 +245,11 @@ def temporal_boost(scored: DataFrame, queries: DataFrame, notes: DataFrame) -> D
     return rows.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "note_id", "dated")
 
 
-def entity_augment(ranked: DataFrame, hits: DataFrame, most: int = 3) -> DataFrame:
-    """(query_id, rank, note_id): up to ``most`` entity hits that the ranked list lacks, after its end."""
+def entity_augment(ranked: DataFrame, hits: DataFrame, most: int | None = 3) -> DataFrame:
+    """(query_id, rank, note_id): up to ``most`` (None: all) entity hits that the ranked list lacks, after its end."""
     new = hits.join(ranked.select("query_id", "note_id"), ["query_id", "note_id"], "left_anti")
-    new = new.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "note_id"))).where(F.col("k") <= most)
+    new = new.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "note_id")))
+    new = new if most is None else new.where(F.col("k") <= most)
     ends = ranked.groupBy("query_id").agg(F.max("rank").alias("last"))
     return ranked.select("query_id", "rank", "note_id").union(new.join(ends, "query_id", "left").select("query_id", (F.coalesce("last", F.lit(0)) + F.col("k")).alias("rank"), "note_id"))
 
@@ -268,25 +274,62 @@ def rerank(ranked: DataFrame, queries: DataFrame, notes: DataFrame, scorer=token
     return rows.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "note_id", "score")
 
 
-def recall(queries: DataFrame, notes: DataFrame, index: DataFrame, k: int = 10, as_of: str | None = None) -> DataFrame:
-    """(query_id, rank, note_id): intent and policy, vector and graph candidates, fusion, entity hits, then live notes only.
+def recall(queries: DataFrame, notes: DataFrame, index: DataFrame, k: int = 10, as_of: str | None = None, superseded: DataFrame | None = None, edges: DataFrame | None = None, links: DataFrame | None = None, scorer=token_overlap) -> DataFrame:
+    """(query_id, rank, note_id): the whole retrieval, in the order of its steps.
 
-    ``queries`` (query_id, text); ``notes`` with content_raw, created_at, persistence; ``index`` postings.
+    1. Vector top-k with entity boost and, with ``links`` (note_id, related), linked notes; for temporal questions dated
+       notes come first.
+    2. Graph walk of two hops from the question's entities over ``edges`` (from_id, to_id, relationship, edge_type; by
+       default the postings), fused with the vector scores by the intent's weights. A question with fewer fused notes than
+       vector ones takes the latter in their order.
+    3. Causal questions add the notes at the ends of causal edges within three hops, both ways; then each entity adds its
+       newest three notes.
+    4. Reranking by ``scorer`` (None: none); notes of ``superseded`` (note_id) and those expired at ``as_of`` go; k stay.
+
+    ``queries`` (query_id, text); ``notes`` with content_raw, created_at, persistence; ``index`` postings. Aliases are
+    resolved on both sides. Questions that find nothing have no row.
     """
-    intents = traversal_policy(queries.select("query_id", classify_intent(F.col("text"))["intent"].alias("intent")))
-    asked = extract.extract_all_long(queries, "text", "query_id", ("cve", "tool", "intrusion_set", "actor", "attack_pattern"))
+    intents = cut(traversal_policy(queries.select("query_id", classify_intent(F.col("text"))["intent"].alias("intent"))))
+    named = lambda d, key: extract.resolve_alias(d).select(key, "entity_type", F.col("canonical").alias("entity_value")).distinct()
+    known = named(index, "note_id")
+    asked = cut(named(extract.extract_all_long(queries, "text", "query_id"), "query_id"))
+    node = F.concat_ws(":", "entity_type", "entity_value")
+
     qv = embed_batch(queries.withColumn("query_id", F.col("query_id").cast("string")), "query_id", "text")
-    vector = vector_topk(qv, embed_batch(notes, "note_id", "content_raw"), 2 * k)
-    vector = vector.join(queries.select(F.col("query_id").cast("string").alias("q"), F.col("query_id").alias("id")), F.col("query_id") == F.col("q")).select(F.col("id").alias("query_id"), "note_id", "score")
-    vector = entity_boost(vector, asked, index, notes)
-    edges = index.select(F.concat_ws(":", "entity_type", "entity_value").alias("from_id"), F.concat(F.lit("note:"), "note_id").alias("to_id"))
-    walked = graph.graph_retrieve(edges, asked.select("query_id", F.concat_ws(":", "entity_type", "entity_value").alias("node")), 1)
-    newest = walked.select("query_id", F.substring("note", 6, 1000).alias("note_id"), "score").join(notes.select("note_id", "created_at"), "note_id")
-    near = newest.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), "note_id"))).where(F.col("k") <= 2 * k).select("query_id", "note_id", "score")
-    fused = blend_weighted(vector, near, intents, k)
-    live = expire_filter(notes, as_of) if as_of else notes
-    kept = fused.join(live.select("note_id"), "note_id", "left_semi")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).select("query_id", "rank", "note_id")
+    found = vector_topk(qv, embed_batch(notes, "note_id", "content_raw"), k).withColumnRenamed("query_id", "q")
+    ids = queries.select(F.col("query_id").cast("string").alias("q"), "query_id")
+    vector = entity_boost(found.join(ids, "q").select("query_id", "note_id", "score"), asked, known, notes)
+    vector = cut(expand_links(vector, links) if links is not None else vector)
+
+    if edges is None:
+        edges = known.select(node.alias("from_id"), F.concat(F.lit("note:"), "note_id").alias("to_id"), F.lit("MENTIONED_IN").alias("relationship"), F.lit("heuristic").alias("edge_type"))
+    starts = asked.select("query_id", node.alias("node"))
+    walked = cut(graph.graph_retrieve(edges, starts, 2).select("query_id", F.substring("note", 6, 1000).alias("note_id"), "score"))
+    # only a query's k best by the graph or its vector hits can be among the fused k; bounds come from all walked
+    near = _top(walked, k).select("query_id", "note_id", "score").union(walked.join(vector.select("query_id", "note_id"), ["query_id", "note_id"], "left_semi").select("query_id", "note_id", "score")).distinct()
+    near = near.join(walked.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi")), "query_id")
+    near = near.withColumn("score", F.when(F.col("hi") - F.col("lo") < 1e-9, 0.5).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
+    fused = cut(_fuse(minmax_normalize(vector), near, intents, k))
+    number = lambda d, name: d.groupBy("query_id").agg(F.count("*").alias(name))
+    short = number(vector, "nv").join(number(fused, "nf"), "query_id", "left").where("coalesce(nf, 0) < nv").select("query_id")
+    ordered = temporal_boost(vector, queries, notes).where(F.col("rank") <= k).select("query_id", "rank", "note_id")
+    ranked = cut(fused.join(short, "query_id", "left_anti").select("query_id", "rank", "note_id").union(ordered.join(short, "query_id", "left_semi")))
+
+    why = starts.join(intents.where("intent = 'causal'").select("query_id"), "query_id", "left_semi")
+    chains = [graph.causal_chain(edges, why.select("node").distinct(), forward, 3) for forward in (True, False)]
+    chain = chains[0].union(chains[1]).join(why, F.col("start") == F.col("node")).select("query_id", "from_id", "to_id")
+    caused = causal_augment(ranked, chain).select("query_id", F.regexp_replace("note_id", "^note:", "").alias("note_id")).distinct()
+    ranked = cut(entity_augment(ranked, caused.join(notes.select("note_id"), "note_id", "left_semi").withColumn("rank", F.lit(1)), None))
+    entity = F.struct("entity_type", "entity_value")
+    newest = postings.recall_entity(known, asked.select(entity.alias("query_id"), "entity_type", "entity_value").distinct(), notes, 3)
+    hits = asked.select("query_id", entity.alias("e")).join(newest.withColumnRenamed("query_id", "e"), "e").groupBy("query_id", "note_id").agg(F.min("rank").alias("rank"))
+    ranked = entity_augment(ranked, hits, None)
+
+    ranked = rerank(ranked, queries, notes, scorer).select("query_id", "rank", "note_id") if scorer else ranked
+    live = (expire_filter(notes, as_of) if as_of else notes).select("note_id")
+    live = live if superseded is None else live.join(superseded.select("note_id").distinct(), "note_id", "left_anti")
+    kept = ranked.join(live, "note_id", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "note_id"))).where(F.col("rank") <= k).select("query_id", "rank", "note_id")
 
 
 def format_context(ranked: DataFrame, notes: DataFrame, budget: int = 500) -> DataFrame:

@@ -121,7 +121,17 @@ def _causal(t: Tables) -> DataFrame:
 add("causal_augment", _causal)
 add("rerank", _per_text(lambda t: retrieve.rerank(_ranked(t), t.questions, t.notes)), f"""{RANKED}, w AS (SELECT r.*, list_distinct(list_filter(string_split_regex(lower(q.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(substr(n.content_raw, 1, 512)), '\\s+'), lambda x: x <> '')) AS b FROM ranked r JOIN questions q USING (query_id) JOIN notes n ON n.note_id = r.note_id),
 s AS (SELECT query_id, rank AS before, note_id, round(len(list_intersect(a, b)) / len(a), 9) AS score FROM w) SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, note_id) AS rank FROM s""")
-add("recall", lambda t: retrieve.recall(t.questions.where("query_id % 50 = 0"), t.notes, entity_index(t), 10))
+
+
+def _recall(t: Tables) -> DataFrame:
+    known = entity_index(t)
+    kind = F.when(F.col("entity_type") == "intrusion_set", "causal").otherwise("heuristic")
+    edges = known.select(F.concat_ws(":", "entity_type", "entity_value").alias("from_id"), F.concat(F.lit("note:"), "note_id").alias("to_id"), F.lit("MENTIONED_IN").alias("relationship"), kind.alias("edge_type"))
+    gone = _pairs(t).select(F.col("old_id").alias("note_id"))
+    return retrieve.recall(t.questions.where("query_id % 50 = 0"), t.notes, known, 10, superseded=gone, edges=edges)
+
+
+add("recall", _recall)
 add("format_context", _per_text(lambda t: retrieve.format_context(_ranked(t), t.notes, 100)), f"{RANKED} SELECT query_id, substr(string_agg('[' || rank || '] ' || substr(content_raw, 1, 300), chr(10) ORDER BY rank), 1, 400) AS context FROM ranked JOIN notes USING (note_id) GROUP BY 1")
 _STOP = ", ".join(map(quoted, retrieve.QUESTION_STOPWORDS))
 add("keyword_inject", lambda t: retrieve.keyword_inject(t.questions.where("query_id % 50 = 0"), t.notes, _ranked(t).select("query_id", "note_id"), 3),

@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from notelattice.functions.rules import TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, graph, notes, ontology, retrieve, rules
 from notelattice.sources import tables
 from notelattice.streaming import jobs
@@ -90,6 +91,70 @@ def test_recall_answers_a_question_and_drops_expired_notes(spark):
     assert got[0] == "n1" and "n2" not in got
 
 
+def test_recall_equals_plain_python(spark):
+    """Every step of the retrieval again, one question at a time."""
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    texts = ["APT28 uses Mimikatz", "APT28 uses Metasploit in 2023", "APT29 exploited CVE-2024-0001", "weather is fine", "Fancy Bear dropped Mimikatz", "CVE-2024-0001 in 2023 by APT28"]
+    made = [(f"n{i:02}", f"{texts[i % 6]} case {i % 4}", day + datetime.timedelta(days=i % 9), ("knowledge", "memory")[i % 5 == 0]) for i in range(40)]
+    n = spark.createDataFrame(made, "note_id string, content_raw string, created_at timestamp, persistence string")
+    asks = ["What tools does APT28 use?", "When did APT28 act before or after 2023?", "Why did APT28 succeed because of what?", "What is CVE-2024-0001?", "fine weather case 2", "hello", "", "Tell me about Mimikatz and APT29"]
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id int, text string")
+    idx = extract.extract_all_long(n)
+    resolved = extract.resolve_alias(idx).select("note_id", "entity_type", F.col("canonical").alias("entity_value")).distinct()
+    known = [(r.entity_type, r.entity_value, r.note_id) for r in resolved.collect()]
+    links = [(f"n{i:02}", f"n{i + 1:02}") for i in range(0, 39, 3)]
+    edges = [(f"{t}:{v}", f"note:{m}", "MENTIONED_IN", "causal" if v == "apt28" and m < "n10" else "heuristic") for t, v, m in known]
+    gone, k, as_of = {"n01", "n06"}, 6, "2024-02-05"
+    e = spark.createDataFrame(edges, "from_id string, to_id string, relationship string, edge_type string")
+    got = retrieve.recall(q, n, idx, k, as_of, spark.createDataFrame([(g,) for g in gone], "note_id string"), e, spark.createDataFrame(links, "note_id string, related string")).collect()
+
+    vec = {r.note_id: list(r.vector) for r in retrieve.embed_batch(n, "note_id", "content_raw").collect()}
+    qvec = {r.query_id: list(r.vector) for r in retrieve.embed_batch(q, "query_id", "text").collect()}
+    intent = {r.query_id: r for r in retrieve.traversal_policy(q.select("query_id", retrieve.classify_intent(F.col("text"))["intent"].alias("intent"))).collect()}
+    ents = {}
+    for r in extract.resolve_alias(extract.extract_all_long(q, "text", "query_id")).collect():
+        ents.setdefault(r.query_id, set()).add((r.entity_type, r.canonical))
+    content, made_at = {m[0]: m[1] for m in made}, {m[0]: m[2] for m in made}
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1
+    spread = lambda d: {x: 0.5 if max(d.values()) - min(d.values()) < 1e-9 else (s - min(d.values())) / (max(d.values()) - min(d.values())) for x, s in d.items()}
+    best = lambda d: sorted(d, key=lambda x: (-d[x], x))
+    want = []
+    for i, text in enumerate(asks):
+        mine = ents.get(i, set())
+        cos = {x: round(sum(a * b for a, b in zip(v, qvec[i])) / norm(v) / norm(qvec[i]), 9) for x, v in vec.items()}
+        cos = {x: s for x, s in cos.items() if s >= 0.15}
+        top = {x: cos[x] for x in best(cos)[:k]}
+        top = {x: s * 2.5 ** len({v for _, v in mine} & {v for _, v, m in known if m == x}) for x, s in top.items()}
+        new = {}
+        for a, b in links:
+            if a in top and b not in top:
+                new[b] = max(new.get(b, 0), top[a] / 2)
+        top |= {x: new[x] for x in best(new)[: 20 - len(top)]}
+        walked = {m: 0.5 for t, v, m in known if (t, v) in mine}
+        vs, gs = (spread(d) if d else {} for d in (top, walked))
+        fused = {x: round(vs.get(x, 0) * intent[i].vector + gs.get(x, 0) * intent[i].graph, 9) for x in vs.keys() | gs.keys()}
+        out = best(fused)[:k]
+        if len(out) < len(top):
+            year = "2023" if intent[i].intent == "temporal" and "2023" in text else None
+            out = sorted(top, key=lambda x: (not (year and (year in content[x] or year == str(made_at[x].year))), -top[x], x))[:k]
+        if intent[i].intent == "causal":
+            starts = {f"{t}:{v}" for t, v in mine}
+            out += sorted({b[5:] for a, b, _, kind in edges if kind == "causal" and a in starts} - set(out))
+        hits = {}
+        for t, v in mine:
+            for rank, x in enumerate(sorted({m for a, b, m in known if (a, b) == (t, v)}, key=lambda x: (-made_at[x].timestamp(), x))[:3], 1):
+                hits[x] = min(hits.get(x, 9), rank)
+        out += sorted(hits.keys() - set(out), key=lambda x: (hits[x], x))
+        asked_words = set(text.lower().split())
+        share = {x: round(len(asked_words & set(content[x].lower().split())) / max(len(asked_words), 1), 9) for x in out}
+        out = sorted(out, key=lambda x: (-share[x], out.index(x)))
+        old = lambda x: made[int(x[1:])][3] == "memory" and (datetime.date.fromisoformat(as_of) - made_at[x].date()).days > dict(TTL_DAYS)["memory"]
+        want += [(i, r, x) for r, x in enumerate([x for x in out if x not in gone and not old(x)][:k], 1)]
+    assert sorted(tuple(r) for r in got) == want and len({r.query_id for r in got}) >= 6
+
+
 def test_supersession_replay_and_shift_follow_order(spark):
     n = spark.createDataFrame([("a", "s", 1), ("b", "s", 2), ("c", "s", 3)], "note_id string, stream string, t int").withColumn("created_at", F.timestamp_seconds("t"))
     i = spark.createDataFrame([("cve", "x", "a"), ("cve", "x", "b"), ("cve", "x", "c")], "entity_type string, entity_value string, note_id string")
