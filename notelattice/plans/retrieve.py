@@ -127,7 +127,7 @@ def _recall(t: Tables) -> DataFrame:
     known = entity_index(t)
     kind = F.when(F.col("entity_type") == "intrusion_set", "causal").otherwise("heuristic")
     edges = known.select(F.concat_ws(":", "entity_type", "entity_value").alias("from_id"), F.concat(F.lit("note:"), "note_id").alias("to_id"), F.lit("MENTIONED_IN").alias("relationship"), kind.alias("edge_type"))
-    gone = _pairs(t).select(F.col("old_id").alias("note_id"))
+    gone = t.kg_edges.where("relationship = 'SUPERSEDES'").select(F.concat(F.lit("note_"), F.split_part("to_id", F.lit(":"), F.lit(2))).alias("note_id"))
     return retrieve.recall(t.questions.where("query_id % 50 = 0"), t.notes, known, 10, superseded=gone, edges=edges)
 
 
