@@ -5,10 +5,11 @@
    they are read, as they do from files.
 2. The words of all blocks are dealt by hash to tasks that encode each distinct word once.
 3. The ids go back to the blocks by (block, word position), and each document's ids are joined up by position.
-4. Decoding looks up each id's piece in the id-to-piece table, which is as large as the vocabulary and no larger, and
-   joins pieces as the library does for tokenizers without a decoder: by a blank.
+4. The distinct ids of each list of words are joined with the id-to-piece table, which is broadcast: it is as large as
+   the vocabulary and no larger. A block joins the pieces it got as the library does for tokenizers without a decoder:
+   by a blank.
 
-Only the distinct words of a block travel, never its words in full, and a frequent word is one entry per block. A
+Words are dealt in groups whose number follows the bytes of text, so a group does not grow with the input. Only the distinct words of a block travel, never its words in full, and a frequent word is one entry per block. A
 null or empty text has no ids and decodes to an empty text. Repeated rows and ids are encoded each; extra columns are
 ignored.
 """
@@ -21,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers import Tokenizer
 
-from .tokens import chunk_table, word_chunks
+from .tokens import chunk_table, text_bytes, word_chunks
 
 BLOCK_BYTES = 12 << 20
+GROUP_BYTES = 16 << 20  # of text for each group of words
 _CODED = "block long, part int, blob binary"
 
 
@@ -87,7 +91,7 @@ def split_words(docs: DataFrame, parts: int, words: bool) -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """For each (block, part) of words the ids of each word: counts, then ids."""
+    """For each (block, part) of words a row with the ids of each word, counts before ids, and a row per distinct id."""
 
     def encode(table: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(b.as_buffer()).split(b"\n") for b in table.column("blob")]
@@ -96,10 +100,21 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         flat, counts, begin = tokens.ids(lists)
         first = np.cumsum([0, *map(len, lists)])
         blobs = [_pack(counts[i:j].astype("<u4").tobytes(), flat[a:b].tobytes()) for i, j, a, b in zip(first[:-1], first[1:], begin[:-1], begin[1:])]
+        found = [np.unique(flat[a:b]) for a, b in zip(begin[:-1], begin[1:])]
         tokens.clear()
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "blob": pa.array(blobs, pa.binary())})
+        coded = pa.table({"block": table.column("block"), "part": table.column("part"), "blob": pa.array(blobs, pa.binary())})
+        blocks = np.repeat(table.column("block").to_numpy(), [len(x) for x in found])
+        ids = pa.table({"block": pa.array(blocks, pa.int64()), "id": pa.array(np.concatenate(found).astype(np.int32), pa.int32())})
+        return pa.concat_tables([coded, ids], promote_options="default")
 
-    return words.groupBy("part").applyInArrow(encode, _CODED)
+    return words.groupBy("part").applyInArrow(encode, f"{_CODED}, id int")
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece in UTF-8) of the whole vocabulary."""
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = [(i, t) for i in range(tokenizer.get_vocab_size()) if (t := tokenizer.id_to_token(i)) is not None]
+    return spark.createDataFrame(vocabulary, "id int, piece string").select("id", F.col("piece").cast("binary").alias("piece"))
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -113,11 +128,16 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _joined(docs: DataFrame, path: str, result, schema: str, types: tuple) -> DataFrame:
-    parts = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65535)
-    ids = encode_words(split_words(docs, parts, words=True), path)
+    spark = docs.sparkSession
+    parts = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // GROUP_BYTES), 65535)
+    ids = encode_words(split_words(docs, parts, words=True), path).join(F.broadcast(pieces(spark, path)), "id", "left")
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def join(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
+        is_id = pc.is_valid(rows_.column("id"))
+        known, table = rows_.filter(is_id), rows_.filter(pc.invert(is_id))
+        known_ids, first = np.unique(known.column("id").to_numpy(), return_index=True)
+        piece = dict(zip(known_ids.tolist(), known.column("piece").take(pa.array(first)).to_pylist()))
         part, blobs = table.column("part").to_numpy(), table.column("blob")
         coded = {int(p): blobs[k].as_buffer() for k, p in enumerate(part) if p >= 0}
         for k in np.flatnonzero(part < 0):  # more than one only if blocks are equal
@@ -129,8 +149,6 @@ def _joined(docs: DataFrame, path: str, result, schema: str, types: tuple) -> Da
             words: list[bytes] = [b""] * len(by)
             for rank, a, b in zip(by.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
                 words[rank] = raw[a:b]
-            tokens = chunk_table(path, "word").tokenizer
-            piece = {int(x): tokens.id_to_token(int(x)).encode() for x in np.unique(np.frombuffer(raw, "<u4"))}
             text = [b" ".join([piece[x] for x in np.frombuffer(w, "<u4").tolist()]) for w in words]
             at = np.stack([np.frombuffer(x, "u1") for x in planes], 1).copy().view("<u4").ravel().tolist()
             ids_ = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.frombuffer(nulls, bool))
@@ -146,4 +164,5 @@ def _joined(docs: DataFrame, path: str, result, schema: str, types: tuple) -> Da
     def whole(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(join(table)))
 
-    return split_words(docs, parts, words=False).union(ids).groupBy("block").applyInArrow(whole, f"doc_id long, {schema}")
+    blocks = split_words(docs, parts, words=False)
+    return blocks.unionByName(ids, allowMissingColumns=True).groupBy("block").applyInArrow(whole, f"doc_id long, {schema}")

@@ -7,7 +7,7 @@ entry of the escape list. Blocks begin at a word, so all blocks decode side by s
 
 Layout, little-endian: b"S8BT", u32 part, u32 number of chunk, u64 counts of documents, ids, table, escapes, blocks,
 words; then doc ids i64, null flags u8, lengths u32, table u32, escapes u32, offsets u32, words u64. TRAILER ends each
-chunk. Files are written in ascending doc_id order, one per range of ids.
+chunk. Files are written in ascending doc_id order, one per range of ids; their number follows the bytes of text.
 
 A null or empty text is the end id alone. Null ids come first; repeated rows are written each; extra columns are
 ignored.
@@ -24,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import materialize, scratch_path
-from .tokens import byte_chunks, chunk_table, small_slices, with_ends
+from .tokens import byte_chunks, chunk_table, small_slices, text_bytes, with_ends
 
 CHUNK = 1 << 19
+FILE_BYTES = 256 << 20  # of text for each file, so a file stays far below the 2 GB that a row can hold
 BLOCK = 1024
 CODES = 4095
 TRAILER = "\n.s8b\n"
@@ -145,7 +146,7 @@ def decode_chunks(raw: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.n
 
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
     """Encode ``docs`` and write token files to the folder ``out``, in ascending doc_id order."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // FILE_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_table(path, "byte")

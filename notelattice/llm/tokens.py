@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 CACHE = 800_000
 SMALL_CACHE = 150_000
@@ -148,6 +149,11 @@ def chunk_table(path: str, kind: str) -> ChunkTable:
     return _tables[path, kind]
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, from which the number of groups or files follows."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def small_slices(batch: pa.RecordBatch, column: int, rows: int = 1000, nbytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of at most ``rows`` rows and about ``nbytes`` bytes in ``column``, or a single longer text."""
     size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+from notelattice.llm import bpe
 from notelattice.llm.bpe import encoded_digests, encoded_documents
 from notelattice.llm.ngram_join import jaccard_classes
 from notelattice.llm.packing import curve_keys, hilbert_key, pack
@@ -120,7 +121,7 @@ def test_jaccard_join_of_a_large_group_and_of_chains(spark, monkeypatch):
     assert got == classes(rows, 3, 90)
 
 
-def test_bpe_equals_the_library(docs, texts, empty):
+def test_bpe_equals_the_library(docs, texts, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
@@ -131,6 +132,9 @@ def test_bpe_equals_the_library(docs, texts, empty):
         want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert collections.Counter(tuple(r) for r in encoded_digests(docs, path).collect()) == want
     assert encoded_digests(empty, path).count() == 0
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 20)  # many groups of words and a block for each document give the same
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1)
+    assert collections.Counter(tuple(r) for r in encoded_digests(docs, path).collect()) == want
     row = encoded_documents(docs.where("doc_id = 3"), path).first()
     text = next(t for i, t, _ in texts if i == 3)
     assert np.frombuffer(row.ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
