@@ -30,7 +30,8 @@ from tokenizers import Tokenizer
 from .tokens import chunk_table, text_bytes, word_chunks
 
 BLOCK_BYTES = 12 << 20
-GROUP_BYTES = 16 << 20  # of text for each group of words
+GROUP_BYTES = 32 << 20  # of text for each group of words
+LEAST_GROUPS = 128
 _CODED = "block long, part int, blob binary"
 
 
@@ -129,7 +130,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _joined(docs: DataFrame, path: str, result, schema: str, types: tuple) -> DataFrame:
     spark = docs.sparkSession
-    parts = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // GROUP_BYTES), 65535)
+    parts = min(max(LEAST_GROUPS, text_bytes(docs) // GROUP_BYTES), 65535)
     ids = encode_words(split_words(docs, parts, words=True), path).join(F.broadcast(pieces(spark, path)), "id", "left")
     names = [x.split()[0] for x in schema.split(", ")]
 
