@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import materialize, scratch_path
-from .tokens import byte_chunks, chunk_table, small_slices, text_bytes, with_ends
+from .tokens import chunk_table, small_slices, text_bytes, with_ends
 
 CHUNK = 1 << 19
 FILE_BYTES = 256 << 20  # of text for each file, so a file stays far below the 2 GB that a row can hold
@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0) ->
 
         for whole in batches:
             for batch in small_slices(whole, 1):
-                found, _, begin = tokens.ids([byte_chunks(t.as_buffer().to_pybytes().decode("utf-8", "replace")) if t.is_valid else [] for t in batch.column(1)])
+                found, begin = tokens.column_ids(batch.column(1))
                 flat, begin = with_ends(found, begin, end_id)
                 ids.append(flat)
                 doc_ids += batch.column(0).to_pylist()

@@ -35,6 +35,33 @@ def byte_chunks(text: str) -> list[str]:
     return _BYTE_CHUNK.findall(text)
 
 
+#: White space beyond ASCII; texts with it are cut by the pattern above.
+_WIDE_WS = re.compile(b"|".join(sorted({c.encode() for c in re.findall(f"[{_WS}]", "".join(map(chr, range(128, 0x3001))))})))
+_IS_WS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def cut_chunks(raws: list[bytes], kind: str) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts in a row, as ``word_chunks`` or ``byte_chunks`` cut ASCII white space, and how many each text has."""
+    if kind == "word":
+        raws = [raw if b"<|" in raw else raw.lower() for raw in raws]
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    begin = np.cumsum([0, *map(len, raws)])
+    ws = _IS_WS[data]
+    starts = np.zeros(len(data) + 1, bool)
+    starts[begin] = True
+    if kind == "word":
+        starts[:-1] &= ~ws  # of texts that begin with a word
+        starts[1:-1] |= ws[:-1] & ~ws[1:]
+    else:
+        starts[1:-1] |= ws[1:] & ~ws[:-1]
+    at = np.flatnonzero(starts[:-1])
+    sizes = np.diff(np.searchsorted(at, begin))
+    if kind == "word":
+        at, data = (np.cumsum(~ws) - 1)[at], data[~ws]
+    offsets = np.append(at, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]), sizes
+
+
 class _Codes(dict):
     """Numbers of chunks, given as they come."""
 
@@ -77,6 +104,28 @@ class ChunkTable:
         ends = np.concatenate([[0], np.cumsum(counts)])
         return self._gather(codes), counts, ends[np.cumsum([0, *map(len, texts)])]
 
+    def column_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` in a row, and where each text begins, the end included. Null is empty.
+
+        Chunks are cut and told apart by Arrow and numpy, so that only distinct ones are Python objects.
+        """
+        if len(self.codes) > self.limit:
+            self.clear()
+        raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts]
+        odd = [self.kind == "byte" and bool(_WIDE_WS.search(raw)) for raw in raws]
+        chunks, sizes = cut_chunks([b"" if o else raw for o, raw in zip(odd, raws)], self.kind)
+        coded = chunks.dictionary_encode()
+        distinct = np.fromiter(map(self.codes.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        codes = distinct[coded.indices.to_numpy()]
+        if any(odd):
+            by_text = np.split(codes, np.cumsum(sizes)[:-1])
+            for k in np.flatnonzero(odd).tolist():
+                by_text[k] = np.array([self.codes[c.encode()] for c in byte_chunks(raws[k].decode("utf-8", "replace"))], np.int64)
+            codes, sizes = np.concatenate(by_text), np.array([len(x) for x in by_text])
+        self._learn()
+        ends = np.concatenate([[0], np.cumsum(self.size[codes])])
+        return self._gather(codes), ends[np.concatenate([[0], np.cumsum(sizes)])]
+
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         n = self.size[codes]
         return self.flat[np.repeat(self.start[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]

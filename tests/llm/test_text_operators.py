@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from notelattice.llm import bpe
@@ -236,6 +237,21 @@ def test_simple8b_round_trip():
         list(decode_chunks(raw[:-3]))
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_ids_of_a_column_equal_the_library(name, kind):
+    from tokenizers import Tokenizer
+
+    from notelattice.llm.tokens import ChunkTable
+
+    rng = np.random.default_rng(5)
+    parts = ["a", "B", "word", "Ünï", "don't", "x.", "!!", "12", " ", "  ", "\n", "\t\n", "\r", "\x0b", "\u3000", "\xa0", "\u2009", "\x1c", "<|endoftext|>", "<|X", "日本", "é,"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(3000)] + [None, "", " ", "a", " a ", "\u3000 \n b"]
+    t, table = Tokenizer.from_file(tokenizer_path(name)), ChunkTable(tokenizer_path(name), kind)
+    for some in (texts, texts[:1], texts[-6:], ["", None], []):
+        flat, begin = table.column_ids(pa.array(some, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
 def test_token_files_equal_the_library(docs, texts, empty):
     from tokenizers import Tokenizer
 
