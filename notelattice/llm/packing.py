@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordering import running_starts
 from .scratch import materialize
-from .tokens import CACHE, SMALL_CACHE, chunk_table, small_slices, with_ends, word_chunks
+from .tokens import CACHE, SMALL_CACHE, chunk_table, small_slices, with_ends
 
 HASHED = 1024
 DIMS = 3
@@ -96,8 +96,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> Dat
         squeeze = zstandard.ZstdCompressor(3)
         for whole in batches:
             for batch in small_slices(whole, 1):
-                chunks = [word_chunks(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in batch.column(1)]
-                found, _, begin = tokens.ids(chunks)
+                found, begin = tokens.column_ids(batch.column(1))
                 ids, begin = with_ends(found, begin, end_id)
                 raw, step = ids.astype(width).tobytes(), int(width[-1])
                 blobs = [squeeze.compress(raw[i:j]) for i, j in zip((step * begin[:-1]).tolist(), (step * begin[1:]).tolist())]
