@@ -9,7 +9,7 @@
    sizes of similar sets lie in one or in neighbouring size classes, and each set is cut for both pairs of classes. A set
    in which two ranges are empty, and every set below PARTED, uses a prefix filter: shingles are put in one global order,
    shared ones last, and two similar sets share a shingle among the first ``n - ceil(t n) + 1``. Of buckets with the same
-   members one is kept.
+   members one is kept; they are told apart by 192 bits of hashes and the smallest id.
 3. Every set is compared with the smallest id of each of its buckets, which connects groups of near copies with
    a linear number of comparisons.
 4. Buckets that still hold two components get a signature tree: leaves hold sets ordered by size, inner nodes
@@ -276,16 +276,20 @@ def buckets(reps: DataFrame, percent: int) -> DataFrame:
     """(doc_id, size, key, total, pivot, near): the places of sets in buckets of at least two rows.
 
     ``total`` is the number of a bucket's shingles, ``pivot`` its smallest id, ``near`` whether the sizes of set and pivot
-    allow a link. Of buckets with the same members, told by
-    their number and a sum of hashes, only the first is kept.
+    allow a link. Of buckets with the same members, told by their number, smallest id, shingles and two independent 64-bit
+    hashes of the ids (so two different buckets of two members are never taken for one), only the first is kept.
     """
     places = reps.select("doc_id", F.explode("keys").alias("key"))
     twice = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(fresh("key"))
     places = materialize(places.join(twice, "key", "left_semi").join(reps.select("doc_id", F.col("n_shingles").alias("size")), "doc_id"), "places")
     # the count is of rows, so one id alone may share a bucket with itself; such a bucket yields nothing
-    members = F.sum(F.xxhash64("doc_id") % F.lit(1 << 40)).alias("members")
-    held = places.groupBy("key").agg(F.count("*").alias("n"), members, F.sum("size").alias("total"), F.min(F.struct("doc_id", "size")).alias("p"))
-    held = held.groupBy("n", "members").agg(F.min_by(F.struct("key", "total", "p"), "key").alias("b")).select(F.expr("b.key + 0").alias("key"), "b.total", F.col("b.p.doc_id").alias("pivot"), F.col("b.p.size").alias("pivot_size"))
+    one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    half = (1 << 32) - 1
+    held = places.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"), F.sum(one.bitwiseAND(half)).alias("s1"), F.sum(two.bitwiseAND(half)).alias("s2"),
+        F.sum("size").alias("total"), F.min(F.struct("doc_id", "size")).alias("p"),
+    )
+    held = held.groupBy("n", "x1", "x2", "s1", "s2", "total", "p").agg(F.min("key").alias("key")).select(fresh("key"), "total", F.col("p.doc_id").alias("pivot"), F.col("p.size").alias("pivot_size"))
     near = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
     out = materialize(places.join(held, "key").select("doc_id", "size", "key", "total", "pivot", near.alias("near")), "buckets")
     discard(places)

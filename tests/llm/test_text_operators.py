@@ -104,6 +104,15 @@ def test_jaccard_of_null_ids_and_shared_passages(spark, monkeypatch):
         assert got == sorted([*((False, k, k) for k in range(40)), (False, 90, 3), (True, 0, 3)])
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_links_of_ids_whose_hashes_have_equal_sums(spark, n, percent):
+    """xxhash64 of the first two ids and of the last two add up to the same number modulo 2^40."""
+    one, two = [f"a{k}" for k in range(150)], [f"b{k}" for k in range(150)]
+    rows = [(2037270, " ".join(one)), (2037271, " ".join([*one, "z"])), (5917502, " ".join(two)), (5917503, " ".join([*two, "z"]))]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    assert got == {2037270: 2037270, 2037271: 2037270, 5917502: 5917502, 5917503: 5917502}
+
+
 def test_jaccard_join_of_a_large_group_and_of_chains(spark, monkeypatch):
     import notelattice.llm.ngram_join as join
 
