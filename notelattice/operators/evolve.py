@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
+from ..functions.ordered import carried_scan, numbered
 
 # fixed values: entity types that count for supersession, and words that negate
 SUPERSEDING = ("cve", "actor", "tool", "campaign", "asset", "person", "location", "organization", "event", "activity", "temporal")
@@ -111,58 +115,90 @@ def entity_components(notes: DataFrame, index: DataFrame, key: str = "stream") -
     return notes.join(labels, "note_id", "left").withColumn(key, F.coalesce("label", "note_id")).drop("label")
 
 
-def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream") -> DataFrame:
+#: Notes of a slice of a replay, about.
+SLICE = 5000
+
+
+def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream", size: int = SLICE) -> DataFrame:
     """(key, note_id, superseded_by): notes applied in order of time within each ``key``, each replacing at most one live note.
 
     A note replaces the live note that shares most entities with it, plus up to one for a day of age (ties: newer, then
-    smaller id). State is held per
-    key and notes of different keys never meet, so keys must be entity-disjoint: ``entity_components`` makes such keys.
-    Order matters within one, so a component is one group of one task. Notes without superseding entities stay live and
-    are not dealt.
+    smaller id). Notes of different keys never meet. Notes without superseding entities stay live.
+
+    Notes are cut into slices of ``size`` in order of time, replayed side by side. A slice starts from the older notes that are
+    still live by what is known so far and share an entity with one of its notes. The first round knows none, later rounds
+    look back over twice as many slices each, so few notes are carried before most are known to be gone; rounds end when all
+    slices are looked back on and nothing changes, which then is what one pass gives.
     """
-    schema = f"{key} string, note_id string, superseded_by string"
-    rows = notes.select(F.col(key).cast("string").alias(key), "note_id", "created_at").join(index.where(F.col("entity_type").isin(*SUPERSEDING)).groupBy("note_id").agg(F.collect_set(F.concat_ws(":", "entity_type", "entity_value")).alias("entities")), "note_id", "left")
-    alone = rows.where("entities IS NULL").select(key, "note_id", F.lit(None).cast("string").alias("superseded_by"))
+    index = index.where(F.col("entity_type").isin(*SUPERSEDING)).groupBy("note_id").agg(F.collect_set(F.concat_ws(":", "entity_type", "entity_value")).alias("entities"))
+    every = cut(notes.select(F.col(key).cast("string").alias(key), "note_id", "created_at").join(index, "note_id", "left"))
+    named = every.where("entities IS NOT NULL").withColumn("entities", F.transform("entities", lambda e: F.concat_ws("\n", F.col(key), e)))
+    rows = numbered(named.select("note_id", F.col("created_at").cast("timestamp").alias("created_at"), "entities"), ["created_at", "note_id"], size)
+    slices = (rows.agg(F.max("slice")).first()[0] or 0) + 1
+    # where each entity is found: a number per slice at most, and none for entities of one slice
+    found = cut(rows.select("slice", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sort_array(F.collect_set("slice")).alias("found")).where("size(found) > 1"))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: dict[str, tuple] = {}
-        postings: dict[str, set] = {}
-        by: dict[str, str | None] = {}
-        for r in pdf.sort_values(["created_at", "note_id"]).itertuples():
-            found: dict[str, int] = {}
-            own = list(r.entities)
-            for e in own:
+        live: dict[int, tuple] = {}
+        postings: dict[str, dict[int, None]] = {}
+        gone = []
+        pdf = pdf.sort_values("at")
+        for at, made, own, mine, name in zip(pdf["at"].tolist(), pdf["created_at"], pdf["entities"], pdf["own"].tolist(), pdf["note_id"]):
+            shared: dict[int, int] = {}
+            for e in own if mine else ():
                 for other in postings.get(e, ()):
-                    found[other] = found.get(other, 0) + 1
-            if found:
-                age = {x: min((r.created_at - live[x][0]).total_seconds() / 86400, 1.0) for x in found}
-                old = min(found, key=lambda x: (-found[x] - age[x], -live[x][0].value, x))
-                by[old] = r.note_id
+                    shared[other] = shared.get(other, 0) + 1
+            if shared:
+                age = {x: min((made - live[x][0]).total_seconds() / 86400, 1.0) for x in shared}
+                old = min(shared, key=lambda x: (-shared[x] - age[x], -live[x][0].value, live[x][2]))
+                gone.append((old, at))
                 for e in live.pop(old)[1]:
-                    postings[e].discard(old)
-            by.setdefault(r.note_id, None)
-            live[r.note_id] = (r.created_at, own)
+                    del postings[e][old]
+            live[at] = (made, own, name)
             for e in own:
-                postings.setdefault(e, set()).add(r.note_id)
-        return pd.DataFrame({key: pdf[key].iloc[0], "note_id": list(by), "superseded_by": list(by.values())})
+                postings.setdefault(e, {})[at] = None
+        return pd.DataFrame(gone, columns=["old", "by"])
 
-    return rows.where("entities IS NOT NULL").groupBy(key).applyInPandas(replay, schema).union(alone)
+    known, reach = None, 0
+    while True:
+        mine = rows.withColumn("own", F.lit(True))
+        if known is not None:
+            last = F.least(F.col("slice") + reach, F.coalesce(F.expr(f"CAST(`by` DIV {size} AS INT)"), F.lit(slices)))
+            older = rows.join(known.withColumnRenamed("old", "at"), "at", "left").withColumn("last", last).where("last > slice")
+            meets = older.select("at", "slice", "last", F.explode("entities").alias("entity")).join(found, "entity")
+            meets = meets.select("at", F.explode(F.expr("filter(found, x -> x > slice AND x <= last)")).alias("slice")).distinct()
+            mine = mine.union(meets.join(rows.drop("slice"), "at").select("note_id", "created_at", "entities", "at", "slice", F.lit(False).alias("own")))
+        now = cut(mine.groupBy("slice").applyInPandas(replay, "old long, `by` long").groupBy("old").agg(F.min("by").alias("by")))
+        whole = known is not None and reach >= slices - 1 or slices == 1
+        if whole and (known is None or now.join(known, ["old", "by"], "left_anti").isEmpty() and known.join(now, ["old", "by"], "left_anti").isEmpty()):
+            break
+        known, reach = now, max(1, 2 * reach)
+    names = rows.select("at", "note_id")
+    pairs = now.join(names.withColumnRenamed("at", "old"), "old").select("note_id", "by").join(names.select(F.col("at").alias("by"), F.col("note_id").alias("superseded_by")), "by").drop("by")
+    return every.select(key, "note_id").join(pairs, "note_id", "left").select(key, "note_id", "superseded_by")
 
 
 class ShiftState:
-    """What the shift detector holds of one stream: entity counts, topic weights, the number of notes, the last time."""
+    """What the shift detector holds of one stream: entities with count and last time, topic weights, the number of notes, the last time.
 
-    def __init__(self, entities=None, topics=None, count: int = 0, last: float | None = None):
-        self.entities, self.topics, self.count, self.last = dict(entities or {}), dict(topics or {}), count, last
+    With ``idle``, entities that were not seen for so many hours are forgotten; the first form of the state has all since the
+    last reset.
+    """
+
+    def __init__(self, entities=None, topics=None, count: int = 0, last: float | None = None, idle: float | None = None):
+        self.entities, self.topics, self.count, self.last, self.idle = {k: tuple(v) for k, v in dict(entities or {}).items()}, dict(topics or {}), count, last, idle
+
+    def known(self, entity: str, at: float) -> bool:
+        return entity in self.entities and (self.idle is None or at - self.entities[entity][1] < 3600 * self.idle)
 
     def shift(self, entities: list[str], domain: str, at: float, novelty: float = 0.4, departure: float = 0.5, gap_hours: float = 4.0, least: int = 3) -> list[str]:
         """Signals that a note departs from the state."""
         if self.count < least:
             return []
         out = []
-        if entities and sum(e not in self.entities for e in entities) / len(entities) >= novelty:
+        if entities and sum(not self.known(e, at) for e in entities) / len(entities) >= novelty:
             out.append("entity_novelty")
-        total = sum(self.topics.values())
+        total = math.fsum(self.topics.values())  # the same in any order
         if total > 0 and self.topics.get(domain, 0) / total < departure / max(len(self.topics), 1):
             out.append("topic_shift")
         if self.last is not None and at - self.last >= 3600 * gap_hours:
@@ -172,29 +208,45 @@ class ShiftState:
     def observe(self, entities: list[str], domain: str, at: float, alpha: float = 0.3) -> None:
         self.count += 1
         for e in entities:
-            self.entities[e] = self.entities.get(e, 0) + 1
+            self.entities[e] = (self.entities[e][0] + 1 if self.known(e, at) else 1, at)
         self.topics = {t: w * (1 - alpha) for t, w in self.topics.items()}
         self.topics[domain] = self.topics.get(domain, 0) + alpha
         self.last = at
 
+    def kept(self) -> list:
+        """What has to be held of the state: without the entities that are forgotten by now."""
+        entities = self.entities if self.last is None else {e: v for e, v in self.entities.items() if self.known(e, self.last)}
+        return [entities, self.topics, self.count, self.last]
 
-def shift_detect(notes: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, note_id, signals, is_shift) of notes (key, note_id, created_at, domain, entities) in order of time per key."""
+    def take(self, entities: list[str], domain: str, at: float) -> tuple[list[str], ShiftState]:
+        """A note's signals, and the state after it: a new one from the note on, if it departs."""
+        signals = self.shift(entities, domain, at)
+        state = ShiftState(idle=self.idle) if signals else self
+        state.observe(entities, domain, at)
+        return signals, state
 
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = ShiftState(), []
-        for r in pdf.sort_values(["created_at", "note_id"]).itertuples():
-            entities = sorted(r.entities) if r.entities is not None else []
-            at = r.created_at.timestamp()
-            signals = state.shift(entities, r.domain, at)
-            out.append((getattr(r, key), r.note_id, ",".join(signals), bool(signals)))
-            if signals:
-                state = ShiftState()
-            state.observe(entities, r.domain, at)
-        return pd.DataFrame(out, columns=[key, "note_id", "signals", "is_shift"])
 
-    rows = notes.select(F.col(key).cast("string").alias(key), "note_id", "created_at", "domain", "entities")
-    return rows.groupBy(key).applyInPandas(detect, f"{key} string, note_id string, signals string, is_shift boolean")
+def shift_detect(notes: DataFrame, key: str = "stream", size: int = SLICE, idle: float | None = None) -> DataFrame:
+    """(key, note_id, signals, is_shift) of notes (key, note_id, created_at, domain, entities) in order of time per key.
+
+    Notes are cut into slices of ``size`` in order of key and time; a slice takes the state that the slice before it leaves.
+    Null entities are none.
+    """
+
+    def detect(pdf: pd.DataFrame, held: str | None) -> tuple[pd.DataFrame, str]:
+        of, state, out = None, ShiftState(idle=idle), []
+        if held is not None:
+            of, *parts = json.loads(held)
+            state = ShiftState(*parts, idle=idle)
+        for k, note_id, made, domain, entities in zip(pdf[key], pdf["note_id"], pdf["created_at"], pdf["domain"], pdf["entities"]):
+            if [k] != of:
+                of, state = [k], ShiftState(idle=idle)
+            signals, state = state.take(sorted(entities) if entities is not None else [], domain, made.timestamp())
+            out.append((k, note_id, ",".join(signals), bool(signals)))
+        return pd.DataFrame(out, columns=[key, "note_id", "signals", "is_shift"]), json.dumps([of, *state.kept()], sort_keys=True)
+
+    rows = notes.select(F.col(key).cast("string").alias(key), "note_id", F.col("created_at").cast("timestamp").alias("created_at"), "domain", "entities")
+    return carried_scan(numbered(rows, [key, "created_at", "note_id"], size), detect, f"{key} string, note_id string, signals string, is_shift boolean")
 
 
 def consolidation_candidates(notes: DataFrame, index: DataFrame, since: str) -> DataFrame:

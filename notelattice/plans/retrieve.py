@@ -187,12 +187,17 @@ add("supersession_candidates", lambda t: _pairs(t, _SEARCHED), f"{_super(_SEARCH
 add("mark_superseded", lambda t: evolve.mark_superseded(_pairs(t), entity_index(t))[0], f"{_super('true')} SELECT 'note:' || new_id AS from_id, 'note:' || old_id AS to_id, 'SUPERSEDES' AS relationship FROM pairs")
 
 
-def _streams(t: Tables) -> DataFrame:
-    return t.notes.withColumn("stream", F.date_format("created_at", "yyyy-MM"))
+def shift_rows(t: Tables) -> DataFrame:
+    """Notes by the actor they are about, with the entities of their text."""
+    entities = F.array_union(extract.entity_values(F.col("content_raw"), "cve"), extract.entity_values(F.col("content_raw"), "tool"))
+    actors = extract.primary_actor(t.notes).select("note_id", F.lower("primary_actor").alias("stream"))
+    return t.notes.select("note_id", "created_at", "domain", entities.alias("entities")).join(actors, "note_id")
 
 
 add("supersession_replay", lambda t: evolve.supersession_replay(evolve.entity_components(t.notes, entity_index(t)), entity_index(t)))
-add("shift_detect", lambda t: evolve.shift_detect(_streams(t).withColumn("entities", F.array_union(extract.entity_values(F.col("content_raw"), "cve"), extract.entity_values(F.col("content_raw"), "tool")))))
+#: Hours after which an entity that isn't seen counts as new again.
+IDLE = 24.0 * 90
+add("shift_detect", lambda t: evolve.shift_detect(shift_rows(t), idle=IDLE))
 _RECENT = f"{INDEX}, recent AS (SELECT note_id, domain FROM notes WHERE created_at >= TIMESTAMP '1996-01-01'), cand AS (SELECT DISTINCT note_id FROM (SELECT r.note_id, count(*) OVER (PARTITION BY domain, entity_type, entity_value) AS n FROM recent r JOIN entity_index i ON i.note_id = r.note_id) x WHERE n >= 2)"
 _NEG = "regexp_matches(lower(content_raw), 'not|never|no longer|ceased|discontinued|denied')"
 _CONTRA = f"m AS (SELECT i.entity_type, i.entity_value, n.note_id, created_at, {_NEG} AS neg FROM entity_index i JOIN notes n ON n.note_id = i.note_id), g AS (SELECT entity_type, entity_value, neg, max((created_at, note_id)) AS last FROM m GROUP BY ALL), contra AS (SELECT DISTINCT m.note_id FROM m JOIN g ON g.entity_type = m.entity_type AND g.entity_value = m.entity_value AND g.neg <> m.neg AND g.last > (m.created_at, m.note_id))"

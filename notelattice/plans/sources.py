@@ -11,6 +11,7 @@ from ..streaming import jobs
 from .derived import Tables, with_tables
 from .notes import INDEX, NOTES, entity_index
 from .registry import add
+from .retrieve import IDLE, shift_rows
 
 
 def _lines(t: Tables, name: str, *rows: DataFrame) -> str:
@@ -222,8 +223,8 @@ add("stream_session_activity", lambda t: _drained(t, jobs.stream_session_activit
 
 
 def _shifts(t: Tables) -> DataFrame:
-    rows = t.notes.select("domain", "note_id", F.unix_timestamp(F.col("created_at").cast("timestamp")).cast("double").alias("at"), F.col("domain").alias("stream"), F.array(F.col("tier")).alias("entities"))
-    return _drained(t, jobs.stream_shift(_stream(t, rows)))
+    rows = shift_rows(t).withColumn("at", F.unix_timestamp(F.col("created_at").cast("timestamp")).cast("double"))
+    return _drained(t, jobs.stream_shift(_stream(t, rows), idle=IDLE))
 
 
 add("stream_shift", _shifts)

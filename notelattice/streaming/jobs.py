@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import extract, graph, index
 from ..operators.evolve import ShiftState
@@ -62,29 +64,81 @@ def stream_session_activity(events: DataFrame, gap: str = "1 hour", key: str = "
     return _timed(events, "ts", gap).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def stream_shift(notes: DataFrame, key: str = "stream") -> DataFrame:
-    """(key, note_id, signals) of notes (key, note_id, at in seconds, domain, entities) that depart from their stream's state.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    Notes of one micro-batch and key are taken in order of time.
+class ShiftProcessor(StatefulProcessor):
+    """The shift detector of one stream: entities and topics are maps of the state store, so a note touches its own only.
+
+    With ``idle`` (hours) a timer forgets entities that event time has left behind so long, and the stream with the last of
+    them.
     """
 
-    def detect(k, batches, held: GroupState):
-        state = ShiftState()
-        if held.exists:
-            names, counts, topics, weights, count, last = held.get
-            state = ShiftState(zip(names, counts), zip(topics, weights), count, last)
-        rows = pd.concat(list(batches)).sort_values(["at", "note_id"])
-        out = []
-        for r in rows.itertuples():
-            entities = sorted(r.entities) if r.entities is not None else []
-            signals = state.shift(entities, r.domain, r.at)
-            out.append((k[0], r.note_id, ",".join(signals)))
-            if signals:
-                state = ShiftState()
-            state.observe(entities, r.domain, r.at)
-        held.update((list(state.entities), list(state.entities.values()), list(state.topics), list(state.topics.values()), state.count, state.last))
-        yield pd.DataFrame(out, columns=[key, "note_id", "signals"])
-
-    schema = "names array<string>, counts array<int>, topics array<string>, weights array<double>, count int, last double"
-    rows = notes.select(F.col(key).cast("string").alias(key), "note_id", "at", "domain", "entities")
-    return rows.groupBy(key).applyInPandasWithState(detect, f"{key} string, note_id string, signals string", schema, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, key: str, idle: float | None):
+        self.key, self.idle = key, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entities = handle.getMapState("entities", "entity string", "count int, last double")
+        self.topics = handle.getMapState("topics", "topic string", "weight double")
+        self.head = handle.getValueState("head", "count int, last double")
+
+    def _load(self) -> ShiftState:
+        count, last = self.head.get() if self.head.exists() else (0, None)
+        return ShiftState({k[0]: v for k, v in self.entities.iterator()}, {k[0]: v[0] for k, v in self.topics.iterator()}, count, last, self.idle)
+
+    def _store(self, entities: dict, topics: dict, count: int, last: float) -> None:
+        """Write what differs from what is held."""
+        for held, now in ((self.entities, entities), (self.topics, {t: (w,) for t, w in topics.items()})):
+            before = {k[0]: v for k, v in held.iterator()}
+            for k in before.keys() - now.keys():
+                held.removeKey((k,))
+            for k, v in now.items():
+                if before.get(k) != v:
+                    held.updateValue((k,), v)
+        self.head.update((count, last))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, out = self._load(), []
+        taken = pd.concat(list(rows)).sort_values(["at", "note_id"])
+        for note_id, at, domain, entities in zip(taken["note_id"], taken["at"], taken["domain"], taken["entities"]):
+            signals, state = state.take(sorted(entities) if entities is not None else [], domain, at.timestamp())
+            out.append((key[0], note_id, ",".join(signals), len(state.entities)))
+        self._store(*state.kept())
+        self._wake()
+        yield pd.DataFrame(out, columns=[self.key, "note_id", "signals", "held"])
+
+    def _wake(self) -> None:
+        """Set the timer for the entity that is forgotten first."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        times = [v[1] for _, v in self.entities.iterator()]
+        if self.idle is not None and times:
+            self.handle.registerTimer(int(1000 * (min(times) + 3600 * self.idle)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        for k, v in list(self.entities.iterator()):
+            if now - v[1] >= 3600 * self.idle:
+                self.entities.removeKey(k)
+        if next(iter(self.entities.iterator()), None) is None:
+            self.topics.clear()
+            self.head.clear()
+        else:
+            times = [v[1] for _, v in self.entities.iterator()]
+            self.handle.registerTimer(int(1000 * (min(times) + 3600 * self.idle)))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_shift(notes: DataFrame, key: str = "stream", idle: float | None = None, delay: str = "1 hour") -> DataFrame:
+    """(key, note_id, signals, held) of notes (key, note_id, at in seconds, domain, entities) that depart from their stream's state.
+
+    Notes of one micro-batch and key are taken in order of time. ``held`` is the number of entities in the state after a note.
+    Such state needs the RocksDB state store, which is set for the session's queries from here on. A stream that is idle so long that all its entities are forgotten starts anew.
+    """
+    notes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = _timed(notes.select(F.col(key).cast("string").alias(key), "note_id", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("at"), "domain", "entities"), "at", delay)
+    return rows.groupBy(key).transformWithStateInPandas(ShiftProcessor(key, idle), f"{key} string, note_id string, signals string, held int", "append", "eventTime")

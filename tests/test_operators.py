@@ -1,8 +1,11 @@
 """Literal cases, readers, streams and brute-force comparisons of operators that SQL does not check."""
 
+import datetime
 import json
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from notelattice.functions.rules import TTL_DAYS
@@ -183,6 +186,53 @@ def test_supersession_replay_equals_one_pass_over_all_notes(spark, sf_dir):
     assert {(r.note_id, r.superseded_by) for r in QUERIES["supersession_replay"](spark, sf_dir).collect()} == whole
 
 
+def one_pass(notes, held):
+    """Notes applied one by one: (note, the one that replaced it)."""
+    live, by = {}, {}
+    for name, at in sorted(notes, key=lambda x: (x[1], x[0])):
+        shared = {o: len(held[name] & held[o]) for o in live if held[name] & held[o]}
+        if shared:
+            old = min(shared, key=lambda o: (-shared[o] - min((at - live[o]).total_seconds() / 86400, 1.0), -live[o].timestamp(), o))
+            by[old] = name
+            del live[old]
+        live[name] = at
+    return {(name, by.get(name)) for name, _ in notes}
+
+
+@pytest.mark.parametrize("size", [1, 3, 17, 1000])
+def test_supersession_replay_in_slices_equals_one_pass(spark, size):
+    rng = random.Random(size)
+    made = [(f"n{k:03}", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rng.randrange(400))) for k in range(40 if size < 3 else 90)]
+    held = {n: {f"hot{rng.randrange(3)}" if rng.random() < 0.6 else f"e{rng.randrange(12)}" for _ in range(rng.randrange(4))} for n, _ in made}
+    n = spark.createDataFrame([(*m, "all") for m in made], "note_id string, created_at timestamp, stream string")
+    i = spark.createDataFrame([("tool", e, name) for name, es in held.items() for e in es], "entity_type string, entity_value string, note_id string")
+    assert {(r.note_id, r.superseded_by) for r in evolve.supersession_replay(n, i, size=size).collect()} == one_pass(made, held)
+
+
+@pytest.mark.parametrize("idle", [None, 30.0])
+def test_shift_detect_in_slices_equals_one_pass(spark, idle):
+    rng = random.Random(7)
+    made = [(f"n{k:03}", f"s{rng.randrange(3)}" if k % 9 else None, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rng.choice([0, 1, 5]) + k // 2), rng.choice(["cti", "general"]), [f"e{rng.randrange(5)}" for _ in range(2)] if k % 7 else None) for k in range(120)]
+    d = spark.createDataFrame(made, "note_id string, stream string, created_at timestamp, domain string, entities array<string>")
+    want, states = {}, {}
+    for name, stream, at, domain, entities in sorted(made, key=lambda m: (m[2], m[0])):
+        state = states.get(stream) or evolve.ShiftState(idle=idle)
+        signals, states[stream] = state.take(sorted(entities or []), domain, at.timestamp())
+        want[name] = ",".join(signals)
+    assert len(set(want.values())) > 2
+    for size in (1, 13, 1000):
+        assert {r.note_id: r.signals for r in evolve.shift_detect(d, size=size, idle=idle).collect()} == want
+
+
+def test_shift_stream_equals_batch_and_forgets(spark, sf_dir):
+    from notelattice.plans import QUERIES
+
+    batch = {r.note_id: r.signals for r in QUERIES["shift_detect"](spark, sf_dir).collect()}
+    stream = QUERIES["stream_shift"](spark, sf_dir).collect()
+    assert {r.note_id: r.signals for r in stream} == batch and len({r.stream for r in stream}) > 20
+    assert max(r.held for r in stream) > 0 and "entity_novelty" in set(batch.values())
+
+
 def test_scores_read_whole_texts(spark, tmp_path):
     from notelattice.plans import QUERIES
 
