@@ -224,7 +224,7 @@ add("stream_session_activity", lambda t: _drained(t, jobs.stream_session_activit
 
 def _shifts(t: Tables) -> DataFrame:
     rows = shift_rows(t).withColumn("at", F.unix_timestamp(F.col("created_at").cast("timestamp")).cast("double"))
-    return _drained(t, jobs.stream_shift(_stream(t, rows), idle=IDLE))
+    return _drained(t, jobs.stream_shift(_stream(t, rows), idle=IDLE, report=True))
 
 
 add("stream_shift", _shifts)

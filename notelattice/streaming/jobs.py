@@ -74,8 +74,8 @@ class ShiftProcessor(StatefulProcessor):
     them.
     """
 
-    def __init__(self, key: str, idle: float | None):
-        self.key, self.idle = key, idle
+    def __init__(self, key: str, idle: float | None, report: bool):
+        self.idle, self.columns = idle, [key, "note_id", "signals", *(["held"] if report else [])]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -103,10 +103,10 @@ class ShiftProcessor(StatefulProcessor):
         taken = pd.concat(list(rows)).sort_values(["at", "note_id"])
         for note_id, at, domain, entities in zip(taken["note_id"], taken["at"], taken["domain"], taken["entities"]):
             signals, state = state.take(sorted(entities) if entities is not None else [], domain, at.timestamp())
-            out.append((key[0], note_id, ",".join(signals), len(state.entities)))
+            out.append((key[0], note_id, ",".join(signals), len(state.entities))[: len(self.columns)])
         self._store(*state.kept())
         self._wake()
-        yield pd.DataFrame(out, columns=[self.key, "note_id", "signals", "held"])
+        yield pd.DataFrame(out, columns=self.columns)
 
     def _wake(self) -> None:
         """Set the timer for the entity that is forgotten first."""
@@ -133,12 +133,13 @@ class ShiftProcessor(StatefulProcessor):
         pass
 
 
-def stream_shift(notes: DataFrame, key: str = "stream", idle: float | None = None, delay: str = "1 hour") -> DataFrame:
-    """(key, note_id, signals, held) of notes (key, note_id, at in seconds, domain, entities) that depart from their stream's state.
+def stream_shift(notes: DataFrame, key: str = "stream", idle: float | None = None, delay: str = "1 hour", report: bool = False) -> DataFrame:
+    """(key, note_id, signals) of notes (key, note_id, at in seconds, domain, entities) that depart from their stream's state.
 
-    Notes of one micro-batch and key are taken in order of time. ``held`` is the number of entities in the state after a note.
+    Notes of one micro-batch and key are taken in order of time. ``report`` adds ``held``, the number of entities in the state
+    after a note.
     Such state needs the RocksDB state store, which is set for the session's queries from here on. A stream that is idle so long that all its entities are forgotten starts anew.
     """
     notes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = _timed(notes.select(F.col(key).cast("string").alias(key), "note_id", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("at"), "domain", "entities"), "at", delay)
-    return rows.groupBy(key).transformWithStateInPandas(ShiftProcessor(key, idle), f"{key} string, note_id string, signals string, held int", "append", "eventTime")
+    return rows.groupBy(key).transformWithStateInPandas(ShiftProcessor(key, idle, report), f"{key} string, note_id string, signals string{', held int' if report else ''}", "append", "eventTime")
