@@ -110,10 +110,12 @@ class ShiftProcessor(StatefulProcessor):
 
     def _wake(self) -> None:
         """Set the timer for the entity that is forgotten first."""
+        if self.idle is None:
+            return
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         times = [v[1] for _, v in self.entities.iterator()]
-        if self.idle is not None and times:
+        if times:
             self.handle.registerTimer(int(1000 * (min(times) + 3600 * self.idle)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -141,5 +143,7 @@ def stream_shift(notes: DataFrame, key: str = "stream", idle: float | None = Non
     Such state needs the RocksDB state store, which is set for the session's queries from here on. A stream that is idle so long that all its entities are forgotten starts anew.
     """
     notes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = _timed(notes.select(F.col(key).cast("string").alias(key), "note_id", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("at"), "domain", "entities"), "at", delay)
-    return rows.groupBy(key).transformWithStateInPandas(ShiftProcessor(key, idle, report), f"{key} string, note_id string, signals string{', held int' if report else ''}", "append", "eventTime")
+    at = F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("at")
+    rows = notes.select(F.col(key).cast("string").alias(key), "note_id", at, "domain", "entities")
+    rows, mode = (rows, "none") if idle is None else (_timed(rows, "at", delay), "eventTime")
+    return rows.groupBy(key).transformWithStateInPandas(ShiftProcessor(key, idle, report), f"{key} string, note_id string, signals string{', held int' if report else ''}", "append", mode)
