@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,24 +118,113 @@ def vector_topk_l2(queries: DataFrame, vectors: DataFrame, k: int = 10, per: str
     return vector_topk(queries, vectors, k, None, "l2", per, 2 * k)
 
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, radius: float = 0.9, tables: int = 8) -> DataFrame:
-    """Approximate top-k by Euclidean distance of unit vectors: random-projection buckets, then exact distances.
+#: Vectors and values that an inverted file is fitted on at most, most lists, sign bits of a sketch, and sampled queries that
+#: set probes and bits.
+SAMPLE, VALUES, LISTS, BITS, TRIED = 20_000, 4_000_000, 4096, 512, 300
 
-    Buckets answer the queries that have at least k hits within ``radius``: their true k best lie within it too, and
-    eight tables miss such a pair less than once in 10,000. All other queries take the exact pass of ``vector_topk``, so
-    no distance bounds what is returned.
+
+class InvertedFile:
+    """Coarse centres, random hyperplanes, and how much of them a search needs for a wanted recall; fitted on a sample.
+
+    A vector lies in the list of its nearest centre and has a sketch of sign bits. A query visits the lists of its ``probes``
+    nearest centres and compares the vectors there whose sketch differs in at most ``differ`` bits. Both are set on sampled
+    queries against the rest of the sample, whose neighbours lie farther than those among all vectors.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df: df.select(F.col(df.columns[0]).alias("id"), F.col(df.columns[1]).alias("v")).select("id", array_to_vector(F.transform("v", lambda x: x.cast("double") / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y)))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=tables, seed=7).fit(unit(vectors))
-    near = model.approxSimilarityJoin(unit(queries), unit(vectors), radius, "distance")
-    rows = near.select(F.col("datasetA.id").cast("string").alias("query_id"), F.col("datasetB.id").cast("string").alias("note_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 9).alias("score"))
-    best = cut(_top(rows, k).select("query_id", "rank", "note_id", "score"))
+
+    def __init__(self, sample: np.ndarray, rows: int, k: int, recall: float):
+        rng = np.random.default_rng(11)
+        unit = _unit(sample)
+        self.planes = rng.standard_normal((unit.shape[1], BITS))
+        lists = int(np.clip(4 * math.sqrt(rows), 1, min(LISTS, max(1, len(unit) // 4))))
+        self.centres = unit[rng.permutation(len(unit))[:lists]].copy()
+        for _ in range(6):
+            of = (unit @ self.centres.T).argmax(1)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, of, unit)
+            held = np.abs(sums).sum(1) > 0
+            self.centres[held] = sums[held]
+            self.centres = _unit(self.centres)
+        tried = unit[:TRIED]
+        score = tried @ unit.T
+        score[np.arange(len(tried)), np.arange(len(tried))] = -2
+        near = np.argsort(-score, axis=1)[:, : min(k, len(unit) - 1)]
+        order = np.argsort(-(tried @ self.centres.T), axis=1)
+        place = np.argsort(order, axis=1)
+        of = (unit @ self.centres.T).argmax(1)
+        each = (1 + recall) / 2  # of the two steps
+        self.probes = int(np.quantile(np.take_along_axis(place, of[near], 1), each, method="higher")) + 1 if near.size else lists
+        codes = self.sketch(unit)
+        self.differ = int(np.quantile(np.bitwise_count(codes[: len(tried), None] ^ codes[near]).sum(2), each, method="higher")) if near.size else BITS
+
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        return np.packbits(unit @ self.planes > 0, axis=1).view(np.uint64)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1)[:, None]
+    return x / np.where(n, n, 1)
+
+
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, recall: float = 0.92, report: bool = False) -> DataFrame:
+    """(query_id, rank, note_id, score): approximate top-k by cosine from an inverted file with sign sketches; both sides (id, vector).
+
+    ``InvertedFile`` is fitted on at most SAMPLE vectors (VALUES values) for the wanted ``recall``. Blocks of queries meet the blocks of each
+    list; sketches of visited lists are compared by bits, and only vectors that pass by cosine. A query with fewer than k
+    hits takes the exact pass of ``vector_topk``. Vectors of a length other than the sample's most common one are left out,
+    null ones too. ``report`` adds ``compared``, the number of vectors whose cosine a query took.
+    """
+    (qid, qvec), (vid, vvec) = queries.columns[:2], vectors.columns[:2]
+    good = vectors.where(F.col(vvec).isNotNull() & ~F.exists(vvec, lambda x: x.isNull()) & (F.size(vvec) > 0))
+    count, longest = good.agg(F.count("*"), F.max(F.size(vvec))).first()
+    sampled = good.orderBy(F.xxhash64(vid), vid).limit(min(SAMPLE, VALUES // (longest or 1))).select(vvec).toPandas()[vvec].tolist()
+    if not len(sampled):
+        return vector_topk(queries, vectors, k, None).withColumn("compared", F.lit(0).cast("long")).drop(*([] if report else ["compared"]))
+    lengths = Counter(map(len, sampled))
+    dim = min(lengths, key=lambda d: (-lengths[d], d))
+    fitted = queries.sparkSession.sparkContext.broadcast(InvertedFile(np.array([v for v in sampled if len(v) == dim], np.float64), count, k, recall))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            of = (_unit(flat) @ fitted.value.centres.T).argmax(1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of.astype(str).tolist(), pa.string())], ["id", "vector", "list"])
+
+    sized = good.where(F.size(vvec) == dim).select(F.col(vid).cast("string").alias("id"), F.col(vvec).cast("array<double>").alias("vector"))
+    listed = sized.mapInArrow(assign, "id string, vector array<double>, list string")
+    index = _blocks(listed.repartition("list").sortWithinPartitions("list"), "id", "vector", "list")
+    asked = _blocks(queries.where(F.size(qvec) == dim), qid, qvec).select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, held, a = fitted.value, None, None
+        for batch in batches:
+            for qids, qm, ids, m, of in zip(*batch.columns):
+                raw = qm.as_buffer().to_pybytes()
+                if raw != held:  # the same queries meet many lists
+                    held, a, who = raw, _unit(np.frombuffer(raw, "<f8").reshape(len(qids), -1)), np.array(qids.as_py(), object)
+                    near = np.argsort(np.argsort(-(a @ f.centres.T), axis=1), axis=1) < f.probes
+                    codes = f.sketch(a)
+                mine = np.flatnonzero(near[:, int(of.as_py())])
+                names, b = np.array(ids.as_py(), object), _unit(np.frombuffer(m.as_buffer(), "<f8").reshape(len(ids), -1))
+                own = f.sketch(b)
+                i, j = np.nonzero(np.bitwise_count(codes[mine, None] ^ own[None]).sum(2) <= f.differ)
+                i = mine[i]
+                score = np.round(np.einsum("ij,ij->i", a[i], b[j]), 9)
+                order = np.lexsort((names[j], -score, i)) if len(i) else i
+                i, j, score = i[order], j[order], score[order]
+                first = np.searchsorted(i, i)
+                top = np.arange(len(i)) - first < k
+                some, n = np.unique(i, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(who[i[top]], who[some]), pa.string()), pa.array(names[j[top]].tolist() + [None] * len(some), pa.string()), pa.array(np.append(score[top], n.astype(float)))], ["query_id", "note_id", "score"])
+
+    found = cut(asked.crossJoin(index).mapInArrow(search, "query_id string, note_id string, score double"))
+    best = cut(_top(found.where("note_id IS NOT NULL"), k).select("query_id", "rank", "note_id", "score"))
     full = best.where(F.col("rank") == k).select("query_id")
-    short = queries.join(full, F.col(queries.columns[0]).cast("string") == F.col("query_id"), "left_anti")
-    return best.join(full, "query_id", "left_semi").union(vector_topk(short, vectors, k, None))
+    short = queries.join(full, F.col(qid).cast("string") == F.col("query_id"), "left_anti")
+    out = best.join(full, "query_id", "left_semi").union(vector_topk(short, vectors, k, None))
+    if not report:
+        return out
+    compared = found.where("note_id IS NULL").groupBy("query_id").agg(F.sum("score").cast("long").alias("n"))
+    return out.join(compared, "query_id", "left").join(full.withColumn("done", F.lit(True)), "query_id", "left").select("query_id", "rank", "note_id", "score", F.when(F.col("done"), F.col("n")).otherwise(F.lit(count)).alias("compared"))
 
 
 def embed_batch(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:

@@ -87,6 +87,25 @@ def test_lsh_finds_the_neighbours_of_the_exact_search(spark, sf_dir):
     assert len(want & {(r.query_id, r.note_id) for r in got}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_lsh_compares_few_rows_and_takes_no_exact_pass(spark, folder):
+    v = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").select("vec_id", "embedding")
+    q, n = v.where("vec_id % 50 = 0"), v.count()
+    want = {(r.query_id, r.note_id) for r in retrieve.vector_topk(q, v, 10, None).collect()}
+    got = retrieve.vector_topk_lsh(q, v, 10, report=True).collect()
+    assert len(want & {(r.query_id, r.note_id) for r in got}) >= 0.9 * len(want) == 0.9 * len(got)
+    compared = {r.query_id: r.compared for r in got}
+    assert sum(compared.values()) < 0.2 * n * len(compared) and max(compared.values()) < n
+
+
+def test_lsh_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 2.0, 3.0]), (7, []), (8, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.note_id) for r in retrieve.vector_topk_lsh(v.where("vec_id = 1"), v, 2).collect()]
+    assert sorted(got) == [(1, "1"), (2, "2")]
+    assert retrieve.vector_topk_lsh(v, v.limit(0), 2).count() == 0
+
+
 def test_recall_answers_a_question_and_drops_expired_notes(spark):
     n = spark.createDataFrame([("n1", "APT28 uses Mimikatz", "2024-01-01", "knowledge"), ("n2", "APT28 uses Metasploit", "2020-01-01", "memory"), ("n3", "unrelated weather", "2024-01-01", "knowledge")], "note_id string, content_raw string, created_at string, persistence string").withColumn("created_at", F.to_timestamp("created_at"))
     q = spark.createDataFrame([(1, "What tools does APT28 use?")], "query_id int, text string")
