@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .extract import extract_all_long
+from .fusion import top_of_entities
 
 
 def build_entity_index(entities: DataFrame) -> DataFrame:
@@ -24,10 +25,10 @@ def index_remove_notes(index: DataFrame, notes: DataFrame) -> DataFrame:
 
 def recall_entity(index: DataFrame, wanted: DataFrame, notes: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, note_id): the newest k notes over all entities (query_id, entity_type, entity_value) of a query; name
-    one entity per query for the newest k of each."""
-    hits = wanted.withColumn("entity_value", F.lower("entity_value")).join(index, ["entity_type", "entity_value"]).select("query_id", "note_id").distinct()
-    w = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "note_id")
-    return hits.join(notes.select("note_id", "created_at"), "note_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "note_id")
+    one entity per query for the newest k of each. Each entity's newest k are found once, however many queries name it."""
+    wanted = wanted.withColumn("entity_value", F.lower("entity_value"))
+    postings = index.select("entity_type", "entity_value", "note_id").distinct().join(notes.select("note_id", F.col("created_at").alias("score")), "note_id")
+    return top_of_entities(wanted, postings, k).select("query_id", "rank", "note_id")
 
 
 def recall_typed(index: DataFrame, wanted: DataFrame, notes: DataFrame, kind: str, k: int) -> DataFrame:

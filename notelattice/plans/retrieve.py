@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import INTENT_KEYWORDS, POLICIES
-from ..operators import evolve, extract, graph, index, retrieve
+from ..operators import evolve, extract, fusion, graph, index, retrieve
 from .derived import Tables, with_tables
 
 from .notes import ASKED, INDEX, NOTES, asked, entity_index, quoted
@@ -62,6 +62,12 @@ def _scored(t: Tables, mod: int, even: bool = False) -> DataFrame:
     return (rows.where("number % 2 = 0") if even else rows).drop("number")
 
 
+def _postings(t: Tables) -> DataFrame:
+    """The index with a note's two scores, the second for even numbers only."""
+    number = F.substring("note_id", 6, 20).cast("long")
+    return entity_index(t).select("entity_type", "entity_value", "note_id", (1 + number % 97).alias("vs"), F.when(number % 2 == 0, 1 + number % 13).alias("gs"))
+
+
 def _per_text(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """``plan``, whose rows carry a query_id, with questions of equal text answered once."""
 
@@ -92,8 +98,8 @@ add("traversal_policy", lambda t: _weights(t), f"{with_tables('questions')}, {IN
 _NORM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 add("minmax_normalize", _per_text(lambda t: retrieve.minmax_normalize(_scored(t, 97)).select("query_id", "note_id", F.round("score", 9).alias("score"))), f"{SCORED} SELECT query_id, note_id, round({_NORM}, 9) AS score FROM vec WINDOW w AS (PARTITION BY query_id)")
 _FUSED = f"v AS (SELECT query_id, note_id, {_NORM} AS vs FROM vec WINDOW w AS (PARTITION BY query_id)), g AS (SELECT query_id, note_id, {_NORM} AS gs FROM gr WINDOW w AS (PARTITION BY query_id)), fused AS (SELECT query_id, note_id, round(coalesce(vs * vector, 0) + coalesce(gs * graph, 0), 9) AS score FROM v FULL JOIN g USING (query_id, note_id) JOIN intents USING (query_id) JOIN policies USING (intent))"
-add("blend_weighted", _per_text(lambda t: retrieve.blend_weighted(_scored(t, 97), _scored(t, 13, True), _weights(t), 10)), f"{SCORED}, {INTENTS}, {POLICY}, {_FUSED} SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
-add("blend_rrf", _per_text(lambda t: retrieve.blend_rrf(_scored(t, 97), _scored(t, 13, True), 10)), f"{SCORED}, ranks AS (SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) AS s FROM vec UNION ALL SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) FROM gr), fused AS (SELECT query_id, note_id, round(sum(s), 9) AS score FROM ranks GROUP BY ALL) SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
+add("blend_weighted", _per_text(lambda t: fusion.blend_weighted_postings(asked(t), _postings(t), _weights(t), 10)), f"{SCORED}, {INTENTS}, {POLICY}, {_FUSED} SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
+add("blend_rrf", _per_text(lambda t: fusion.blend_rrf_postings(asked(t), _postings(t), 10)), f"{SCORED}, ranks AS (SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) AS s FROM vec UNION ALL SELECT query_id, note_id, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)) FROM gr), fused AS (SELECT query_id, note_id, round(sum(s), 9) AS score FROM ranks GROUP BY ALL) SELECT query_id, rank, note_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS rank FROM fused) r WHERE rank <= 10")
 add("entity_boost", _per_text(lambda t: retrieve.entity_boost(_scored(t, 97), asked(t), entity_index(t), t.notes, 2.5, 1.5)),
     f"{SCORED}, sh AS (SELECT v.query_id, v.note_id, count(*) AS n FROM vec v JOIN (SELECT DISTINCT query_id, entity_value FROM asked) a USING (query_id) JOIN (SELECT DISTINCT note_id, entity_value FROM entity_index) i ON i.note_id = v.note_id AND i.entity_value = a.entity_value GROUP BY 1, 2), ex AS (SELECT v.query_id, v.note_id, count(*) AS h FROM vec v JOIN (SELECT DISTINCT query_id, entity_value FROM asked) a USING (query_id) JOIN notes n ON n.note_id = v.note_id WHERE contains(lower(content_raw), lower(entity_value)) GROUP BY 1, 2) SELECT query_id, note_id, score * pow(2.5, coalesce(n, 0)) * pow(1.5, coalesce(h, 0)) AS score FROM vec LEFT JOIN sh USING (query_id, note_id) LEFT JOIN ex USING (query_id, note_id)")
 _LINKS = "links AS (SELECT note_id, 'note_' || (CAST(substr(note_id, 6) AS BIGINT) + 1) AS related FROM notes)"
@@ -105,7 +111,7 @@ RANKED = f"{SCORED}, ranked AS (SELECT query_id, rank, note_id FROM (SELECT *, r
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return retrieve._top(_scored(t, 97), 10).select("query_id", "rank", "note_id")
+    return fusion.top_of_entities(asked(t), _postings(t).withColumnRenamed("vs", "score").drop("gs"), 10).select("query_id", "rank", "note_id")
 
 
 add("entity_augment", _per_text(lambda t: retrieve.entity_augment(_ranked(t), index.recall_entity(entity_index(t), asked(t), t.notes, 10))),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelattice.functions.rules import TTL_DAYS
-from notelattice.operators import evaluate, evolve, extract, graph, notes, ontology, retrieve, rules
+from notelattice.operators import evaluate, evolve, extract, fusion, graph, notes, ontology, retrieve, rules
 from notelattice.sources import tables
 from notelattice.streaming import jobs
 
@@ -87,6 +87,24 @@ def test_lsh_finds_the_neighbours_of_the_exact_search(spark, sf_dir):
     assert len(want & {(r.query_id, r.note_id) for r in got}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("values", [5, 1000])
+def test_fusion_of_posting_lists_equals_all_pairs(spark, values):
+    rng = random.Random(values)
+    scores = {f"n{k:03}": (rng.choice([None, 1, 1]) and rng.randrange(values), rng.choice([None, 1]) and rng.randrange(values)) for k in range(300)}
+    lists = [("tool", f"e{e}", n) for e in range(6) for n in scores if rng.random() < (0.9 if e == 0 else 0.1)]
+    asked = [(q, "tool", f"e{e}") for q in range(9) for e in rng.sample(range(7), 1 + q % 3)] + [(3, "tool", "nowhere")]
+    weights = [(q, *w) for q, w in enumerate([(0.5, 0.5), (1.0, 0.0), (0.0, 1.0), (0.3, 0.7), (0.0, 0.0), (0.9, 0.1), (0.2, 0.2), (0.5, 0.5), (0.1, 0.9)])]
+    a = spark.createDataFrame(asked, "query_id int, entity_type string, entity_value string")
+    p = spark.createDataFrame([(*x, *scores[x[2]]) for x in lists], "entity_type string, entity_value string, note_id string, vs int, gs int").repartition(6)
+    w = spark.createDataFrame(weights, "query_id int, vector double, graph double")
+    pairs = a.join(p, ["entity_type", "entity_value"]).select("query_id", "note_id", "vs", "gs").distinct()
+    v, g = (pairs.where(f"{c} IS NOT NULL").select("query_id", "note_id", F.col(c).alias("score")) for c in ("vs", "gs"))
+    assert rows(fusion.blend_weighted_postings(a, p, w, 4)) == rows(retrieve.blend_weighted(v, g, w, 4))
+    assert rows(fusion.blend_rrf_postings(a, p, 4)) == rows(retrieve.blend_rrf(v, g, 4))
+    band = fusion.skyband(p, 4).count()
+    assert band < len(lists) and (values == 1000 or band <= 6 * 4 * 36)
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
 def test_lsh_compares_few_rows_and_takes_no_exact_pass(spark, folder):
     v = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").select("vec_id", "embedding")
