@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 from ..functions.rules import EDGE_RULES
@@ -75,15 +75,28 @@ def neighbors(edges: DataFrame, starts: DataFrame, relationship: str | None = No
 
 
 def traverse_paths(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
-    """(start, node, hops): nodes within ``depth`` hops of each start, each expanded once, at its least number of hops."""
-    links = edges.select("from_id", "to_id").distinct()
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
-    frontier = seen
+    """(start, hops, path: array of (from_id, relationship, to_id)): walks of up to ``depth`` edges out of each start.
+
+    A node is expanded once for a start, along the least of its shortest paths; edges back to nodes that were reached before
+    end a path of their own.
+    """
+    links = edges.select("from_id", "relationship", "to_id").distinct()
+    links = links.select(F.col("from_id").alias("node"), F.struct("from_id", "relationship", "to_id").alias("edge"))
+    frontier = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("path", F.array().cast("array<struct<from_id:string,relationship:string,to_id:string>>"))
+    seen, out = frontier.select("start", "node"), None
     for hop in range(1, depth + 1):
-        step = frontier.join(links, F.col("node") == F.col("from_id")).select("start", F.col("to_id").alias("node")).distinct()
-        frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.union(frontier)
-    return seen
+        step = cut(frontier.join(links, "node").select("start", F.lit(hop).alias("hops"), F.concat("path", F.array("edge")).alias("path")))
+        out = step if out is None else out.union(step)
+        if hop < depth:
+            ends = step.groupBy("start", F.element_at("path", -1)["to_id"].alias("node")).agg(F.min("path").alias("path"))
+            frontier = ends.join(seen, ["start", "node"], "left_anti")
+            seen = seen.union(frontier.select("start", "node"))
+    return out
+
+
+def path_text(path: Column) -> Column:
+    """A path of ``traverse_paths`` as text: from -[relationship]-> to -[relationship]-> to."""
+    return F.concat(F.get(path, F.lit(0))["from_id"], F.array_join(F.transform(path, lambda e: F.concat(F.lit(" -["), e["relationship"], F.lit("]-> "), e["to_id"])), ""))
 
 
 def graph_retrieve(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:

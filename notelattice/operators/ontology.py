@@ -77,16 +77,80 @@ def referential_check(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return j.where("f IS NULL OR t IS NULL").select("from_id", "rel", "to_id", F.col("f").isNull().alias("no_from"), F.col("t").isNull().alias("no_to"))
 
 
+def strong_components(links: DataFrame) -> DataFrame:
+    """(node, component): nodes of ``links`` (a, b) that lie on a cycle of more than one node, and the greatest node of theirs.
+
+    Nodes without a way in or out are trimmed. Then each node takes the greatest node that reaches it as its colour (colours of
+    colours are taken along, so long ways halve); what reaches a colour's own node within the colour is a component. The next
+    round turns the links around. All tables are as large as the links at most.
+    """
+    live, out = cut(links.select("a", "b").where("a <> b").distinct()), []
+    while True:
+        n = live.count()
+        while n:
+            live = cut(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            n, before = live.count(), n
+            if n == before:
+                break
+        if not n:
+            break
+        colours = cut(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            come = live.join(colours.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("come"))
+            step = colours.join(come, "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", "come").alias("via"))
+            far = colours.select(F.col("node").alias("via"), F.col("colour").alias("far"))
+            new = cut(step.join(far, "via", "left").select("node", "old", F.greatest("via", "far").alias("colour")))
+            colours = new.select("node", "colour")
+            if new.where("old <> colour").isEmpty():
+                break
+        inside = live.join(colours.select(F.col("node").alias("a"), "colour"), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("c")), "b").where("colour = c").select("a", "b", "colour")
+        inside = cut(inside)
+        reached = frontier = cut(colours.where("node = colour"))
+        while not frontier.isEmpty():
+            back = inside.join(frontier.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
+            frontier = cut(back.join(reached, ["node", "colour"], "left_anti"))
+            reached = cut(reached.union(frontier))
+        sizes = reached.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
+        out.append(reached.join(sizes, "colour").select("node", F.col("colour").alias("component")))
+        gone = reached.select("node")
+        live = cut(live.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if not out:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.union(more)
+    return whole
+
+
 def acyclic_check(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """(from_id, to_id) of ``new`` relations that would close a cycle over ``existing`` ones of the same relation, however long."""
-    links = existing.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
-    bad = new.where("from_id = to_id").select("from_id", "to_id")
-    frontier = new.where("from_id <> to_id").select("from_id", "to_id", F.col("to_id").alias("node")).distinct()
-    seen = frontier
+    """(from_id, to_id) of ``new`` relations that would close a cycle over ``existing`` ones of the same relation, however long.
+
+    Each new relation is held against the existing ones alone. Only one whose ends lie in one strong component of old and new
+    ones together can close a cycle. If old ones alone connect its ends both ways it does; what is left is searched for inside
+    its component.
+    """
+    links = cut(existing.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct())
+    asked = cut(new.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
+    bad = asked.where("from_id = to_id")
+
+    def labelled(rows: DataFrame, components: DataFrame, one: str, two: str) -> DataFrame:
+        """Rows whose ends ``one`` and ``two`` lie in the same component."""
+        ends = [components.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in (one, two)]
+        return rows.join(ends[0], one).join(ends[1], two).where(F.col(f"in_{one}") == F.col(f"in_{two}")).select(*rows.columns)
+
+    both = cut(strong_components(links.union(asked.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))))
+    able = cut(labelled(asked.where("from_id <> to_id"), both, "from_id", "to_id"))
+    if able.isEmpty():
+        return bad
+    sure = cut(labelled(able, strong_components(links), "from_id", "to_id"))
+    near = cut(labelled(links, both, "a", "b"))
+    frontier = cut(able.join(sure, ["from_id", "to_id"], "left_anti").withColumn("node", F.col("to_id")))
+    bad, seen = bad.union(sure), frontier
     while not frontier.isEmpty():  # ends, as each round reaches nodes not seen before
-        step = frontier.join(links, F.col("node") == F.col("a")).select("from_id", "to_id", F.col("b").alias("node")).distinct()
-        bad = bad.union(step.where("node = from_id").select("from_id", "to_id"))
-        frontier = cut(step.where("node <> from_id").join(seen, ["from_id", "to_id", "node"], "left_anti"))
+        step = frontier.join(near, F.col("node") == F.col("a")).select("from_id", "to_id", F.col("b").alias("node")).distinct()
+        hit = cut(step.where("node = from_id").select("from_id", "to_id"))
+        bad = bad.union(hit)
+        frontier = cut(step.join(hit, ["from_id", "to_id"], "left_anti").join(seen, ["from_id", "to_id", "node"], "left_anti"))
         seen = seen.union(frontier)
     return bad.distinct()
 

@@ -434,13 +434,30 @@ def format_context(ranked: DataFrame, notes: DataFrame, budget: int = 500) -> Da
 QUESTION_STOPWORDS = ("what", "where", "when", "who", "how", "did", "does", "is", "the", "a", "an", "from", "to", "for", "of", "likely", "would", "still", "want")
 
 
-def keyword_inject(queries: DataFrame, notes: DataFrame, found: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, rank, note_id, overlap): notes outside ``found`` that share most question words, the best k."""
+def keyword_inject(queries: DataFrame, notes: DataFrame, found: DataFrame, k: int = 3, rare: int = 1000) -> DataFrame:
+    """(query_id, rank, note_id, overlap): notes outside ``found`` that share most question words, the best k.
+
+    Words of at most ``rare`` notes lead to notes, for which the common words are then counted. Notes with common words only
+    are ranked once for each set of common words that questions have: of those, a question needs its k best and as many more as
+    ``found`` can hold of them.
+    """
     words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), r"\s+")))
-    q = queries.select("query_id", words(F.col("text")).alias("w")).where((F.col("w") != "") & ~F.col("w").isin(*QUESTION_STOPWORDS))
-    n = notes.select("note_id", words(F.col("content_raw")).alias("w"))
-    hits = q.join(n, "w").groupBy("query_id", "note_id").agg(F.count("*").alias("overlap")).join(found, ["query_id", "note_id"], "left_anti")
+    q = queries.select("query_id", words(F.col("text")).alias("w")).where((F.col("w") != "") & ~F.col("w").isin(*QUESTION_STOPWORDS)).distinct()
+    n = notes.select("note_id", words(F.col("content_raw")).alias("w")).distinct()
+    n = cut(n.join(q.select("w").distinct(), "w", "left_semi"))
+    q = cut(q.join(n.groupBy("w").agg((F.count("*") > rare).alias("common")), "w"))
+    some = q.where("NOT common").join(n, "w").groupBy("query_id", "note_id").agg(F.count("*").alias("few"))
+    more = some.select("query_id", "note_id").join(q.where("common").select("query_id", "w"), "query_id").join(n, ["note_id", "w"]).groupBy("query_id", "note_id").agg(F.count("*").alias("many"))
+    led = some.join(more, ["query_id", "note_id"], "left").select("query_id", "note_id", (F.col("few") + F.coalesce("many", F.lit(0))).alias("overlap"))
+
+    sets = q.where("common").groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    sets = cut(sets.withColumn("set", F.sha2(F.array_join("words", " "), 256)))
+    reach = k + (found.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    ranked = sets.dropDuplicates(["set"]).select("set", F.explode("words").alias("w")).join(n, "w").groupBy("set", "note_id").agg(F.count("*").alias("overlap"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("overlap"), "note_id"))).where(F.col("r") <= reach)
+    hits = led.union(sets.select("query_id", "set").join(ranked, "set").select("query_id", "note_id", "overlap")).groupBy("query_id", "note_id").agg(F.max("overlap").alias("overlap"))
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "note_id")
+    hits = hits.join(found, ["query_id", "note_id"], "left_anti")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "note_id", "overlap")
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
+from ..functions.quantiles import order_statistics
+
 # fixed values: event classes of operation logs (class id, class, category id, category), numbers of named activities,
 # and the activity of classes that have one, or one for success and one for failure
 OCSF_CLASSES = (
@@ -83,15 +86,25 @@ def daily_volume_wide(events: DataFrame) -> DataFrame:
 
 def latency_percentiles(events: DataFrame) -> DataFrame:
     """p50, p95 and maximum per event type, interpolated."""
-    return events.groupBy("event_type").agg(F.round(F.percentile("duration_ms", 0.5), 6).alias("p50"), F.round(F.percentile("duration_ms", 0.95), 6).alias("p95"), F.max("duration_ms").alias("max_ms"))
+    ends = cut(events.groupBy("event_type").agg(F.count("duration_ms").alias("n"), F.max("duration_ms").alias("max_ms")))
+    shares = ends.select("event_type", "n", F.explode(F.array(F.lit(0.5), F.lit(0.95))).alias("p")).withColumn("at", F.col("p") * (F.col("n") - 1))
+    wanted = shares.select("event_type", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("k"))
+    found = order_statistics(events, "event_type", "duration_ms", wanted)
+    lower, upper = (found.withColumnRenamed("value", name).withColumnRenamed("k", f"{name}_at") for name in ("low", "high"))
+    both = shares.withColumn("low_at", F.floor("at")).withColumn("high_at", F.ceil("at")).join(lower, ["event_type", "low_at"]).join(upper, ["event_type", "high_at"])
+    value = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.col("low_at")), 6)
+    cells = both.groupBy("event_type").agg(F.max(F.when(F.col("p") == 0.5, value)).alias("p50"), F.max(F.when(F.col("p") == 0.95, value)).alias("p95"))
+    return ends.join(cells, ends["event_type"].eqNullSafe(cells["event_type"]), "left").select(ends["event_type"], "p50", "p95", "max_ms")
 
 
 def latency_nearest_rank(events: DataFrame, by: str = "event_type", value: str = "duration_ms") -> DataFrame:
     """p50 and p95 per group as the values at positions n / 2 and int(0.95 n) of the sorted list."""
-    w = Window.partitionBy(by)
-    k, n = F.row_number().over(w.orderBy(value)) - 1, F.count("*").over(w)
-    rows = events.where(F.col(value).isNotNull()).select(by, value, k.alias("k"), n.alias("n"))
-    return rows.groupBy(by).agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col(value))).alias("p50"), F.max(F.when(F.col("k") == F.floor(F.col("n") * 95 / 100), F.col(value))).alias("p95"))
+    ends = cut(events.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n")))
+    at50, at95 = F.floor(F.col("n") / 2), F.floor(F.col("n") * 95 / 100)
+    found = order_statistics(events, by, value, ends.select(by, F.explode(F.array(at50, at95)).alias("k")))
+    rows = ends.join(found, by)
+    kind = dict(events.dtypes)[value]
+    return rows.groupBy(by).agg(*[F.max(F.when(F.col("k") == at, F.col("value"))).cast(kind).alias(name) for name, at in (("p50", at50), ("p95", at95))])
 
 
 def utility_trend(events: DataFrame) -> DataFrame:

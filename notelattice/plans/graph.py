@@ -97,7 +97,11 @@ def _starts(t: Tables) -> DataFrame:
 
 START = f"{KG}, starts AS (SELECT 'actor:' || c_custkey AS node FROM customer WHERE c_custkey % 50 = 0)"
 add("neighbors", lambda t: graph.neighbors(t.kg_edges, t.customer.select(F.concat(F.lit("actor:"), F.col("c_custkey")).alias("node")), "USES_TOOL"), f"{KG} SELECT DISTINCT from_id, relationship, to_id FROM kg_edges WHERE relationship = 'USES_TOOL' AND from_id IN (SELECT 'actor:' || c_custkey FROM customer)")
-add("traverse_paths", lambda t: graph.traverse_paths(t.kg_edges, _starts(t), 2), f"{START}, l AS (SELECT DISTINCT from_id, to_id FROM kg_edges), w AS (SELECT node AS start, node, 0 AS hops FROM starts UNION ALL SELECT s.node, to_id, 1 FROM starts s JOIN l ON from_id = s.node UNION ALL SELECT s.node, b.to_id, 2 FROM starts s JOIN l a ON a.from_id = s.node JOIN l b ON b.from_id = a.to_id) SELECT start, node, min(hops) AS hops FROM w GROUP BY 1, 2")
+add("traverse_paths", lambda t: graph.traverse_paths(t.kg_edges, _starts(t), 2).select("start", "hops", graph.path_text(F.col("path")).alias("path")),
+    f"""{START}, l AS (SELECT DISTINCT from_id, relationship, to_id FROM kg_edges), one AS (SELECT s.node AS start, from_id, relationship, to_id FROM starts s JOIN l ON from_id = s.node),
+firsts AS (SELECT start, to_id AS node, min(relationship) AS relationship FROM one WHERE to_id <> start GROUP BY ALL)
+SELECT start, 1 AS hops, start || ' -[' || relationship || ']-> ' || to_id AS path FROM one
+UNION ALL SELECT start, 2, start || ' -[' || f.relationship || ']-> ' || node || ' -[' || l.relationship || ']-> ' || to_id FROM firsts f JOIN l ON from_id = node""")
 
 
 def _query_nodes(t: Tables) -> DataFrame:

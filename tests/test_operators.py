@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelattice.functions.rules import TTL_DAYS
-from notelattice.operators import evaluate, evolve, extract, fusion, graph, notes, ontology, retrieve, rules
+from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
 from notelattice.sources import tables
 from notelattice.streaming import jobs
 
@@ -315,6 +315,74 @@ def test_cycles_are_found(spark):
     assert rows(ontology.acyclic_check(old, new)) == [("c", "a"), ("x", "x")]
 
 
+def test_cycles_equal_brute_force(spark):
+    rng = random.Random(2)
+    for nodes, old_n, new_n in ((12, 10, 25), (12, 20, 25), (40, 60, 40), (30, 28, 20)):
+        pick = lambda: (f"{rng.randrange(nodes):02}", f"{rng.randrange(nodes):02}")
+        old, new = {pick() for _ in range(old_n)}, {pick() for _ in range(new_n)}
+
+        def reaches(a, b):
+            todo, seen = [a], set()
+            while todo:
+                x = todo.pop()
+                if x == b:
+                    return True
+                if x not in seen:
+                    seen.add(x)
+                    todo += [y for z, y in old if z == x]
+            return False
+
+        frame = lambda links: spark.createDataFrame(sorted(links), "from_id string, to_id string")
+        assert rows(ontology.acyclic_check(frame(old), frame(new))) == sorted(e for e in new if reaches(e[1], e[0]))
+    assert ontology.acyclic_check(frame(old).limit(0), frame(new).where("from_id <> to_id").limit(1)).count() == 0
+
+
+def test_order_statistics_equal_sorting(spark):
+    from notelattice.functions.quantiles import order_statistics
+
+    rng = random.Random(5)
+    groups = {"ties": [3.0] * 50, "many": [rng.gauss(0, 1e6) for _ in range(3000)], "wide": [-1e308, 1e308, 0.0, 1e-300, -1e-300], "one": [7.0], "two": [1.0, 2.0, 2.0]}
+    data = [(g, x) for g, xs in groups.items() for x in xs] + [("ties", None), ("many", float("nan")), (None, 1.0)]
+    wanted = [(g, k) for g, xs in groups.items() for k in {0, len(xs) // 2, len(xs) - 1, len(xs), -1}] + [(None, 0), ("none", 0)]
+    got = order_statistics(spark.createDataFrame(data, "g string, x double"), "g", "x", spark.createDataFrame(wanted, "g string, k long"))
+    assert rows(got) == sorted((g, k, sorted(groups[g])[k]) for g, k in wanted if g in groups and 0 <= k < len(groups[g]))
+
+
+def test_prefixes_of_any_length(spark):
+    i = spark.createDataFrame([("tool", v, f"n{k % 4}") for k, v in enumerate(["a", "ab", "abc", "abcd", "abce", "b", "abcd"])] + [("cve", "ab", "n1")], "entity_type string, entity_value string, note_id string")
+    p = spark.createDataFrame([("",), ("a",), ("AB",), ("abc",), ("abcd",), ("zz",), (None,)], "prefix string")
+    got = index.search_entities_prefix(i, p, 3)
+    values = sorted({(r.entity_type, r.entity_value) for r in i.collect()})
+    want = []
+    for q in ("", "a", "AB", "abc", "abcd"):
+        for kind in ("tool", "cve"):
+            want += [(q, kind, v, 2 if v == "abcd" else 1) for t, v in values if t == kind and v.startswith(q.lower())][:3]
+    assert rows(got) == sorted(want)
+
+
+def test_keyword_inject_with_common_words_equals_brute_force(spark):
+    rng = random.Random(1)
+    vocabulary = ["common", "frequent", "usual"] + [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join(rng.choice(vocabulary[:3]) if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(n))
+    notes_, asked = [(f"n{k:02}", text(8)) for k in range(60)], [(k, text(1 + k % 4) + " the What") for k in range(25)]
+    found = [(k, f"n{rng.randrange(60):02}") for k in range(25) for _ in range(k % 5)]
+    want = []
+    for q, t in asked:
+        words = set(t.lower().split()) - {"the", "what"}
+        scored = sorted((-len(words & set(c.split())), n) for n, c in notes_ if words & set(c.split()) and (q, n) not in found)
+        want += [(q, r + 1, n, -s) for r, (s, n) in enumerate(scored[:3])]
+    frame = spark.createDataFrame
+    got = retrieve.keyword_inject(frame(asked, "query_id int, text string"), frame(notes_, "note_id string, content_raw string"), frame(found, "query_id int, note_id string").distinct(), 3, rare=12)
+    assert rows(got) == sorted(want)
+
+
+def test_walks_hold_their_edges(spark):
+    e = spark.createDataFrame([("a", "b", "r"), ("a", "b", "q"), ("b", "a", "r"), ("b", "c", "r"), ("c", "d", "r")], "from_id string, to_id string, relationship string")
+    got = graph.traverse_paths(e, spark.createDataFrame([("a",), ("z",)], "node string"), 2)
+    paths = sorted(r[0] for r in got.select(graph.path_text(F.col("path"))).collect())
+    assert paths == ["a -[q]-> b", "a -[q]-> b -[r]-> a", "a -[q]-> b -[r]-> c", "a -[r]-> b"]
+
+
 def test_sigma_tags(spark):
     t = spark.createDataFrame([("r", "attack.t1059.001"), ("r", "cve.2024.3094"), ("r", "tlp.red"), ("r", None), ("r", "")], "rule_id string, tag string")
     got = {r.tag: (r.entity_type, r.entity_value) for r in rules.sigma_tag_resolve(t).collect()}
