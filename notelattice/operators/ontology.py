@@ -122,28 +122,36 @@ def strong_components(links: DataFrame) -> DataFrame:
     return whole
 
 
+def _reached(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): the nodes of ``starts`` (node) and all that ``links`` (a, b) lead to from any of them."""
+    seen = frontier = cut(starts.select("node").distinct())
+    while not frontier.isEmpty():
+        step = links.join(frontier.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        frontier = cut(step.join(seen, "node", "left_anti"))
+        seen = seen.union(frontier)
+    return cut(seen)
+
+
 def acyclic_check(existing: DataFrame, new: DataFrame) -> DataFrame:
     """(from_id, to_id) of ``new`` relations that would close a cycle over ``existing`` ones of the same relation, however long.
 
-    Each new relation is held against the existing ones alone. Only one whose ends lie in one strong component of old and new
-    ones together can close a cycle. If old ones alone connect its ends both ways it does; what is left is searched for inside
-    its component.
+    Each new relation is held against the existing ones alone. What counts of those lies on ways from the ends of new
+    relations to their beginnings, which two searches from all of them at once tell in tables no larger than the links. Ends in
+    one strong component are connected both ways; what is left is searched for one by one, within what counts.
     """
-    links = cut(existing.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct())
+    links = cut(existing.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
     asked = cut(new.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
-    bad = asked.where("from_id = to_id")
-
-    def labelled(rows: DataFrame, components: DataFrame, one: str, two: str) -> DataFrame:
-        """Rows whose ends ``one`` and ``two`` lie in the same component."""
-        ends = [components.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in (one, two)]
-        return rows.join(ends[0], one).join(ends[1], two).where(F.col(f"in_{one}") == F.col(f"in_{two}")).select(*rows.columns)
-
-    both = cut(strong_components(links.union(asked.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))))
-    able = cut(labelled(asked.where("from_id <> to_id"), both, "from_id", "to_id"))
+    bad, able = asked.where("from_id = to_id"), asked.where("from_id <> to_id")
+    ahead = _reached(links, able.select(F.col("to_id").alias("node")))
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(ahead.withColumnRenamed("node", "a"), "a", "left_semi").join(ahead.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    both = _reached(turned, able.select(F.col("from_id").alias("node")).join(ahead, "node", "left_semi"))
+    near = cut(turned.join(both.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    able = cut(able.join(both.withColumnRenamed("node", "from_id"), "from_id", "left_semi").join(both.withColumnRenamed("node", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
     if able.isEmpty():
         return bad
-    sure = cut(labelled(able, strong_components(links), "from_id", "to_id"))
-    near = cut(labelled(links, both, "a", "b"))
+    parts = cut(strong_components(near))
+    ends = [parts.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in ("from_id", "to_id")]
+    sure = cut(able.join(ends[0], "from_id").join(ends[1], "to_id").where("in_from_id = in_to_id").select("from_id", "to_id"))
     frontier = cut(able.join(sure, ["from_id", "to_id"], "left_anti").withColumn("node", F.col("to_id")))
     bad, seen = bad.union(sure), frontier
     while not frontier.isEmpty():  # ends, as each round reaches nodes not seen before

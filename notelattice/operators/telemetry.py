@@ -94,7 +94,7 @@ def latency_percentiles(events: DataFrame) -> DataFrame:
     both = shares.withColumn("low_at", F.floor("at")).withColumn("high_at", F.ceil("at")).join(lower, ["event_type", "low_at"]).join(upper, ["event_type", "high_at"])
     value = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.col("low_at")), 6)
     cells = both.groupBy("event_type").agg(F.max(F.when(F.col("p") == 0.5, value)).alias("p50"), F.max(F.when(F.col("p") == 0.95, value)).alias("p95"))
-    return ends.join(cells, ends["event_type"].eqNullSafe(cells["event_type"]), "left").select(ends["event_type"], "p50", "p95", "max_ms")
+    return ends.join(cells, "event_type", "left").select("event_type", "p50", "p95", "max_ms")
 
 
 def latency_nearest_rank(events: DataFrame, by: str = "event_type", value: str = "duration_ms") -> DataFrame:
