@@ -23,10 +23,11 @@ HASH_TYPES = ("md5", "sha1", "sha256")
 
 # fixed values: words that look like speaker names but are not
 NAME_STOPWORDS = (
-    "the and but for not you all can had her was one our out are has his how note text content context session "
-    "conversation hey wow thanks yeah sure well really monday tuesday wednesday thursday friday saturday sunday january "
-    "february march april may june july august september october november december"
-).split()
+    "the", "and", "but", "for", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "are", "has", "his", "how",
+    "note", "text", "content", "context", "session", "conversation", "hey", "wow", "thanks", "yeah", "sure", "well", "really",
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "may",
+    "june", "july", "august", "september", "october", "november", "december",
+)
 
 # fixed value: lines that come from code or version control
 CODE_CONTEXT = (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 from ..functions.ordered import carried_scan, numbered
+from .retrieve import embed_batch, vector_topk
 
 # fixed values: entity types that count for supersession, and words that negate
 SUPERSEDING = ("cve", "actor", "tool", "campaign", "asset", "person", "location", "organization", "event", "activity", "temporal")
@@ -95,6 +96,37 @@ def mark_superseded(pairs: DataFrame, index: DataFrame) -> tuple[DataFrame, Data
     return edges, index.join(pairs.select(F.col("old_id").alias("note_id")).distinct(), "note_id", "left_anti")
 
 
+def superseded_notes(notes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``notes`` with ``superseded_by``, the first (by id) of the notes that replace it, and ``supersedes``, all that it replaces.
+
+    ``pairs`` (new_id, old_id) whose notes aren't both there count for nothing.
+    """
+    ids = notes.select("note_id")
+    known = pairs.join(ids.withColumnRenamed("note_id", "new_id"), "new_id", "left_semi").join(ids.withColumnRenamed("note_id", "old_id"), "old_id", "left_semi")
+    by = known.groupBy(F.col("old_id").alias("note_id")).agg(F.min("new_id").alias("superseded_by"))
+    of = known.groupBy(F.col("new_id").alias("note_id")).agg(F.sort_array(F.collect_set("old_id")).alias("supersedes"))
+    none = F.array().cast("array<string>")
+    return notes.join(by, "note_id", "left").join(of, "note_id", "left").withColumn("supersedes", F.coalesce("supersedes", none))
+
+
+def find_similar(facts: DataFrame, vectors: DataFrame, most: int = 3) -> DataFrame:
+    """(fact_id, rank, note_id, score): for each fact (fact_id, note_id, domain, vector) the most similar notes of its domain.
+
+    ``vectors`` (note_id, domain, vector). The note that a fact is from is no neighbour of it. Blocks of facts meet blocks of
+    notes of one domain.
+    """
+    out = None
+    for domain in [r[0] for r in facts.select("domain").where("domain IS NOT NULL").distinct().collect()]:  # a few names
+        here = F.col("domain") == domain
+        near = vector_topk(facts.where(here).select("fact_id", "vector"), vectors.where(here).select("note_id", "vector"), most + 1, None)
+        out = near if out is None else out.union(near)
+    if out is None:
+        return facts.select("fact_id", F.lit(0).alias("rank"), "note_id", F.lit(0.0).alias("score")).limit(0)
+    others = out.withColumnRenamed("query_id", "fact_id").join(facts.select(F.col("fact_id").cast("string").alias("fact_id"), F.col("note_id").cast("string").alias("own")), "fact_id").where("NOT own <=> note_id")
+    w = Window.partitionBy("fact_id").orderBy("rank")
+    return others.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("fact_id", "rank", "note_id", "score")
+
+
 def entity_components(notes: DataFrame, index: DataFrame, key: str = "stream") -> DataFrame:
     """``notes`` with ``key``: the least note_id of those reachable over shared superseding entities; its own without any.
 
@@ -249,12 +281,19 @@ def shift_detect(notes: DataFrame, key: str = "stream", size: int = SLICE, idle:
     return carried_scan(numbered(rows, [key, "created_at", "note_id"], size), detect, f"{key} string, note_id string, signals string, is_shift boolean")
 
 
-def consolidation_candidates(notes: DataFrame, index: DataFrame, since: str) -> DataFrame:
-    """note_id of live notes since ``since`` whose domain has at least two and that share an entity within it."""
-    recent = notes.where(F.col("created_at") >= F.lit(since).cast("timestamp")).select("note_id", "domain")
+def consolidation_candidates(notes: DataFrame, index: DataFrame, since: str, least: int = 3) -> DataFrame:
+    """note_id of live notes since ``since`` that share an entity with another of their domain.
+
+    Notes whose ``superseded_by``, if there is such a column, isn't null or empty are not live; with fewer than ``least`` live
+    notes since then there are no candidates. A null domain is "general".
+    """
+    live = notes.where(F.coalesce("superseded_by", F.lit("")) == "") if "superseded_by" in notes.columns else notes
+    recent = live.where(F.col("created_at") >= F.lit(since).cast("timestamp")).select("note_id", F.coalesce("domain", F.lit("general")).alias("domain"))
+    enough = recent.limit(least).agg((F.count("*") >= least).alias("enough"))
     shared = recent.join(index, "note_id").select("domain", "entity_type", "entity_value", "note_id").distinct()
     hot = shared.groupBy("domain", "entity_type", "entity_value").agg(F.count("*").alias("n")).where("n >= 2")
-    return shared.join(hot, ["domain", "entity_type", "entity_value"], "left_semi").select("note_id").distinct()
+    found = shared.join(hot, ["domain", "entity_type", "entity_value"], "left_semi").select("note_id").distinct()
+    return found.crossJoin(F.broadcast(enough)).where("enough").select("note_id")  # one row
 
 
 def contradictions(notes: DataFrame, index: DataFrame) -> DataFrame:
@@ -297,11 +336,19 @@ def evolution_validate(completions: DataFrame) -> DataFrame:
 
 
 def evolution_apply(notes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Notes with valid evolutions applied: the old text kept, one more evolution, confidence at most 0.95."""
+    """Notes with valid evolutions applied: the old text kept, one more evolution, confidence at most 0.95.
+
+    If ``notes`` have a ``vector``, that of an evolved note is made anew from the first 1000 characters of its new text.
+    """
     new = decisions.where("valid AND action = 'evolve'").select("note_id", F.col("content").alias("new_raw"))
     j = notes.join(new, "note_id", "left")
     hit = F.col("new_raw").isNotNull()
-    return j.select("note_id", F.when(hit, F.col("content_raw")).alias("previous_raw"), F.coalesce("new_raw", "content_raw").alias("content_raw"), F.when(hit, F.col("evolution_count") + 1).otherwise(F.col("evolution_count")).alias("evolution_count"), F.when(hit, F.least("confidence", F.lit(0.95))).otherwise(F.col("confidence")).alias("confidence"))
+    columns = ["note_id", F.when(hit, F.col("content_raw")).alias("previous_raw"), F.coalesce("new_raw", "content_raw").alias("content_raw"), F.when(hit, F.col("evolution_count") + 1).otherwise(F.col("evolution_count")).alias("evolution_count"), F.when(hit, F.least("confidence", F.lit(0.95))).otherwise(F.col("confidence")).alias("confidence")]
+    if "vector" in notes.columns:
+        made = embed_batch(new.select("note_id", F.substring("new_raw", 1, 1000).alias("text")), "note_id", "text").withColumnRenamed("vector", "made")
+        j = j.join(made, "note_id", "left")
+        columns.append(F.coalesce("made", "vector").alias("vector"))
+    return j.select(*columns)
 
 
 def evolution_rollback(notes: DataFrame) -> DataFrame:

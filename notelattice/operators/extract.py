@@ -14,7 +14,7 @@ def entity_values(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(("(?i)" if kind in CASELESS else "") + pattern), F.lit(group))
     values = F.array_distinct(F.transform(found, lambda v: F.replace(F.lower(v), F.lit(" "), F.lit("-"))))
     if kind == "person":
-        return F.filter(values, lambda v: ~v.isin(NAME_STOPWORDS))
+        return F.filter(values, lambda v: ~v.isin(*NAME_STOPWORDS))
     return F.array_except(values, code_hashes(text)) if kind in HASH_TYPES else values
 
 
@@ -72,6 +72,7 @@ def alias_match(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
 def infer_entity_type(value: Column, hint: Column | None = None) -> Column:
     """Type of an entity by its text; a conversational hint wins."""
     v = F.lower(value)
+    # fixed values: names and words that tell a type
     group = v.rlike(r"\b(apt|unc|ta|fin)\d+\b|lazarus|sandworm|fancy bear|cozy bear|volt typhoon")
     rule = (
         F.when(v.contains("cve-"), "cve").when(group, "intrusion_set")

@@ -67,8 +67,9 @@ def entity_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("entity_type").agg(F.countDistinct("entity_value").alias("unique_entities"), F.count("*").alias("mappings"))
 
 
-def entity_listing(index: DataFrame, kind: str | None = None, contains: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of (entity_type, entity_value, note_count, total), most notes first."""
+def entity_listing(index: DataFrame, kind: str | None = None, contains: str | None = None, offset: int = 0, limit: int = 50, tier: str | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """One page of (entity_type, entity_value, note_count, total), most notes first; with ``tier`` only over notes of it (of ``notes``)."""
+    index = index if tier is None else index.join(notes.where(F.col("tier") == tier).select("note_id"), "note_id", "left_semi")
     rows = index.where(F.col("entity_type") == kind) if kind else index
     rows = rows.where(F.col("entity_value").contains(contains.lower())) if contains else rows
     counts = rows.groupBy("entity_type", "entity_value").agg(F.countDistinct("note_id").alias("note_count"))

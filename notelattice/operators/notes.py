@@ -63,9 +63,15 @@ def infer_persistence(source_type: Column, domain: Column) -> Column:
 
 
 def expire_filter(notes: DataFrame, as_of: str, updated: str = "created_at") -> DataFrame:
-    """Notes that have not outlived their class's days at ``as_of``; unlisted classes never expire."""
+    """Notes that have not outlived their class's days at ``as_of``; unlisted classes never expire.
+
+    Days count from the latest of ``updated``, or ``ttl_anchor`` in its place, and ``updated_at``, as far as ``notes`` have
+    these columns: an access starts them anew.
+    """
+    anchor = F.coalesce("ttl_anchor", updated) if "ttl_anchor" in notes.columns else F.col(updated)
+    anchor = F.when(anchor.isNotNull(), F.greatest(anchor, "updated_at")) if "updated_at" in notes.columns else anchor
     ttl = F.create_map(*[x for k, d in TTL_DAYS for x in (F.lit(k), F.lit(d))])
-    age = F.datediff(F.lit(as_of).cast("timestamp"), F.col(updated))
+    age = F.datediff(F.lit(as_of).cast("timestamp"), anchor)
     return notes.where(F.coalesce(age <= ttl[F.col("persistence")], F.lit(True)))
 
 
@@ -136,10 +142,17 @@ def chunk_sentences(notes: DataFrame, key: str, text: str, size: int = 2048, ove
 
 
 def session_notes(turns: DataFrame, limit: int = 4000) -> DataFrame:
-    """(conv_id, content): one note per conversation, its turns in order, cut at ``limit`` characters."""
+    """(conv_id, content): one note per conversation, its turns in order, cut at ``limit`` characters.
+
+    If ``turns`` have a ``date``, the first one of a conversation stands in the head, in brackets.
+    """
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))))
     body = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return turns.groupBy("conv_id").agg(F.substring(F.concat(F.lit("Conversation session "), F.col("conv_id").cast("string"), F.lit(":\n"), body), 1, limit).alias("content"))
+    head = F.col("conv_id").cast("string")
+    if "date" in turns.columns:
+        day = F.min_by(F.col("date").cast("string"), "turn")
+        head = F.concat(head, F.coalesce(F.concat(F.lit(" ("), day, F.lit(")")), F.lit("")))
+    return turns.groupBy("conv_id").agg(F.substring(F.concat(F.lit("Conversation session "), head, F.lit(":\n"), body), 1, limit).alias("content"))
 
 
 def recent_notes(notes: DataFrame, limit: int = 10) -> DataFrame:

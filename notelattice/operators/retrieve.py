@@ -478,9 +478,11 @@ def snippet(question: Column, context: Column, size: int = 300) -> Column:
     return F.substring(F.array_max(scored)["s"], 1, size)
 
 
-def memory_search(queries: DataFrame, vectors: DataFrame, source: str, k: int = 10) -> DataFrame:
-    """``vector_topk`` among the vectors of one source; ``vectors`` (id, vector, source)."""
-    return vector_topk(queries, vectors.where(F.col("source") == source).select(*vectors.columns[:2]), k, None)
+def memory_search(queries: DataFrame, vectors: DataFrame, source: str | None = None, k: int = 10, session: str | None = None) -> DataFrame:
+    """``vector_topk`` among the vectors of one source and one session, or all; ``vectors`` (id, vector, source, session_key)."""
+    for column, wanted in (("source", source), ("session_key", session)):
+        vectors = vectors if wanted is None else vectors.where(F.col(column) == wanted)
+    return vector_topk(queries, vectors.select(*vectors.columns[:2]), k, None)
 
 
 def parameter_sweep(scored: DataFrame, truth: DataFrame, thresholds: tuple[float, ...], boosts: tuple[float, ...]) -> DataFrame:

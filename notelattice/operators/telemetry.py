@@ -135,10 +135,62 @@ def rate_violations(events: DataFrame, key: str, most: int, seconds: int = 60) -
     return events.withColumn("n", F.count("*").over(w)).where(F.col("n") > most).select("event_id", key, "n")
 
 
+# fixed values: fields of event classes beyond the base, and the classes that have each; ``always`` lists those where it may be empty
+OCSF_FIELDS = {
+    "actor": ("api", "authentication", "authorization", "config", "file", "account"),
+    "resource": ("api", "authorization", "config"),
+    "duration_ms": ("api", "file"),
+    "auth_protocol": ("authentication",),
+    "src_endpoint": ("authentication",),
+    "privileges": ("authorization",),
+    "policy": ("authorization",),
+    "prev_value": ("config", "account"),
+    "new_value": ("config", "account"),
+    "file_path": ("file",),
+    "process_name": ("process",),
+    "user": ("account",),
+}
+OCSF_ALWAYS = {
+    "actor": ("authentication", "authorization", "account"),
+    "resource": ("authorization", "config"),
+    "auth_protocol": ("authentication",),
+    "prev_value": ("config", "account"),
+    "new_value": ("config", "account"),
+    "file_path": ("file",),
+    "process_name": ("process",),
+    "user": ("account",),
+}
+
+
+def _class_fields(logs: DataFrame) -> list[Column]:
+    """The fields of each row's class, in the shapes of the schema; a column that ``logs`` lacks is null."""
+    value = {}
+    for name, kinds in OCSF_FIELDS.items():
+        v = F.col(name) if name in logs.columns else F.lit(None).cast("double" if name == "duration_ms" else "string")
+        if name == "duration_ms":
+            value[name] = F.when(F.col("kind").isin(*kinds), F.round(v.cast("double"), 2))
+        else:
+            told = F.col("kind").isin(*OCSF_ALWAYS.get(name, ("",))) | (v.cast("string") != "")
+            value[name] = F.when(F.col("kind").isin(*kinds) & told, v.cast("string"))
+
+    def shape(name: str, *path: str) -> Column:
+        inner = value[name]
+        for p in reversed(path):
+            inner = F.struct(inner.alias(p))
+        return F.when(value[name].isNotNull(), inner)
+
+    return [
+        shape("actor", "user", "name").alias("actor"), value["resource"].alias("resource"), value["duration_ms"].alias("duration_ms"), value["auth_protocol"].alias("auth_protocol"),
+        shape("src_endpoint", "ip").alias("src_endpoint"), value["privileges"].alias("privileges"), value["policy"].alias("policy"), value["prev_value"].alias("prev_value"),
+        value["new_value"].alias("new_value"), shape("file_path", "path").alias("file"), shape("process_name", "name").alias("process"), shape("user", "name").alias("user"),
+    ]
+
+
 def ocsf_normalize(logs: DataFrame) -> DataFrame:
     """Log rows (event_id, kind, activity, severity_id, ok, ts) as events of the open schema, base fields first.
 
-    An unknown activity has number 0; rows of an unknown kind keep null class fields.
+    An unknown activity has number 0; rows of an unknown kind keep null class fields. Columns named in OCSF_FIELDS, as far as
+    ``logs`` has them, go to the classes that know them.
     """
     named_kinds = ("file", "process", "account")
     number = F.coalesce(
@@ -153,7 +205,7 @@ def ocsf_normalize(logs: DataFrame) -> DataFrame:
     table = logs.sparkSession.createDataFrame(OCSF_CLASSES, "kind string, class_uid int, class_name string, category_uid int, category_name string")
     named = F.coalesce(*[F.when(F.col("severity_id") == k, name) for k, name in enumerate(SEVERITIES)], F.lit("Unknown"))
     rows = logs.join(F.broadcast(table), "kind", "left")  # one row per class
-    return rows.select("event_id", "class_uid", "class_name", "category_uid", "category_name", "severity_id", named.alias("severity"), "activity_id", F.col("activity").alias("activity_name"), F.when(F.col("ok"), 1).otherwise(2).alias("status_id"), F.when(F.col("ok"), "Success").otherwise("Failure").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.lit(0).alias("timezone_offset"), (F.col("class_uid") * 100 + F.col("activity_id")).alias("type_uid"))
+    return rows.select("event_id", "class_uid", "class_name", "category_uid", "category_name", "severity_id", named.alias("severity"), "activity_id", F.col("activity").alias("activity_name"), F.when(F.col("ok"), 1).otherwise(2).alias("status_id"), F.when(F.col("ok"), "Success").otherwise("Failure").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.lit(0).alias("timezone_offset"), (F.col("class_uid") * 100 + F.col("activity_id")).alias("type_uid"), *_class_fields(logs))
 
 
 def log_tail(logs: DataFrame, lines: int, level: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.rules import EDGE_RULES
+from ..functions.rules import EDGE_RULES, PATTERNS
 from ..operators import extract, graph
 from .derived import Tables, with_tables
-from .notes import INDEX, NOTES, entity_index
+from .notes import INDEX, NOTES, entity_index, values_sql
 from .registry import add
 
 KG = with_tables("kg_edges")
@@ -59,7 +59,11 @@ FULL = f"{INDEX}, full_index AS (SELECT * FROM entity_index UNION ALL {_MADE})"
 def _rules_sql(relations: tuple[str, ...]) -> str:
     rules = ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in EDGE_RULES if r in relations)
     types = ", ".join(sorted({f"'{x}'" for a, b, r in EDGE_RULES if r in relations for x in (a, b)}))
-    return f"{FULL}, typed AS MATERIALIZED (SELECT * FROM full_index WHERE entity_type IN ({types})), rules AS (SELECT * FROM (VALUES {rules}) v(from_type, to_type, relationship)) SELECT r.from_type, a.entity_value AS from_value, r.relationship, r.to_type, b.entity_value AS to_value, a.note_id FROM typed a JOIN rules r ON r.from_type = a.entity_type JOIN typed b ON b.note_id = a.note_id AND b.entity_type = r.to_type"
+    needed = {x for a, b, r in EDGE_RULES if r in relations for x in (a, b)}
+    kinds = [k for k in PATTERNS if k in needed]
+    found = " UNION ALL ".join(f"SELECT '{k}' AS entity_type, entity_value, note_id FROM ({values_sql(k)}) e" for k in kinds) or "SELECT '' AS entity_type, '' AS entity_value, '' AS note_id WHERE false"
+    full = f"{NOTES}, full_index AS (SELECT DISTINCT entity_type, entity_value, note_id FROM ({found}) f UNION ALL {_MADE})"
+    return f"{full}, typed AS MATERIALIZED (SELECT * FROM full_index WHERE entity_type IN ({types})), rules AS (SELECT * FROM (VALUES {rules}) v(from_type, to_type, relationship)) SELECT r.from_type, a.entity_value AS from_value, r.relationship, r.to_type, b.entity_value AS to_value, a.note_id FROM typed a JOIN rules r ON r.from_type = a.entity_type JOIN typed b ON b.note_id = a.note_id AND b.entity_type = r.to_type"
 
 
 for _name, _relations in {

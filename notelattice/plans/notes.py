@@ -114,7 +114,7 @@ add("note_id", lambda t: t.notes.select(F.col("note_id").alias("old_id"), build.
 add("governance_validate", lambda t: build.governance_validate(t.documents.withColumnRenamed("text", "content_raw"), 5000).select("doc_id", "violation"), "SELECT doc_id, CASE WHEN text IS NULL THEN 'GOV-011' WHEN length(text) > 5000 THEN 'LIMIT' END AS violation FROM documents")
 add("infer_persistence", lambda t: t.notes.select("note_id", build.infer_persistence(F.col("source_type"), F.col("domain")).alias("persistence")), f"{NOTES} SELECT note_id, CASE WHEN source_type IN ('ingestion', 'report') AND domain = 'cti' THEN 'knowledge' WHEN source_type = 'synthesis' THEN 'wisdom' WHEN source_type = 'task_output' AND domain <> 'cti' THEN 'intelligence' ELSE 'memory' END AS persistence FROM notes")
 AS_OF = "1998-06-01"
-add("expire_filter", lambda t: build.expire_filter(t.notes, AS_OF).select("note_id", "persistence"), f"{NOTES} SELECT note_id, persistence FROM notes WHERE persistence = 'knowledge' OR date_diff('day', CAST(created_at AS DATE), DATE '{AS_OF}') <= CASE persistence WHEN 'memory' THEN 30 WHEN 'wisdom' THEN 90 ELSE 7 END")
+add("expire_filter", lambda t: build.expire_filter(t.notes.withColumn("ttl_anchor", F.when(F.col("importance") == 3, F.lit("1995-01-01").cast("timestamp"))).withColumn("updated_at", F.when(F.col("importance") == 7, F.lit("1998-07-30").cast("timestamp"))), AS_OF).select("note_id", "persistence"), f"{NOTES} SELECT note_id, persistence FROM notes WHERE persistence = 'knowledge' OR date_diff('day', CASE importance WHEN 3 THEN DATE '1995-01-01' WHEN 7 THEN greatest(CAST(created_at AS DATE), DATE '1998-07-30') ELSE CAST(created_at AS DATE) END, DATE '{AS_OF}') <= CASE persistence WHEN 'memory' THEN 30 WHEN 'wisdom' THEN 90 ELSE 7 END")
 add("review_flag", lambda t: t.notes.select("note_id", build.review_flag(F.col("confidence"), F.col("evolution_count")).alias("review")), f"{NOTES} SELECT note_id, confidence < 0.5 OR evolution_count > 5 AS review FROM notes")
 add("track_access", lambda t: build.track_access(t.notes, t.telemetry.select("note_id", "ts")), f"{with_tables('notes', 'telemetry')} SELECT n.note_id, count(t.event_id) AS access_count, max(ts) AS last_accessed FROM notes n LEFT JOIN telemetry t ON t.note_id = n.note_id GROUP BY n.note_id")
 add("bump_evolution", lambda t: build.bump_evolution(t.notes).select("note_id", "evolution_count", "confidence"), f"{NOTES} SELECT note_id, evolution_count + 1 AS evolution_count, least(confidence, 0.95) AS confidence FROM notes")
@@ -124,7 +124,7 @@ add("dedupe_source_ref", lambda t: build.dedupe_source_ref(t.notes, t.notes.wher
 add("chunk_report", lambda t: build.chunk_report(t.documents, 3000, "text", "doc_id"))
 add("chunk_overlap", lambda t: build.chunk_sentences(t.documents, "doc_id", "text", 2048, 512, 50))
 add("chunk_sentences_800", lambda t: build.chunk_sentences(t.documents, "doc_id", "text", 800, 0, 20))
-add("session_notes", lambda t: build.session_notes(t.conversations), "SELECT conv_id, substr('Conversation session ' || conv_id || ':' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn), 1, 4000) AS content FROM conversations GROUP BY conv_id")
+add("session_notes", lambda t: build.session_notes(t.conversations.withColumn("date", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("day "), "turn")))), "SELECT conv_id, substr('Conversation session ' || conv_id || CASE WHEN conv_id % 2 = 0 THEN ' (day ' || min(turn) || ')' ELSE '' END || ':' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn), 1, 4000) AS content FROM conversations GROUP BY conv_id")
 add("recent_notes", lambda t: build.recent_notes(t.notes, 25).select("note_id", "created_at"), f"{NOTES} SELECT note_id, created_at FROM notes ORDER BY created_at DESC, note_id LIMIT 25")
 add("pii_detect", lambda t: build.pii_detect(t.documents, "doc_id", "text"))
 _PII = "|".join(p for _, p, _, i in build.PII if not i)
@@ -163,5 +163,5 @@ add("recall_actor", lambda t: index.recall_actor(entity_index(t), asked(t).where
 add("search_entities_prefix", lambda t: index.search_entities_prefix(entity_index(t), t.region.select(F.element_at(F.array(*[F.lit(x) for x in ("apt", "CVE-2024-01", "10.2", "t10", "m")]), F.col("r_regionkey") + 1).alias("prefix")), 10),
     f"{INDEX}, p AS (SELECT list_extract(['apt', 'CVE-2024-01', '10.2', 't10', 'm'], r_regionkey + 1) AS prefix FROM region) SELECT prefix, entity_type, entity_value, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix, entity_type ORDER BY entity_value) AS k FROM p JOIN (SELECT entity_type, entity_value, count(DISTINCT note_id) AS n FROM entity_index GROUP BY ALL) v ON starts_with(entity_value, lower(prefix))) r WHERE k <= 10")
 add("entity_stats", lambda t: index.entity_stats(entity_index(t)), f"{INDEX} SELECT entity_type, count(DISTINCT entity_value) AS unique_entities, count(*) AS mappings FROM entity_index GROUP BY 1")
-add("entity_listing", lambda t: index.entity_listing(entity_index(t), None, "1", 20, 50),
-    f"{INDEX}, c AS (SELECT entity_type, entity_value, count(DISTINCT note_id) AS note_count FROM entity_index WHERE contains(entity_value, '1') GROUP BY ALL) SELECT *, (SELECT count(*) FROM c) AS total FROM c ORDER BY note_count DESC, entity_type, entity_value LIMIT 50 OFFSET 20")
+add("entity_listing", lambda t: index.entity_listing(entity_index(t), None, "1", 20, 50, "A", t.notes),
+    f"{INDEX}, c AS (SELECT entity_type, entity_value, count(DISTINCT note_id) AS note_count FROM entity_index WHERE contains(entity_value, '1') AND note_id IN (SELECT note_id FROM notes WHERE tier = 'A') GROUP BY ALL) SELECT *, (SELECT count(*) FROM c) AS total FROM c ORDER BY note_count DESC, entity_type, entity_value LIMIT 50 OFFSET 20")

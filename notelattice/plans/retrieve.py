@@ -34,7 +34,7 @@ add("naive_vector_topk", lambda t: retrieve.vector_topk(*_vectors(t), 5, None),
 _L2 = "round(1 - sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) ** 2))), 9)"
 add("vector_topk_l2", lambda t: retrieve.vector_topk_l2(_vectors(t)[0], t.embeddings.select("vec_id", "embedding", "label"), 10, "label"), _topk_sql(_L2, 10))
 add("vector_topk_lsh", lambda t: retrieve.vector_topk_lsh(*_vectors(t), 10))
-add("memory_search", lambda t: retrieve.memory_search(_vectors(t)[0], t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("source")), "3", 5), _topk_sql(COS, 5, "v.label = 3"))
+add("memory_search", lambda t: retrieve.memory_search(_vectors(t)[0], t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("source"), (F.col("vec_id") % 2).cast("string").alias("session_key")), "3", 5, "1"), _topk_sql(COS, 5, "v.label = 3 AND v.vec_id % 2 = 1"))
 add("memory_recent", lambda t: t.conversations.orderBy(F.desc("conv_id"), F.desc("turn")).limit(20).select("conv_id", "turn", "role"), "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20")
 add("memory_stats", lambda t: t.documents.groupBy("source").agg(F.count("*").alias("n")), "SELECT source, count(*) AS n FROM documents GROUP BY 1")
 add("memory_delete", lambda t: t.documents.join(t.documents.where("lang = 'fr'").select(F.sha2("text", 256).alias("h")), F.sha2("text", 256) == F.col("h"), "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'fr')")
@@ -166,7 +166,16 @@ def _facts(t: Tables) -> DataFrame:
 
 
 add("extract_facts", _facts, f"{FACTS} SELECT note_id, rank, fact, importance FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY importance DESC, pos) AS rank FROM facts) r WHERE rank <= 2")
-add("find_similar", lambda t: retrieve.vector_topk(*_vectors(t), 3, None), _topk_sql(COS, 3))
+
+
+def _similar(t: Tables) -> DataFrame:
+    """Every 50th vector as a fact of the note it is named after, against the vectors of its label."""
+    v = t.embeddings.select(F.col("vec_id").cast("string").alias("note_id"), F.concat(F.lit("d"), "label").alias("domain"), F.col("embedding").alias("vector"))
+    facts = v.where("CAST(note_id AS BIGINT) % 50 = 0").withColumn("fact_id", F.concat(F.lit("f"), "note_id"))
+    return evolve.find_similar(facts, v, 3)
+
+
+add("find_similar", _similar, f"SELECT fact_id, rank, note_id, score FROM (SELECT 'f' || q.vec_id AS fact_id, CAST(v.vec_id AS VARCHAR) AS note_id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, CAST(v.vec_id AS VARCHAR)) AS rank FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) r WHERE rank <= 3")
 
 
 def _decided(t: Tables) -> DataFrame:
@@ -191,6 +200,8 @@ def _pairs(t: Tables, which: str = "true") -> DataFrame:
 
 add("supersession_candidates", lambda t: _pairs(t, _SEARCHED), f"{_super(_SEARCHED)} SELECT * FROM pairs")
 add("mark_superseded", lambda t: evolve.mark_superseded(_pairs(t), entity_index(t))[0], f"{_super('true')} SELECT 'note:' || new_id AS from_id, 'note:' || old_id AS to_id, 'SUPERSEDES' AS relationship FROM pairs")
+add("superseded_notes", lambda t: evolve.superseded_notes(t.notes, _pairs(t)).select("note_id", "superseded_by", F.array_join("supersedes", ",").alias("supersedes")),
+    f"{_super('true')}, o AS (SELECT old_id AS note_id, min(new_id) AS superseded_by FROM pairs GROUP BY 1), w AS (SELECT new_id AS note_id, string_agg(DISTINCT old_id, ',' ORDER BY old_id) AS supersedes FROM pairs GROUP BY 1) SELECT n.note_id, superseded_by, coalesce(supersedes, '') AS supersedes FROM notes n LEFT JOIN o ON o.note_id = n.note_id LEFT JOIN w ON w.note_id = n.note_id")
 
 
 def shift_rows(t: Tables) -> DataFrame:
@@ -204,13 +215,14 @@ add("supersession_replay", lambda t: evolve.supersession_replay(evolve.entity_co
 #: Hours after which an entity that isn't seen counts as new again.
 IDLE = 24.0 * 90
 add("shift_detect", lambda t: evolve.shift_detect(shift_rows(t), idle=IDLE))
-_RECENT = f"{INDEX}, recent AS (SELECT note_id, domain FROM notes WHERE created_at >= TIMESTAMP '1996-01-01'), cand AS (SELECT DISTINCT note_id FROM (SELECT r.note_id, count(*) OVER (PARTITION BY domain, entity_type, entity_value) AS n FROM recent r JOIN entity_index i ON i.note_id = r.note_id) x WHERE n >= 2)"
+_RECENT = f"{INDEX}, gone AS (SELECT 'note_' || lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS note_id FROM orders), recent AS (SELECT note_id, domain FROM notes WHERE created_at >= TIMESTAMP '1996-01-01' AND note_id NOT IN (SELECT note_id FROM gone WHERE note_id IS NOT NULL)), cand AS (SELECT DISTINCT note_id FROM (SELECT r.note_id, count(*) OVER (PARTITION BY domain, entity_type, entity_value) AS n FROM recent r JOIN entity_index i ON i.note_id = r.note_id) x WHERE n >= 2 AND (SELECT count(*) FROM recent) >= 3)"
 _NEG = "regexp_matches(lower(content_raw), 'not|never|no longer|ceased|discontinued|denied')"
 _CONTRA = f"m AS (SELECT i.entity_type, i.entity_value, n.note_id, created_at, {_NEG} AS neg FROM entity_index i JOIN notes n ON n.note_id = i.note_id), g AS (SELECT entity_type, entity_value, neg, max((created_at, note_id)) AS last FROM m GROUP BY ALL), contra AS (SELECT DISTINCT m.note_id FROM m JOIN g ON g.entity_type = m.entity_type AND g.entity_value = m.entity_value AND g.neg <> m.neg AND g.last > (m.created_at, m.note_id))"
 
 
 def _candidates(t: Tables) -> DataFrame:
-    return evolve.consolidation_candidates(t.notes, entity_index(t), "1996-01-01")
+    gone = t.kg_edges.where("relationship = 'SUPERSEDES'").select(F.concat(F.lit("note_"), F.split_part("to_id", F.lit(":"), F.lit(2))).alias("note_id"), F.col("from_id").alias("superseded_by"))
+    return evolve.consolidation_candidates(t.notes.join(gone, "note_id", "left"), entity_index(t), "1996-01-01")
 
 
 add("consolidation_candidates", _candidates, f"{_RECENT} SELECT note_id FROM cand")
@@ -229,6 +241,14 @@ def _decisions(t: Tables) -> DataFrame:
 DECISIONS = f"{NOTES}, dec AS (SELECT note_id, list_extract(['keep', 'evolve', 'evolve', NULL], CAST(importance % 4 + 1 AS INT)) AS action, CASE importance % 4 WHEN 1 THEN 'new text ' || importance WHEN 2 THEN ' ' END AS content, importance % 4 < 2 AS valid FROM notes)"
 EVOLVED = f"{DECISIONS}, ev AS (SELECT n.note_id, CASE WHEN d.action = 'evolve' AND d.valid THEN content_raw END AS previous_raw, CASE WHEN d.action = 'evolve' AND d.valid THEN d.content ELSE content_raw END AS content_raw, CASE WHEN d.action = 'evolve' AND d.valid THEN evolution_count + 1 ELSE evolution_count END AS evolution_count, CASE WHEN d.action = 'evolve' AND d.valid THEN least(confidence, 0.95) ELSE confidence END AS confidence FROM notes n JOIN dec d USING (note_id))"
 add("evolution_validate", _decisions, f"{DECISIONS} SELECT * FROM dec")
-add("evolution_apply", lambda t: evolve.evolution_apply(t.notes, _decisions(t)), f"{EVOLVED} SELECT * FROM ev")
+
+
+def _evolved(t: Tables) -> DataFrame:
+    """Evolved notes, whose vectors were all zero before: ``embedded`` tells which were made anew."""
+    rows = evolve.evolution_apply(t.notes.withColumn("vector", F.array_repeat(F.lit(0.0).cast("float"), retrieve.DIM)), _decisions(t))
+    return rows.withColumn("embedded", F.exists("vector", lambda x: x != 0)).drop("vector")
+
+
+add("evolution_apply", _evolved, f"{EVOLVED} SELECT *, previous_raw IS NOT NULL AS embedded FROM ev")
 add("evolution_rollback", lambda t: evolve.evolution_rollback(evolve.evolution_apply(t.notes, _decisions(t))), f"{EVOLVED} SELECT note_id, NULL AS previous_raw, coalesce(previous_raw, content_raw) AS content_raw, CASE WHEN previous_raw IS NULL THEN evolution_count ELSE greatest(evolution_count - 1, 0) END AS evolution_count FROM ev")
 add("evolution_report", lambda t: evolve.evolution_report(_decisions(t)), f"{DECISIONS} SELECT count(*) AS candidates, count(*) FILTER (WHERE valid) AS evaluated, count(*) FILTER (WHERE valid AND action = 'evolve') AS evolved, count(*) FILTER (WHERE valid AND action = 'keep') AS kept, count(*) FILTER (WHERE NOT valid) AS errors FROM dec")

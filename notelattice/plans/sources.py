@@ -89,7 +89,8 @@ def _bundles(t: Tables) -> str:
         ref(F.when(key % 5 == 0, "capec").otherwise("mitre-attack"), F.concat(F.lit("T"), key, F.when(key % 3 == 0, ".001").otherwise(""))).alias("external_references")).alias("o"))
     thing = lambda kind, i, name: F.struct(kind.alias("type"), i.alias("id"), name.alias("name"), F.lit("2024-01-01").alias("created"))
     supplier = t.supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("file"), thing(F.lit("intrusion-set"), F.concat(F.lit("is--"), "s_suppkey"), F.col("s_name")).alias("o"))
-    report = t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("file"), thing(F.lit("report"), F.concat(F.lit("rp--"), "c_custkey"), F.col("c_name")).alias("o"))
+    told = F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("about "), "c_custkey"))  # every seventh report tells nothing
+    report = t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("file"), F.struct(F.lit("report").alias("type"), F.concat(F.lit("rp--"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("2024-01-01").alias("created"), told.alias("description")).alias("o"))
     tool = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("file"), thing(F.when(F.col("n_nationkey") % 2 == 0, "malware").otherwise("tool"), F.concat(F.lit("tl--"), "n_nationkey"), F.col("n_name")).alias("o"))
     link = lambda a, b, kind: F.struct(F.lit("relationship").alias("type"), kind.alias("relationship_type"), a.alias("source_ref"), b.alias("target_ref"))
     uses = t.supplier.where("s_suppkey % 4 > 0").select(F.concat(F.lit("n"), "s_nationkey").alias("file"), link(F.concat(F.lit("is--"), "s_suppkey"), F.concat(F.lit("tl--"), "s_nationkey"), F.when(F.col("s_suppkey") % 4 == 1, "targets").otherwise("uses")).alias("o"))
@@ -105,7 +106,7 @@ def _bundles(t: Tables) -> str:
 add("read_stix_bundle", lambda t: tables.read_stix_bundle(t.spark, _bundles(t)), "SELECT 'T' || p_partkey AS technique_id, p_name AS name FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0")
 add("stix_technique_ids", lambda t: tables.stix_technique_ids(tables.read_stix_objects(t.spark, _bundles(t))).select("id", "name", "mitre_id"), "SELECT 'ap--' || p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN 'T' || p_partkey || '.001' ELSE 'T' || p_partkey END AS mitre_id FROM part")
 add("stix_extract_actor_tools", lambda t: tables.stix_extract_actor_tools(tables.read_stix_objects(t.spark, _bundles(t))).select("id", "name", "kind", "used"), "SELECT 'is--' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 > 1 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'malware' ELSE 'tool' END END AS kind, CASE WHEN s_suppkey % 4 > 1 THEN n_name END AS used FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-add("stix_extract_reports", lambda t: tables.stix_extract_reports(tables.read_stix_objects(t.spark, _bundles(t))).select("id", "name", "created", "kind", "entity"), "SELECT 'rp--' || c_custkey AS id, c_name AS name, '2024-01-01' AS created, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'malware' ELSE 'tool' END END AS kind, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey")
+add("stix_extract_reports", lambda t: tables.stix_extract_reports(tables.read_stix_objects(t.spark, _bundles(t))).select("id", "name", "created", "description", "kind", "entity"), "SELECT 'rp--' || c_custkey AS id, c_name AS name, '2024-01-01' AS created, 'about ' || c_custkey AS description, CASE WHEN c_custkey % 3 = 0 AND n_nationkey % 2 = 0 THEN 'malware' END AS kind, CASE WHEN c_custkey % 3 = 0 AND n_nationkey % 2 = 0 THEN n_name END AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 > 0")
 
 
 def _hunts(t: Tables) -> DataFrame:
@@ -184,6 +185,22 @@ def _sigma_files(t: Tables) -> DataFrame:
 add("read_sigma_rules", _sigma_files, "SELECT DISTINCT p_size, CASE WHEN p_size % 6 > 0 THEN 'rule ' || p_size END AS title, CASE WHEN p_size % 6 > 0 THEN 'windows' END AS product, p_size % 6 > 0 AS good FROM part")
 
 
+def _yara_files(t: Tables) -> DataFrame:
+    """A file of rules for each size of part: a rule per brand, private where the size is even."""
+    rule = F.concat(F.when(F.col("p_size") % 2 == 0, "private ").otherwise(""), F.lit("rule r"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, " : apt t1059").otherwise(""), F.lit(' {\n  meta:\n    author = "'), "p_brand", F.lit('"\n    version = "1.0"\n  strings:\n    $a = "x"\n  condition:\n    $a\n}\n'))
+    path = _files(t, "yara", t.part.select("p_size", rule.alias("value")), "p_size")
+    system = t.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(t.spark._jvm.org.apache.hadoop.fs.Path(path)):
+        for file in system.listStatus(folder.getPath()) if folder.isDirectory() else ():
+            old = file.getPath()
+            if old.getName().endswith(".txt"):
+                system.rename(old, t.spark._jvm.org.apache.hadoop.fs.Path(old.getParent(), old.getName()[:-4] + ".yar"))
+    rules = tables.read_yara_rules(t.spark, path)
+    return rules.select("name", F.array_join("tags", ",").alias("tags"), F.col("meta")["author"].alias("author"), F.col("meta")["version"].alias("version"), F.regexp_extract("path", r"p_size=(\d+)", 1).cast("int").alias("p_size"))
+
+
+add("read_yara_rules", _yara_files, "SELECT 'r' || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'apt,t1059' ELSE '' END AS tags, p_brand AS author, '1.0' AS version, p_size FROM part")
+
 # streams: each runs over all there is and stops
 
 

@@ -49,8 +49,26 @@ def _logs(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", _at(_KINDS).alias("kind"), _at(_DONE).alias("activity"), (F.col("event_id") % 7).cast("int").alias("severity_id"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"))
 
 
+def _told_logs(t: Tables) -> DataFrame:
+    """Logs with what events tell of classes: an empty actor for every 13th user, values at every third event."""
+    user = F.col("user_id").cast("string")
+    some = {
+        "actor": F.when(F.col("user_id") % 13 == 0, "").otherwise(F.concat(F.lit("u"), user)), "resource": F.when(F.col("event_id") % 17 == 0, "").otherwise(F.concat(F.lit("r"), user)),
+        "duration_ms": F.col("value"), "auth_protocol": F.lit("api_key"), "src_endpoint": F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("10.0.0."), user)), "privileges": F.when(F.col("event_id") % 3 == 0, "write"),
+        "policy": F.when(F.col("event_id") % 5 == 0, ""), "prev_value": F.when(F.col("event_id") % 3 == 0, ""), "new_value": F.when(F.col("event_id") % 3 > 0, "on"),
+        "file_path": F.concat(F.lit("/f/"), user), "process_name": F.concat(F.lit("p"), user), "user": F.concat(F.lit("target"), user),
+    }
+    return _logs(t).join(t.events.select("event_id", *[v.alias(k) for k, v in some.items()]), "event_id")
+
+
+def _flat_events(t: Tables) -> DataFrame:
+    rows = telemetry.ocsf_normalize(_told_logs(t))
+    nested = {"actor": "actor.user.name", "src_ip": "src_endpoint.ip", "file_path": "file.path", "process_name": "process.name", "user_name": "user.name"}
+    return rows.select(*[c for c in rows.columns if c not in ("actor", "src_endpoint", "file", "process", "user")], *[F.col(path).alias(name) for name, path in nested.items()])
+
+
 _SQL_AT = lambda values: f"list_extract([{', '.join(map(repr, values))}], CAST(event_id % {len(values)} + 1 AS INT))"
-add("ocsf_normalize", lambda t: telemetry.ocsf_normalize(_logs(t)), f"""WITH c AS (SELECT * FROM (VALUES ('api', 6002, 'API Activity', 6, 'Application Activity'), ('authentication', 3001, 'Authentication', 3, 'Identity & Access Management'), ('authorization', 3003, 'Authorization', 3, 'Identity & Access Management'), ('config', 5002, 'Configuration Change', 5, 'Discovery'), ('file', 1001, 'File Activity', 1, 'System Activity'), ('process', 1007, 'Process Activity', 1, 'System Activity'), ('account', 3005, 'Account Change', 3, 'Identity & Access Management')) v(kind, class_uid, class_name, category_uid, category_name)),
+add("ocsf_normalize", _flat_events, f"""WITH c AS (SELECT * FROM (VALUES ('api', 6002, 'API Activity', 6, 'Application Activity'), ('authentication', 3001, 'Authentication', 3, 'Identity & Access Management'), ('authorization', 3003, 'Authorization', 3, 'Identity & Access Management'), ('config', 5002, 'Configuration Change', 5, 'Discovery'), ('file', 1001, 'File Activity', 1, 'System Activity'), ('process', 1007, 'Process Activity', 1, 'System Activity'), ('account', 3005, 'Account Change', 3, 'Identity & Access Management')) v(kind, class_uid, class_name, category_uid, category_name)),
 l AS (SELECT *, {_SQL_AT(_KINDS)} AS kind, {_SQL_AT(_DONE)} AS done, event_type <> 'error' AS ok FROM events),
 a AS (SELECT *, CASE kind WHEN 'api' THEN CASE WHEN ok THEN 1 ELSE 2 END WHEN 'authorization' THEN CASE WHEN ok THEN 1 ELSE 2 END WHEN 'authentication' THEN 1 WHEN 'config' THEN 1
 WHEN 'file' THEN CASE done WHEN 'Create' THEN 1 WHEN 'Read' THEN 2 WHEN 'Update' THEN 3 WHEN 'Delete' THEN 4 ELSE 0 END
@@ -58,7 +76,14 @@ WHEN 'process' THEN CASE done WHEN 'Start' THEN 1 WHEN 'Stop' THEN 2 WHEN 'Crash
 WHEN 'account' THEN CASE done WHEN 'Create' THEN 1 WHEN 'Update' THEN 2 WHEN 'Disable' THEN 3 WHEN 'Delete' THEN 4 ELSE 0 END ELSE 0 END AS activity_id,
 CASE kind WHEN 'authentication' THEN 'Logon' WHEN 'config' THEN 'Update' WHEN 'authorization' THEN CASE WHEN ok THEN 'Access Grant' ELSE 'Access Deny' END ELSE done END AS activity_name FROM l)
 SELECT event_id, class_uid, class_name, category_uid, category_name, CAST(event_id % 7 AS INT) AS severity_id, coalesce(list_extract(['Unknown', 'Informational', 'Low', 'Medium', 'High', 'Critical'], CAST(event_id % 7 AS INT) + 1), 'Unknown') AS severity, activity_id, activity_name, CASE WHEN ok THEN 1 ELSE 2 END AS status_id, CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS status,
-strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, 0 AS timezone_offset, class_uid * 100 + activity_id AS type_uid FROM a LEFT JOIN c USING (kind)""")
+strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, 0 AS timezone_offset, class_uid * 100 + activity_id AS type_uid,
+CASE WHEN kind IN ('authentication', 'authorization', 'account') OR (kind IN ('api', 'config', 'file') AND user_id % 13 <> 0) THEN CASE WHEN user_id % 13 = 0 THEN '' ELSE 'u' || user_id END END AS actor,
+CASE WHEN kind IN ('authorization', 'config') OR (kind = 'api' AND event_id % 17 <> 0) THEN CASE WHEN event_id % 17 = 0 THEN '' ELSE 'r' || user_id END END AS resource,
+CASE WHEN kind IN ('api', 'file') THEN round(value, 2) END AS duration_ms, CASE WHEN kind = 'authentication' THEN 'api_key' END AS auth_protocol,
+CASE WHEN kind = 'authentication' AND event_id % 2 = 0 THEN '10.0.0.' || user_id END AS src_ip, CASE WHEN kind = 'authorization' AND event_id % 3 = 0 THEN 'write' END AS privileges, CAST(NULL AS VARCHAR) AS policy,
+CASE WHEN kind IN ('config', 'account') AND event_id % 3 = 0 THEN '' END AS prev_value, CASE WHEN kind IN ('config', 'account') AND event_id % 3 > 0 THEN 'on' END AS new_value,
+CASE WHEN kind = 'file' THEN '/f/' || user_id END AS file_path, CASE WHEN kind = 'process' THEN 'p' || user_id END AS process_name, CASE WHEN kind = 'account' THEN 'target' || user_id END AS user_name
+FROM a LEFT JOIN c USING (kind)""")
 add("log_tail", lambda t: telemetry.log_tail(_logs(t), 100, "ERROR").select("event_id", "level"), "SELECT event_id, 'ERROR' AS level FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) x WHERE event_type = 'error'")
 
 # scoring

@@ -58,12 +58,12 @@ def read_stix_objects(spark: SparkSession, path: str) -> DataFrame:
 
 def stix_extract_reports(objects: DataFrame) -> DataFrame:
     """(id, name, description, created, kind, entity): named entities that a report's relations point to; a report without
-    any has one row with nulls. Descriptions are cut at 3000 characters."""
-    kinds = ("intrusion-set", "malware", "attack-pattern", "vulnerability", "tool", "campaign")
+    any has one row with nulls, one without a name or a description none. Descriptions are cut at 3000 characters."""
+    kinds = ("malware", "intrusion-set", "attack-pattern", "vulnerability")
     ends = objects.where(F.col("type").isin(*kinds) & (F.coalesce("name", F.lit("")) != "")).select(F.col("id").alias("to_id"), F.col("type").alias("kind"), F.col("name").alias("entity"))
     rels = objects.where("type = 'relationship' AND relationship_type IN ('related-to', 'uses', 'targets', 'indicates')").select(F.col("source_ref").alias("id"), F.col("target_ref").alias("to_id"))
     named = rels.join(ends, "to_id").select("id", "kind", "entity").distinct()
-    reports = objects.where("type = 'report'").select("id", "name", F.substring("description", 1, 3000).alias("description"), "created")
+    reports = objects.where("type = 'report' AND coalesce(name, '') <> '' AND coalesce(description, '') <> ''").select("id", "name", F.substring("description", 1, 3000).alias("description"), "created")
     return reports.join(named, "id", "left").select("id", "name", "description", "created", "kind", "entity")
 
 
