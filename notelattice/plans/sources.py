@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.lineage import shared_path
 from ..operators import index
 from ..sources import tables
+from ..sources.buckets import BucketTable
+from ..sources.logtail import read_log_stream
 from ..streaming import jobs
 from .derived import Tables, with_tables
 from .notes import INDEX, NOTES, entity_index
@@ -149,6 +151,21 @@ add("write_vector_table", _written_vectors, "SELECT vec_id AS id, 'd' || label A
 add("snapshot_export", lambda t: t.spark.read.parquet(tables.snapshot_export(t.nation, shared_path(t.spark, "snapshots"), "one")), "SELECT * FROM nation")
 
 
+def _bucketed(t: Tables) -> DataFrame:
+    """Customers upserted twice and some deleted, in a table of buckets; with a snapshot taken before the deletion."""
+    table = BucketTable(t.spark, shared_path(t.spark, "bucket-table"), "c_custkey", "at", 16)
+    rows = t.customer.select("c_custkey", "c_name", F.col("c_acctbal").alias("at"))
+    table.upsert(rows)
+    table.upsert(rows.where("c_custkey % 10 = 0").select("c_custkey", F.lit("renamed").alias("c_name"), (F.col("at") + 1).alias("at")))
+    table.snapshot("before")
+    table.delete(rows.where("c_custkey % 7 = 0"))
+    old = table.read("before").select("c_custkey", F.lit("before").alias("version"), "c_name")
+    return old.union(table.read().select("c_custkey", F.lit("last").alias("version"), "c_name"))
+
+
+add("bucket_table", _bucketed, "WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'renamed' ELSE c_name END AS c_name FROM customer) SELECT c_custkey, 'before' AS version, c_name FROM r UNION ALL SELECT c_custkey, 'last', c_name FROM r WHERE c_custkey % 7 <> 0")
+
+
 def _compacted(t: Tables) -> DataFrame:
     source, out = shared_path(t.spark, "many"), shared_path(t.spark, "few")
     t.customer.repartition(12).write.parquet(source)
@@ -233,8 +250,38 @@ add("stream_ingest", _ingested, f"{INDEX} SELECT entity_type, entity_value, note
 add("stream_dedupe", lambda t: _drained(t, jobs.stream_dedupe(_stream(t, _timed(t).union(_timed(t))), ["event_id"])).select("event_id", "event_type"), "SELECT event_id, event_type FROM events")
 add("stream_rule_matches", lambda t: _drained(t, jobs.stream_rule_matches(_stream(t, t.events.select((F.col("event_id") % 25).cast("int").alias("rule_id"), "event_id", "ts").union(t.events.select((F.col("event_id") % 25).cast("int"), "event_id", "ts"))), t.nation.select(F.col("n_nationkey").alias("rule_id"), F.col("n_name").alias("title"), F.lit("high").alias("level")))).select("rule_id", "event_id", "title", "level"), "SELECT n_nationkey AS rule_id, event_id, n_name AS title, 'high' AS level FROM events JOIN nation ON n_nationkey = event_id % 25")
 add("stream_telemetry", lambda t: _drained(t, jobs.stream_telemetry(_stream(t, _timed(t)), "1 hour", "1 hour")).select("start", "event_type", "n", F.round("mean_ms", 6).alias("mean_ms")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
-add("stream_log_tail", lambda t: _drained(t, jobs.stream_log_tail(_stream(t, t.events.select("event_id", F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"))), "ERROR")), "SELECT event_id, 'ERROR' AS level FROM events WHERE event_type = 'error'")
-add("stream_access_counts", lambda t: _drained(t, jobs.stream_access_counts(_stream(t, t.events.select(F.concat(F.lit("note_"), "user_id").alias("note_id"), "ts"))), "complete"), "SELECT 'note_' || user_id AS note_id, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY 1")
+def _tailed(t: Tables) -> DataFrame:
+    """Events as files of JSON lines in the shared folder, tailed."""
+    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level")
+    stream = read_log_stream(t.spark, _lines(t, "logs", t.events.select(_json("event_id", level))) + "/*.txt")
+    return _drained(t, jobs.stream_log_tail(stream, "ERROR")).select(F.get_json_object("line", "$.event_id").cast("long").alias("event_id"), "level")
+
+
+add("stream_log_tail", _tailed, "SELECT event_id, 'ERROR' AS level FROM events WHERE event_type = 'error'")
+
+
+def _match_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Each event twice as a match of a rule, and the rules."""
+    one = t.events.select((F.col("event_id") % 25).cast("int").alias("rule_id"), "event_id", "ts")
+    return one.union(one), t.nation.select(F.col("n_nationkey").alias("rule_id"), F.col("n_name").alias("title"), F.lit("high").alias("level"))
+
+
+def _match_notes(t: Tables) -> DataFrame:
+    matches, known = _match_rows(t)
+    out, state = shared_path(t.spark, "matches"), shared_path(t.spark, "match-state")
+    jobs.stream_rule_notes(_stream(t, matches), known, out, state).trigger(availableNow=True).start().awaitTermination()
+    edges = t.spark.read.parquet(f"{out}/edges").select(F.expr("substring(from_id, 6)").alias("note_id"), "to_id", "relationship")
+    return t.spark.read.parquet(f"{out}/notes").select("note_id", "content_raw").join(edges, "note_id")
+
+
+add("stream_rule_notes", _match_notes, "SELECT 'match_' || n_nationkey || '_' || event_id AS note_id, 'Rule ' || n_name || ' (high) matched event ' || event_id AS content_raw, 'rule:' || n_nationkey AS to_id, 'MATCHED_BY' AS relationship FROM events JOIN nation ON n_nationkey = event_id % 25")
+def _accesses(t: Tables) -> DataFrame:
+    hits = _stream(t, t.events.select(F.concat(F.lit("note_"), "user_id").alias("note_id"), "ts"))
+    updates = _drained(t, jobs.stream_access_counts(hits, "1 day"), "update")
+    return jobs.merge_access_counts(updates.limit(0).select("note_id", "access_count", "last_accessed"), updates)
+
+
+add("stream_access_counts", _accesses, "SELECT 'note_' || user_id AS note_id, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY 1")
 _SESSIONS = "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)"
 add("stream_session_activity", lambda t: _drained(t, jobs.stream_session_activity(_stream(t, t.events.select("ts", F.col("user_id").cast("string").alias("actor"))), "1 hour")), f'{_SESSIONS} SELECT CAST(user_id AS VARCHAR) AS actor, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR')
 

@@ -45,18 +45,48 @@ def stream_rule_matches(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return stream_dedupe(matches, ["rule_id", "event_id"]).join(rules.select("rule_id", "title", "level"), "rule_id")
 
 
+def stream_rule_notes(matches: DataFrame, rules: DataFrame, out: str, checkpoint: str):
+    """Start a query that writes a note and an edge for each new match of a rule below ``out``, once per (rule_id, event_id).
+
+    Matches are those of ``stream_rule_matches``; a note is about its event, an edge leads from the note to the rule.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        note_id = F.concat(F.lit("match_"), F.col("rule_id").cast("string"), F.lit("_"), F.col("event_id").cast("string"))
+        text = F.concat(F.lit("Rule "), "title", F.lit(" ("), "level", F.lit(") matched event "), F.col("event_id").cast("string"))
+        notes = batch.select(note_id.alias("note_id"), text.alias("content_raw"), F.col("ts").alias("created_at"), F.lit("detection").alias("source_type"))
+        edges = batch.select(F.concat(F.lit("note:"), note_id).alias("from_id"), F.concat(F.lit("rule:"), F.col("rule_id").cast("string")).alias("to_id"), F.lit("MATCHED_BY").alias("relationship"))
+        for name, rows in (("notes", notes), ("edges", edges)):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    return stream_rule_matches(matches, rules).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def stream_telemetry(events: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Events and mean latency per window and type."""
     return _timed(events, "ts", delay).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("duration_ms").alias("mean_ms")).select(F.col("window.start").alias("start"), "event_type", "n", "mean_ms")
 
 
 def stream_log_tail(logs: DataFrame, level: str) -> DataFrame:
+    """Log rows of one level; ``logs`` has a ``level``, or is (file, line) of ``sources.logtail`` with JSON lines."""
+    if "level" not in logs.columns:
+        logs = logs.withColumn("level", F.get_json_object("line", "$.level"))
     return logs.where(F.col("level") == level)
 
 
-def stream_access_counts(hits: DataFrame) -> DataFrame:
-    """Hits per note, for update mode."""
-    return hits.groupBy("note_id").agg(F.count("*").alias("access_count"), F.max("ts").alias("last_accessed"))
+def stream_access_counts(hits: DataFrame, window: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Hits per note, for update mode; with ``window`` per note and window, whose state goes when the watermark has passed it."""
+    counts = (F.count("*").alias("access_count"), F.max("ts").alias("last_accessed"))
+    if window is None:
+        return hits.groupBy("note_id").agg(*counts)
+    return _timed(hits, "ts", delay).groupBy(F.window("ts", window), "note_id").agg(*counts).select("note_id", F.col("window.start").alias("start"), "access_count", "last_accessed")
+
+
+def merge_access_counts(held: DataFrame, updates: DataFrame) -> DataFrame:
+    """(note_id, access_count, last_accessed) over the last row of each note and window of ``updates``, all micro-batches of update mode."""
+    last = updates.groupBy("note_id", "start").agg(F.max("access_count").alias("n"), F.max("last_accessed").alias("at"))
+    rows = last.select("note_id", "n", "at").union(held.select("note_id", "access_count", "last_accessed"))
+    return rows.groupBy("note_id").agg(F.sum("n").alias("access_count"), F.max("at").alias("last_accessed"))
 
 
 def stream_session_activity(events: DataFrame, gap: str = "1 hour", key: str = "actor") -> DataFrame:

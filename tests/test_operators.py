@@ -474,3 +474,48 @@ def test_supersession_with_hot_entities_equals_brute_force(spark):
                 want.add((i, j, round(score, 9)))
         for hot in (1, 5, 1000):
             assert {tuple(r) for r in supersession_candidates(table, live, index, hot=hot).collect()} == want
+
+
+def test_log_tail_takes_each_line_once(spark, tmp_path):
+    from notelattice.sources.logtail import read_log_stream
+
+    log, got = tmp_path / "app.log", []
+    log.write_text("one\ntwo\nhal")
+
+    def run():
+        q = read_log_stream(spark, f"{tmp_path}/app.log*").writeStream.foreachBatch(lambda batch, n: got.extend(r.line for r in batch.collect())).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    assert sorted(got) == ["one", "two"]
+    with log.open("a") as f:
+        f.write("f\nthree\n")
+    log.rename(tmp_path / "app.log.1")  # rotated with lines that were not read yet
+    log.write_text("four\n")
+    run()
+    assert sorted(got) == ["four", "half", "one", "three", "two"]
+    log.write_text("5\n")  # cut
+    run()
+    assert sorted(got) == ["5", "four", "half", "one", "three", "two"]
+
+
+def test_bucket_table_rewrites_what_changes(spark, tmp_path):
+    from notelattice.sources.buckets import BucketTable
+
+    table = BucketTable(spark, str(tmp_path / "t"), "k", "at", 8)
+    frame = lambda data: spark.createDataFrame(data, "k string, at int, v string")
+    assert table.read(schema="k string").count() == 0 and table.delete(frame([("a", 1, "x")])) == 0
+    assert table.upsert(frame([(f"k{i}", 1, "old") for i in range(800)] + [(None, 1, "x")])) == 800
+    table.snapshot("first")
+    assert table.upsert(frame([("k5", 2, "new"), ("k5", 0, "late"), ("k9", 0, "late")])) < 300  # one or two buckets of eight
+    assert {r.k: r.v for r in table.read().where("k IN ('k5', 'k9')").collect()} == {"k5": "new", "k9": "old"} and table.read().count() == 800
+    assert table.delete(frame([("k5", 0, "")])) < 200 and table.read().count() == 799
+    assert table.read("first").where("v = 'old'").count() == 800 and table.version() == 3
+    table.delete(table.read())
+    assert table.read(schema="k string").count() == 0
+
+
+def test_access_counts_of_several_batches(spark):
+    updates = spark.createDataFrame([("a", 1, 2, 5), ("a", 1, 3, 6), ("a", 2, 1, 9), ("b", 1, 1, 1)], "note_id string, start int, access_count int, last_accessed int")
+    held = spark.createDataFrame([("a", 10, 0), ("c", 1, 0)], "note_id string, access_count int, last_accessed int")
+    assert rows(jobs.merge_access_counts(held, updates)) == [("a", 14, 9), ("b", 1, 1), ("c", 1, 0)]
