@@ -15,7 +15,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a folder of our own only in local mode, where all share a machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors with folders of their own
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='notelattice-')}"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 ARC_BYTES = 4 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -139,7 +139,11 @@ def convert_arc(archives: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def write_warc(archives: DataFrame, out: str, min_bytes: int = 0) -> None:
-    """Convert ARC ``archives`` and write WARC files to the folder ``out``."""
+    """Convert ARC ``archives`` and write WARC files to the folder ``out``.
+
+    Archives are written once and read twice, as a record's identifier names its place in them.
+    """
+    archives = materialize(archives, "arc")
     # grouped by two columns and joined by one, so the join deals both sides anew and hot digests can split
     first = convert_arc(archives, payload=False).where(F.col("payload_bytes") >= min_bytes)
     first = first.groupBy("payload_digest", "payload_bytes").agg(F.min(F.struct(F.col("seq").isNull().alias("none"), "seq", "record_id", "uri", "date")).alias("first"))
@@ -173,6 +177,7 @@ def write_warc(archives: DataFrame, out: str, min_bytes: int = 0) -> None:
     # the text sink writes the bytes of a string as they are; the separator after each record is WARC's own
     text = records.mapInArrow(render, "records binary").select(F.col("records").cast("string").alias("value"))
     text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", FILE_RUNS).text(out)
+    discard(archives)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -184,3 +184,27 @@ def test_crc32_of_spans_equals_zlib():
     ends = starts + rng.integers(0, 300, 200)
     seeds = np.array([zlib.crc32(bytes([k])) for k in range(200)], np.uint32)
     assert crc32_spans(data, starts, ends, seeds).tolist() == [zlib.crc32(data[a:b].tobytes(), int(s)) for a, b, s in zip(starts, ends, seeds)]
+
+
+def test_rows_without_an_id(spark):
+    """Every operator gives such rows a result of their own."""
+    from notelattice.llm.bpe import encoded_digests
+    from notelattice.llm.packing import pack
+    from notelattice.llm.quality import quality_rules
+    from notelattice.llm.queries import tokenizer_path
+    from notelattice.llm.token_files import token_file_round_trip
+    from notelattice.llm.vectors import near_duplicate_vectors
+
+    rows = [(None, "one two three"), (1, "one two three"), (None, None), (2, "four")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    word, byte = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
+    tokens = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in encoded_digests(df, word).collect()}
+    assert len(tokens) == 4 and {(n, h) for i, n, h in tokens if i == 1} <= {(n, h) for i, n, h in tokens if i is None}
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words) for r in quality_rules(df).collect()) == [(False, 1, 3), (False, 2, 1), (True, 0, 0), (True, 0, 3)]
+    packed = pack(df, word, end_id=2, length=4096).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in packed) == [(False, 1, 4), (False, 2, 2), (True, 0, 1), (True, 0, 4)]
+    files = token_file_round_trip(df, byte, end_id=0).collect()
+    assert len(files) == 4 and sum(r.doc_id is None for r in files) == 2 and sorted(r.start for r in files)[0] == 0
+    v = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (None, None)], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links) for r in near_duplicate_vectors(v).collect())
+    assert got == [(False, 3, 1), (False, 4, 0), (True, 0, 0), (True, 0, 1)]
