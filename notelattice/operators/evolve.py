@@ -303,7 +303,7 @@ def contradictions(notes: DataFrame, index: DataFrame) -> DataFrame:
     time, the one with the smaller id counts as older. So one aggregate per entity replaces pairs of notes.
     """
     marked = notes.select("note_id", "created_at", negated(F.col("content_raw")).alias("neg"))
-    rows = index.join(marked, "note_id")
+    rows = cut(index.join(marked, "note_id"))  # read twice
     ends = rows.groupBy("entity_type", "entity_value").agg(*[F.max(F.when(F.col("neg") == n, F.struct("created_at", "note_id"))).alias(f"last_{n}".lower()) for n in (True, False)])
     other = F.when(F.col("neg"), F.col("last_false")).otherwise(F.col("last_true"))
     return rows.join(ends, ["entity_type", "entity_value"]).where(other > F.struct("created_at", "note_id")).select("note_id").distinct()

@@ -1,8 +1,8 @@
 """Top-k fusion over posting lists: what can't be among a question's k best is left out once per entity, not once per question.
 
-A posting list has an entity's notes with the scores of the signals, which don't depend on the question. Questions then meet a
-few notes of each of their entities, however long the lists are, and the result is the same as over all pairs of question and
-note.
+A posting list has an entity's notes with the scores of the signals, which don't depend on the question. So what is best in a
+list, or for a set of entities and weights, is found once, however many questions ask for it, and questions only take up the
+answers. The results are those over all pairs of question and note.
 """
 
 from __future__ import annotations
@@ -85,22 +85,35 @@ def _spread(score: str, lo: str, hi: str):
     return F.when(F.col(score).isNull(), 0.0).when(width < 1e-9, 0.5).otherwise((F.col(score) - F.col(lo)) / width)
 
 
-def blend_weighted_postings(asked: DataFrame, postings: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
+def _sets(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, list) and (list, entity_type, entity_value): each different set of entities of a question is one list."""
+    sets = asked.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct(*ENTITY))).alias("entities"))
+    sets = cut(sets.withColumn("list", F.sha2(F.to_json("entities"), 256)))
+    return sets.select("query_id", "list"), sets.select("list", "entities").dropDuplicates(["list"]).select("list", F.explode("entities").alias("e")).select("list", "e.*")
+
+
+def blend_weighted_postings(asked: DataFrame, postings: DataFrame, weights: DataFrame, k: int = 10, prune: bool = False) -> DataFrame:
     """(query_id, rank, note_id, score): ``retrieve.blend_weighted`` of all notes that share an entity with a question.
 
     ``asked`` (query_id, entity_type, entity_value); ``postings`` (entity_type, entity_value, note_id, vs, gs), a null score
     where a signal doesn't have the note; ``weights`` (query_id, vector, graph), not negative. Bounds of a question's scores
-    are those of its lists. Questions meet the ``skyband`` of their entities.
+    are those of its lists.
+
+    Questions of the same entities and weights have the same answer, so each such set is fused once. With ``prune``, where most
+    questions have a set of their own, sets meet the ``skyband`` of their entities instead of all of the lists.
     """
-    named = cut(asked.select("query_id", *ENTITY).distinct())
-    rows = cut(postings.where("vs IS NOT NULL OR gs IS NOT NULL").join(named.select(*ENTITY).distinct(), ENTITY, "left_semi"))
+    sets, lists = _sets(asked)
+    rows = postings.where("vs IS NOT NULL OR gs IS NOT NULL").join(lists.select(*ENTITY).distinct(), ENTITY, "left_semi")
+    rows = cut(rows) if prune else rows
     ends = rows.groupBy(*ENTITY).agg(F.min("vs").alias("v0"), F.max("vs").alias("v1"), F.min("gs").alias("g0"), F.max("gs").alias("g1"))
-    ends = named.join(ends, ENTITY).groupBy("query_id").agg(F.min("v0").alias("v0"), F.max("v1").alias("v1"), F.min("g0").alias("g0"), F.max("g1").alias("g1"))
-    some = named.join(skyband(rows, k), ENTITY).select("query_id", "note_id", "vs", "gs").distinct()
-    both = some.join(ends, "query_id").join(weights.select("query_id", F.col("vector").alias("wv"), F.col("graph").alias("wg")), "query_id")
+    ends = lists.join(ends, ENTITY).groupBy("list").agg(F.min("v0").alias("v0"), F.max("v1").alias("v1"), F.min("g0").alias("g0"), F.max("g1").alias("g1"))
+    some = lists.join(skyband(rows, k) if prune else rows, ENTITY).select("list", "note_id", "vs", "gs").distinct()
+    weighted = cut(sets.join(weights.select("query_id", F.col("vector").alias("wv"), F.col("graph").alias("wg")), "query_id"))
+    both = some.join(weighted.select("list", "wv", "wg").distinct(), "list").join(ends, "list")
     score = F.round(_spread("vs", "v0", "v1") * F.col("wv") + _spread("gs", "g0", "g1") * F.col("wg"), 9)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id")
-    return both.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "note_id", "score")
+    w = Window.partitionBy("list", "wv", "wg").orderBy(F.desc("score"), "note_id")
+    best = both.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("list", "wv", "wg", "rank", "note_id", "score")
+    return weighted.join(best, ["list", "wv", "wg"]).select("query_id", "rank", "note_id", "score")
 
 
 def blend_rrf_postings(asked: DataFrame, postings: DataFrame, k: int = 10, c: int = 60) -> DataFrame:
@@ -109,9 +122,7 @@ def blend_rrf_postings(asked: DataFrame, postings: DataFrame, k: int = 10, c: in
     Questions with the same entities have the same answer, so each set of entities is one list, ranked once for both signals
     over sorted range partitions; arguments as for ``blend_weighted_postings``.
     """
-    sets = asked.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct(*ENTITY))).alias("entities"))
-    sets = cut(sets.withColumn("list", F.sha2(F.to_json("entities"), 256)))
-    lists = sets.select("list", "entities").dropDuplicates(["list"]).select("list", F.explode("entities").alias("e")).select("list", "e.*")
+    sets, lists = _sets(asked)
     rows = cut(lists.join(postings, ENTITY).select("list", "note_id", "vs", "gs").distinct())
 
     def ranked(score: str) -> DataFrame:

@@ -46,6 +46,7 @@ def edges_mentioned_in(index: DataFrame) -> DataFrame:
 def rule_edges(index: DataFrame, relations: tuple[str, ...] | None = None) -> DataFrame:
     """(from_type, from_value, relationship, to_type, to_value, note_id): edges between entities of one note, by rule."""
     rules = [r for r in EDGE_RULES if relations is None or r[2] in relations]
+    index = cut(index.where(F.col("entity_type").isin(*{t for r in rules for t in r[:2]})).select("entity_type", "entity_value", "note_id"))  # joined with itself
     table = F.broadcast(index.sparkSession.createDataFrame(rules, "from_type string, to_type string, relationship string"))  # one row per rule
     left = index.select(F.col("entity_type").alias("from_type"), F.col("entity_value").alias("from_value"), "note_id").join(table, "from_type")
     right = index.select(F.col("entity_type").alias("to_type"), F.col("entity_value").alias("to_value"), "note_id")
@@ -102,14 +103,15 @@ def path_text(path: Column) -> Column:
 def graph_retrieve(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """(query_id, note, hops, score): notes within ``depth`` hops of a query's nodes (query_id, node), at 1 / (1 + hops).
 
-    An edge counts in both directions. A query's nodes start one frontier.
+    An edge counts in both directions. A query's nodes start one frontier, which meets each direction on its own, so that no
+    table of all edges both ways is made.
     """
-    links = edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).distinct()
-    best = starts.select("query_id", "node", F.lit(0).alias("hops")).distinct()
-    frontier = best
+    ways = [edges.select(F.col(a).alias("node"), F.col(b).alias("next")) for a, b in (("from_id", "to_id"), ("to_id", "from_id"))]
+    best = frontier = cut(starts.select("query_id", "node", F.lit(0).alias("hops")).distinct())
     for hop in range(1, depth + 1):
-        step = frontier.join(links, F.col("node") == F.col("from_id")).select("query_id", F.col("to_id").alias("node")).distinct()
-        frontier = step.join(best.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        step = [frontier.join(way, "node").select("query_id", F.col("next").alias("node")).distinct() for way in ways]
+        new = step[0].union(step[1]).distinct().join(best.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        frontier = cut(new.withColumn("hops", F.lit(hop)))
         best = best.union(frontier)
     return best.where(F.col("node").startswith("note:")).select("query_id", F.col("node").alias("note"), "hops", (1 / (1 + F.col("hops"))).alias("score"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import EDGE_RULES, PATTERNS
 from ..operators import extract, graph
+from ..operators.index import build_entity_index
 from .derived import Tables, with_tables
 from .notes import INDEX, NOTES, entity_index, values_sql
 from .registry import add
@@ -43,13 +44,16 @@ add("promote_edge_type", lambda t: graph.promote_edge_type(t.kg_edges), f"{KG} S
 add("edges_mentioned_in", lambda t: graph.edges_mentioned_in(entity_index(t)), f"{INDEX} SELECT *, 'MENTIONED_IN' AS relationship FROM entity_index")
 
 
-def _people(t: Tables) -> DataFrame:
-    """Conversational entities that a model might have found in each note."""
+def _people(t: Tables, relations: tuple[str, ...]) -> DataFrame:
+    """The types that the rules of ``relations`` need, found in each note's text or such as a model might have found."""
+    needed = {x for a, b, r in EDGE_RULES if r in relations for x in (a, b)}
     n = t.notes.where("domain <> 'cti'")
     pairs = (("person", "ana"), ("organization", "acme"), ("event", "expo"), ("location", "paris"), ("activity", "hiking"), ("temporal", "monday"), ("malware", "emotet"), ("asset", "server"), ("campaign", "operation-x"))
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.concat(F.lit(v), (F.col("importance") % (i + 2)).cast("string")).alias("v")) for i, (k, v) in enumerate(pairs)])
     made = n.select("note_id", F.explode(kinds).alias("x")).select(F.col("x.k").alias("entity_type"), F.col("x.v").alias("entity_value"), "note_id")
-    return entity_index(t).union(made)
+    kinds = tuple(k for k in PATTERNS if k in needed)
+    made = made.where(F.col("entity_type").isin(*needed))
+    return made if not kinds else build_entity_index(extract.extract_all_long(t.notes, kinds=kinds)).union(made)
 
 
 _MADE = " UNION ALL ".join(f"SELECT '{k}', '{v}' || (importance % {i + 2}), note_id FROM notes WHERE domain <> 'cti'" for i, (k, v) in enumerate((("person", "ana"), ("organization", "acme"), ("event", "expo"), ("location", "paris"), ("activity", "hiking"), ("temporal", "monday"), ("malware", "emotet"), ("asset", "server"), ("campaign", "operation-x"))))
@@ -70,7 +74,7 @@ for _name, _relations in {
     "uses_tool": ("USES_TOOL",), "exploits_cve": ("EXPLOITS_CVE",), "targets_asset": ("TARGETS_ASSET",), "conducts_campaign": ("CONDUCTS_CAMPAIGN",), "uses_technique": ("USES_TECHNIQUE",),
     "implements": ("IMPLEMENTS",), "person": ("AFFILIATED_WITH", "ATTENDED", "LOCATED_AT", "PARTICIPATES_IN"), "event": ("HELD_AT", "ORGANIZED_BY", "OCCURRED_ON"), "org_based_in": ("BASED_IN",),
 }.items():
-    add(f"edges_{_name}", lambda t, r=_relations: graph.rule_edges(_people(t), r), _rules_sql(_relations))
+    add(f"edges_{_name}", lambda t, r=_relations: graph.rule_edges(_people(t, r), r), _rules_sql(_relations))
 
 
 def _completions(t: Tables) -> DataFrame:

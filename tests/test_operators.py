@@ -99,7 +99,8 @@ def test_fusion_of_posting_lists_equals_all_pairs(spark, values):
     w = spark.createDataFrame(weights, "query_id int, vector double, graph double")
     pairs = a.join(p, ["entity_type", "entity_value"]).select("query_id", "note_id", "vs", "gs").distinct()
     v, g = (pairs.where(f"{c} IS NOT NULL").select("query_id", "note_id", F.col(c).alias("score")) for c in ("vs", "gs"))
-    assert rows(fusion.blend_weighted_postings(a, p, w, 4)) == rows(retrieve.blend_weighted(v, g, w, 4))
+    for prune in (False, True):
+        assert rows(fusion.blend_weighted_postings(a, p, w, 4, prune)) == rows(retrieve.blend_weighted(v, g, w, 4))
     assert rows(fusion.blend_rrf_postings(a, p, 4)) == rows(retrieve.blend_rrf(v, g, 4))
     band = fusion.skyband(p, 4).count()
     assert band < len(lists) and (values == 1000 or band <= 6 * 4 * 36)
