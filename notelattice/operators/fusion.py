@@ -103,8 +103,7 @@ def blend_weighted_postings(asked: DataFrame, postings: DataFrame, weights: Data
     questions have a set of their own, sets meet the ``skyband`` of their entities instead of all of the lists.
     """
     sets, lists = _sets(asked)
-    rows = postings.where("vs IS NOT NULL OR gs IS NOT NULL").join(lists.select(*ENTITY).distinct(), ENTITY, "left_semi")
-    rows = cut(rows) if prune else rows
+    rows = cut(postings.where("vs IS NOT NULL OR gs IS NOT NULL").join(lists.select(*ENTITY).distinct(), ENTITY, "left_semi"))
     ends = rows.groupBy(*ENTITY).agg(F.min("vs").alias("v0"), F.max("vs").alias("v1"), F.min("gs").alias("g0"), F.max("gs").alias("g1"))
     ends = lists.join(ends, ENTITY).groupBy("list").agg(F.min("v0").alias("v0"), F.max("v1").alias("v1"), F.min("g0").alias("g0"), F.max("g1").alias("g1"))
     some = lists.join(skyband(rows, k) if prune else rows, ENTITY).select("list", "note_id", "vs", "gs").distinct()
