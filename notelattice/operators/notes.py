@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import KEYWORD_STOPWORDS, TTL_DAYS
@@ -43,11 +45,16 @@ def note_id(raw: Column, source_ref: Column) -> Column:
     return F.concat(F.lit("note_"), F.substring(F.sha2(F.concat_ws("\x1f", source_ref, raw), 256), 1, 16))
 
 
-def construct_notes(notes: DataFrame) -> DataFrame:
-    """Adds context, seven keywords, tags, tier A and the input hash to raw notes (content_raw, domain)."""
+def construct_notes(notes: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """Adds context, seven keywords, tags, tier A and the input hash to raw notes (content_raw, domain).
+
+    With ``embed`` (rows, key, text) -> (key, vector), such as ``retrieve.embed_batch``, each note (note_id) gets the
+    ``vector`` of its text.
+    """
     tags = F.slice(F.array("domain"), 1, 5)
     built = notes.withColumns({"context": context_sentence(F.col("content_raw")), "keywords": keyword_array(F.col("content_raw"), 7), "tags": tags, "tier": F.lit("A")})
-    return built.withColumn("input_hash", input_hash(F.col("content_raw"), F.col("context"), F.col("keywords"), F.col("tags")))
+    built = built.withColumn("input_hash", input_hash(F.col("content_raw"), F.col("context"), F.col("keywords"), F.col("tags")))
+    return built if embed is None else built.join(embed(notes.select("note_id", "content_raw"), "note_id", "content_raw"), "note_id", "left")
 
 
 def governance_validate(notes: DataFrame, limit: int = 50_000) -> DataFrame:

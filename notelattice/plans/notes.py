@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.rules import CASELESS, CODE_CONTEXT, KEYWORD_STOPWORDS, NAME_STOPWORDS, PATTERNS
 from ..operators import extract, index, notes as build
 from .derived import Tables, with_tables
+from ..operators.retrieve import embed_batch
 from .registry import add
 
 NOTES = with_tables("notes")
@@ -109,6 +110,7 @@ add("keywords_topk", lambda t: build.keywords_topk(t.documents, 10, "doc_id", "t
 BUILT = f"{NOTES}, words AS ({WORDS.format('note_id', 'content_raw', 'notes')}), top AS (SELECT note_id, list(keyword ORDER BY n DESC, first) AS ks FROM words GROUP BY note_id), built AS (SELECT n.*, {CONTEXT.format('content_raw')} AS context, coalesce(array_to_string(ks[1:7], ','), '') AS keywords FROM notes n LEFT JOIN top USING (note_id))"
 HASH = "substr(sha256(content_raw || context || replace(keywords, ',', '') || domain), 1, 16)"
 add("construct_notes", lambda t: build.construct_notes(t.notes).select("note_id", "context", F.array_join("keywords", ",").alias("keywords"), F.array_join("tags", ",").alias("tags"), "tier", "input_hash"), f"{BUILT} SELECT note_id, context, keywords, domain AS tags, 'A' AS tier, {HASH} AS input_hash FROM built")
+add("embedded_notes", lambda t: build.construct_notes(t.notes, embed_batch).select("note_id", "context", F.array_join("keywords", ",").alias("keywords"), F.array_join("tags", ",").alias("tags"), "tier", "input_hash", F.size("vector").alias("dim"), F.exists("vector", lambda x: x != 0).alias("embedded")), f"{BUILT} SELECT note_id, context, keywords, domain AS tags, 'A' AS tier, {HASH} AS input_hash, 64 AS dim, content_raw IS NOT NULL AS embedded FROM built")
 add("input_hash", lambda t: build.construct_notes(t.notes).select("note_id", "input_hash"), f"{BUILT} SELECT note_id, {HASH} AS input_hash FROM built")
 add("note_id", lambda t: t.notes.select(F.col("note_id").alias("old_id"), build.note_id(F.col("content_raw"), F.col("source_ref")).alias("note_id")), f"{NOTES} SELECT note_id AS old_id, 'note_' || substr(sha256(source_ref || chr(31) || content_raw), 1, 16) AS note_id FROM notes")
 add("governance_validate", lambda t: build.governance_validate(t.documents.withColumnRenamed("text", "content_raw"), 5000).select("doc_id", "violation"), "SELECT doc_id, CASE WHEN text IS NULL THEN 'GOV-011' WHEN length(text) > 5000 THEN 'LIMIT' END AS violation FROM documents")
