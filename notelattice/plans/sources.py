@@ -101,8 +101,12 @@ def _bundles(t: Tables) -> str:
     for rows in (part, supplier, report, tool, uses, tells):
         one = rows.select("file", F.to_json("o").alias("o"))
         every = one if every is None else every.union(one)
-    made = every.groupBy("file").agg(F.concat(F.lit('{"objects": ['), F.array_join(F.collect_list("o"), ", "), F.lit("]}")).alias("value"))  # a file is a document of bounded size
-    return _files(t, "stix", made, "file")
+    # each file has lines of its own around its objects, in three ranges of its one sorted partition
+    ends = every.select("file").distinct().select("file", F.explode(F.expr("array(struct(0 AS k, '{\"type\": \"bundle\", \"objects\": [' AS value), struct(2 AS k, '{\"type\": \"none\"}]}' AS value))")).alias("e")).select("file", "e.k", "e.value")
+    path = shared_path(t.spark, "stix")
+    lines = every.select("file", F.lit(1).alias("k"), F.concat("o", F.lit(",")).alias("value")).union(ends)
+    lines.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    return path
 
 
 add("read_stix_bundle", lambda t: tables.read_stix_bundle(t.spark, _bundles(t)), "SELECT 'T' || p_partkey AS technique_id, p_name AS name FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0")

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bundles import read_objects
+
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The last row of each key by ``at``; of ties the greatest row."""
@@ -34,28 +36,26 @@ def load_entity_index_map(docs: DataFrame, column: str = "value") -> DataFrame:
     return m.select("entity_type", F.explode("m").alias("entity_value", "ns")).select("entity_type", "entity_value", F.explode("ns").alias("note_id"))
 
 
+STIX_OBJECTS = (
+    "type string, id string, name string, description string, created string, revoked boolean, x_mitre_deprecated boolean, aliases array<string>, relationship_type string, "
+    "source_ref string, target_ref string, object_refs array<string>, external_references array<struct<source_name:string,external_id:string>>"
+)
+
+
+def read_stix_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Every object of the bundle files below ``path``, one row each; a large file is read in splits."""
+    return read_objects(spark, path, STIX_OBJECTS)
+
+
 def read_stix_bundle(spark: SparkSession, path: str) -> DataFrame:
     """(technique_id, name) of attack patterns in bundle files: neither revoked nor deprecated, no sub-techniques."""
-    refs = "array<struct<source_name:string,external_id:string>>"
-    schema = f"objects array<struct<type:string,id:string,name:string,revoked:boolean,x_mitre_deprecated:boolean,external_references:{refs}>>"
-    o = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("objects").alias("o")).select("o.*").where("type = 'attack-pattern'")
+    o = read_stix_objects(spark, path).where("type = 'attack-pattern'")
     live = o.where(~F.coalesce("revoked", F.lit(False)) & ~F.coalesce("x_mitre_deprecated", F.lit(False)))
     first = F.get(F.filter("external_references", lambda r: r["source_name"] == "mitre-attack"), F.lit(0))["external_id"]
     rows = live.select(first.alias("technique_id"), "name").where(F.col("technique_id").isNotNull() & ~F.col("technique_id").contains("."))
     return rows.groupBy("technique_id").agg(F.min("name").alias("name"))
 
 
-STIX_OBJECTS = (
-    "objects array<struct<type:string,id:string,name:string,description:string,created:string,aliases:array<string>,relationship_type:string,"
-    "source_ref:string,target_ref:string,object_refs:array<string>,external_references:array<struct<source_name:string,external_id:string>>>>"
-)
-
-
-def read_stix_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Every object of the bundle files below ``path``, one row each."""
-    return spark.read.schema(STIX_OBJECTS).option("multiLine", True).json(path).select(F.explode("objects").alias("o")).select("o.*")
-
-
 def stix_extract_reports(objects: DataFrame) -> DataFrame:
     """(id, name, description, created, kind, entity): named entities that a report's relations point to; a report without
     any has one row with nulls, one without a name or a description none. Descriptions are cut at 3000 characters."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notelattice.functions.rules import TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
 from notelattice.sources import tables
+from notelattice.sources.bundles import read_objects
 from notelattice.streaming import jobs
 
 
@@ -520,3 +521,36 @@ def test_access_counts_of_several_batches(spark):
     updates = spark.createDataFrame([("a", 1, 2, 5), ("a", 1, 3, 6), ("a", 2, 1, 9), ("b", 1, 1, 1)], "note_id string, start int, access_count int, last_accessed int")
     held = spark.createDataFrame([("a", 10, 0), ("c", 1, 0)], "note_id string, access_count int, last_accessed int")
     assert rows(jobs.merge_access_counts(held, updates)) == [("a", 14, 9), ("b", 1, 1), ("c", 1, 0)]
+
+
+@pytest.mark.parametrize("split", [700, 5000, 1 << 27])
+def test_bundles_in_splits_equal_json(spark, tmp_path, split):
+    rng = random.Random(split)
+    odd = ['}', '{"', '\\', '\\"', '"}', "[{", "é}😀", "\n}", "\\\\", ""]
+    want = []
+    for k in range(4):
+        objects = []
+        for n in range((0, 1, 60, 300)[k]):
+            o = {"type": "report", "id": f"{k}-{n}", "name": "".join(rng.choice(odd) for _ in range(rng.randint(0, 40))), "aliases": [rng.choice(odd) for _ in range(rng.randint(0, 3))]}
+            o["deep"] = {"a": [{"b": {"c": "}"}}, [[{}]]]}
+            if n % 50 == 7:
+                o["description"] = '}{"\\' * 2000  # longer than a split
+            objects.append(o)
+        want += [(o["id"], o["name"], o["aliases"], o.get("description")) for o in objects]
+        bundle = {"type": "bundle", "id": "x{[\"", "spec": {"a": {"b": 1}}, "objects": objects}
+        (tmp_path / f"b{k}.json").write_text(json.dumps(bundle, indent=rng.choice([None, 2]), ensure_ascii=k % 2 == 0))
+    (tmp_path / "cut.json").write_text('{"objects": [{"type": "report", "id": "before", "name": "n", "aliases": []}, {"type": "report", "id": "bro')
+    (tmp_path / "none.json").write_text("")
+    want.append(("before", "n", [], None))
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "10", "spark.sql.execution.arrow.maxRecordsPerBatch": "37"}
+    held = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        rows = read_objects(spark, str(tmp_path), "type string, id string, name string, aliases array<string>, description string")
+        assert split > 5000 or spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = [(r["id"], r["name"], r["aliases"], r["description"]) for r in rows.collect()]
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
