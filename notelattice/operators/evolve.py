@@ -151,11 +151,12 @@ def entity_components(notes: DataFrame, index: DataFrame, key: str = "stream") -
 SLICE = 5000
 
 
-def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream", size: int = SLICE) -> DataFrame:
+def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream", size: int = SLICE, held: DataFrame | None = None) -> DataFrame:
     """(key, note_id, superseded_by): notes applied in order of time within each ``key``, each replacing at most one live note.
 
     A note replaces the live note that shares most entities with it, plus up to one for a day of age (ties: newer, then
-    smaller id). Notes of different keys never meet. Notes without superseding entities stay live.
+    smaller id). Notes of different keys never meet. Notes without superseding entities stay live. ``held`` are live notes that came
+    before all others, whatever their time; they replace nothing.
 
     Notes are cut into slices of ``size`` in order of time, replayed side by side. A slice starts from the older notes that are
     still live by what is known so far and share an entity with one of its notes. The first round knows none, later rounds
@@ -163,9 +164,12 @@ def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream",
     slices are looked back on and nothing changes, which then is what one pass gives.
     """
     index = index.where(F.col("entity_type").isin(*SUPERSEDING)).groupBy("note_id").agg(F.collect_set(F.concat_ws(":", "entity_type", "entity_value")).alias("entities"))
-    every = cut(notes.select(F.col(key).cast("string").alias(key), "note_id", "created_at").join(index, "note_id", "left"))
+    new = notes.select(F.col(key).cast("string").alias(key), "note_id", "created_at", F.lit(True).alias("own"))
+    if held is not None:
+        new = new.union(held.select(F.col(key).cast("string").alias(key), "note_id", "created_at", F.lit(False).alias("own")))
+    every = cut(new.join(index, "note_id", "left"))
     named = every.where("entities IS NOT NULL").withColumn("entities", F.transform("entities", lambda e: F.concat_ws("\n", F.col(key), e)))
-    rows = numbered(named.select("note_id", F.col("created_at").cast("timestamp").alias("created_at"), "entities"), ["created_at", "note_id"], size)
+    rows = numbered(named.select("note_id", F.col("created_at").cast("timestamp").alias("created_at"), "entities", "own"), ["own", "created_at", "note_id"], size)
     slices = (rows.agg(F.max("slice")).first()[0] or 0) + 1
     # where each entity is found: a number per slice at most, and none for entities of one slice
     found = cut(rows.select("slice", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sort_array(F.collect_set("slice")).alias("found")).where("size(found) > 1"))
@@ -181,7 +185,7 @@ def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream",
                 for other in postings.get(e, ()):
                     shared[other] = shared.get(other, 0) + 1
             if shared:
-                age = {x: min((made - live[x][0]).total_seconds() / 86400, 1.0) for x in shared}
+                age = {x: max(0.0, min((made - live[x][0]).total_seconds() / 86400, 1.0)) for x in shared}
                 old = min(shared, key=lambda x: (-shared[x] - age[x], -live[x][0].value, live[x][2]))
                 gone.append((old, at))
                 for e in live.pop(old)[1]:
@@ -193,13 +197,13 @@ def supersession_replay(notes: DataFrame, index: DataFrame, key: str = "stream",
 
     known, reach = None, 0
     while True:
-        mine = rows.withColumn("own", F.lit(True))
+        mine = rows
         if known is not None:
             last = F.least(F.col("slice") + reach, F.coalesce(F.expr(f"CAST(`by` DIV {size} AS INT)"), F.lit(slices)))
             older = rows.join(known.withColumnRenamed("old", "at"), "at", "left").withColumn("last", last).where("last > slice")
             meets = older.select("at", "slice", "last", F.explode("entities").alias("entity")).join(found, "entity")
             meets = meets.select("at", F.explode(F.expr("filter(found, x -> x > slice AND x <= last)")).alias("slice")).distinct()
-            mine = mine.union(meets.join(rows.drop("slice"), "at").select("note_id", "created_at", "entities", "at", "slice", F.lit(False).alias("own")))
+            mine = mine.unionByName(meets.join(rows.drop("slice", "own"), "at").withColumn("own", F.lit(False)))
         now = cut(mine.groupBy("slice").applyInPandas(replay, "old long, `by` long").groupBy("old").agg(F.min("by").alias("by")))
         whole = known is not None and reach >= slices - 1 or slices == 1
         if whole and (known is None or now.join(known, ["old", "by"], "left_anti").isEmpty() and known.join(now, ["old", "by"], "left_anti").isEmpty()):

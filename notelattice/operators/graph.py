@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 from ..functions.rules import EDGE_RULES
+from .extract import infer_entity_type, resolve_alias
 
 KEY = ("from_id", "to_id", "relationship", "note_id")
 
@@ -69,6 +70,14 @@ def causal_triples(completions: DataFrame) -> DataFrame:
 CAUSAL_RELATIONS = ("causes", "enables", "targets", "uses", "exploits", "attributed_to", "related_to")
 
 
+def causal_edges(triples: DataFrame) -> DataFrame:
+    """Causal edges (note_id, from_type, from_value, relation, to_type, to_value, edge_type) of triples: types by the words, objects under the name their aliases share."""
+    to_type = infer_entity_type(F.replace(F.col("object"), F.lit("-"), F.lit(" ")))
+    typed = triples.select("note_id", "relation", infer_entity_type(F.col("subject")).alias("from_type"), F.lower("subject").alias("from_value"), to_type.alias("to_type"), F.lower("object").alias("to_value"))
+    named = resolve_alias(typed.select("*", F.lit("actor").alias("entity_type"), F.col("to_value").alias("entity_value")))
+    return named.select("note_id", "from_type", "from_value", "relation", "to_type", F.col("canonical").alias("to_value"), F.lit("causal").alias("edge_type"))
+
+
 def neighbors(edges: DataFrame, starts: DataFrame, relationship: str | None = None) -> DataFrame:
     """(from_id, relationship, to_id) out of the nodes of ``starts`` (node)."""
     kept = edges.where(F.col("relationship") == relationship) if relationship else edges

@@ -77,24 +77,17 @@ for _name, _relations in {
     add(f"edges_{_name}", lambda t, r=_relations: graph.rule_edges(_people(t, r), r), _rules_sql(_relations))
 
 
-def _completions(t: Tables) -> DataFrame:
+def completions(t: Tables) -> DataFrame:
     lists = F.format_string('[["apt%d", "Uses", "mimikatz"], ["x", "likes", "y"], ["short"]]', F.col("importance"))
     objects = F.format_string('[{"subject": "cve-2024-%04d", "relation": "enables", "object": "Fancy-Bear"}]', F.col("importance"))
     return t.notes.select("note_id", "created_at", F.when(F.col("domain") == "cti", lists).when(F.col("domain") == "incident", objects).otherwise("no json").alias("json"))
 
 
 TRIPLES = f"{NOTES}, triples AS (SELECT note_id, 'apt' || importance AS subject, 'uses' AS relation, 'mimikatz' AS object FROM notes WHERE domain = 'cti' UNION ALL SELECT note_id, 'cve-2024-' || lpad(CAST(importance AS VARCHAR), 4, '0'), 'enables', 'Fancy-Bear' FROM notes WHERE domain = 'incident')"
-add("causal_triples", lambda t: graph.causal_triples(_completions(t)), f"{TRIPLES} SELECT * FROM triples")
+add("causal_triples", lambda t: graph.causal_triples(completions(t)), f"{TRIPLES} SELECT * FROM triples")
 
 
-def _causal_edges(t: Tables) -> DataFrame:
-    rows = graph.causal_triples(_completions(t))
-    typed = rows.select("note_id", "relation", extract.infer_entity_type(F.col("subject")).alias("from_type"), F.lower("subject").alias("from_value"), extract.infer_entity_type(F.replace(F.col("object"), F.lit("-"), F.lit(" "))).alias("to_type"), F.lower("object").alias("to_value"))
-    named = extract.resolve_alias(typed.select("*", F.lit("actor").alias("entity_type"), F.col("to_value").alias("entity_value")))
-    return named.select("note_id", "from_type", "from_value", "relation", "to_type", F.col("canonical").alias("to_value"), F.lit("causal").alias("edge_type"))
-
-
-add("causal_edges", _causal_edges, f"{TRIPLES} SELECT note_id, CASE WHEN starts_with(subject, 'apt') THEN 'intrusion_set' ELSE 'cve' END AS from_type, subject AS from_value, relation, CASE object WHEN 'mimikatz' THEN 'tool' ELSE 'intrusion_set' END AS to_type, CASE object WHEN 'mimikatz' THEN 'mimikatz' ELSE 'apt28' END AS to_value, 'causal' AS edge_type FROM triples")
+add("causal_edges", lambda t: graph.causal_edges(graph.causal_triples(completions(t))), f"{TRIPLES} SELECT note_id, CASE WHEN starts_with(subject, 'apt') THEN 'intrusion_set' ELSE 'cve' END AS from_type, subject AS from_value, relation, CASE object WHEN 'mimikatz' THEN 'tool' ELSE 'intrusion_set' END AS to_type, CASE object WHEN 'mimikatz' THEN 'mimikatz' ELSE 'apt28' END AS to_value, 'causal' AS edge_type FROM triples")
 add("ingest_relationships", lambda t: graph.upsert_edges(_edge_rows(t).union(_edge_rows(t))).select("from_id", "to_id", "relationship", "note_id", "observations"), f"{EDGE_ROWS} SELECT from_id, to_id, relationship, note_id, 2 * count(*) AS observations FROM e GROUP BY 1, 2, 3, 4")
 add("hunt_edges", lambda t: extract.technique_parent(t.notes).select("note_id", F.lit("MENTIONED_IN").alias("relationship"), F.col("technique").alias("target")).union(extract.hunt_iocs(t.notes, t.region.select(F.lit("none").alias("domain"))).select("note_id", F.lit("INDICATES"), "entity_value")))
 

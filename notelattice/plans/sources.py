@@ -244,13 +244,24 @@ def _timed(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", "user_id", "event_type", F.col("value").alias("duration_ms"))
 
 
-def _ingested(t: Tables) -> DataFrame:
+def _ingest(t: Tables) -> str:
     out, state = shared_path(t.spark, "ingested"), shared_path(t.spark, "ingest-state")
     jobs.stream_ingest(_stream(t, t.notes), out, state).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/entity_index").select("entity_type", "entity_value", "note_id").distinct()
+    return out
 
 
-add("stream_ingest", _ingested, f"{INDEX} SELECT entity_type, entity_value, note_id FROM entity_index")
+def _enriched(t: Tables) -> DataFrame:
+    """Causal edges by the second query, over the notes that the first one wrote."""
+    notes, out, state = f"{_ingest(t)}/notes", shared_path(t.spark, "enriched"), shared_path(t.spark, "enrich-state")
+    triple = F.format_string('[["apt%d", "uses", "mimikatz"]]', F.col("importance")).alias("json")
+    stream = t.spark.readStream.schema(t.spark.read.parquet(notes).schema).parquet(notes)
+    jobs.stream_enrich(stream, lambda batch: batch.select("note_id", triple), out, state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("note_id", "from_value", "relation", "to_value")
+
+
+add("stream_ingest", lambda t: t.spark.read.parquet(f"{_ingest(t)}/entity_index").select("entity_type", "entity_value", "note_id").distinct(), f"{INDEX} SELECT entity_type, entity_value, note_id FROM entity_index")
+add("stream_ingest_superseded", lambda t: t.spark.read.parquet(f"{_ingest(t)}/superseded").select("note_id", "superseded_by"))
+add("stream_enrich", _enriched, f"{NOTES} SELECT note_id, 'apt' || importance AS from_value, 'uses' AS relation, 'mimikatz' AS to_value FROM notes WHERE domain IN ('cti', 'incident', 'threat_intel') OR length(content_raw) > 200")
 add("stream_dedupe", lambda t: _drained(t, jobs.stream_dedupe(_stream(t, _timed(t).union(_timed(t))), ["event_id"])).select("event_id", "event_type"), "SELECT event_id, event_type FROM events")
 add("stream_rule_matches", lambda t: _drained(t, jobs.stream_rule_matches(_stream(t, t.events.select((F.col("event_id") % 25).cast("int").alias("rule_id"), "event_id", "ts").union(t.events.select((F.col("event_id") % 25).cast("int"), "event_id", "ts"))), t.nation.select(F.col("n_nationkey").alias("rule_id"), F.col("n_name").alias("title"), F.lit("high").alias("level")))).select("rule_id", "event_id", "title", "level"), "SELECT n_nationkey AS rule_id, event_id, n_name AS title, 'high' AS level FROM events JOIN nation ON n_nationkey = event_id % 25")
 add("stream_telemetry", lambda t: _drained(t, jobs.stream_telemetry(_stream(t, _timed(t)), "1 hour", "1 hour")).select("start", "event_type", "n", F.round("mean_ms", 6).alias("mean_ms")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

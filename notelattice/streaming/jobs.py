@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.lineage import cut
 from ..operators import extract, graph, index
-from ..operators.evolve import ShiftState
+from ..operators.evolve import SUPERSEDING, ShiftState, supersession_replay
 from ..operators.notes import construct_notes
 
 
@@ -18,16 +19,44 @@ def _timed(rows: DataFrame, at: str, delay: str) -> DataFrame:
     return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
 
 
+def _written(spark: SparkSession, out: str, name: str, number: int, schema: str) -> DataFrame:
+    """What batches before ``number`` have written to a table of ``stream_ingest``."""
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{out}/{name}").where(F.col("batch") < number).drop("batch")
+
+
 def stream_ingest(notes: DataFrame, out: str, checkpoint: str):
-    """Start a query that writes notes, postings and edges of each micro-batch below ``out``.
+    """Start a query that writes notes, postings, edges and supersessions of each micro-batch below ``out``.
 
-    A batch writes to folders named by its number, so a batch that runs again replaces its own output.
+    A batch writes to folders named by its number, so a batch that runs again replaces its own output. Notes arrive by batch,
+    then by time, then by id. Each replaces at most one live note, as in ``evolve.supersession_replay``, of its own batch or
+    of those before; of these only live notes that share an entity with the batch are taken along. ``superseded`` has
+    (note_id, superseded_by), ``kg_edges`` the SUPERSEDES edges too; postings are kept, ``live_index`` leaves out
+    those of replaced notes.
     """
 
+    def superseded(batch: DataFrame, postings: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        keys = ["entity_type", "entity_value"]
+        mine = postings.where(F.col("entity_type").isin(*SUPERSEDING)).select(*keys, "note_id")
+        older = _written(spark, out, "entity_index", number, "entity_type string, entity_value string, note_id string").join(mine.select(*keys).distinct(), keys, "left_semi").select(*keys, "note_id")
+        gone = _written(spark, out, "superseded", number, "note_id string, superseded_by string")
+        older = cut(older.join(gone, "note_id", "left_anti").select(*keys, "note_id"))
+        held = _written(spark, out, "notes", number, "note_id string, created_at timestamp").join(older.select("note_id").distinct(), "note_id", "left_semi")
+        one = F.lit("").alias("stream")
+        new = batch.select(one, "note_id", F.col("created_at").cast("timestamp").alias("created_at"))
+        pairs = supersession_replay(new, mine.union(older), held=held.select(one, "note_id", "created_at"))
+        return pairs.where("superseded_by IS NOT NULL").select("note_id", "superseded_by")
+
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         postings = index.build_entity_index(extract.extract_all_long(batch)).persist()
-        for name, rows in (("notes", construct_notes(batch)), ("entity_index", postings), ("kg_edges", graph.rule_edges(postings))):
+        pairs = cut(superseded(batch, postings, number))
+        note = F.lit("note")
+        replaced = pairs.select(note.alias("from_type"), F.col("superseded_by").alias("from_value"), F.lit("SUPERSEDES").alias("relationship"), note.alias("to_type"), F.col("note_id").alias("to_value"), F.col("superseded_by").alias("note_id"))
+        built = construct_notes(batch).withColumn("created_at", F.col("created_at").cast("timestamp"))
+        for name, rows in (("notes", built), ("entity_index", postings), ("superseded", pairs), ("kg_edges", graph.rule_edges(postings).union(replaced))):
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         postings.unpersist()
         batch.unpersist()
@@ -35,6 +64,33 @@ def stream_ingest(notes: DataFrame, out: str, checkpoint: str):
     return notes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def live_index(spark: SparkSession, out: str) -> DataFrame:
+    """Postings that ``stream_ingest`` wrote below ``out``, without those of replaced notes."""
+    gone = spark.read.parquet(f"{out}/superseded").select("note_id")
+    return spark.read.parquet(f"{out}/entity_index").join(gone, "note_id", "left_anti").select("entity_type", "entity_value", "note_id")
+
+
+#: fixed values: domains whose notes are enriched whatever their length, and the length beyond which all are
+ENRICHED_DOMAINS = ("cti", "incident", "threat_intel")
+ENRICHED_LENGTH = 200
+
+
+def stream_enrich(notes: DataFrame, complete: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Start the slow query beside ``stream_ingest``: causal edges of each note (note_id, domain, content_raw) that is worth it, below ``out``.
+
+    ``notes`` is a stream over the notes that ``stream_ingest`` writes; its source's limit per batch bounds what waits for the
+    model at a time, and nothing is dropped. ``complete`` gives (note_id, json) for rows of notes. A batch that runs again
+    replaces its own output.
+    """
+    worth = F.coalesce(F.col("domain").isin(*ENRICHED_DOMAINS), F.lit(False)) | (F.length("content_raw") > ENRICHED_LENGTH)
+
+    def write(batch: DataFrame, number: int) -> None:
+        edges = graph.causal_edges(graph.causal_triples(complete(batch)))
+        edges.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return notes.where(worth).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def stream_dedupe(rows: DataFrame, keys: list[str], at: str = "ts", delay: str = "1 hour") -> DataFrame:
     """The first row of each key within the watermark."""
     return _timed(rows, at, delay).dropDuplicatesWithinWatermark(keys)

@@ -554,3 +554,50 @@ def test_bundles_in_splits_equal_json(spark, tmp_path, split):
         for c, v in held.items():
             spark.conf.set(c, v)
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("size", [3, 5000])
+def test_ingest_supersedes_across_batches(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(jobs, "supersession_replay", lambda *a, **k: evolve.supersession_replay(*a, size=size, **k))
+    rng = random.Random(size)
+    tools, start = ["mimikatz", "cobalt strike", "metasploit"], datetime.datetime(2024, 1, 1)
+    made = []
+    for b in range(4):
+        for k in range(8):
+            text = " and ".join({rng.choice(tools), f"CVE-2024-{1000 + rng.randrange(4)}"}) if rng.random() < 0.9 else "nothing here"
+            made.append((b, f"n{b}{k}", start + datetime.timedelta(hours=rng.randrange(90)), text))  # later batches hold older notes too
+    schema = "note_id string, created_at timestamp, content_raw string, domain string"
+    source = str(tmp_path / "in")
+    for b in range(4):
+        spark.createDataFrame([(*m[1:], "cti") for m in made if m[0] == b], schema).coalesce(1).write.mode("append").parquet(source)
+        q = jobs.stream_ingest(spark.readStream.schema(schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    held = {}
+    for kind, value, name in rows(spark.read.parquet(str(tmp_path / "out" / "entity_index")).select("entity_type", "entity_value", "note_id")):
+        if kind in evolve.SUPERSEDING:
+            held.setdefault(name, set()).add((kind, value))
+    live, by = {}, {}
+    for _, name, at, _ in sorted(made, key=lambda m: (m[0], m[2], m[1])):
+        shared = {o: len(held.get(name, set()) & held.get(o, set())) for o in live}
+        score = lambda o: shared[o] + max(0.0, min((at - live[o]).total_seconds() / 86400, 1.0))  # noqa: E731, B023
+        if any(shared.values()):
+            old = min((o for o in shared if shared[o]), key=lambda o: (-score(o), -live[o].timestamp(), o))
+            by[old] = name
+            del live[old]
+        live[name] = at
+    got = spark.read.parquet(str(tmp_path / "out" / "superseded")).select("note_id", "superseded_by").collect()
+    assert {r.note_id: r.superseded_by for r in got} == by and len(got) == len(by) > 10 and any(a[1] != b[1] for a, b in by.items())
+    edges = spark.read.parquet(str(tmp_path / "out" / "kg_edges")).where("relationship = 'SUPERSEDES'").select("to_value", "from_value")
+    assert {tuple(r) for r in edges.collect()} == set(by.items())
+    every = {r.note_id for r in spark.read.parquet(str(tmp_path / "out" / "entity_index")).collect()}
+    assert {r.note_id for r in jobs.live_index(spark, str(tmp_path / "out")).collect()} == every - set(by)
+
+
+def test_ingest_in_one_batch_equals_the_replay(spark, sf_dir):
+    from notelattice.plans import QUERIES
+    from notelattice.plans.derived import Tables
+    from notelattice.plans.notes import entity_index
+
+    t = Tables(spark, sf_dir)
+    want = evolve.supersession_replay(t.notes.withColumn("stream", F.lit("all")), entity_index(t)).where("superseded_by IS NOT NULL")
+    assert rows(QUERIES["stream_ingest_superseded"](spark, sf_dir)) == rows(want.select("note_id", "superseded_by"))
