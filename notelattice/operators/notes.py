@@ -179,15 +179,16 @@ _SPANS = "array<struct<len:int,score:double,start:int,end:int,kind:string,value:
 
 
 def _spans_of(text: Column, kind: str, pattern: str, score: float) -> Column:
-    """Spans of one kind; each match is looked for after the end of the one before."""
+    """Spans of one kind; each match begins where the text between it and the one before ends."""
 
-    def place(acc: Column, v: Column) -> Column:
-        start = F.position(v, text, acc["at"] + 1) - 1
+    def place(acc: Column, x: Column) -> Column:
+        v, start = x["match"], acc["at"] + F.length(x["before"])
         span = F.struct(F.length(v).alias("len"), F.lit(score).alias("score"), start.alias("start"), (start + F.length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value"))
-        return F.struct((start + F.length(v)).alias("at"), F.array_append(acc["out"], span).alias("out"))
+        return F.struct(F.when(v.isNull(), acc["at"]).otherwise(start + F.length(v)).alias("at"), F.when(v.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
 
     seed = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), seed, place, lambda a: a["out"])
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern), lambda m, b: F.struct(m.alias("match"), b.alias("before")))
+    return F.aggregate(found, seed, place, lambda a: a["out"])
 
 
 def pii_detect(notes: DataFrame, key: str, text: str, exempt_indicators: bool = True) -> DataFrame:

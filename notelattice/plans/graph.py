@@ -8,7 +8,7 @@ from ..functions.rules import EDGE_RULES, PATTERNS
 from ..operators import extract, graph
 from ..operators.index import build_entity_index
 from .derived import Tables, with_tables
-from .notes import INDEX, NOTES, entity_index, values_sql
+from .notes import INDEX, IOCS, NOTES, entity_index, values_sql
 from .registry import add
 
 KG = with_tables("kg_edges")
@@ -89,7 +89,9 @@ add("causal_triples", lambda t: graph.causal_triples(completions(t)), f"{TRIPLES
 
 add("causal_edges", lambda t: graph.causal_edges(graph.causal_triples(completions(t))), f"{TRIPLES} SELECT note_id, CASE WHEN starts_with(subject, 'apt') THEN 'intrusion_set' ELSE 'cve' END AS from_type, subject AS from_value, relation, CASE object WHEN 'mimikatz' THEN 'tool' ELSE 'intrusion_set' END AS to_type, CASE object WHEN 'mimikatz' THEN 'mimikatz' ELSE 'apt28' END AS to_value, 'causal' AS edge_type FROM triples")
 add("ingest_relationships", lambda t: graph.upsert_edges(_edge_rows(t).union(_edge_rows(t))).select("from_id", "to_id", "relationship", "note_id", "observations"), f"{EDGE_ROWS} SELECT from_id, to_id, relationship, note_id, 2 * count(*) AS observations FROM e GROUP BY 1, 2, 3, 4")
-add("hunt_edges", lambda t: extract.technique_parent(t.notes).select("note_id", F.lit("MENTIONED_IN").alias("relationship"), F.col("technique").alias("target")).union(extract.hunt_iocs(t.notes, t.region.select(F.lit("none").alias("domain"))).select("note_id", F.lit("INDICATES"), "entity_value")))
+add("hunt_edges", lambda t: extract.technique_parent(t.notes).select("note_id", F.lit("MENTIONED_IN").alias("relationship"), F.col("technique").alias("target")).union(extract.hunt_iocs(t.notes, t.region.select(F.lit("none").alias("domain"))).select("note_id", F.lit("INDICATES"), "entity_value")),
+    f"""{NOTES} SELECT DISTINCT note_id, 'MENTIONED_IN' AS relationship, split_part(v, '.', 1) AS target FROM (SELECT note_id, unnest(regexp_extract_all(content_raw, 'T\\d{{4}}(?:\\.\\d{{3}})?')) AS v FROM notes) x
+UNION ALL SELECT note_id, 'INDICATES', entity_value FROM ({IOCS}) i""")
 
 
 def _starts(t: Tables) -> DataFrame:

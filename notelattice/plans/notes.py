@@ -123,9 +123,26 @@ add("bump_evolution", lambda t: build.bump_evolution(t.notes).select("note_id",
 add("valid_embedding", lambda t: t.embeddings.select("vec_id", build.valid_embedding(F.col("embedding"), 64).alias("valid")), "SELECT vec_id, len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0 AND list_var_pop(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) >= 0.001 AS valid FROM embeddings")
 add("dedupe_content", lambda t: build.dedupe_content(t.documents, text="text", order="doc_id").select("doc_id", "content_hash"), "SELECT min(doc_id) AS doc_id, substr(sha256(text), 1, 32) AS content_hash FROM documents GROUP BY 2")
 add("dedupe_source_ref", lambda t: build.dedupe_source_ref(t.notes, t.notes.where("domain = 'cti'")).select("note_id", "source_ref"), f"{NOTES} SELECT note_id, source_ref FROM notes WHERE source_ref NOT IN (SELECT source_ref FROM notes WHERE domain = 'cti')")
-add("chunk_report", lambda t: build.chunk_report(t.documents, 3000, "text", "doc_id"))
-add("chunk_overlap", lambda t: build.chunk_sentences(t.documents, "doc_id", "text", 2048, 512, 50))
-add("chunk_sentences_800", lambda t: build.chunk_sentences(t.documents, "doc_id", "text", 800, 0, 20))
+# a row per sentence taken: the chunk it is in, and what that chunk holds by then
+_PACKED = """WITH RECURSIVE s AS (SELECT doc_id, {split} AS ss FROM documents WHERE {where}),
+f AS (SELECT doc_id, 0 AS k, 0 AS i, '' AS cur FROM s
+  UNION ALL SELECT doc_id, k + 1, i + CAST(past AS INT), CASE WHEN past THEN {carried} ELSE joined END
+  FROM (SELECT *, length(joined) > {size} AND cur <> '' AS past FROM (SELECT f.*, ss[k + 1] AS next, CASE WHEN cur = '' THEN ss[k + 1] ELSE cur || '{glue}' || ss[k + 1] END AS joined FROM f JOIN s USING (doc_id) WHERE k < len(ss)) j) p),
+c AS (SELECT doc_id, i, arg_max(cur, k) AS chunk FROM f GROUP BY ALL)"""
+
+
+def _sentences_sql(size: int, overlap: int, least: int) -> str:
+    """Sentences end where blanks follow a full stop, a question or an exclamation mark."""
+    split = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    carried = f"right(cur, {overlap}) || ' ' || next" if overlap else "next"
+    packed = _PACKED.format(split=split, where="text IS NOT NULL", carried=carried, size=size, glue=" ")
+    return f"{packed} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, chunk FROM c WHERE length(chunk) > {least}"
+
+
+add("chunk_report", lambda t: build.chunk_report(t.documents, 3000, "text", "doc_id"), _PACKED.format(split="string_split(text, '. ')", where="length(text) > 3000", carried="next", size=3000, glue=". ")
+    + " SELECT doc_id, doc_id || ':chunk:' || i AS chunk_ref, chunk FROM c UNION ALL SELECT doc_id, doc_id || ':chunk:0', text FROM documents WHERE coalesce(length(text), 0) <= 3000")
+add("chunk_overlap", lambda t: build.chunk_sentences(t.documents, "doc_id", "text", 2048, 512, 50), _sentences_sql(2048, 512, 50))
+add("chunk_sentences_800", lambda t: build.chunk_sentences(t.documents, "doc_id", "text", 800, 0, 20), _sentences_sql(800, 0, 20))
 add("session_notes", lambda t: build.session_notes(t.conversations.withColumn("date", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("day "), "turn")))), "SELECT conv_id, substr('Conversation session ' || conv_id || CASE WHEN conv_id % 2 = 0 THEN ' (day ' || min(turn) || ')' ELSE '' END || ':' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn), 1, 4000) AS content FROM conversations GROUP BY conv_id")
 add("recent_notes", lambda t: build.recent_notes(t.notes, 25).select("note_id", "created_at"), f"{NOTES} SELECT note_id, created_at FROM notes ORDER BY created_at DESC, note_id LIMIT 25")
 add("pii_detect", lambda t: build.pii_detect(t.documents, "doc_id", "text"))

@@ -124,7 +124,7 @@ def _causal(t: Tables) -> DataFrame:
     return retrieve.causal_augment(t.questions.select("query_id", F.lit("note:0").alias("note_id")), chain.withColumn("query_id", F.split_part("start", F.lit(":"), F.lit(2)).cast("long")))
 
 
-add("causal_augment", _causal)
+add("causal_augment", _causal, f"{with_tables('kg_edges', 'questions')} SELECT query_id, 'note:0' AS note_id FROM questions UNION SELECT c_custkey, to_id FROM kg_edges JOIN customer ON from_id = 'actor:' || c_custkey WHERE relationship = 'MENTIONED_IN'")
 add("rerank", _per_text(lambda t: retrieve.rerank(_ranked(t), t.questions, t.notes)), f"""{RANKED}, w AS (SELECT r.*, list_distinct(list_filter(string_split_regex(lower(q.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(substr(n.content_raw, 1, 512)), '\\s+'), lambda x: x <> '')) AS b FROM ranked r JOIN questions q USING (query_id) JOIN notes n ON n.note_id = r.note_id),
 s AS (SELECT query_id, rank AS before, note_id, round(len(list_intersect(a, b)) / len(a), 9) AS score FROM w) SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, note_id) AS rank FROM s""")
 
@@ -142,7 +142,10 @@ add("format_context", _per_text(lambda t: retrieve.format_context(_ranked(t), t.
 _STOP = ", ".join(map(quoted, retrieve.QUESTION_STOPWORDS))
 add("keyword_inject", lambda t: retrieve.keyword_inject(t.questions.where("query_id % 50 = 0"), t.notes, _ranked(t).select("query_id", "note_id"), 3),
     f"{RANKED}, qw AS (SELECT DISTINCT query_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM questions WHERE query_id % 50 = 0), nw AS (SELECT DISTINCT note_id, unnest(string_split_regex(lower(content_raw), '\\s+')) AS w FROM notes), h AS (SELECT query_id, note_id, count(*) AS overlap FROM qw JOIN nw USING (w) WHERE w <> '' AND w NOT IN ({_STOP}) GROUP BY 1, 2) SELECT query_id, rank, note_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, note_id) AS rank FROM h WHERE (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM ranked)) r WHERE rank <= 3")
-add("snippet", lambda t: t.documents.select("doc_id", retrieve.snippet(F.substring("text", 1, 60), F.col("text")).alias("snippet")))
+add("snippet", lambda t: t.documents.select("doc_id", retrieve.snippet(F.substring("text", 1, 60), F.col("text")).alias("snippet")),
+    """WITH w AS (SELECT doc_id, list_distinct(string_split_regex(lower(substr(text, 1, 60)), '\\s+')) AS q, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
+e AS (SELECT doc_id, q, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM w), o AS (SELECT doc_id, s, pos, len(list_intersect(q, list_distinct(string_split_regex(lower(s), '\\s+')))) AS n FROM e),
+b AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS k FROM o) SELECT doc_id, substr(s, 1, 300) AS snippet FROM documents LEFT JOIN (SELECT * FROM b WHERE k = 1) x USING (doc_id)""")
 add("relevant_sentences", lambda t: retrieve.relevant_sentences(t.documents.select("doc_id", "text", F.substring("text", 1, 80).alias("q")), "doc_id", "q", "text", 5),
     """WITH s AS (SELECT doc_id, substr(text, 1, 80) AS q, list_filter(list_transform(string_split(replace(text, chr(10), '. '), '.'), lambda x: trim(x)), lambda x: length(x) > 10) AS ss FROM documents),
 e AS (SELECT doc_id, q, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM s), o AS (SELECT doc_id, sentence, pos, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(q), '\\s+'), lambda x: x <> '')), list_distinct(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')))) AS overlap FROM e)

@@ -60,8 +60,12 @@ SELECT CASE WHEN p_size > 10 THEN 'id-' || p_partkey ELSE 'sigma_' || substr(sha
 list_extract(['low', 'HIGH', 'odd'], CAST(p_partkey % 3 + 1 AS INT)) AS level, {_FULLSQL('test')} AS status, {_FULLSQL('windows', "CASE p_partkey % 4 WHEN 0 THEN 'x' END")} AS logsource_product, NULL AS logsource_service, {_FULLSQL('process')} AS logsource_category,
 list_extract(['low', 'HIGH', 'odd'], CAST(p_partkey % 3 + 1 AS INT)) AS rule_level, {_FULLSQL('test')} AS rule_status, {_FULLSQL('{"x":"y"}', "CASE p_partkey % 4 WHEN 0 THEN '{\"condition\":\"s\"}' WHEN 1 THEN '{\"type\":\"count\"}' END")} AS detection_body,
 CASE WHEN even THEN 'detection' ELSE list_extract(['detection', 'correlation', 'filter', 'detection'], CAST(p_partkey % 4 + 1 AS INT)) END AS rule_type, {_FULLSQL('f', "''")} AS fields, {_FULLSQL('none,few', "''")} AS falsepositives FROM x""")
-add("sigma_validate", lambda t: rules.sigma_validate(_sigma(t)).select("rule_id", F.array_join("errors", ";").alias("errors")))
-add("sigma_note", lambda t: rules.sigma_note(_sigma(t).withColumn("rule_id", F.coalesce("id", F.lit("none")))))
+add("sigma_validate", lambda t: rules.sigma_validate(_sigma(t)).select("rule_id", F.array_join("errors", ";").alias("errors")),
+    f"""SELECT {_ID} AS rule_id, concat_ws(';', CASE WHEN p_size = 20 THEN 'title: required' END, CASE WHEN p_partkey % 4 = 3 THEN 'logsource: required' END,
+CASE WHEN p_partkey % 4 > 1 THEN 'detection.condition: required' END, CASE WHEN p_partkey % 3 = 2 THEN 'level: not allowed' END) AS errors FROM part""")
+add("sigma_note", lambda t: rules.sigma_note(_sigma(t).withColumn("rule_id", F.coalesce("id", F.lit("none")))),
+    f"""SELECT 'sigma:' || CASE WHEN p_size > 10 THEN 'id-' || p_partkey ELSE 'none' END || ':' || substr(sha256({_DOC}), 1, 12) AS source_ref,
+concat_ws(chr(10), CASE WHEN p_size <> 20 THEN 'Sigma rule: ' || p_name || ' (' || list_extract(['low', 'HIGH', 'odd'], CAST(p_partkey % 3 + 1 AS INT)) || ')' END, {_DOC}) AS content FROM part""")
 YTAGS = ("T1059", "attack.t1059.001", "CVE_2021_44228", "cve-2024-12345", "apt", "Webshell", "my_tag")
 _YK = ("AttackPattern", "AttackPattern", "Vulnerability", "Vulnerability", "YaraTag", "YaraTag", "YaraTag")
 _YV = ("T1059", "T1059.001", "CVE-2021-44228", "CVE-2024-12345", "APT", "WEBSHELL", "my_tag")

@@ -4,6 +4,8 @@ import datetime
 import json
 import math
 import random
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -601,3 +603,41 @@ def test_ingest_in_one_batch_equals_the_replay(spark, sf_dir):
     t = Tables(spark, sf_dir)
     want = evolve.supersession_replay(t.notes.withColumn("stream", F.lit("all")), entity_index(t)).where("superseded_by IS NOT NULL")
     assert rows(QUERIES["stream_ingest_superseded"](spark, sf_dir)) == rows(want.select("note_id", "superseded_by"))
+
+
+def test_pii_equals_plain_python(spark):
+    rng = random.Random(5)
+    bits = ["a.b@evil.com", "x@y.org", "+1 (555) 123-4567", "(555) 123-4567", "10.0.0.1", "999.1.1.1", "evil.example.com", "a@b", "é", " ", ", ", "@", "\n", "mail", "555"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "", "x@y.org x@y.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for exempt in (True, False):
+        want = []
+        for k, t in enumerate(texts):
+            spans = [(m.start(), m.end(), kind, m.group(), score) for kind, p, score, indicator in notes.PII if not (indicator and exempt) for m in re.finditer(p, t or "")]
+            kept = []
+            for s in sorted(spans, key=lambda s: (s[0] - s[1], -s[4], s[0])):
+                if not any(s[0] < o[1] and s[1] > o[0] for o in kept):
+                    kept.append(s)
+            want += [(k, s[2], s[0], s[1], s[3]) for s in kept]
+        assert rows(notes.pii_detect(df, "k", "t", exempt)) == sorted(want) and len(want) > 100
+
+
+def test_embedding_and_repair_equal_plain_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Same same, SAME.")], docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def plain(text):
+        out = [0.0] * retrieve.DIM
+        for word in (text or "").lower().split():
+            h = zlib.crc32(word.strip(".,;:!?").encode())
+            out[h % retrieve.DIM] += 1.0 if (h >> 16) % 2 else -1.0
+        return out
+
+    want = {k: plain(t) for k, t in texts.items()}
+    made = retrieve.embed_batch(docs, "doc_id", "text")
+    assert {r.doc_id: r.vector for r in made.collect()} == want and sorted(map(abs, want[-3]))[-2:] == [0, 3]
+    broken = docs.join(made, "doc_id").withColumn("vector", F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<float>")).when(F.col("doc_id") % 3 == 0, F.col("vector")).otherwise(F.transform("vector", lambda x: x + 1)))
+    given = {r.doc_id: r.vector for r in broken.collect()}
+    got = retrieve.repair_embeddings(broken, "doc_id", "text", "vector", F.size("vector") == retrieve.DIM).collect()
+    assert {r.doc_id: (r.vector, r.repaired) for r in got} == {k: (given[k] or want[k], not given[k]) for k in texts}
