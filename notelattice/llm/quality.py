@@ -6,14 +6,16 @@ references are the mean histograms of all documents of the language in the table
 whatever its length. Base rules on length and repetition come first.
 
 A document fails where the character distance exceeds CHAR_LIMIT, or both distances together JOINT_LIMIT. Guards:
-the first test needs MIN_CHARS characters in words, the second MIN_WORDS words. A null language, one with fewer than MIN_DOCS documents
-and one beyond the MAX_LANGS largest are compared with the mean of all documents, binned by the common words of all.
+the first test needs MIN_CHARS characters in words, the second MIN_WORDS words. A null language and one with fewer than MIN_DOCS
+documents are compared with the mean of all documents, binned by the common words of all. More than MAX_LANGS languages are
+judged in pages of about as many, each with references of its own, so no language goes without and no page grows.
 Null ids stay null. Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -139,16 +141,35 @@ def _histograms(s: Slice, keys: np.ndarray, lang: np.ndarray, common: list[np.nd
     return _spread(s.chars()), _spread(words)
 
 
-def references(docs: DataFrame) -> dict:
-    """Per language: common words (by documents' use, then hash) and mean histograms; the last entry is all documents,
+def pages(docs: DataFrame) -> Iterator[tuple[DataFrame, dict]]:
+    """``docs`` in parts, each with the references of its languages; one part if there are at most MAX_LANGS languages.
+
+    A language's page follows from its hash, and a null one is on the first. The mean of all documents, which rare languages
+    are compared with on every page, is that of the whole table.
+    """
+    by_lang = docs.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    known = [r["lang"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()]
+    if len(known) <= MAX_LANGS:
+        yield docs, references(docs, known)
+        return
+    n = 2 * -(-by_lang.count() // MAX_LANGS)  # half full on average, so that none holds many more
+    page, whole = F.coalesce(F.pmod(F.xxhash64("lang"), F.lit(n)), F.lit(0)), None
+    for k in range(n):
+        mine = docs.where(page == k)
+        known = [r["lang"] for r in by_lang.where(page == k).orderBy(F.desc("n"), "lang").collect()]
+        ref = references(mine if k else docs, known)
+        whole = whole or ref
+        yield mine, ref | {x: [*ref[x][:-1], whole[x][-1]] if x == "common" else np.vstack([ref[x][:-1], whole[x][-1:]]) for x in ("common", "chars", "words")}
+
+
+def references(docs: DataFrame, langs: list[str]) -> dict:
+    """Per language of ``langs``: common words (by documents' use, then hash) and mean histograms; the last entry is all documents,
     those of known languages too.
 
-    Two passes of whole-table aggregates. At most MAX_LANGS languages have references of their own, so what the
-    driver holds is bounded by MAX_LANGS * (COMMON + bins) numbers.
+    Two passes of whole-table aggregates. What the driver holds is bounded by the number of ``langs`` times COMMON + bins.
     """
     spark = docs.sparkSession
-    by_lang = docs.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    known = {r["lang"]: k for k, r in enumerate(by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())}
+    known = {x: k for k, x in enumerate(langs)}
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,27 +231,34 @@ def _verdicts(batch: pa.RecordBatch, ref: dict, char_limit: float, joint_limit:
         yield i, j, b | {"base_failed": failed, "char_distance": dc, "word_distance": dw, "kept": ~failed & ~far}
 
 
+def _paged(docs: DataFrame, pick: Callable[[DataFrame], DataFrame], judge: Callable, schema) -> DataFrame:
+    """``judge(references, batches)`` of the picked columns of each page of ``docs``."""
+    out = None
+    for part, ref in pages(docs):
+        one = pick(part).mapInArrow(partial(judge, docs.sparkSession.sparkContext.broadcast(ref)), schema)
+        out = one if out is None else out.union(one)
+    return out
+
+
 def kept_rows(docs: DataFrame, char_limit: float = CHAR_LIMIT, joint_limit: float = JOINT_LIMIT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    ref = docs.sparkSession.sparkContext.broadcast(references(docs))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(ref, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [b["kept"] for _, _, b in _verdicts(batch, ref.value, char_limit, joint_limit)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return _paged(docs, lambda part: part, keep, docs.schema)
 
 
 def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, joint_limit: float = JOINT_LIMIT) -> DataFrame:
     """doc_id, the base counts, base_failed, both distances and kept, per row of ``docs`` (doc_id, text, lang)."""
-    ref = docs.sparkSession.sparkContext.broadcast(references(docs))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(ref, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, b in _verdicts(batch, ref.value, char_limit, joint_limit):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x) for x in b.values())], ["doc_id", *b])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    return rows.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
+    return _paged(docs, lambda part: part.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), judge, schema)

@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from notelattice.llm import bpe
+from notelattice.llm import bpe, quality
 from notelattice.llm.bpe import encoded_digests, encoded_documents
 from notelattice.llm.ngram_join import jaccard_classes
 from notelattice.llm.packing import curve_keys, hilbert_key, pack
 from notelattice.llm.quality import js_distance, kept_rows, quality_rules
 from notelattice.llm.queries import tokenizer_path
+from notelattice.llm.textcols import span_hashes
 from notelattice.llm.token_files import decode_chunks, encode_chunk, pack_words, token_file_round_trip, unpack_words
 
 ODD = [
@@ -191,6 +192,68 @@ def test_quality_of_null_and_rare_languages(spark, sf_dir):
     assert kept[29, None][0] == kept[31, None][0] & set(clean[:29])
 
 
+def plain_quality(rows):
+    """(char distance, word distance, kept) of each row, one by one."""
+    whole = lambda data: int(span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]), lower=True).view(np.int64)[0])
+    hashed, parsed, use = {}, [], {}
+    for _, text, lang in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        keys = [w[:-1].lower() if len(w) > 1 and w[-1:] in b".,;:?!" else w.lower() for w in words]
+        chars = np.zeros(8)
+        for c in text or "":
+            chars[0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\x0b\x0c" else 4 if c in "\n\r" else 5 if c in ".,;:?!'\"()-" else 7 if ord(c) > 127 else 6] += 1
+        parsed.append((words, keys, chars / max(chars.sum(), 1)))
+        for name in {lang, "all"} if lang else {"all"}:
+            for k in set(keys):
+                hashed.setdefault(k, whole(k))
+                use.setdefault(name, {}).setdefault(k, 0)
+                use[name][k] += 1
+    sizes = {}
+    for _, text, lang in rows:
+        if lang and text:
+            sizes[lang] = sizes.get(lang, 0) + 1
+    home = [x if x and sizes.get(x, 0) >= 30 else "all" for *_, x in rows]
+    common = {name: {k: i for i, k in enumerate(sorted(n, key=lambda k: (-n[k], hashed[k]))[:64])} for name, n in use.items()}
+
+    def bins(keys, name):
+        out = np.zeros(65)
+        for k in keys:
+            out[common[name].get(k, 64)] += 1
+        return out / max(out.sum(), 1)
+
+    def distance(p, q):
+        m = (p + q) / 2
+        d = sum(x * np.log2(x / y) for x, y in zip(p, m) if x) + sum(x * np.log2(x / y) for x, y in zip(q, m) if x)
+        return float(np.sqrt(max(d, 0) / 2)) if p.sum() else 0.0
+
+    mean = {}
+    for name in {*home, "all"}:
+        mine = [p for p, h in zip(parsed, home) if (name == "all" or h == name) and p[0]]
+        mean[name] = np.mean([p[2] for p in mine], 0), np.mean([bins(p[1], name) for p in mine], 0)
+    out = {}
+    for (doc, _, _), (words, keys, chars), name in zip(rows, parsed, home):
+        dc, dw = distance(chars, mean[name][0]), distance(bins(keys, name), mean[name][1])
+        far = dc > 0.28 and sum(len(w.decode()) for w in words) >= 100 or dc + dw > 0.56 and len(words) >= 60
+        out[doc] = dc, dw, far
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 255])
+def test_quality_verdicts_equal_plain_python_however_many_languages(spark, sf_dir, monkeypatch, most):
+    monkeypatch.setattr(quality, "MAX_LANGS", most)
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text, (None, "a", "b", "c", "d", "rare")[min(r.doc_id % 5, 5) if r.doc_id % 17 else 5]) for r in texts]
+    rows += [(-1, "# $ % " * 60, "a"), (-2, None, "b"), (-3, "", None), (-4, "ZEBRA 12 " * 80, "c"), (-5, "é à ü " * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    want = plain_quality(rows)
+    assert got.keys() == want.keys() and len({x for *_, x in rows}) == 6
+    for k, (dc, dw, far) in want.items():
+        assert abs(got[k].char_distance - dc) < 1e-5 and abs(got[k].word_distance - dw) < 1e-5, (k, dc, dw, got[k])
+        assert got[k].kept == (not got[k].base_failed and not far)
+    assert sorted(r.doc_id for r in kept_rows(docs).select("doc_id").collect()) == sorted(k for k, r in got.items() if r.kept)
+
+
 def test_js_distance_bounds():
     p, q = np.array([[1.0, 0], [0.5, 0.5], [0, 0]]), np.array([[0, 1.0], [0.5, 0.5], [1.0, 0]])
     assert np.allclose(js_distance(p, q), [1, 0, 0])
