@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.rules import TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
+from notelattice.plans.derived import Tables
+from notelattice.plans.notes import entity_index
 from notelattice.sources import tables
 from notelattice.sources.bundles import read_objects
 from notelattice.streaming import jobs
@@ -641,3 +643,9 @@ def test_embedding_and_repair_equal_plain_python(spark, sf_dir):
     given = {r.doc_id: r.vector for r in broken.collect()}
     got = retrieve.repair_embeddings(broken, "doc_id", "text", "vector", F.size("vector") == retrieve.DIM).collect()
     assert {r.doc_id: (r.vector, r.repaired) for r in got} == {k: (given[k] or want[k], not given[k]) for k in texts}
+
+
+def test_notes_are_not_broadcast_by_the_size_of_their_file(spark):
+    t = Tables(spark, "/root/testdata/sf0.1")
+    for joined in (entity_index(t).join(t.notes.select("note_id", "created_at"), "note_id"), t.notes.select("note_id").join(entity_index(t), "note_id", "left_semi")):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
