@@ -649,3 +649,35 @@ def test_notes_are_not_broadcast_by_the_size_of_their_file(spark):
     t = Tables(spark, "/root/testdata/sf0.1")
     for joined in (entity_index(t).join(t.notes.select("note_id", "created_at"), "note_id"), t.notes.select("note_id").join(entity_index(t), "note_id", "left_semi")):
         assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_supersession_looks_at_no_pairs_of_notes(spark):
+    # one set of 20,000 notes at times of their own: pairs would be 400 million rows
+    table = spark.range(20_000).select(F.format_string("n%05d", "id").alias("note_id"), F.timestamp_seconds(F.col("id") * 600).alias("created_at"))
+    index = table.select(F.lit("tool").alias("entity_type"), F.lit("x").alias("entity_value"), "note_id")
+    got = evolve.supersession_candidates(table, table, index)
+    day = 144
+    want = [(f"n{k:05d}", f"n{k - day if k >= day else 0 if k else 19_999:05d}", round(1 + min(k / day, 1), 9)) for k in range(20_000)]
+    assert rows(got) == want
+
+
+def test_actor_recall_equals_brute_force_and_cuts_lists(spark):
+    rng = random.Random(5)
+    kinds = ("actor", "threat_actor", "intrusion_set", "tool")
+    notes_ = [(f"n{k:03d}", rng.randrange(30)) for k in range(200)]
+    ents = [(rng.choice(kinds), f"a{rng.randrange(4)}", i) for i, _ in notes_ for _ in range(3)]
+    asked_ = [(q, f"A{rng.randrange(5)}") for q in range(12) for _ in range(2)]
+    at, want = dict(notes_), []
+    for q in range(12):
+        of = {v.lower() for x, v in asked_ if x == q}
+        best: dict = {}
+        for t, v, i in ents:
+            if v in of and t != "tool":
+                best[i] = min(best.get(i, 9), kinds.index(t))
+        ranked = sorted(best, key=lambda i: (best[i], -at[i], i))[:4]
+        want += [(q, r + 1, i) for r, i in enumerate(ranked)]
+    table = spark.createDataFrame(notes_, "note_id string, t long").select("note_id", F.timestamp_seconds("t").alias("created_at"))
+    found = index.recall_actor(spark.createDataFrame(ents, "entity_type string, entity_value string, note_id string"), spark.createDataFrame(asked_, "query_id long, entity_value string"), table, 4)
+    assert rows(found) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [entity_type" in plan or plan.count("row_number()") == 2
