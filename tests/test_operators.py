@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.rules import TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
+from notelattice.plans import QUERIES
 from notelattice.plans.derived import Tables
 from notelattice.plans.notes import entity_index
 from notelattice.sources import tables
@@ -681,3 +682,29 @@ def test_actor_recall_equals_brute_force_and_cuts_lists(spark):
     assert rows(found) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit [entity_type" in plan or plan.count("row_number()") == 2
+
+
+def test_listing_counts_notes_of_all_tiers_unless_one_is_named(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    want = entity_index(t).where("contains(entity_value, '1')").groupBy("entity_type", "entity_value").count()
+    assert QUERIES["entity_listing"](spark, sf_dir).first().total == want.count()
+    some = spark.createDataFrame([("tool", "a1", "n1"), ("tool", "a1", "n2"), ("tool", "b1", "n2")], "entity_type string, entity_value string, note_id string")
+    tiers = spark.createDataFrame([("n1", "A"), ("n2", "B")], "note_id string, tier string")
+    assert rows(index.entity_listing(some, None, "1", 0, 5, "A", tiers)) == [("tool", "a1", 1, 1)]
+
+
+def test_sweep_counts_equal_questions_once_each(spark):
+    scored = [(1, "a", 30.0, 1), (1, "b", 20.0, 0), (2, "a", 30.0, 1), (2, "b", 20.0, 0), (3, "c", 5.0, 2)]
+    truth = [(1, "a"), (2, "a"), (3, "c")]
+    all_ = retrieve.parameter_sweep(spark.createDataFrame(scored, "query_id int, note_id string, score double, shared int"), spark.createDataFrame(truth, "query_id int, note_id string"), (10.0, 25.0), (1.0, 2.0))
+    once = spark.createDataFrame([(1, "a", 30.0, 1, 2), (1, "b", 20.0, 0, 2), (3, "c", 5.0, 2, 1)], "query_id int, note_id string, score double, shared int, asks int")
+    wanted = spark.createDataFrame([(1, "a", 2), (3, "c", 1)], "query_id int, note_id string, asks int")
+    assert rows(all_) == rows(retrieve.parameter_sweep(once, wanted, (10.0, 25.0), (1.0, 2.0)))
+    assert (10.0, 2.0, 3, 5, 0.75) in rows(all_) and (25.0, 1.0, 2, 2, 0.8) in rows(all_)
+
+
+def test_links_follow_only_where_there_is_room(spark):
+    scored = spark.createDataFrame([(1, "a", 4.0), (1, "b", 3.0), (1, "c", 2.0), (2, "a", 4.0)], "query_id int, note_id string, score double")
+    links = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "note_id string, related string")
+    assert rows(retrieve.expand_links(scored, links, 2)) == [(1, "a", 4.0), (1, "b", 3.0), (2, "a", 4.0), (2, "x", 2.0)]
+    assert rows(retrieve.expand_links(scored, links, 4)) == [(1, "a", 4.0), (1, "b", 3.0), (1, "c", 2.0), (1, "x", 2.0), (2, "a", 4.0), (2, "x", 2.0), (2, "y", 2.0)]
