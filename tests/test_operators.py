@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.rules import TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
-from notelattice.plans import QUERIES
+from notelattice.plans import QUERIES, derived
 from notelattice.plans.derived import Tables
 from notelattice.plans.notes import entity_index
 from notelattice.sources import tables
@@ -708,3 +708,10 @@ def test_links_follow_only_where_there_is_room(spark):
     links = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "note_id string, related string")
     assert rows(retrieve.expand_links(scored, links, 2)) == [(1, "a", 4.0), (1, "b", 3.0), (2, "a", 4.0), (2, "x", 2.0)]
     assert rows(retrieve.expand_links(scored, links, 4)) == [(1, "a", 4.0), (1, "b", 3.0), (1, "c", 2.0), (1, "x", 2.0), (2, "a", 4.0), (2, "x", 2.0), (2, "y", 2.0)]
+
+
+def test_notes_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS", 100)
+    t = Tables(spark, sf_dir)
+    sizes = t.notes.select("note_id").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 110 and sizes[1] == t.orders.count()
