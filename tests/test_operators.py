@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from notelattice.functions.rules import TTL_DAYS
+from notelattice.functions.rules import CASELESS, HASH_TYPES, NAME_STOPWORDS, PATTERNS, TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
 from notelattice.plans import QUERIES, derived
 from notelattice.plans.derived import Tables
@@ -462,8 +462,6 @@ def test_stream_shift_equals_batch(spark, tmp_path):
 
 
 def test_supersession_with_hot_entities_equals_brute_force(spark):
-    import random
-
     from notelattice.operators.evolve import supersession_candidates
 
     rng = random.Random(3)
@@ -715,3 +713,30 @@ def test_notes_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
     t = Tables(spark, sf_dir)
     sizes = t.notes.select("note_id").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
     assert sizes[0] <= 110 and sizes[1] == t.orders.count()
+
+
+def test_starts_and_needles_change_no_match(spark):
+    draw, parts = random.Random(5), ["a", "-", ".", "com", "co", "COM", "new york", "New  York", "paris", "St", "_", " ", "é", "@", ":", "\n", "Ana", "http://", "10.1.2.3", "cve-2024-1", "1234", "ab" * 20, "apt", "9", "x"]
+    texts = spark.createDataFrame([(k, "".join(draw.choice(parts) for _ in range(draw.randint(1, 14)))) for k in range(3000)] + [(-1, None)], "k int, t string")
+    for kind, plain in PATTERNS.items():
+        found = F.regexp_extract_all("t", F.lit(("(?i)" if kind in CASELESS else "") + plain), F.lit(int(kind == "person")))
+        values = F.array_distinct(F.transform(found, lambda v: F.replace(F.lower(v), F.lit(" "), F.lit("-"))))
+        values = F.array_except(values, F.array(*map(F.lit, NAME_STOPWORDS))) if kind == "person" else F.array_except(values, extract.code_hashes(F.col("t"))) if kind in HASH_TYPES else values
+        assert texts.where(~extract.entity_values(F.col("t"), kind).eqNullSafe(values)).isEmpty(), kind
+
+
+def test_questions_look_for_their_types_once(spark, sf_dir):
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan("synthesis_result") + plan("keyword_inject")
+    assert "https?" not in plan("entity_augment") + plan("blend_rrf")
+
+
+def test_prefixes_and_questions_read_the_index_once(spark, tmp_path):
+    data = [("tool", "m1", "a"), ("tool", "m1", "b"), ("tool", "m1", "b"), ("tool", "m2", "a"), ("intrusion_set", "apt1", "a"), ("intrusion_set", "apt1", "b"), ("actor", "m1", None)]
+    spark.createDataFrame(data, "entity_type string, entity_value string, note_id string").write.parquet(f"{tmp_path}/i")
+    i, p = spark.read.parquet(f"{tmp_path}/i"), spark.createDataFrame([("M",)], "prefix string")
+    scans = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    prefixes, asked = index.search_entities_prefix(i, p), evaluate.generate_qa(i)
+    assert scans(prefixes) == 1 and scans(asked) == 0
+    assert rows(prefixes) == [("M", "actor", "m1", 0), ("M", "tool", "m1", 2), ("M", "tool", "m2", 1)]
+    assert rows(asked.select("kind", "question", "n")) == [("count", "How many notes mention apt1?", 2), ("count", "How many notes mention m1?", 2), ("uses", "Does apt1 use m1?", 2)]
