@@ -740,3 +740,10 @@ def test_prefixes_and_questions_read_the_index_once(spark, tmp_path):
     assert scans(prefixes) == 1 and scans(asked) == 0
     assert rows(prefixes) == [("M", "actor", "m1", 0), ("M", "tool", "m1", 2), ("M", "tool", "m2", 1)]
     assert rows(asked.select("kind", "question", "n")) == [("count", "How many notes mention apt1?", 2), ("count", "How many notes mention m1?", 2), ("uses", "Does apt1 use m1?", 2)]
+
+
+def test_a_replay_extracts_its_types_once(spark, sf_dir, monkeypatch):
+    calls, plain = [], extract.extract_all_long
+    monkeypatch.setattr(extract, "extract_all_long", lambda *a, **k: calls.append(k.get("kinds", tuple(PATTERNS))) or plain(*a, **k))
+    QUERIES["supersession_replay"](spark, sf_dir)
+    assert len(calls) == 1 and set(calls[0]) == set(PATTERNS) & set(evolve.SUPERSEDING)
