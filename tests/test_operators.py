@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -747,3 +748,24 @@ def test_a_replay_extracts_its_types_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(extract, "extract_all_long", lambda *a, **k: calls.append(k.get("kinds", tuple(PATTERNS))) or plain(*a, **k))
     QUERIES["supersession_replay"](spark, sf_dir)
     assert len(calls) == 1 and set(calls[0]) == set(PATTERNS) & set(evolve.SUPERSEDING)
+
+
+@pytest.mark.parametrize("name", ["minmax_normalize"])
+def test_pairs_of_a_question_that_many_ask_are_dealt(spark, tmp_path, name):
+    spark.range(9000).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(9000).selectExpr("id AS o_orderkey", "id % 9000 AS o_custkey", "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(id % 2000)) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("part"), (F.col("query_id") % 6 == 4).alias("metasploit")).count().collect()
+    assert sum(r["count"] for r in rows if r["metasploit"]) == 1500 * 2250
+    by = Counter()
+    for r in rows:
+        by[r["part"]] += r["count"]
+    assert max(by.values()) < 0.5 * sum(by.values())
+
+
+def test_give_out_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "SIDE", 7)
+    answers = spark.range(300).selectExpr("id % 4 AS k", "id AS note_id").union(spark.range(5).selectExpr("9L", "id"))  # 9 has no asker
+    askers = spark.range(90).selectExpr("CASE WHEN id < 60 THEN 0 ELSE id % 3 END AS k", "id AS query_id").union(spark.createDataFrame([(8, 500)], "k long, query_id long"))
+    given = sorted(map(tuple, fusion.give_out(answers, askers, "k").select("k", "note_id", "query_id").collect()))
+    assert given == sorted(map(tuple, answers.join(askers, "k").select("k", "note_id", "query_id").collect())) and len(given) == 75 * 90
+    assert fusion.give_out(answers.where("k = 5"), askers, "k").count() == 0
