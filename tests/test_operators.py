@@ -750,7 +750,7 @@ def test_a_replay_extracts_its_types_once(spark, sf_dir, monkeypatch):
     assert len(calls) == 1 and set(calls[0]) == set(PATTERNS) & set(evolve.SUPERSEDING)
 
 
-@pytest.mark.parametrize("name", ["minmax_normalize"])
+@pytest.mark.parametrize("name", ["minmax_normalize", "temporal_boost", "entity_boost"])
 def test_pairs_of_a_question_that_many_ask_are_dealt(spark, tmp_path, name):
     spark.range(9000).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(9000).selectExpr("id AS o_orderkey", "id % 9000 AS o_custkey", "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(id % 2000)) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
