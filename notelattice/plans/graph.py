@@ -99,7 +99,7 @@ def _starts(t: Tables) -> DataFrame:
 
 
 START = f"{KG}, starts AS (SELECT 'actor:' || c_custkey AS node FROM customer WHERE c_custkey % 50 = 0)"
-add("neighbors", lambda t: graph.neighbors(t.kg_edges, t.customer.select(F.concat(F.lit("actor:"), F.col("c_custkey")).alias("node")), "USES_TOOL"), f"{KG} SELECT DISTINCT from_id, relationship, to_id FROM kg_edges WHERE relationship = 'USES_TOOL' AND from_id IN (SELECT 'actor:' || c_custkey FROM customer)")
+add("neighbors", lambda t: graph.neighbors(t.kg_edges, t.customer.select(F.concat(F.lit("actor:"), F.col("c_custkey")).alias("node")), "USES_TOOL", t.tasks("lineitem")), f"{KG} SELECT DISTINCT from_id, relationship, to_id FROM kg_edges WHERE relationship = 'USES_TOOL' AND from_id IN (SELECT 'actor:' || c_custkey FROM customer)")
 add("traverse_paths", lambda t: graph.traverse_paths(t.kg_edges, _starts(t), 2).select("start", "hops", graph.path_text(F.col("path")).alias("path")),
     f"""{START}, l AS (SELECT DISTINCT from_id, relationship, to_id FROM kg_edges), one AS (SELECT s.node AS start, from_id, relationship, to_id FROM starts s JOIN l ON from_id = s.node),
 firsts AS (SELECT start, to_id AS node, min(relationship) AS relationship FROM one WHERE to_id <> start GROUP BY ALL)

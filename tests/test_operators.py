@@ -769,3 +769,13 @@ def test_give_out_is_the_join(spark, monkeypatch):
     given = sorted(map(tuple, fusion.give_out(answers, askers, "k").select("k", "note_id", "query_id").collect()))
     assert given == sorted(map(tuple, answers.join(askers, "k").select("k", "note_id", "query_id").collect())) and len(given) == 75 * 90
     assert fusion.give_out(answers.where("k = 5"), askers, "k").count() == 0
+
+
+def test_edges_are_made_in_tasks_that_follow_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(derived, "EDGE_ROWS", 200)
+    most = lambda df, n: max(r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()) < 3 * n
+    assert most(QUERIES["neighbors"](spark, sf_dir), 200)
+    edges = Tables(spark, sf_dir).kg_edges
+    assert all(most(edges.where(F.col("relationship") == r), 200) for r in ("MENTIONED_IN", "USES_TOOL", "EXPLOITS_CVE", "SUPERSEDES"))
+    few = graph.neighbors(edges, spark.createDataFrame([("actor:1",), ("actor:1",), (None,)], "node string"), "USES_TOOL", 3)
+    assert rows(few) == rows(edges.where("relationship = 'USES_TOOL' AND from_id = 'actor:1'").select("from_id", "relationship", "to_id").distinct()) and few.count() > 0
