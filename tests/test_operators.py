@@ -779,3 +779,8 @@ def test_edges_are_made_in_tasks_that_follow_the_rows(spark, sf_dir, monkeypatch
     assert all(most(edges.where(F.col("relationship") == r), 200) for r in ("MENTIONED_IN", "USES_TOOL", "EXPLOITS_CVE", "SUPERSEDES"))
     few = graph.neighbors(edges, spark.createDataFrame([("actor:1",), ("actor:1",), (None,)], "node string"), "USES_TOOL", 3)
     assert rows(few) == rows(edges.where("relationship = 'USES_TOOL' AND from_id = 'actor:1'").select("from_id", "relationship", "to_id").distinct()) and few.count() > 0
+
+
+def test_keyword_inject_answers_every_question(spark, sf_dir):
+    asked = {r.query_id for r in Tables(spark, sf_dir).questions.where("text LIKE '%Metasploit%'").collect()}
+    assert asked <= {r.query_id for r in QUERIES["keyword_inject"](spark, sf_dir).collect()} and any(q % 50 for q in asked)
