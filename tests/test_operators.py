@@ -784,3 +784,19 @@ def test_edges_are_made_in_tasks_that_follow_the_rows(spark, sf_dir, monkeypatch
 def test_keyword_inject_answers_every_question(spark, sf_dir):
     asked = {r.query_id for r in Tables(spark, sf_dir).questions.where("text LIKE '%Metasploit%'").collect()}
     assert asked <= {r.query_id for r in QUERIES["keyword_inject"](spark, sf_dir).collect()} and any(q % 50 for q in asked)
+
+
+def test_recall_answers_equal_texts_once(spark, sf_dir, tmp_path, monkeypatch):
+    spark.range(6000).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    asked, built, plain, extracted = [], [], retrieve.recall, extract.extract_all_long
+    monkeypatch.setattr(retrieve, "recall", lambda q, n, known, *a, **k: asked.append((q, known)) or plain(q, n, known, *a, **k))
+    monkeypatch.setattr(extract, "extract_all_long", lambda *a, **k: built.append(a[0]) or extracted(*a, **k))
+    got, every = QUERIES["recall"](spark, str(tmp_path)), Tables(spark, str(tmp_path)).questions.where("query_id % 50 = 0")
+    (q, known), texts = asked[0], every.select("text").distinct()
+    assert rows(q.select("text")) == rows(texts) and texts.count() * 3 < every.count() and len(built) == 2
+    assert known._jdf.queryExecution().logical().toString().startswith("LogicalRDD")  # made once
+    lists = got.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "note_id"))).alias("notes")).join(every, "query_id")
+    per = lists.groupBy("text").agg(F.count_distinct("notes").alias("n"), F.count("*").alias("asks")).collect()
+    assert all(r.n == 1 for r in per) and sum(r.asks for r in per) > 3 * len(per)
