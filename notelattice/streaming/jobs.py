@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -150,6 +155,58 @@ def stream_session_activity(events: DataFrame, gap: str = "1 hour", key: str = "
     return _timed(events, "ts", gap).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+#: Rows of a run that is sorted in memory, of a piece of its file, and of a frame of output, and runs that are merged at a time.
+RUN, PIECE, FRAME, RUNS = 100_000, 500, 10_000, 200
+
+
+def in_order(frames: Iterator[pd.DataFrame], run: int = RUN) -> Iterator[tuple]:
+    """(at in seconds, note_id, domain, sorted entities) of all rows of ``frames`` in order of time, then id, in bounded memory.
+
+    Rows that are more than a run are sorted in runs, which are kept in temporary files and merged.
+    """
+    order = lambda r: (r[0], r[1] is None, r[1])
+
+    def runs() -> Iterator[list[tuple]]:
+        held: list[tuple] = []
+        for f in frames:
+            held += zip((x.timestamp() for x in f["at"]), f["note_id"], f["domain"], ([] if e is None else sorted(e) for e in f["entities"]))
+            if len(held) >= run:
+                held.sort(key=order)
+                yield held
+                held = []
+        held.sort(key=order)
+        yield held
+
+    def kept(rows: Iterator[tuple]) -> IO[bytes]:
+        file, piece = files.enter_context(tempfile.TemporaryFile()), []
+        for row in rows:
+            piece.append(row)
+            if len(piece) == PIECE:
+                pickle.dump(piece, file)
+                piece = []
+        for last in (piece, []) if piece else ([],):  # an empty one ends the file
+            pickle.dump(last, file)
+        return file
+
+    def read(file: IO[bytes]) -> Iterator[tuple]:
+        file.seek(0)
+        while piece := pickle.load(file):
+            yield from piece
+        file.close()
+
+    with ExitStack() as files:
+        parts: list[IO[bytes]] = []
+        for rows in runs():
+            if not parts and len(rows) < run:
+                yield from rows
+                return
+            parts.append(kept(rows))
+            if len(parts) == RUNS:
+                parts = [kept(heapq.merge(*map(read, parts), key=order))]
+        del rows
+        yield from heapq.merge(*map(read, parts), key=order)
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -186,10 +243,12 @@ class ShiftProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, out = self._load(), []
-        taken = pd.concat(list(rows)).sort_values(["at", "note_id"])
-        for note_id, at, domain, entities in zip(taken["note_id"], taken["at"], taken["domain"], taken["entities"]):
-            signals, state = state.take(sorted(entities) if entities is not None else [], domain, at.timestamp())
+        for at, note_id, domain, entities in in_order(rows):
+            signals, state = state.take(entities, domain, at)
             out.append((key[0], note_id, ",".join(signals), len(state.entities))[: len(self.columns)])
+            if len(out) == FRAME:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
         self._store(*state.kept())
         self._wake()
         yield pd.DataFrame(out, columns=self.columns)
@@ -224,8 +283,8 @@ class ShiftProcessor(StatefulProcessor):
 def stream_shift(notes: DataFrame, key: str = "stream", idle: float | None = None, delay: str = "1 hour", report: bool = False) -> DataFrame:
     """(key, note_id, signals) of notes (key, note_id, at in seconds, domain, entities) that depart from their stream's state.
 
-    Notes of one micro-batch and key are taken in order of time. ``report`` adds ``held``, the number of entities in the state
-    after a note.
+    Notes of one micro-batch and key are taken in order of time, in bounded memory however many they are. ``report``
+    adds ``held``, the number of entities in the state after a note.
     Such state needs the RocksDB state store, which is set for the session's queries from here on. A stream that is idle so long that all its entities are forgotten starts anew.
     """
     notes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)

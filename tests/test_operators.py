@@ -5,14 +5,17 @@ import json
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from notelattice.functions.rules import CASELESS, HASH_TYPES, NAME_STOPWORDS, PATTERNS, TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
+from notelattice.operators.evolve import ShiftState
 from notelattice.plans import QUERIES, derived
 from notelattice.plans.derived import Tables
 from notelattice.plans.notes import entity_index
@@ -800,3 +803,29 @@ def test_recall_answers_equal_texts_once(spark, sf_dir, tmp_path, monkeypatch):
     lists = got.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "note_id"))).alias("notes")).join(every, "query_id")
     per = lists.groupBy("text").agg(F.count_distinct("notes").alias("n"), F.count("*").alias("asks")).collect()
     assert all(r.n == 1 for r in per) and sum(r.asks for r in per) > 3 * len(per)
+
+
+@pytest.mark.parametrize("runs", [2, 200])
+def test_a_stream_of_many_notes_is_ordered_in_bounded_memory(monkeypatch, runs):
+    rng, alive, most, of = random.Random(runs), [], [], ShiftState(idle=24.0 * 9)
+    monkeypatch.setattr(jobs, "RUNS", runs)
+    start = datetime.datetime(2024, 1, 1)
+    made = [(start + datetime.timedelta(hours=rng.randrange(20_000)), f"n{k}", rng.choice(["cti", "general"]), [f"e{rng.randrange(9)}" for _ in range(k % 3)] if k % 7 else None) for k in range(26_000)]
+
+    def frames():
+        for lo in range(0, len(made), 1000):
+            pdf = pd.DataFrame(made[lo : lo + 1000], columns=["at", "note_id", "domain", "entities"])
+            alive.append(weakref.ref(pdf))
+            most.append(sum(ref() is not None for ref in alive))
+            yield pdf
+
+    want = [(at.replace(tzinfo=datetime.timezone.utc).timestamp(), n, d, sorted(e or [])) for at, n, d, e in sorted(made, key=lambda m: m[:2])]
+    assert list(jobs.in_order(frames(), 3000)) == want and list(jobs.in_order(iter([]))) == []
+    got, kept = jobs.ShiftProcessor("stream", 24.0 * 9, True), []
+    for name, part in (("_load", lambda: ShiftState(idle=24.0 * 9)), ("_store", lambda *a: kept.append(a)), ("_wake", lambda: None)):
+        setattr(got, name, part)
+    outs = list(got.handleInputRows(("s",), frames(), None))
+    for (_, note_id, signals, held), (at, n, d, e) in zip((r for o in outs for r in o.itertuples(index=False)), want, strict=True):
+        found, of = of.take(e, d, at)
+        assert (note_id, signals, held) == (n, ",".join(found), len(of.entities))
+    assert max(most) < 5 and max(map(len, outs)) <= jobs.FRAME and len(kept) == 1
