@@ -11,7 +11,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import GroupedData, functions as F
 
 from notelattice.functions.rules import CASELESS, HASH_TYPES, NAME_STOPWORDS, PATTERNS, TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
@@ -829,3 +829,14 @@ def test_a_stream_of_many_notes_is_ordered_in_bounded_memory(monkeypatch, runs):
         found, of = of.take(e, d, at)
         assert (note_id, signals, held) == (n, ",".join(found), len(of.entities))
     assert max(most) < 5 and max(map(len, outs)) <= jobs.FRAME and len(kept) == 1
+
+
+def test_a_replay_runs_only_slices_whose_start_changes(spark, monkeypatch):
+    ran, plain = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: ran.append(self._df.select("slice").distinct().count()) or plain(self, *a))
+    made = [(f"n{k:03}", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k // 3)) for k in range(200)]
+    held = {n: {f"tool{k % 2}", f"cve{k % 10}"} if k % 50 else {f"own{k}"} for k, (n, _) in enumerate(made)}
+    n = spark.createDataFrame([(*m, "all") for m in made], "note_id string, created_at timestamp, stream string")
+    i = spark.createDataFrame([("tool", e, name) for name, es in held.items() for e in es], "entity_type string, entity_value string, note_id string")
+    assert {(r.note_id, r.superseded_by) for r in evolve.supersession_replay(n, i, size=10).collect()} == one_pass(made, held)
+    assert ran[0] == 20 and sum(ran) < 20 * 4
