@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import GroupedData, functions as F
 
-from notelattice.functions.rules import CASELESS, HASH_TYPES, NAME_STOPWORDS, PATTERNS, TTL_DAYS
+from notelattice.functions.rules import CASELESS, HASH_TYPES, NAME_STOPWORDS, PATTERNS, STARTS, TTL_DAYS
 from notelattice.operators import evaluate, evolve, extract, fusion, graph, index, notes, ontology, retrieve, rules
 from notelattice.operators.evolve import ShiftState
 from notelattice.plans import QUERIES, derived
@@ -840,3 +840,20 @@ def test_a_replay_runs_only_slices_whose_start_changes(spark, monkeypatch):
     i = spark.createDataFrame([("tool", e, name) for name, es in held.items() for e in es], "entity_type string, entity_value string, note_id string")
     assert {(r.note_id, r.superseded_by) for r in evolve.supersession_replay(n, i, size=10).collect()} == one_pass(made, held)
     assert ran[0] == 20 and sum(ran) < 20 * 4
+
+
+def test_keywords_of_a_text_are_looked_for_once(spark):
+    draw, parts = random.Random(3), ["this", "with", "wolf", "WOLF", "lamb", "abc", "night", "night9", "_wolf", "wölf", "ß", "İ", "9", " ", " ", " ", ".", "-", "\n", "́"]
+    texts = spark.createDataFrame([(k, "".join(draw.choice(parts) for _ in range(draw.randint(0, 30)))) for k in range(2000)] + [(-1, None)], "k int, t string")
+    made = notes.keyword_array(F.col("t"), 3)
+    top = notes.keywords_topk(texts, 3, "k", "t").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("want"))
+    both = texts.join(top, "k", "left").withColumn("want", F.when(F.col("t").isNotNull(), F.coalesce("want", F.array().cast("array<string>"))))
+    assert both.where(~made.eqNullSafe(F.col("want"))).isEmpty() and top.count() > 1000
+    plan = texts.select(made.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
+def test_patterns_try_few_places(spark):
+    assert {"intrusion_set", "tool", "ipv4", "campaign", "actor", "attack_pattern"} <= set(STARTS)
+    for kind, start in STARTS.items():
+        assert extract.pattern(kind) == ("(?i)" if kind in CASELESS else "") + start + PATTERNS[kind]
