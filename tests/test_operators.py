@@ -857,3 +857,12 @@ def test_patterns_try_few_places(spark):
     assert {"intrusion_set", "tool", "ipv4", "campaign", "actor", "attack_pattern"} <= set(STARTS)
     for kind, start in STARTS.items():
         assert extract.pattern(kind) == ("(?i)" if kind in CASELESS else "") + start + PATTERNS[kind]
+
+
+def test_chains_end_where_no_node_is_left(spark, monkeypatch):
+    cuts, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(df) or plain(df))
+    edges = spark.createDataFrame([("a", "b", "r", "causal"), ("a", "c", "r", "causal"), ("c", "d", "r", "heuristic")], "from_id string, to_id string, relationship string, edge_type string")
+    starts = spark.createDataFrame([("a",)], "node string")
+    assert rows(graph.causal_chain(edges, starts, True, 9)) == [("a", 0, "a", "r", "b"), ("a", 0, "a", "r", "c")]
+    assert len(cuts) == 5  # the edges once, and two depths of ten
